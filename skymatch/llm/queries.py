@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, url_filter
+from . import line_dedup, mixing, neardup, packing, quality_rules, url_filter
 from .common import table
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -22,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), mixing.line_weight(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,5 +41,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op7_mixing, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op6_minhash_neardup, op7_mixing, op9_line_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
