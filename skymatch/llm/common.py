@@ -50,3 +50,21 @@ def stored(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, least_share: float = 0.4, key: str = "doc_id", text: str = "text", max_chars: int = 20_000) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` labelled documents that aren't held out, for a model to learn from.
+
+    Ids are taken in the order of a hash, up to least_share of them from each class, so the sample is bounded and doesn't depend on the
+    layout. Texts above max_chars aren't used for learning, which bounds what the driver holds. Only the chosen ids are sent to the scan.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_label"))
+    order = F.md5(F.col(key).cast("string").cast("binary"))
+    share = int(rows * least_share)
+    chosen = [(r[0], r[1]) for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(order).limit(share if y == 0 and label == "quality" or y == 1 and label != "quality" else rows - share).collect()]
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
+    found = docs.where(F.length(text) <= max_chars).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
+    seen = {r["_id"]: (r["_text"], r["_y"]) for r in found.limit(2 * rows).collect()}
+    return [seen[i] for i in sorted(seen)]

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, neardup, packing, quality_rules, url_filter
-from .common import table
+from . import line_dedup, mixing, neardup, packing, quality_rules, toxicity, url_filter
+from .common import held_out, table
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 URL_RULES = [url_filter.UrlRule("net/", "block"), url_filter.UrlRule("example.net/en/", "allow"), url_filter.UrlRule("example.com/de/", "block"), url_filter.UrlRule("org/fr/", "allow")]
@@ -22,6 +22,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.spans").alias("spans"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85))
 
@@ -41,5 +47,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op6_minhash_neardup, op7_mixing, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_toxicity, op6_minhash_neardup, op7_mixing, op9_line_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
