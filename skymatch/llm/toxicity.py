@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field over two states marks toxic words; its marginals give scores and offsets.
 
 Only documents carry labels, so training tokens are labelled through them: in a toxic document, words with a feature that is much more frequent in
-toxic than in other documents are toxic, all others and all words of other documents are not. Emissions come from features of a word (the
+toxic than in other documents, and needed to tell them, are toxic, all others and all words of other documents are not. Emissions come from features of a word (the
 word, its ends, its shape); transitions are learned with them by maximising the conditional likelihood. A document's score is a
 logistic function of the expected number of toxic words and of the surest one, fitted on the same documents.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -82,17 +83,56 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) ->
     return odds / (1 + odds), ahead, back
 
 
-def toxic_features(found: list[set[str]], labels: list[int], least_share: float = 0.01, ratio: float = 8.0, evidence: float = 20.0) -> set[str]:
-    """Features whose share of toxic texts is `ratio` times that of others. As labels are noisy and rare features prove nothing, one must stand in a least share of the toxic texts and its log-likelihood ratio must reach `evidence`."""
-    seen = [Counter(f for fs, y in zip(found, labels) if y == c for f in fs) for c in (0, 1)]
-    n0, n1 = (max(1, sum(y == c for y in labels)) for c in (0, 1))
-    out = set()
-    for f, k in seen[1].items():
-        c = seen[0][f]
+def without_copies(sample: list[tuple[str, int]], hashes: int = 6) -> list[tuple[str, int]]:
+    """The first of each group of texts of one label that share a minimum of their word triples: copies are no evidence of their own."""
+    seen: set[tuple] = set()
+    out = []
+    for text, y in sample:
+        ws = text.split()
+        triples = np.array([zlib.crc32(" ".join(ws[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(ws) - 2))], dtype=np.uint64)
+        minima = {(y, i, int(((triples * np.uint64(2 * i + 3) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).min())) for i in range(hashes)}
+        if not minima & seen:
+            out.append((text, y))
+        seen |= minima
+    return out
+
+
+def toxic_features(found: list[set[str]], labels: list[int], least_share: float = 0.01, ratio: float = 20.0, evidence: float = 20.0, cover: int = 6) -> set[str]:
+    """Features that tell toxic texts, found by sequential covering.
+
+    The one of most evidence (log-likelihood ratio) is taken, time after time; a toxic text that holds `cover` taken ones is explained and counts no
+    more, so that words which merely accompany them aren't taken. A feature's share of toxic texts must be `ratio` times that of others and
+    at least least_share, as labels are noisy and rare features prove nothing.
+    """
+    clean = Counter(f for fs, y in zip(found, labels) if not y for f in fs)
+    toxic = [fs for fs, y in zip(found, labels) if y]
+    n0, n1 = max(1, len(found) - len(toxic)), max(1, len(toxic))
+    counts = Counter(f for fs in toxic for f in fs)
+    least = max(3.0, least_share * n1)
+    names = sorted(f for f, k in counts.items() if k >= least and (k + 0.5) / n1 >= ratio * (clean[f] + 0.5) / n0)
+    place = {f: i for i, f in enumerate(names)}
+    texts = [[place[f] for f in fs if f in place] for fs in toxic]
+    holders: list[list[int]] = [[] for _ in names]
+    for t, fs in enumerate(texts):
+        for f in fs:
+            holders[f].append(t)
+    k, c = np.array([counts[f] for f in names], float), np.array([clean[f] for f in names], float)
+    covered, out = np.zeros(len(toxic), int), set()
+    while len(out) < len(names):
         both = (k + c) / (n0 + n1)
-        ll = 2 * (k * math.log(k / (n1 * both)) + (c * math.log(c / (n0 * both)) if c else 0))
-        if k >= least_share * n1 and (k + 0.5) / n1 >= ratio * (c + 0.5) / n0 and ll >= evidence:
-            out.add(f)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ll = 2 * (k * np.log(k / (n1 * both)) + np.where(c > 0, c * np.log(c / (n0 * both)), 0))
+        ll[(k < least) | ((k + 0.5) / n1 < ratio * (c + 0.5) / n0) | ~np.isfinite(ll)] = -1
+        if ll.max() < evidence:
+            break
+        best = int(ll.argmax())
+        out.add(names[best])
+        k[best] = 0
+        for t in holders[best]:
+            covered[t] += 1
+            if covered[t] == cover:
+                k[texts[t]] -= 1
+        k[[place[f] for f in out]] = 0
     return out
 
 
@@ -107,7 +147,7 @@ def token_labels(sample: list[tuple[str, int]]) -> list[np.ndarray]:
 
 def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
     """Adagrad on the conditional log-likelihood of the token labels. None without both classes."""
-    sample = [(t, y) for t, y in sample if t and t.split()]
+    sample = without_copies([(t, y) for t, y in sample if t and t.split()])
     if len({y for _, y in sample}) < 2:
         return None
     words = [t.split() for t, _ in sample]
