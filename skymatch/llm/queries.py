@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, neardup, packing, quality_rules, toxicity, url_filter
+from . import line_dedup, mixing, neardup, packing, quality_gam, quality_rules, toxicity, url_filter
 from .common import held_out, table
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -37,6 +37,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_gam.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -47,5 +52,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_toxicity, op6_minhash_neardup, op7_mixing, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
