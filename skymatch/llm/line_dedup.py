@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind
+from .common import SPACE, bind, stored
 
 
 def line_hashes(text: Column) -> Column:
@@ -30,7 +30,8 @@ def spread(lines: DataFrame, min_sites: int, log_k: int = 10, margin: float = 0.
     """
     site = F.xxhash64("site")  # sites are few against 2**64
     sketch = lines.groupBy("a", "b").agg(F.hll_sketch_agg(site, F.lit(log_k)).alias("_sketch"), F.count("*").alias("_n"), F.min(F.struct("key", "version", "pos")).alias("first"))
-    seen = sketch.where(F.col("_n") >= min_sites).select("a", "b", "first", F.hll_sketch_estimate("_sketch").alias("_sites"))
+    # stored: else the joins below stand in one stage with this aggregation, and a hot line's partition can't be split
+    seen = stored(sketch.where(F.col("_n") >= min_sites).select("a", "b", "first", F.hll_sketch_estimate("_sketch").alias("_sites")))
     low, high = min_sites - max(1.0, margin * min_sites), min_sites + max(1.0, margin * min_sites)
     near = seen.where((F.col("_sites") >= low) & (F.col("_sites") <= high))
     exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b", site.alias("site")).agg(F.lit(1).alias("_one")).groupBy("a", "b").agg(F.sum("_one").alias("_exact"))
@@ -43,11 +44,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, key: str = "doc_id", site:
     rows = docs.withColumn("_version", F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")))
     lines = rows.select(F.col(key).alias("key"), F.col("_version").alias("version"), F.col(site).alias("site"), F.explode(line_hashes(F.col(text))).alias("x"))
     lines = lines.select("key", "version", "site", "x.*")
-    common = spread(lines, min_sites, log_k)
+    common = stored(spread(lines, min_sites, log_k))
     hits = lines.select("key", "version", "pos", "a", "b").join(common, ["a", "b"])
     hits = hits.where(~F.struct("key", "version", "pos").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("key").alias("_key"), F.col("version").alias("_v")).agg(F.collect_set("pos").alias("_gone"))
-    joined = rows.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
+    # the texts stream past a hash table of a partition's positions, without a sort of whole texts
+    joined = rows.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
     kept = bind(F.split(text, "\n"), lambda x: F.filter(x, lambda _, i: ~F.array_contains("_gone", i)))
     clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0)).cast("long")
