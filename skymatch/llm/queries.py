@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, media, mixing, neardup, packing, pii, quality_gam, quality_rules, toxicity, url_filter
 from .common import held_out, table
+from .settings import TOKENIZER
 
-TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 URL_RULES = [url_filter.UrlRule("net/", "block"), url_filter.UrlRule("example.net/en/", "allow"), url_filter.UrlRule("example.com/de/", "block"), url_filter.UrlRule("org/fr/", "allow")]
 
 
@@ -37,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85))
+    return neardup.groups(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=3, percent=85)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +60,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}
