@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, neardup, packing, pii, quality_gam, quality_rules, toxicity, url_filter
+from . import line_dedup, media, mixing, neardup, oracle, packing, pii, quality_gam, quality_rules, toxicity, url_filter
 from .common import held_out, table
 from .settings import TOKENIZER
 
@@ -61,4 +61,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracle.op1(),
+    "op6_minhash_neardup": oracle.op6(),
+    "op7_mixing": oracle.op7(),
+    "op9_line_dedup": oracle.op9(),
+    "op10_url_filter": oracle.op10(URL_RULES),
+}
