@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,69 +96,69 @@ def without_copies(sample: list[tuple[str, int]], hashes: int = 6) -> list[tuple
     return out
 
 
-def toxic_features(found: list[set[str]], labels: list[int], least_share: float = 0.01, ratio: float = 20.0, evidence: float = 20.0, cover: int = 6) -> set[str]:
-    """Features that tell toxic texts, found by sequential covering.
+def toxic_features(texts: list[np.ndarray], labels: np.ndarray, n_features: int, least_share: float = 0.01, ratio: float = 20.0, evidence: float = 20.0, cover: int = 6) -> np.ndarray:
+    """Which features tell toxic texts, found by sequential covering. texts: the distinct features of each.
 
     The one of most evidence (log-likelihood ratio) is taken, time after time; a toxic text that holds `cover` taken ones is explained and counts no
     more, so that words which merely accompany them aren't taken. A feature's share of toxic texts must be `ratio` times that of others and
     at least least_share, as labels are noisy and rare features prove nothing.
     """
-    clean = Counter(f for fs, y in zip(found, labels) if not y for f in fs)
-    toxic = [fs for fs, y in zip(found, labels) if y]
-    n0, n1 = max(1, len(found) - len(toxic)), max(1, len(toxic))
-    counts = Counter(f for fs in toxic for f in fs)
+    toxic = [f for f, y in zip(texts, labels) if y]
+    none = [np.empty(0, np.int64)]
+    c = np.bincount(np.concatenate([f for f, y in zip(texts, labels) if not y] or none), minlength=n_features).astype(float)
+    k = np.bincount(np.concatenate(toxic or none), minlength=n_features).astype(float)
+    n0, n1 = max(1, len(texts) - len(toxic)), max(1, len(toxic))
     least = max(3.0, least_share * n1)
-    names = sorted(f for f, k in counts.items() if k >= least and (k + 0.5) / n1 >= ratio * (clean[f] + 0.5) / n0)
-    place = {f: i for i, f in enumerate(names)}
-    texts = [[place[f] for f in fs if f in place] for fs in toxic]
+    names = np.flatnonzero((k >= least) & ((k + 0.5) / n1 >= ratio * (c + 0.5) / n0))
+    place = np.full(n_features, -1)
+    place[names] = np.arange(len(names))
+    held = [p[p >= 0] for p in (place[f] for f in toxic)]
     holders: list[list[int]] = [[] for _ in names]
-    for t, fs in enumerate(texts):
-        for f in fs:
+    for t, fs in enumerate(held):
+        for f in fs.tolist():
             holders[f].append(t)
-    k, c = np.array([counts[f] for f in names], float), np.array([clean[f] for f in names], float)
-    covered, out = np.zeros(len(toxic), int), set()
-    while len(out) < len(names):
+    k, c = k[names], c[names]
+    covered, taken = np.zeros(len(toxic), int), np.zeros(len(names), bool)
+    while not taken.all():
         both = (k + c) / (n0 + n1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ll = 2 * (k * np.log(k / (n1 * both)) + np.where(c > 0, c * np.log(c / (n0 * both)), 0))
-        ll[(k < least) | ((k + 0.5) / n1 < ratio * (c + 0.5) / n0) | ~np.isfinite(ll)] = -1
+        ll[taken | (k < least) | ((k + 0.5) / n1 < ratio * (c + 0.5) / n0) | ~np.isfinite(ll)] = -1
         if ll.max() < evidence:
             break
         best = int(ll.argmax())
-        out.add(names[best])
-        k[best] = 0
+        taken[best] = True
         for t in holders[best]:
             covered[t] += 1
             if covered[t] == cover:
-                k[texts[t]] -= 1
-        k[[place[f] for f in out]] = 0
+                k[held[t]] -= 1
+    out = np.zeros(n_features, bool)
+    out[names[taken]] = True
     return out
 
 
-def token_labels(sample: list[tuple[str, int]]) -> list[np.ndarray]:
-    """0 or 1 for each word of each text."""
-    parts = {w: set(features(w)[:-1]) for t, _ in sample for w in t.split()}
-    texts = [t.split() for t, _ in sample]
-    toxic = toxic_features([set().union(*(parts[w] for w in ws)) for ws in texts], [y for _, y in sample])
-    marked = {w for w, fs in parts.items() if fs & toxic}
-    return [np.array([y and w in marked for w in ws], dtype=float) for ws, (_, y) in zip(texts, sample)]
-
-
 def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
     """Adagrad on the conditional log-likelihood of the token labels. None without both classes."""
     sample = without_copies([(t, y) for t, y in sample if t and t.split()])
     if len({y for _, y in sample}) < 2:
         return None
-    words = [t.split() for t, _ in sample]
-    labels = token_labels(sample)
+    vocabulary: dict[str, int] = {}
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], dtype=np.int32) for t, _ in sample]
+    toxic_text = np.array([y for _, y in sample], dtype=float)
     lengths = np.array([len(w) for w in words])
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    names: dict[str, int] = {}
+    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], dtype=np.int32)
+    distinct = [np.unique(w) for w in words]
+    by_text = [np.unique(table[w, :-1]) for w in distinct]
+    marked = toxic_features(by_text, toxic_text, len(names))[table[:, :-1]].any(axis=1)
+    ids = np.concatenate(words)
+    y = (marked[ids] & np.repeat(toxic_text > 0, lengths)).astype(float)
     # a feature counts if it stands in two texts; others share a place whose weight stays 0
-    texts_with = Counter(f for ws in words for f in {f for w in set(ws) for f in features(w)})
-    known = {f: i for i, f in enumerate((f for f, n in texts_with.items() if n > 1), 1)}
-    table = np.array([[known.get(f, 0) for f in features(w)] for w in vocabulary])
-    size = len(known) + 1
-    ids, y = np.concatenate([[vocabulary[w] for w in ws] for ws in words]).astype(int), np.concatenate(labels)
+    texts_with = np.bincount(np.concatenate([np.unique(table[w]) for w in distinct]), minlength=len(names))
+    known = np.zeros(len(names), np.int32)
+    known[texts_with > 1] = np.arange(1, 1 + int((texts_with > 1).sum()))
+    table = known[table]
+    size = int(known.max()) + 1
     inner = np.ones(len(y), bool)
     inner[np.cumsum(lengths) - lengths] = False  # words with one before them
     at = np.flatnonzero(inner)
@@ -188,7 +187,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
         moves += rate * grad_m / np.sqrt(seen_m)
         moves -= moves[0, 0]  # ratios alone count
     p = marginals((weights[table].sum(axis=1) + bias)[ids], lengths, moves)[0]
-    return Chain({f: float(weights[i]) for f, i in known.items()}, float(bias), moves, calibrate(summary(p, lengths), np.array([y for _, y in sample], float)))
+    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i]}, float(bias), moves, calibrate(summary(p, lengths), toxic_text))
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -213,36 +212,56 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3
     return w
 
 
-def score_texts(texts: list[str | None], chain: Chain, cache: dict[str, float], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Scores, and spans (start, end, marginal) of the words that are toxic with probability least or more."""
-    words = [(t or "").split() for t in texts]
-    for w in {w for ws in words for w in ws} - cache.keys():
-        cache[w] = chain.emission(w)
-    lengths = np.array([len(w) for w in words])
-    p = marginals(np.fromiter((cache[w] for ws in words for w in ws), float, int(lengths.sum())), lengths, chain.moves)[0]
-    scores = 1 / (1 + np.exp(-np.clip(summary(p, lengths) @ chain.calibration, -30, 30)))
+class Emissions(dict):
+    """Emissions of words, kept for words seen lately."""
+
+    def __init__(self, chain: Chain):
+        self.chain = chain
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = self.chain.emission(word)
+        return out
+
+
+def score_texts(texts: list[str | None], chain: Chain, known: Emissions, least: float = 0.5, words: int = 1_000_000) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Scores, and spans (start, end, marginal) of the words that are toxic with probability least or more. words: about how many are held at a time."""
+    scores = np.empty(len(texts))
     spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-    starts = np.cumsum(lengths) - lengths
-    hits = np.flatnonzero(p >= least)
-    owner = np.searchsorted(starts, hits, side="right") - 1
-    for i in np.unique(owner):
-        mine = {int(h - starts[i]): float(p[h]) for h in hits[owner == i]}
-        spans[i] = [(m.start(), m.end(), mine[k]) for k, m in enumerate(WORD.finditer(texts[i])) if k in mine]
-    if len(cache) > 1_000_000:
-        cache.clear()
+    # texts of like length together, so that few words take part in the many steps of the longest
+    chunk: list[int] = []
+    parts: list[np.ndarray] = []
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+    for n, i in enumerate(order):
+        chunk.append(i)
+        parts.append(np.fromiter(map(known.__getitem__, (texts[i] or "").split()), float))
+        if n + 1 < len(order) and len(chunk) * len(parts[-1]) < words:
+            continue
+        lengths = np.array([len(e) for e in parts], dtype=int)
+        p = marginals(np.concatenate(parts), lengths, chain.moves)[0]
+        scores[chunk] = 1 / (1 + np.exp(-np.clip(summary(p, lengths) @ chain.calibration, -30, 30)))
+        starts = np.cumsum(lengths) - lengths
+        hits = np.flatnonzero(p >= least)
+        # a text without words starts where the next one does
+        owner = np.searchsorted(starts + lengths, hits, side="right")
+        for t in np.unique(owner):
+            mine = {int(h - starts[t]): float(p[h]) for h in hits[owner == t]}
+            spans[chunk[t]] = [(m.start(), m.end(), mine[k]) for k, m in enumerate(WORD.finditer(texts[chunk[t]])) if k in mine]
+        chunk, parts = [], []
     return scores, spans
 
 
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with toxicity, a struct of score (0 to 1) and spans (start, end, p)."""
     chain = train(labelled_sample(docs, labels, "toxic", train_rows, key=key, text=text))
-    cache: dict[str, float] = {}
+    known = Emissions(chain) if chain else None
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
     def apply(texts: pd.Series) -> pd.DataFrame:
         if chain is None:
             return pd.DataFrame({"score": np.zeros(len(texts)), "spans": [[]] * len(texts)})
-        scores, spans = score_texts(texts.tolist(), chain, cache)
+        scores, spans = score_texts(texts.tolist(), chain, known)
         return pd.DataFrame({"score": scores, "spans": [[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans]})
 
     return docs.withColumn("toxicity", apply(F.col(text)))
