@@ -1,0 +1,342 @@
+"""Operators against golden numbers, invariants and small geometry."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skymatch.functions import arrays as A
+from skymatch.functions import photometry as P
+from skymatch.operators import correction, densities, knn, montecarlo, weights
+from skymatch.operators.knn import Search
+from skymatch.operators.scaling import Prior, best_scales
+
+XYZ = ["x", "y", "z"]
+
+
+def photometry(spark, rows, key, bands, errors=0.0):
+    """rows: (id, flux of each band) or (id, [(flux, error), ...])."""
+    flat = [(i, *(v for f in fs for v in (f if isinstance(f, tuple) else (float(f), errors)))) for i, fs in rows]
+    return spark.createDataFrame(flat, f"{key} long, " + ", ".join(f"f_{b} double, e_{b} double" for b in bands))
+
+
+@pytest.fixture(scope="module")
+def cube(spark):
+    points = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    return photometry(spark, list(enumerate(points)), "ref_id", XYZ)
+
+
+SEARCHES = [Search(7, "euclidean"), Search(7, method="kdtree"), Search(7), Search(7, method="combined", batch=20)]
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+@pytest.mark.parametrize("plan", ["join", "blocks"])
+def test_cube(spark, cube, search, plan):
+    """The seven points around the middle are the nearest; ten reach three others."""
+    target = photometry(spark, [(1, (0, 0, 0))], "target_id", XYZ, 0.01)
+    near = {r["ref_id"] for r in knn.neighbors(target, cube, XYZ, search, plan).collect()}
+    want = {r["ref_id"] for r in cube.where("f_x*f_x + f_y*f_y + f_z*f_z <= 1").collect()}
+    assert near == want
+    ten = knn.neighbors(target, cube, XYZ, Search(10, search.distance, search.method, 20), plan).collect()
+    assert len(ten) == 10 and want <= {r["ref_id"] for r in ten} and [r["rank"] for r in sorted(ten, key=lambda r: r["rank"])] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("plan", ["join", "blocks"])
+def test_infinite_errors_drop_a_band(spark, cube, plan):
+    target = photometry(spark, [(1, (0.1, 0.2, 0.7)), (2, (-0.5, 0.4, 5.0))], "target_id", XYZ, 0.01)
+    blind = target.withColumn("e_z", F.lit(math.inf))
+    a = knn.neighbors(blind, cube, XYZ, Search(9), plan).select("target_id", "ref_id", F.round("distance", 9)).collect()
+    b = knn.neighbors(target, cube, ["x", "y"], Search(9), plan).select("target_id", "ref_id", F.round("distance", 9)).collect()
+    assert sorted(a) == sorted(b)
+
+
+def random_side(spark, n, key, seed):
+    r = random.Random(seed)
+    return photometry(spark, [(i, [(round(r.uniform(0, 3), 1), round(r.uniform(0, 1), 1)) for _ in XYZ]) for i in range(n)], key, XYZ)
+
+
+@pytest.mark.parametrize("search", SEARCHES + [Search(5, prior=Prior.parse("delta 1.3"))])
+def test_plans_agree(spark, search):
+    """With ties, zero errors, several blocks and fewer objects than neighbours."""
+    targets, refs = random_side(spark, 90, "target_id", 1), random_side(spark, 150, "ref_id", 2)
+    cols = ("target_id", "rank", "ref_id", F.round("distance", 9).alias("d"), "scale")
+    want = sorted(map(tuple, knn.by_join(targets, refs, XYZ, search).select(*cols).collect()))
+    assert len(want) == 90 * search.k
+    for size in (1 << 20, 48 * 40):
+        assert sorted(map(tuple, knn.by_blocks(targets, refs, XYZ, search, size).select(*cols).collect())) == want
+    few = refs.limit(3)
+    assert knn.by_join(targets, few, XYZ, search).count() == knn.by_blocks(targets, few, XYZ, search).count() == 270
+    assert knn.by_blocks(targets.limit(0), refs, XYZ, search).count() == 0 and knn.by_blocks(targets, refs.limit(0), XYZ, search).count() == 0
+
+
+def test_bands_commute(spark):
+    targets, refs = random_side(spark, 20, "target_id", 3), random_side(spark, 40, "ref_id", 4)
+    a = knn.by_join(targets, refs, XYZ, Search(40)).select("target_id", "ref_id", F.round("distance", 9).alias("d")).collect()
+    b = knn.by_join(targets, refs, XYZ[::-1], Search(40)).select("target_id", "ref_id", F.round("distance", 9).alias("d")).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_bad_searches():
+    for bad in (dict(k=0), dict(k=3, method="octree"), dict(k=3, distance="cosine"), dict(k=5, method="combined", batch=4), dict(k=3, method="kdtree", prior=Prior())):
+        with pytest.raises(ValueError):
+            Search(**bad)
+
+
+def test_join_plan_limits_before_the_shuffle(spark, cube):
+    target = photometry(spark, [(1, (0, 0, 0))], "target_id", XYZ, 0.01)
+    plan = knn.by_join(target, cube, XYZ, Search(7))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+# ---- scales
+
+
+def test_scales():
+    """A reference that is the target times s has the scale 1 / s; bounds of a prior hold."""
+    t = np.array([[(1, 0.5), (2, 0.2), (3, 0.6)]], float)
+    for s in np.linspace(0.2, 4, 5):
+        for error in (0.0, 0.1):
+            r = np.array([[(f * s, e * error) for f, e in t[0]]])
+            a = best_scales(t, r, Prior.parse("uniform"))
+            assert np.allclose(a, 1 / s, rtol=1e-3)
+            assert knn.distances(t, r, "chi2", a)[0, 0] < 1e-6
+            assert best_scales(t, r, Prior.parse("delta 1"))[0, 0] == 1
+            b = best_scales(t, r, Prior.parse("tophat 0.9 1.1"))[0, 0]
+            assert 0.9 <= b <= 1.1
+
+
+def test_scales_are_least():
+    r = np.random.default_rng(0)
+    t = np.stack([r.uniform(0.5, 3, (5, 4)), r.uniform(0.1, 0.5, (5, 4))], axis=2)
+    o = np.stack([r.uniform(0.5, 3, (6, 4)), r.uniform(0.05, 0.3, (6, 4))], axis=2)
+    a = best_scales(t, o, Prior())
+    grid = np.linspace(0.05, 6, 4000)
+    for i in range(5):
+        for j in range(6):
+            d = [knn.distances(t[i : i + 1], o[j : j + 1], "chi2", np.full((1, 1), g))[0, 0] for g in grid]
+            assert abs(grid[int(np.argmin(d))] - a[i, j]) < 0.01
+
+
+def test_priors():
+    assert Prior.parse("uniform") == Prior() and Prior.parse("tophat 1 2") == Prior(1, 2) and Prior.parse("delta 3").fixed
+    for bad in ("", "normal 1 2", "tophat 2 1", "delta", "uniform 1"):
+        with pytest.raises((ValueError, IndexError)):
+            Prior.parse(bad)
+
+
+# ---- weights
+
+BANDS = ["vis", "g", "Y"]
+OFFSETS = (0.00698369, -0.01193469, 0.00892959, 0.00556434, 0.00172525)
+#: Weights of the five targets' five neighbours.
+GOLDEN = [
+    [82.671295, 2.754853, 1.356582, 0.899841, 0.673187],
+    [2.816, 48.375763, 2.542062, 1.302916, 0.875916],
+    [1.311178, 2.573811, 64.65588, 2.778595, 1.362332],
+    [0.883841, 1.320545, 2.610245, 103.75939, 2.737767],
+    [0.66692, 0.88868, 1.331383, 2.652985, 334.6473],
+]
+
+
+def five(spark):
+    flux = lambda i, b: np.float32((i + 1) * (b + 1) / 10)
+    refs = photometry(spark, [(i, [(float(flux(i, b)), 0.0) for b in range(3)]) for i in range(5)], "ref_id", BANDS).withColumn("weight", (F.col("ref_id") + 1).cast("double"))
+    targets = photometry(spark, [(i, [(float(flux(i, b)) + OFFSETS[i], 0.0) for b in range(3)]) for i in range(5)], "target_id", BANDS)
+    found = targets.crossJoin(refs.select("ref_id")).select("target_id", "ref_id", (F.col("ref_id") + 1).cast("int").alias("rank"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("scale"))
+    return knn.with_photometry(found, targets, refs, BANDS)
+
+
+@pytest.mark.parametrize("absolute", [None, "ref_weight"])
+def test_golden_weights(spark, absolute):
+    for r in weights.weighted(five(spark), BANDS, "euclidean", absolute=absolute).collect():
+        want = GOLDEN[r["target_id"]][r["ref_id"]] * (r["ref_id"] + 1 if absolute else 1)
+        assert abs(r["weight"] - want) < 1e-4 * want and r["flags"] == 0
+
+
+def test_fallback(spark):
+    """Likelihoods that all vanish give way to the alternative and set the flag, for their target alone."""
+    pairs = five(spark).withColumns({f"e_{b}": F.when(F.col("target_id") < 2, 1e-5).otherwise(1.0) for b in BANDS})
+    out = weights.weighted(pairs, BANDS, "likelihood", "euclidean").collect()
+    for r in out:
+        assert r["flags"] == int(r["target_id"] < 2)
+        assert r["target_id"] >= 2 or abs(r["weight"] - GOLDEN[r["target_id"]][r["ref_id"]]) < 1e-4 * r["weight"]
+    flags = weights.flag_columns(weights.weighted(pairs, BANDS, "likelihood").groupBy("target_id").agg(F.max("flags").alias("flags")))
+    assert {r["target_id"]: r["flag_alternative_weight"] for r in flags.collect()} == {i: i < 2 for i in range(5)}
+
+
+def test_weight_at_distance_0(spark):
+    same = five(spark).withColumns({f"f_{b}": F.col(f"n_f_{b}") for b in BANDS})
+    assert {r["weight"] for r in weights.weighted(same, BANDS, "euclidean").collect()} == {P.LARGEST}
+
+
+def test_mean_photometry_without_weight(spark):
+    pairs = five(spark).withColumn("weight", F.lit(0.0))
+    for r in weights.mean_photometry(pairs, BANDS).collect():
+        assert abs(r["vis_mean"] - 0.3) < 1e-6 and r["g_mean_err"] == 0
+
+
+# ---- corrections
+
+
+def test_reddening_goldens(spark):
+    """Fluxes 1 .. 6 of three objects in two bands, with coefficients 0.1 and about 0.6."""
+    grid = np.arange(11.0)
+    extinction = np.column_stack([grid, np.linspace(0.1, 1.1, 11)])
+    sed = np.column_stack([grid, np.ones(11)])
+    first = np.column_stack([[0.0, 0.5], [1.0, 0.0]])
+    triangle = np.column_stack([grid, np.maximum(0, 4 - np.abs(grid - 5))])
+    k = {"f1": correction.band_coefficient(extinction, first, sed), "f2": correction.band_coefficient(extinction, triangle, sed)}
+    assert abs(k["f1"] - 0.1) < 1e-9
+    assert abs(correction.band_coefficient(extinction, triangle, sed, 1.0) - 0.588500880507632) < 1e-9
+    assert abs(k["f2"] - 0.599769741601381) < 1e-9
+    df = photometry(spark, [(i, [(1.0 + 2 * i, 0.1), (2.0 + 2 * i, 0.2)]) for i in range(3)], "target_id", ["f1", "f2"])
+    df = df.withColumn("ebv", F.element_at(F.array(F.lit(0.05), F.lit(0.01), F.lit(0.02)), (F.col("target_id") + 1).cast("int")))
+    out = correction.dereddened(df, k).orderBy("target_id").collect()
+    want = [(1.0046158, 2.0560108), (3.0027644, 4.0221575), (5.0092188, 6.0666565)]
+    for r, (a, b) in zip(out, want):
+        assert abs(r["f_f1"] - a) < 1e-6 and abs(r["f_f2"] - b) < 1e-6 and r["e_f1"] == 0.1
+    back = correction.reddened(correction.dereddened(df, k), k).orderBy("target_id").collect()
+    assert all(abs(r["f_f2"] - (2 + 2 * r["target_id"])) < 1e-12 for r in back)
+
+
+def test_shift_goldens(spark):
+    """Shifts multiply `vis` by id * 1500**2 + 1 and `g` by id * 1000 + 1; bands without shift stay, and errors follow fluxes."""
+    pairs = five(spark).withColumns({"ref_c0_vis": F.col("ref_id").cast("double"), "ref_c1_vis": F.lit(0.0), "ref_c0_g": F.lit(0.0), "ref_c1_g": F.col("ref_id").cast("double"), "n_e_vis": F.lit(2.0)})
+    pairs = pairs.withColumn("shifts", F.struct(F.lit(1500.0).alias("vis"), F.lit(1000.0).alias("g")))
+    for r, s in zip(correction.projected(pairs, BANDS, shifts="shifts").orderBy("target_id", "ref_id").collect(), pairs.orderBy("target_id", "ref_id").collect()):
+        i = r["ref_id"]
+        assert math.isclose(r["n_f_vis"], s["n_f_vis"] * (i * 1500**2 + 1)) and math.isclose(r["n_e_vis"], 2.0 * (i * 1500**2 + 1))
+        assert math.isclose(r["n_f_g"], s["n_f_g"] * (i * 1000 + 1)) and r["n_f_Y"] == s["n_f_Y"]
+    assert correction.projected(pairs, BANDS).columns == pairs.columns
+
+
+def test_uniform_photometry_golden(spark):
+    df = spark.createDataFrame([(1, i, 1.0, 10.0, 0.5) for i in range(2)], "target_id long, ref_id long, weight double, f_A double, e_A double")
+    df = df.withColumn("rest_f_A", F.col("ref_id") + 1.0).withColumn("n_f_A", (F.col("ref_id") + 1.0) * F.when(F.col("ref_id") == 0, 1.0).otherwise(2.0))
+    out = correction.uniform_photometry(df, {"A": ("A", "A")}).first()
+    assert math.isclose(out["A_corr"], 7.5) and out["A_corr_err"] == 0
+    assert math.isclose(correction.uniform_photometry(df, {"A": ("A", "A")}, with_errors=True).first()["A_corr_err"], 0.375)
+
+
+# ---- densities
+
+BINS = [1.0, 2.0, 5.0, 6.0, 8.0, 9.0]
+
+
+def one(spark, p):
+    return spark.createDataFrame([(1, [float(v) for v in p])], "target_id long, pdf array<double>")
+
+
+def test_array_functions_against_numpy(spark):
+    r = np.random.default_rng(0)
+    for _ in range(5):
+        p = r.random(6)
+        df, z = one(spark, p), densities.grid(BINS)
+        x = np.array(BINS)
+        cdf = np.concatenate([[0], np.cumsum(np.diff(x) * (p[1:] + p[:-1]) / 2)])
+        got = df.select(A.trapezoid(F.col("pdf"), z).alias("t"), A.mean(F.col("pdf"), z).alias("m"), A.mode(F.col("pdf"), z).alias("o"), *(A.quantile(F.col("pdf"), z, q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.9, 1.0)))).first()
+        assert math.isclose(got["t"], np.trapezoid(p, x)) and math.isclose(got["m"], (p * x).sum() / p.sum()) and got["o"] == x[p.argmax()]
+        assert np.allclose([got[f"q{i}"] for i in range(4)], np.interp([0.1, 0.5, 0.9, 1.0], cdf / cdf[-1], x))
+    zero = densities.point_estimates(one(spark, [0] * 6), BINS, ["mean", "median"]).first()
+    assert math.isnan(zero["pdf_mean"]) and math.isnan(zero["pdf_median"])
+
+
+def test_smoothing_against_numpy(spark):
+    r = np.random.default_rng(1)
+    for n in (12, 13):
+        x, p = np.arange(n) * 0.5, r.random(n)
+        odd = x[: n - (1 - n % 2)]
+        k = np.exp(-0.5 * ((odd - odd[len(odd) // 2]) / 0.7) ** 2)
+        out = densities.smoothed(one(spark, p), x.tolist(), 0.7, keep_kernel=True).first()
+        assert np.allclose(out["pdf"], np.convolve(p, k, "same") / k.sum()) and np.allclose(out["pdf_kernel"], k)
+        cdf = np.concatenate([[0], np.cumsum(np.diff(x) * (p[1:] + p[:-1]) / 2)])
+        q1, q3 = np.interp([0.25, 0.75], cdf / cdf[-1], x)
+        m = (x * p).sum() / p.sum()
+        want = 0.9 * min(math.sqrt(((x - m) ** 2 * p).sum() / p.sum()), (q3 - q1) / 1.34) * (p.sum() ** 2 / (p**2).sum()) ** -0.2
+        assert math.isclose(densities.smoothed(one(spark, p), x.tolist(), keep_kernel=True).first()["pdf_bandwidth"], want)
+
+
+def test_coadd(spark):
+    """Each object has its density at one bin; the heaviest neighbour's bin is the mode, and the integral is 1."""
+    n, k = 40, 5
+    p = spark.createDataFrame([(i, [float(j == i) for j in range(n)]) for i in range(n)], "ref_id long, p array<double>")
+    pairs = spark.createDataFrame([(t, r + 1, (t + r) % n, 10.0 ** (-2.5 * r)) for t in range(20) for r in range(k)], "target_id long, rank int, ref_id long, weight double")
+    bins = [float(j) for j in range(n)]
+    out = densities.quantiles(densities.point_estimates(densities.coadded(pairs, p, bins), bins, ["mode"]), bins, [0.1, 0.5, 0.9])
+    for r in out.collect():
+        assert r["pdf_mode"] == r["target_id"] and math.isclose(np.trapezoid(r["pdf"], bins), 1.0)
+        assert r["pdf_quantiles"] == sorted(r["pdf_quantiles"])
+    assert out.schema["pdf_quantiles"].metadata["quantiles"] == [0.1, 0.5, 0.9]
+    again = pairs.withColumn("weight", F.col("weight") * 3.7)
+    a, b = (densities.coadded(x, p, bins).orderBy("target_id").collect() for x in (pairs, again))
+    assert np.allclose([r["pdf"] for r in a], [r["pdf"] for r in b])
+
+
+def test_draws_from_a_density(spark):
+    bins = np.linspace(0, 10, 101)
+    p = np.exp(-0.5 * ((bins - 4) / 0.8) ** 2)
+    draws = np.array(densities.samples(one(spark, p), bins.tolist(), 3000, seed=3).first()["pdf_mc"])
+    assert abs(draws.mean() - 4) < 0.06 and abs(draws.std() - 0.8) < 0.05
+
+
+# ---- Monte-Carlo
+
+
+def weighted_samples(spark):
+    """Three objects of 50 samples; target 0 never draws object 2, 1 does mostly, 2 and 3 have no weight."""
+    pairs = spark.createDataFrame([(t, i + 1, i, w) for t, ws in enumerate([(0.1, 0.6, 0.0), (0.3, 0.05, 0.8), (0.0, 0.0, 0.0), (math.nan, 1.0, 1.0)]) for i, w in enumerate(ws)], "target_id long, rank int, ref_id long, weight double")
+    r = random.Random(0)
+    mc = spark.createDataFrame([(i, [(i * 100 + r.random(), r.randint(0, 3)) for _ in range(50)]) for i in range(3)], "ref_id long, s array<struct<p:double,i:int>>")
+    return pairs, mc
+
+
+@pytest.mark.parametrize("seed", [None, 5])
+def test_draws(spark, seed):
+    pairs, mc = weighted_samples(spark)
+    rows = montecarlo.drawn(montecarlo.draws(pairs, 400, 50, seed), mc, ["p", "i"]).collect()
+    by = {t: [r for r in rows if r["target_id"] == t] for t in range(4)}
+    assert all(len(v) == 400 for v in by.values())
+    assert not any(r["p"] >= 200 for r in by[0]) and all(r["p"] == 0 and r["i"] == 0 for t in (2, 3) for r in by[t])
+    for t, ws in ((0, (1 / 7, 6 / 7, 0)), (1, (0.3 / 1.15, 0.05 / 1.15, 0.8 / 1.15))):
+        for i, w in enumerate(ws):
+            share = sum(i * 100 <= r["p"] < i * 100 + 1 for r in by[t]) / 400
+            assert abs(share - w) < (0.01 if seed is None else 0.08)
+    assert len({r["p"] for r in by[1]}) > 90
+
+
+def test_statistics_against_numpy(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, 60), [3.0]])
+    n = r.integers(0, 6, 61)
+    df = spark.createDataFrame([(1, i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, n))], "target_id long, draw int, x double, n int")
+    edges = [-1.0, -0.5, 0.0, 1.0, 3.0]
+    got = [r["density"] for r in montecarlo.pdf_1d(df, "x", edges).orderBy("bin").collect()]
+    assert np.allclose(got, np.histogram(x, edges, density=True)[0])
+    two = montecarlo.pdf_2d(df, "x", "n", edges, [0.0, 2.0, 5.0]).orderBy("bin_x", "bin_y").collect()
+    assert np.allclose([r["density"] for r in two], np.histogram2d(x, n, [edges, [0, 2, 5]], density=True)[0].ravel())
+    counts = {r["value"]: r["n"] for r in montecarlo.count_values(df, "n", [4, 2, 3]).collect()}
+    assert counts == {v: int((n == v).sum()) for v in (2, 3, 4)}
+    for bad, error in (("x", TypeError), ("n", ValueError)):
+        with pytest.raises(error):
+            montecarlo.count_values(df, bad, [1, 3])
+    assert math.isclose(montecarlo.medians(df, "x").first()["median"], np.median(x))
+    low, high = montecarlo.interval(df, "x", 90).select("low", "high").first()
+    assert np.allclose((low, high), np.quantile(x, [0.05, 0.95]))
+    values, times = np.unique(n, return_counts=True)
+    assert montecarlo.modes(df, "n").first()["mode"] == values[times.argmax()]
+    assert math.isclose(montecarlo.modes(df, "x").first()["mode"], montecarlo.half_sample_mode(x))
+    for aggregate, f in ((F.avg, np.mean), (F.max, np.max)):
+        out = {r["slice"]: r["value"] for r in montecarlo.slice_aggregate(df, "x", "n", [0, 2, 5, 9, 11], aggregate).collect()}
+        assert out[3] == -99 and all(math.isclose(out[i], f(x[(n >= a) & (n < b)])) for i, (a, b) in enumerate([(0, 2), (2, 5), (5, 9)]))
+
+
+def test_half_sample_mode():
+    assert montecarlo.half_sample_mode(np.array([1.0])) == 1 and montecarlo.half_sample_mode(np.array([1.0, 2.0, 4.5])) == 2.5
+    assert abs(montecarlo.half_sample_mode(np.concatenate([np.linspace(0, 10, 30), np.linspace(6.0, 6.2, 41)])) - 6.1) < 0.11
+
+
+def test_bins_2d_are_x_major(spark):
+    rows = montecarlo.bin_centres_2d(spark, [0, 2, 4], [0, 1, 2, 3]).orderBy("bin_x", "bin_y").collect()
+    assert [(r["x"], r["y"]) for r in rows] == [(1, 0.5), (1, 1.5), (1, 2.5), (3, 0.5), (3, 1.5), (3, 2.5)]
