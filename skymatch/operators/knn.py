@@ -78,16 +78,20 @@ def by_join(targets: DataFrame, refs: DataFrame, bands: list[str], search: Searc
 def distances(t: np.ndarray, r: np.ndarray, metric: str, scale: np.ndarray | None = None) -> np.ndarray:
     """t[targets, bands, 2], r[objects, bands, 2]: [targets, objects], bands added one by one."""
     out = np.zeros((len(t), len(r)))
+    d, v = np.empty_like(out), np.empty_like(out)
     for b in range(t.shape[1]):
         f, e = r[None, :, b, 0], r[None, :, b, 1]
         if scale is not None:
             f, e = scale * f, scale * e
-        d = f - t[:, None, b, 0]
-        d *= d
+        np.subtract(f, t[:, None, b, 0], out=d)
+        np.multiply(d, d, out=d)
         if metric == "chi2":
-            v = e * e + t[:, None, b, 1] ** 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.where(v == 0, np.where(d == 0, 0.0, np.inf), d / v)
+            np.add(e * e, t[:, None, b, 1] ** 2, out=v)
+            if v.min(initial=1.0) > 0:
+                np.divide(d, v, out=d)
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.where(v == 0, np.where(d == 0, 0.0, np.inf), d / v)
         out += d
     return np.sqrt(out) if metric == "euclidean" else out
 
@@ -95,10 +99,12 @@ def distances(t: np.ndarray, r: np.ndarray, metric: str, scale: np.ndarray | Non
 def best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """[targets, min(k, objects)]: places of the k least, ties by id, in order."""
     k = min(k, d.shape[1])
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(d), k), np.int64)
-    for i, row in enumerate(d <= kth):  # NaN is never among them, as fluxes are finite
-        at = np.flatnonzero(row)
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(d, near, axis=1)
+    out = np.take_along_axis(near, np.lexsort((ids[near], value), axis=1), axis=1)
+    last = value.max(axis=1, keepdims=True)
+    for i in np.flatnonzero((d <= last).sum(axis=1) > k):  # more than k are as near as the last: the smaller ids go first
+        at = np.flatnonzero(d[i] <= last[i])
         out[i] = at[np.lexsort((ids[at], d[i, at]))[:k]]
     return out
 
@@ -119,7 +125,7 @@ def best_of_block(t: np.ndarray, r: np.ndarray, ids: np.ndarray, search: Search)
 def _search_batch(targets: list, objects: tuple[np.ndarray, np.ndarray], bands: list[str], search: Search) -> pa.RecordBatch:
     ids, r = objects
     tid, t = targets
-    step = max(1, min(len(tid) or 1, 4_000_000 // max(1, len(ids))))
+    step = max(1, min(len(tid) or 1, 200_000 // max(1, len(ids))))  # a block stays in the cache
     parts = [best_of_block(t[i : i + step], r, ids, search) for i in range(0, len(tid), step)] if len(ids) else []
     if not parts:
         found = [np.empty((0, 1))] * 3
