@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed by the contracts: what separates words, as a class of a regular expression.
 SPACE = r"\x20\x09-\x0D"
+#: Folders of scratch tables that release() deletes.
+SCRATCH: list[str] = []
 
 
 def words(text: Column) -> Column:
@@ -38,7 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/skymatch-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{base.rstrip('/')}/skymatch-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -68,3 +71,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     found = docs.where(F.length(text) <= max_chars).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
     seen = {r["_id"]: (r["_text"], r["_y"]) for r in found.limit(2 * rows).collect()}
     return [seen[i] for i in sorted(seen)]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this process has made; results that still read them must be written before. Returns how many there were."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        n += path.getFileSystem(hadoop).delete(path, True)
+    return n

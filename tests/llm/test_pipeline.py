@@ -70,3 +70,14 @@ def test_edges(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, sf))
         docs.count()
+
+
+def test_scratch_tables_are_released(spark):
+    from skymatch.llm import common
+
+    df = common.stored(spark.range(5))
+    path = common.SCRATCH[-1]
+    assert df.count() == 5 and common.release(spark) >= 1 and not common.SCRATCH
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
