@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weight: Column, weights: tuple[float, ...] = (5, 2, 1),
     slim = stored(slim)
     n = slim.count()  # from the footers
     ranges = max(256, n // rows_a_range)
-    slim = slim.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)))
+    slim = slim.withColumn("_range", F.least(F.floor(F.col("_key") / (1 + F.col("_key")) * ranges), F.lit(ranges - 1)))
     parts = slim.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
     goal = targets(parts.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, most)
     up_to = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
