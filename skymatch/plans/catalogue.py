@@ -430,6 +430,68 @@ def reorder_to_ids(spark, sf):
     return rounded(catalog.in_order(r, ids).select("ref_id", "f_b0"), "f_b0")
 
 
+@query(f"{O.BASE} SELECT ref_id, " + ", ".join(O.r(f"{x}_{b}", f"{x}_{b}") for b in BANDS[:2] for x in ("f", "e")) + f", {O.r('ebv_b0', 'ebv_b0')}, {O.r('c0', 'c0_b1')}, {O.r('c1', 'c1_b1')}, 0e0 AS c1_b0 FROM refs")
+def reference_photometry(spark, sf):
+    r = V.corrected_refs(spark, sf)
+    table = r.select(F.col("ref_id").alias("ID"), F.col("f_b0").alias("b0"), F.col("e_b0").alias("b0_ERR"), F.col("ebv_b0").alias("b0_EBV_CORR"), F.col("f_b1").alias("b1"), F.col("e_b1").alias("b1_ERR"), F.array("c0_b1", "c1_b1").alias("b1_SHIFT_CORR"))
+    cols = ["f_b0", "e_b0", "f_b1", "e_b1", "ebv_b0", "c0_b1", "c1_b1", "c1_b0"]
+    return rounded(catalog.reference_photometry(table), *cols).select("ref_id", *cols)
+
+
+@query(f"{O.BASE} SELECT ref_id FROM refs WHERE ref_id NOT IN (SELECT ref_id FROM refs WHERE ref_id % 3 = 0)")
+def index_difference(spark, sf):
+    r = V.refs(spark, sf).select("ref_id")
+    return r.join(r.where("ref_id % 3 = 0"), "ref_id", "left_anti")
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base}/skymatch-{uuid.uuid4().hex}"
+
+
+@query(
+    f"{O.BASE} SELECT ref_id, CAST(1 AS FLOAT) AS weight, CASE WHEN ref_id % 2 = 0 THEN {len(BINS)} END AS n_bins, round(CASE WHEN ref_id % 2 = 0 THEN exp(-5e-1 * pow((0e0 - z) / 7e-1, 2e0)) END, 6) + 0e0 AS p_at_0, "
+    f"CASE WHEN ref_id % 3 = 0 THEN {SAMPLES} END AS n_samples, round(CASE WHEN ref_id % 3 = 0 THEN z + CAST((ref_id * 7 + 13) % 41 - 20 AS DOUBLE) / 1e1 END, 6) + 0e0 AS p1_of_1 FROM refs WHERE ref_id % 2 = 0 OR ref_id % 3 = 0"
+)
+def reference_sample(spark, sf):
+    """A sample that is written in parts, opened again, and read with all its providers side by side."""
+    s = sample.ReferenceSample.create(spark, _folder(spark), {"pdz": "pdz", "pp": "mc"})
+    p = V.densities(spark, sf)
+    s.add_data("pdz", p.where("ref_id % 4 = 0"), BINS)
+    s.add_data("pdz", p.where("ref_id % 4 = 2"))
+    s.add_data("pp", V.samples(spark, sf).where("ref_id % 3 = 0"))
+    s.check()
+    rows = sample.ReferenceSample.open(spark, s.path).joined()
+    out = rows.select("ref_id", "weight", F.when(F.col("pdz").isNotNull(), F.size("pdz.p")).alias("n_bins"), F.get("pdz.p", F.lit(8)).alias("p_at_0"), F.when(F.col("pp").isNotNull(), F.size("pp.s")).alias("n_samples"), F.get("pp.s", F.lit(1))["p1"].alias("p1_of_1"))
+    return rounded(out, "p_at_0", "p1_of_1")
+
+
+@query(f"{O.BASE} SELECT ref_id, g.n AS sample_no, {O.r('z + CAST((ref_id * 7 + g.n * 13) % 41 - 20 AS DOUBLE) / 1e1', 'p1')}, CAST((ref_id + g.n * 5) % 8 AS INT) AS i1 FROM refs CROSS JOIN range(0, {SAMPLES}) g(n)")
+def complete_sample(spark, sf):
+    """Posterior samples in long form, gathered by object."""
+    long = V.samples(spark, sf).select("ref_id", F.posexplode("s").alias("sample_no", "x")).select("ref_id", "sample_no", "x.p1", "x.i1")
+    rows = sample.complete(long.repartition("sample_no"), ["p1", "i1"]).select("ref_id", F.posexplode("s").alias("sample_no", "x"))
+    return rounded(rows.select("ref_id", F.col("sample_no").cast("long").alias("sample_no"), "x.p1", "x.i1"), "p1")
+
+
+@query(f"{O.WEIGHTS} SELECT target_id, ref_id, {O.r('weight', 'weight')}, flags FROM w")
+def neighbor_catalog(spark, sf):
+    """Neighbours stored between the stages, each stage reading what the one before wrote."""
+    folder = _folder(spark)
+    _found(spark, sf, Search(K)).write.parquet(f"{folder}/found")
+    pairs = knn.with_photometry(spark.read.parquet(f"{folder}/found"), V.targets(spark, sf), V.refs(spark, sf), BANDS)
+    pairs.write.parquet(f"{folder}/corrected")
+    out = weights.weighted(spark.read.parquet(f"{folder}/corrected"), BANDS, "likelihood")
+    return rounded(out, "weight").select("target_id", "ref_id", "weight", "flags")
+
+
+@query(f"{O.TARGETS.replace('targets AS', 'WITH RECURSIVE all_ AS', 1)}, targets AS (SELECT * REPLACE (CASE WHEN target_id % 2 = 0 THEN CAST('inf' AS DOUBLE) ELSE e_b0 END AS e_b0) FROM all_), {O.REFS}, {O.knn()} {O.LONG}")
+def knn_missing_band(spark, sf):
+    """Targets of which half lack a band."""
+    t = V.targets(spark, sf).withColumn("e_b0", F.when(F.col("target_id") % 2 == 0, F.lit(float("inf"))).otherwise(F.col("e_b0")))
+    return _long(knn.neighbors(t, V.refs(spark, sf), BANDS, Search(K), "blocks"))
+
+
 # ---- whole runs
 
 

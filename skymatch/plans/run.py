@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import MissingData
@@ -171,6 +171,12 @@ def run(i: Inputs, c: Config, plan: str = "auto") -> DataFrame:
     return output(weigh(correct(find(i, c, plan), i, c), i, c), i, c)
 
 
+def observed(out: DataFrame) -> tuple[DataFrame, Observation]:
+    """out, and what counts its rows (`targets`) while they are written, from which sources a second follow."""
+    o = Observation()
+    return out.observe(o, F.count(F.lit(1)).alias("targets")), o
+
+
 def write(out: DataFrame, extensions: dict[str, DataFrame], path: str) -> None:
     """The catalogue and, beside it, its side tables."""
     out.write.mode("overwrite").parquet(f"{path}/catalog")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateId, InvalidAxis, MissingData, WrongFormat
+from .fits import read_fits
 
 #: Microjansky in a unit of flux density.
 UNITS = {"uJy": 1.0, "mJy": 1e3, "Jy": 1e6, "nJy": 1e-3, "erg/s/cm2/Hz": 1e29, "ABmag-zero": 3.6307805477010137e9}
@@ -52,6 +53,8 @@ def cleaned(f: Column, e: Column, missing: tuple[float, ...] = (), factor: float
 def read(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     if format == "csv":
         return spark.read.options(header=True, inferSchema=True).csv(path)
+    if format == "fits":
+        return read_fits(spark, path)
     if format in ("parquet", "orc", "json"):
         return spark.read.format(format).load(path)
     raise WrongFormat(f"{format} can't be read")

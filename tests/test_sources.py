@@ -175,7 +175,9 @@ def test_full_run(spark, sf, tmp_path):
     assert abs(np.sum(np.array(r["mc_pdf_1d_p1"]) * np.diff(catalogue._E1)) - 1) < 1e-9 and r["phz_pp_68_p1"][0] <= r["phz_pp_median_p1"] <= r["phz_pp_68_p1"][1]
     c = Config.parse(catalogue.CONFIG)
     i = run.Inputs(views.coloured_targets(spark, sf), views.corrected_refs(spark, sf), views.COEFFICIENTS, views.densities(spark, sf), views.BINS, {"pp": views.samples(spark, sf)})
-    run.write(out, run.extension_tables(i, c), f"{tmp_path}/out")
+    counted, o = run.observed(out)
+    run.write(counted, run.extension_tables(i, c), f"{tmp_path}/out")
+    assert o.get["targets"] == n
     assert spark.read.parquet(f"{tmp_path}/out/catalog").count() == n and spark.read.parquet(f"{tmp_path}/out/bins_pdf").count() == len(views.BINS)
     back = run.ids_to_neighbors(spark.read.parquet(f"{tmp_path}/out/catalog"), i.refs)
     assert back.count() == 10 * n
