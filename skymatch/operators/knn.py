@@ -187,8 +187,10 @@ def by_blocks(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
     return ranked(bests.drop("rank"), search.k).select("target_id", "rank", "ref_id", "distance", "scale")
 
 
-def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search, plan: str = "auto") -> DataFrame:
-    """target_id, rank (from 1), ref_id, distance, scale. Fewer than k objects give fewer neighbours."""
+def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search, plan: str = "auto", partitions: int | None = None) -> DataFrame:
+    """target_id, rank (from 1), ref_id, distance, scale. Fewer than k objects give fewer neighbours. partitions: deals targets anew first, as a few small files give few tasks."""
+    if partitions:
+        targets = targets.repartition(partitions, "target_id")
     if plan == "auto":
         fitted = search.prior is not None and not search.prior.fixed
         plan = "blocks" if fitted or targets.count() * refs.count() >= MANY_PAIRS else "join"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from ..operators import correction, densities, knn, montecarlo, weights
 from ..operators.knn import Search
 from ..operators.scaling import Prior
 from ..sources import catalog, sample
+from ..sources.scratch import folder
 from ..streaming.neighbors import stream_neighbors
 from . import oracle as O
 from . import run as R
@@ -139,7 +138,7 @@ _BULK = ["b0", "b1", "b2", "b3"]
 )
 def knn_bulk(spark, sf):
     t, r = _bulk(spark, sf)
-    return rounded(knn.neighbors(t.repartition(spark.sparkContext.defaultParallelism * 2), r, _BULK, Search(5), "blocks"), "distance")
+    return rounded(knn.neighbors(t, r, _BULK, Search(5), "blocks", 2 * spark.sparkContext.defaultParallelism), "distance")
 
 
 @query(_KNN["knn_chi2"][1])
@@ -147,11 +146,10 @@ def stream_knn(spark, sf):
     """Targets of a stream, run to its end."""
     t = V.table(spark, sf, "embeddings")
     stream = V.photometry(spark.readStream.schema(t.schema).parquet(f"{sf}/embeddings*.parquet").where("vec_id % 5 = 0"), "target_id")
-    name = f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    q = stream_neighbors(stream, V.refs(spark, sf), BANDS, Search(K)).writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start()
+    path = folder(spark)
+    q = stream_neighbors(stream, V.refs(spark, sf), BANDS, Search(K)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return _long(spark.read.schema(knn.RESULT).parquet(f"{base}/{name}/out"))
+    return _long(spark.read.schema(knn.RESULT).parquet(f"{path}/out"))
 
 
 def _pairs(spark: SparkSession, sf: str, targets=V.targets, refs=V.refs) -> DataFrame:
@@ -444,18 +442,13 @@ def index_difference(spark, sf):
     return r.join(r.where("ref_id % 3 = 0"), "ref_id", "left_anti")
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/skymatch-{uuid.uuid4().hex}"
-
-
 @query(
     f"{O.BASE} SELECT ref_id, CAST(1 AS FLOAT) AS weight, CASE WHEN ref_id % 2 = 0 THEN {len(BINS)} END AS n_bins, round(CASE WHEN ref_id % 2 = 0 THEN exp(-5e-1 * pow((0e0 - z) / 7e-1, 2e0)) END, 6) + 0e0 AS p_at_0, "
     f"CASE WHEN ref_id % 3 = 0 THEN {SAMPLES} END AS n_samples, round(CASE WHEN ref_id % 3 = 0 THEN z + CAST((ref_id * 7 + 13) % 41 - 20 AS DOUBLE) / 1e1 END, 6) + 0e0 AS p1_of_1 FROM refs WHERE ref_id % 2 = 0 OR ref_id % 3 = 0"
 )
 def reference_sample(spark, sf):
     """A sample that is written in parts, opened again, and read with all its providers side by side."""
-    s = sample.ReferenceSample.create(spark, _folder(spark), {"pdz": "pdz", "pp": "mc"})
+    s = sample.ReferenceSample.create(spark, folder(spark), {"pdz": "pdz", "pp": "mc"})
     p = V.densities(spark, sf)
     s.add_data("pdz", p.where("ref_id % 4 = 0"), BINS)
     s.add_data("pdz", p.where("ref_id % 4 = 2"))
@@ -477,11 +470,11 @@ def complete_sample(spark, sf):
 @query(f"{O.WEIGHTS} SELECT target_id, ref_id, {O.r('weight', 'weight')}, flags FROM w")
 def neighbor_catalog(spark, sf):
     """Neighbours stored between the stages, each stage reading what the one before wrote."""
-    folder = _folder(spark)
-    _found(spark, sf, Search(K)).write.parquet(f"{folder}/found")
-    pairs = knn.with_photometry(spark.read.parquet(f"{folder}/found"), V.targets(spark, sf), V.refs(spark, sf), BANDS)
-    pairs.write.parquet(f"{folder}/corrected")
-    out = weights.weighted(spark.read.parquet(f"{folder}/corrected"), BANDS, "likelihood")
+    path = folder(spark)
+    _found(spark, sf, Search(K)).write.parquet(f"{path}/found")
+    pairs = knn.with_photometry(spark.read.parquet(f"{path}/found"), V.targets(spark, sf), V.refs(spark, sf), BANDS)
+    pairs.write.parquet(f"{path}/corrected")
+    out = weights.weighted(spark.read.parquet(f"{path}/corrected"), BANDS, "likelihood")
     return rounded(out, "weight").select("target_id", "ref_id", "weight", "flags")
 
 
