@@ -147,7 +147,10 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
     toxic_text = np.array([y for _, y in sample], dtype=float)
     lengths = np.array([len(w) for w in words])
     names: dict[str, int] = {}
-    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], dtype=np.int32)
+    table = np.empty((len(vocabulary), len(features(""))), dtype=np.int32)
+    for n, w in enumerate(vocabulary):
+        table[n] = [names.setdefault(f, len(names)) for f in features(w)]
+    vocabulary.clear()
     distinct = [np.unique(w) for w in words]
     by_text = [np.unique(table[w, :-1]) for w in distinct]
     marked = toxic_features(by_text, toxic_text, len(names))[table[:, :-1]].any(axis=1)
@@ -175,8 +178,9 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
         # expected moves: forward state, move, emission, backward state, normalised for each pair of neighbours
         x = np.exp(np.clip(e[at], -40, 40)) * back[at]
         m = np.exp(moves)
-        joint = np.stack([np.full(len(at), m[0, 0]), m[0, 1] * x, ahead[at - 1] * m[1, 0], ahead[at - 1] * m[1, 1] * x])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        r = ahead[at - 1]
+        z = 1 / (m[0, 0] + m[0, 1] * x + r * (m[1, 0] + m[1, 1] * x))
+        expected = m * np.array([[z.sum(), (x * z).sum()], [(r * z).sum(), (r * x * z).sum()]])
         grad_m, grad_b = observed - expected, error.sum()
         seen_w += grad**2
         seen_b += grad_b**2
@@ -187,7 +191,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
         moves += rate * grad_m / np.sqrt(seen_m)
         moves -= moves[0, 0]  # ratios alone count
     p = marginals((weights[table].sum(axis=1) + bias)[ids], lengths, moves)[0]
-    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i]}, float(bias), moves, calibrate(summary(p, lengths), toxic_text))
+    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i] and weights[known[i]]}, float(bias), moves, calibrate(summary(p, lengths), toxic_text))
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
