@@ -81,3 +81,13 @@ def release(spark: SparkSession) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
         n += path.getFileSystem(hadoop).delete(path, True)
     return n
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can meet one that an operator makes."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def unboxed(columns: list[str], **made: Column) -> list[Column]:
+    """The columns out of the struct, those in `made` replaced or added."""
+    return [*(F.col("_row").getField(c).alias(c) for c in columns if c not in made), *(v.alias(k) for k, v in made.items())]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, stored
+from .common import SPACE, bind, boxed, stored, unboxed
 
 
 def line_hashes(text: Column) -> Column:
@@ -40,19 +40,20 @@ def spread(lines: DataFrame, min_sites: int, log_k: int = 10, margin: float = 0.
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 3, key: str = "doc_id", site: str = "source", text: str = "text", log_k: int = 10) -> DataFrame:
-    """docs with text cleaned, and n_lines, n_removed (lines with a word before, and removed)."""
-    rows = docs.withColumn("_version", F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")))
-    lines = rows.select(F.col(key).alias("key"), F.col("_version").alias("version"), F.col(site).alias("site"), F.explode(line_hashes(F.col(text))).alias("x"))
+    """docs with text cleaned, and n_lines, n_removed (lines with a word before, and removed), which replace columns of these names."""
+    body = F.col("_row").getField(text)
+    rows = docs.select(boxed(docs)).select("_row", F.col("_row").getField(key).alias("_id"), F.coalesce(F.xxhash64(body), F.lit(0).cast("long")).alias("_version"))
+    lines = rows.select(F.col("_id").alias("key"), F.col("_version").alias("version"), F.col("_row").getField(site).alias("site"), F.explode(line_hashes(body)).alias("x"))
     lines = lines.select("key", "version", "site", "x.*")
     common = stored(spread(lines, min_sites, log_k))
     hits = lines.select("key", "version", "pos", "a", "b").join(common, ["a", "b"])
     hits = hits.where(~F.struct("key", "version", "pos").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("key").alias("_key"), F.col("version").alias("_v")).agg(F.collect_set("pos").alias("_gone"))
     # the texts stream past a hash table of a partition's positions, without a sort of whole texts
-    joined = rows.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
-    kept = bind(F.split(text, "\n"), lambda x: F.filter(x, lambda _, i: ~F.array_contains("_gone", i)))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    out = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long")).withColumn(text, clean)
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
+    kept = bind(F.split(body, "\n"), lambda x: F.filter(x, lambda _, i: ~F.array_contains("_gone", i)))
+    clean = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(body.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))))
+    n_removed = F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0))
+    out = joined.select(*unboxed(docs.columns, **{text: clean, "n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")}))
+    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, n_words, stored
+from .common import SPACE, boxed, n_words, stored, unboxed
 
 LEAST_WEIGHT = 1e-6
 
@@ -81,7 +81,8 @@ def mixed(docs: DataFrame, weight: Column, key: str = "doc_id", source: str = "s
     plan = mix(docs, weight, key=key, source=source, text=text, **how)
     # rows that repeat are one here, with all their copies
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), F.col("source").alias("_s")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")) & F.col(source).eqNullSafe(F.col("_s"))
-    rows = docs.withColumn("_version", F.xxhash64(F.col(text))).join(plan, same)
+    of = F.col("_row").getField
+    same = of(key).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")) & of(source).eqNullSafe(F.col("_s"))
+    rows = docs.select(boxed(docs)).withColumn("_version", F.xxhash64(of(text))).join(plan, same)
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_v", "_s").orderBy(F.lit(1)))).where("_rank = 1")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unboxed(docs.columns))

@@ -17,16 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, words
+from .common import boxed, labelled_sample, unboxed, words
 from .quality_rules import measures
 
 FEATURES = ("log_words", "word_length", "symbols", "exclaims", "stop_words", "alphabetic", "upper", "stutter", "repeats", "distinct_words", "dup_lines", "words_a_line")
 
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a double column `_f_<name>` for each of FEATURES."""
-    rows = docs.withColumn("_ws", words(F.col(text)))
-    m = measures(F.col(text))
+    """The rows of docs as a struct _row, and a double column `_f_<name>` for each of FEATURES."""
+    body = F.col("_row").getField(text)
+    rows = docs.select(boxed(docs)).withColumn("_ws", words(body))
+    m = measures(body)
     per_word = lambda c: F.coalesce(F.try_divide(m[c].cast("double"), m["n_words"].cast("double")), F.lit(0.0))
     per_char = lambda c: F.coalesce(F.try_divide(m[c].cast("double"), m["word_chars"].cast("double")), F.lit(0.0))
     made: dict[str, Column] = {
@@ -43,7 +44,7 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "dup_lines": F.coalesce(F.try_divide(m["n_dup_lines"].cast("double"), m["n_lines"].cast("double")), F.lit(0.0)),
         "words_a_line": F.log1p(F.coalesce(F.try_divide(m["n_words"].cast("double"), m["n_lines"].cast("double")), F.lit(0.0))),
     }
-    return rows.select(*docs.columns, *(made[f].alias(f"_f_{f}") for f in FEATURES))
+    return rows.select("_row", *(made[f].alias(f"_f_{f}") for f in FEATURES))
 
 
 @dataclass
@@ -148,13 +149,13 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds:
 
 
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with score, learnt from labels.quality of at most train_rows documents that aren't held out."""
+    """docs with score (in place of a column of that name), learnt from labels.quality of at most train_rows documents that aren't held out."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "quality", train_rows, key=key, text=text)
     names = [f"_f_{f}" for f in FEATURES]
     if sample:
         rows = spark.createDataFrame(sample, "text string, y int").repartition(spark.sparkContext.defaultParallelism)
-        learnt = text_features(rows).select("y", *names).toPandas()  # at most train_rows
+        learnt = text_features(rows).select("_row.y", *names).toPandas()  # at most train_rows
         learnt = learnt.sort_values(list(learnt.columns))
         gam = train(learnt[names].to_numpy(float), learnt["y"].to_numpy(float))
     else:
@@ -164,4 +165,4 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, key: str
     def score(*features: pd.Series) -> pd.Series:
         return pd.Series(gam.score(np.column_stack([f.to_numpy(float) for f in features])))
 
-    return text_features(docs, text).withColumn("score", score(*names)).drop(*names)
+    return text_features(docs, text).withColumn("_score", score(*names)).select(*unboxed(docs.columns, score=F.col("_score")))

@@ -16,7 +16,7 @@ EDGES = [(1, None), (2, ""), (3, " \n "), (4, "idiot"), (5, "x" * 30_000), (5, "
 
 
 def frame(spark, rows=EDGES):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("spans", F.lit(1))
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "spans", "_ws", "_row", "_score", "toxicity", "y")})
 
 
 # ---- personal data
@@ -203,7 +203,7 @@ def test_quality(spark, sf):
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     rows = quality_gam.scored(docs, labels).join(labels, "doc_id").where(held_out(F.col("doc_id"))).collect()
     assert sum(x["quality"] == (x["score"] >= 0.3) for x in rows) >= 0.95 * len(rows)
-    edges = quality_gam.scored(spark.createDataFrame(EDGES, "doc_id long, text string").withColumn("spans", F.lit(1)), labels)
+    edges = quality_gam.scored(frame(spark), labels)
     assert edges.count() == len(EDGES) and all(0 <= x["score"] <= 1 for x in edges.collect())
     assert quality_gam.scored(docs.limit(0), labels).count() == 0
     assert {x["score"] for x in quality_gam.scored(docs, labels.limit(0)).collect()} == {0.5}

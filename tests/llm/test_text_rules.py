@@ -18,7 +18,7 @@ EDGES = [
 
 
 def frame(spark, rows=EDGES):
-    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_n", F.lit(1)).withColumn("kept", F.lit("clash"))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("_n", "kept", "_version", "_key", "_id", "_rank", "_row", "size", "key", "pos", "n_lines", "_copies")})
 
 
 def brute_measures(text):
@@ -91,7 +91,8 @@ def test_lines(spark, least):
 
 def test_lines_of_edges(spark):
     out = line_dedup.dedup_lines(frame(spark))
-    assert out.count() == len(EDGES) and out.columns[:5] == ["doc_id", "text", "source", "_n", "kept"]
+    assert out.count() == len(EDGES) and out.columns[:5] == ["doc_id", "text", "source", "_n", "kept"] and out.columns[-2:] == ["n_lines", "n_removed"]
+    assert {r["_version"] for r in out.collect()} == {"clash"}
     assert line_dedup.dedup_lines(frame(spark).limit(0)).count() == 0
 
 
