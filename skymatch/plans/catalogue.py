@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
 from ..operators import correction, densities, knn, montecarlo, weights
 from ..operators.knn import Search
 from ..operators.scaling import Prior

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ..errors import AlreadySet, CorruptedFile, DuplicateId, InvalidDimensions, MissingData, Uninitialized, WrongFormat
+from ..errors import AlreadySet, CorruptedFile, DuplicateId, InvalidDimensions, Uninitialized, WrongFormat
 from .catalog import checked_ids
 
 KINDS = ("pdz", "sed", "mc")
