@@ -12,7 +12,6 @@ pass through. Without labels of both classes every score is 0.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from dataclasses import dataclass
