@@ -140,6 +140,19 @@ def knn_bulk(spark, sf):
     return rounded(knn.neighbors(t, r, _BULK, Search(5), "blocks", 2 * spark.sparkContext.defaultParallelism), "distance")
 
 
+@query(
+    "WITH g AS (SELECT l_orderkey AS id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 1e6 AS f_b0, sum(CAST(round(l_quantity) AS BIGINT)) / 1e1 AS f_b1, CAST(count(*) AS DOUBLE) AS f_b2, sum(l_partkey % 97) / 1e1 AS f_b3 FROM lineitem GROUP BY l_orderkey), "
+    "p AS (SELECT *, " + ", ".join(f"1e-1 + 5e-2 * abs(f_{b}) AS e_{b}" for b in _BULK) + " FROM g), "
+    "k AS (SELECT t.id AS target_id, r.id AS ref_id, " + " + ".join(f"(r.f_{b} - t.f_{b}) * (r.f_{b} - t.f_{b}) / (r.e_{b} * r.e_{b} + t.e_{b} * t.e_{b})" for b in _BULK) + " AS d FROM p t CROSS JOIN p r WHERE t.id % 50 = 0) "
+    "SELECT target_id, CAST(rank AS INT) AS rank, ref_id, round(d, 6) + 0e0 AS distance, 1e0 AS scale FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, ref_id) AS rank FROM k) WHERE rank <= 5"
+)
+def knn_bulk_all(spark, sf):
+    """Against all orders; targets are those whose id is divisible by 50."""
+    rows = V.bulk_photometry(spark, sf)
+    t, r = rows.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "target_id"), rows.withColumnRenamed("l_orderkey", "ref_id")
+    return rounded(knn.neighbors(t, r, _BULK, Search(5), "blocks", 2 * spark.sparkContext.defaultParallelism), "distance")
+
+
 @query(_KNN["knn_chi2"][1])
 def stream_knn(spark, sf):
     """Targets of a stream, run to its end."""

@@ -12,6 +12,7 @@ from skymatch.functions import photometry as P
 from skymatch.operators import correction, densities, knn, montecarlo, weights
 from skymatch.operators.knn import Search
 from skymatch.operators.scaling import Prior, best_scales
+from skymatch.plans import catalogue
 
 XYZ = ["x", "y", "z"]
 
@@ -340,3 +341,23 @@ def test_half_sample_mode():
 def test_bins_2d_are_x_major(spark):
     rows = montecarlo.bin_centres_2d(spark, [0, 2, 4], [0, 1, 2, 3]).orderBy("bin_x", "bin_y").collect()
     assert [(r["x"], r["y"]) for r in rows] == [(1, 0.5), (1, 1.5), (1, 2.5), (3, 0.5), (3, 1.5), (3, 2.5)]
+
+
+def test_bulk_search_sees_all_orders(spark, tmp_path):
+    """The orders nearest to a target come whatever their ids are."""
+    r = np.random.default_rng(4)
+    lines = [(int(o), int(r.integers(1, 2000)), float(r.integers(1, 50)), float(r.integers(100, 9_000_000)) / 100) for o in range(1, 121) for _ in range(r.integers(1, 7))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sums = {}
+    for o, part, quantity, price in lines:
+        a = sums.setdefault(o, [0, 0, 0, 0])
+        for i, x in enumerate((round(price * 100), round(quantity), 1, part % 97)):
+            a[i] += x
+    flux = {o: (a / 1e6, b / 10, float(c), d / 10) for o, (a, b, c, d) in sums.items()}
+
+    def distance(t, o):
+        return sum((x - y) ** 2 / ((0.1 + 0.05 * abs(x)) ** 2 + (0.1 + 0.05 * abs(y)) ** 2) for x, y in zip(flux[t], flux[o]))
+
+    want = {(t, i): o for t in (50, 100) for i, o in enumerate(sorted(flux, key=lambda o: (distance(t, o), o))[:5], 1)}
+    got = {(x["target_id"], x["rank"]): x["ref_id"] for x in catalogue.QUERIES["knn_bulk_all"](spark, str(tmp_path)).collect()}
+    assert got == want and any(o % 20 for o in got.values())
