@@ -144,6 +144,18 @@ def test_windows_take_linear_time():
         assert sum(b - a for a, b in pii.all_windows(text)) <= 8 * len(text) + pii.WINDOW
 
 
+def test_mentions_look_like_their_kind():
+    r = random.Random(3)
+    for kind in pii.KINDS:
+        for _ in range(3000):
+            m = pii.mention(kind, r)
+            assert pii.plausible(m, 0, len(m), kind), (kind, m)
+    for m in ("name ( at ) host.de", "name {at} host.de", "name [ at ] host [ dot ] de", "name {at} host {dot} de"):
+        assert pii.plausible(m, 0, len(m), "email"), m
+    for m in ("0012 (345) 678-9012", "00(345) 678-9012"):
+        assert pii.plausible(m, 0, len(m), "phone"), m
+
+
 @pytest.fixture(scope="module")
 def tagger():
     r = random.Random(9)
