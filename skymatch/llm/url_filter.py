@@ -1,7 +1,8 @@
 """URL filters: listed rules first, then a tree of path templates for each host.
 
 A url's path is cut into segments and digit runs become `#`. Within a host the tree is walked from the root: a segment that holds too small
-a share of its parent's pages is variable and becomes `*`; others stay. Sibling branches under a parent whose labelled shares of bad pages
+a share of its parent's pages is variable and becomes `*`, unless its labelled pages are enough and differ significantly from its siblings'; others stay.
+The tree goes as deep as the paths. Sibling branches under a parent whose labelled shares of bad pages
 don't differ significantly are merged, and a template is rejected if its smoothed share of bad labelled pages reaches a threshold.
 The tree works on counts by (host, shape), which a partial aggregation makes before any shuffle, so a hot host costs no more than its shapes.
 
@@ -27,7 +28,7 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Templates:
-    """depth: levels of the tree, deeper segments join its last one. literal_share: least share of the parent's pages that keeps a segment.
+    """depth: levels that the SQL of the query writes out; branches deeper than these that have few labels are judged with all below the same depth - 1 segments. own_labelled: labelled pages from which a branch can be told from its siblings. literal_share: least share of the parent's pages that keeps a segment.
     merge_z: branches closer than this many standard errors merge. prior_pages: weight of the prior, the share of bad pages in all. reject: least smoothed share to reject."""
 
     depth: int = 4
@@ -36,6 +37,7 @@ class Templates:
     merge_z: float = 1.96
     prior_pages: float = 20.0
     reject: float = 0.5
+    own_labelled: int = 10
 
 
 def host(url: Column) -> Column:
@@ -63,22 +65,44 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
+def differs(n: Column, k: Column, all_n: Column, all_k: Column, how: Templates) -> Column:
+    """Whether k bad of n labelled pages differ significantly from the rest of all."""
+    n, k, all_n, all_k = (c.cast("double") for c in (n, k, all_n, all_k))
+    rest_n, pooled = all_n - n, F.when(all_n > 0, all_k / F.when(all_n > 0, all_n)).otherwise(0.0)
+    error = F.sqrt(pooled * (1 - pooled) * (F.when(n > 0, 1 / F.when(n > 0, n)).otherwise(0.0) + F.when(rest_n > 0, 1 / F.when(rest_n > 0, rest_n)).otherwise(0.0)))
+    apart = (n > 0) & (rest_n > 0) & (F.abs(k / F.when(n > 0, n) - (all_k - k) / F.when(rest_n > 0, rest_n)) > how.merge_z * error)
+    return F.coalesce(apart, F.lit(False))
+
+
 def template_tree(shapes: DataFrame, how: Templates) -> DataFrame:
-    """shapes: host, shape, pages, labelled, bad. Adds template."""
-    parts = F.split(F.regexp_replace("shape", "^/", ""), "/", how.depth)
-    tree = shapes.withColumn("_parts", parts).withColumn("template", F.lit(""))
-    for level in range(how.depth):
-        seg = F.when(F.size("_parts") > level, F.element_at("_parts", level + 1))
-        tree = tree.withColumn("_seg", F.coalesce(seg, F.lit("")))
-        child = tree.groupBy("host", "template", "_seg").agg(F.sum("pages").alias("_n"))
-        parent = child.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("_n").alias("_all"))
+    """shapes: host, shape, pages, labelled, bad. Adds template. A level is a few jobs; a branch of one shape is finished at once, so long lone paths add none."""
+    size = F.size("_parts")
+    tree = shapes.withColumn("_parts", F.split(F.regexp_replace("shape", "^/", ""), "/", -1)).withColumn("template", F.lit(""))
+    done, level = [], 0
+    while True:
+        tree = tree.withColumn("_seg", F.when(size > level, F.get("_parts", F.lit(level))).otherwise(F.lit("")))
+        child = tree.groupBy("host", "template", "_seg").agg(F.sum("pages").alias("_n"), F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"), F.count("*").alias("_shapes"))
+        parent = child.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("_n").alias("_all"), F.sum("_l").alias("_all_l"), F.sum("_b").alias("_all_b"), F.sum("_shapes").alias("_all_shapes"))
         child = child.join(parent, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
-        literal = (F.col("_n") >= how.literal_pages) & (F.col("_n") >= how.literal_share * F.col("_all"))
-        child = child.select("host", "template", "_seg", F.when(literal, F.col("_seg")).otherwise(F.lit("*")).alias("_step"))
+        frequent = (F.col("_n") >= how.literal_pages) & (F.col("_n") >= how.literal_share * F.col("_all"))
+        own = (F.col("_l") >= how.own_labelled) & differs(F.col("_l"), F.col("_b"), F.col("_all_l"), F.col("_all_b"), how)
+        child = child.select("host", "template", "_seg", F.when(frequent | own, F.col("_seg")).otherwise(F.lit("*")).alias("_step"), (F.col("_all_shapes") == 1).alias("_alone"))
+        rest = F.transform(F.slice("_parts", level + 1, F.greatest(size - level, F.lit(0))), lambda x: F.when(F.col("pages") >= how.literal_pages, x).otherwise(F.lit("*")))
+        longer = F.when(F.col("_alone"), F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.concat("template", F.lit("/"), "_step"))
         tree = tree.join(child, ["host", "template", "_seg"])
-        beyond = F.size("_parts") <= level
-        tree = stored(tree.withColumn("template", F.when(beyond, F.col("template")).otherwise(F.concat("template", F.lit("/"), "_step"))).drop("_step", "_seg"))
-    return tree.drop("_parts")
+        tree = stored(tree.withColumn("template", F.when(size <= level, F.col("template")).otherwise(longer)).drop("_step", "_seg"))
+        ended = F.col("_alone") | (size <= level)
+        more = tree.where(~ended).drop("_alone")  # paths that end at the next level count there among their siblings
+        level += 1
+        if more.where(size > level).isEmpty():
+            done.append(tree.drop("_alone"))
+            break
+        done.append(tree.where(ended).drop("_alone"))
+        tree = more
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.drop("_parts")
 
 
 def merged_branches(templates: DataFrame, how: Templates) -> DataFrame:
@@ -87,12 +111,13 @@ def merged_branches(templates: DataFrame, how: Templates) -> DataFrame:
     rows = templates.withColumn("_parent", parent)
     family = rows.groupBy("host", "_parent").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_k"))
     rows = rows.join(family, ["host", "_parent"])
-    n, k, all_n, all_k = (F.col(c).cast("double") for c in ("labelled", "bad", "_n", "_k"))
-    rest_n, pooled = all_n - n, F.when(all_n > 0, all_k / F.when(all_n > 0, all_n)).otherwise(0.0)
-    error = F.sqrt(pooled * (1 - pooled) * (F.when(n > 0, 1 / F.when(n > 0, n)).otherwise(0.0) + F.when(rest_n > 0, 1 / F.when(rest_n > 0, rest_n)).otherwise(0.0)))
-    apart = (n > 0) & (rest_n > 0) & (F.abs(k / F.when(n > 0, n) - (all_k - k) / F.when(rest_n > 0, rest_n)) > how.merge_z * error)
-    apart = F.coalesce(apart, F.lit(False))
-    return rows.select(*templates.columns, F.when(apart, F.col("labelled")).otherwise(F.col("_n")).alias("branch_labelled"), F.when(apart, F.col("bad")).otherwise(F.col("_k")).alias("branch_bad"))
+    apart = differs(F.col("labelled"), F.col("bad"), F.col("_n"), F.col("_k"), how)
+    # deep families with few labels: all below the same first segments
+    stem = rows.groupBy("host", F.substring_index("template", "/", how.depth).alias("_stem")).agg(F.sum("labelled").alias("_stem_n"), F.sum("bad").alias("_stem_k"))
+    rows = rows.withColumn("_stem", F.substring_index("template", "/", how.depth)).join(stem, ["host", "_stem"])
+    few = (F.size(F.split("template", "/")) > how.depth + 1) & (F.col("_n") < how.own_labelled)
+    shared = [F.when(few, F.col(f"_stem{c}")).otherwise(F.col(c)) for c in ("_n", "_k")]
+    return rows.select(*templates.columns, *(F.when(apart, F.col(own)).otherwise(c).alias(f"branch_{own}") for own, c in zip(("labelled", "bad"), shared)))
 
 
 def judge(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None = None, how: Templates = Templates(), page_id: str = "page_id") -> DataFrame:

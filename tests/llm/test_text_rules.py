@@ -142,6 +142,18 @@ def test_templates_reject_by_labels(spark):
     assert {x["template"] for x in out if x["page_id"] >= 400} == {"/*/#"}
 
 
+def test_small_branches_keep_their_own_labels(spark):
+    """Rare directories and deep ones whose labels differ aren't pooled with clean ones."""
+    rows = [(i, f"http://hot/{'bad' if i < 38 else f'dir{chr(97 + i % 13)}{chr(97 + i // 13 % 8)}'}/{i}") for i in range(2000)]
+    rows += [(2000 + i, f"http://even/s{chr(97 + i % 10)}{chr(97 + i // 10 % 6)}/{2000 + i}") for i in range(3600)]
+    rows += [(6000 + i, f"http://deep/a/b/c/x{chr(97 + i % 20)}/{'bad' if i % 2 else 'good'}/p/{6000 + i}") for i in range(800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = {i for i, u in rows if "/bad/" in u or "/sa" in u}
+    labels = spark.createDataFrame([(i, int(i in bad)) for i, _ in rows], "label_id long, bad int")
+    out = {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, [], labels).collect()}
+    assert {i for i, v in out.items() if v == "block"} == bad
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     """Shares, the excess above twice a source's size dealt anew until there is none."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
