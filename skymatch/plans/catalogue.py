@@ -41,8 +41,8 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 # ---- catalogues
 
 
-def _embedding_catalog(spark: SparkSession, sf: str, **how) -> DataFrame:
-    e = V.table(spark, sf, "embeddings").where("vec_id % 5 = 0")
+def _embedding_catalog(spark: SparkSession, sf: str, rows: str = "vec_id % 5 = 0", **how) -> DataFrame:
+    e = V.table(spark, sf, "embeddings").where(rows)
     f0 = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("embedding")[0].cast("double"))
     f1 = F.when(F.col("vec_id") % 7 == 1, F.lit(-99.0)).otherwise(F.col("embedding")[1].cast("double"))
     rows = e.select("vec_id", f0.alias("flux_0"), f1.alias("flux_1"), F.col("embedding")[2].cast("double").alias("flux_2"), F.lit(0.5).alias("err"))
@@ -63,6 +63,16 @@ def band_subset(spark, sf):
     return rounded(_embedding_catalog(spark, sf, enabled="b2;b[0]"), "f_b0", "f_b2")
 
 
+@query(ORACLE_SQL["catalog_scan_missing"].removesuffix(" WHERE vec_id % 5 = 0"))
+def catalog_scan_missing_all(spark, sf):
+    return rounded(_embedding_catalog(spark, sf, "true", missing=(-99.0,), unit="mJy"), "f_b0", "f_b1", "f_b2")
+
+
+@query(ORACLE_SQL["band_subset"].removesuffix(" WHERE vec_id % 5 = 0"))
+def band_subset_all(spark, sf):
+    return rounded(_embedding_catalog(spark, sf, "true", enabled="b2;b[0]"), "f_b0", "f_b2")
+
+
 @query("SELECT vec_id AS target_id, round(CAST(embedding[3] AS DOUBLE), 6) + 0e0 AS f_b2, 5e-1 AS e_b2 FROM embeddings WHERE vec_id % 5 = 0 ORDER BY vec_id LIMIT 25")
 def input_limit(spark, sf):
     return rounded(_embedding_catalog(spark, sf, enabled="b2", limit=25), "f_b2")

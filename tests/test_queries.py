@@ -48,3 +48,8 @@ def test_entry(spark):
 def test_plans(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|Python|MapInArrow", plan)
+
+
+@pytest.mark.parametrize("name", ["catalog_scan_missing_all", "band_subset_all"])
+def test_scans_read_whole_tables(spark, sf, name):
+    assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
