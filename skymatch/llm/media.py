@@ -1,8 +1,12 @@
 """Media columns: binary payloads stored as lossless WebP images, read back as pixel arrays, with features of the pixels.
 
-A payload is cut into images of at most 1 MiB, four bytes to a pixel and 16 pixels to a row; the files stand one after the other, each knowing its size.
+A payload is cut into images of at most 1 MiB, a byte to a pixel as a shade of grey and 64 pixels to a row; the files stand one after the other, each
+knowing its size. They are compressed: green is subtracted, images of few shades get a palette, others row predictors where these help, repeated
+stretches become back-references, and what is left gets prefix codes; reading back inverts all that.
+
 Nulls and empties: a null text is empty; an empty text is stored as one row of zeros. Equal texts have equal values. Repeated rows are
-stored alike, each on its own; texts have no greatest length.
+stored alike, each on its own; texts have no greatest length. An empty table gives an empty result. round_trip ignores other columns;
+encode_column and decode_column replace a column of the name that they make.
 """
 
 from __future__ import annotations
@@ -18,8 +22,7 @@ from pyspark.sql import functions as F
 
 from . import webp
 
-UNIT = 64
-WIDTH = UNIT // 4
+UNIT = 64  # samples of a row
 
 
 def padded(raw: bytes) -> bytes:
@@ -29,16 +32,20 @@ def padded(raw: bytes) -> bytes:
 
 def to_media(payload: bytes) -> bytes:
     """The payload, of a multiple of UNIT bytes, as images."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     return b"".join(webp.encode(rows[i : i + webp.MAX_SIDE]) for i in range(0, len(rows), webp.MAX_SIDE))
 
 
 def to_pixels(media: bytes) -> np.ndarray:
-    """uint8[rows, columns, 4] of all images, one below the other."""
+    """uint8[rows, columns] of all images, one below the other; their pixels must be shades of grey."""
     out, at = [], 0
     while at < len(media):
         n = webp.file_size(media, at)
-        out.append(webp.decode(media[at : at + n]))
+        image = webp.decode(media[at : at + n])
+        grey = np.ascontiguousarray(image[:, :, webp.GREEN])
+        if not ((image[:, :, webp.RED] == grey).all() and (image[:, :, webp.BLUE] == grey).all()):
+            raise ValueError("the image has colours")
+        out.append(grey)
         at += n
     return out[0] if len(out) == 1 else np.concatenate(out)
 
@@ -65,7 +72,7 @@ def encode_column(df: DataFrame, text: str = "text", media: str = "media") -> Da
 
 
 def decode_column(df: DataFrame, media: str = "media", pixels: str = "pixels") -> DataFrame:
-    """df with a struct of height, width and samples (row by row, red, green, blue, alpha); null for null media."""
+    """df with a struct of height, width and samples (row by row); null for null media."""
 
     @F.pandas_udf("height int, width int, samples binary")
     def apply(files):

@@ -1,9 +1,12 @@
-"""Lossless WebP images in numpy: a decoder for the whole format and an encoder for streams that decode without a loop.
+"""Lossless WebP images in numpy: a decoder for the whole format, and an encoder that compresses.
 
 The decoder reads prefix codes (simple and normal, grouped by an entropy image), back-references, the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Where an image has one group of prefix codes, all of one width in each channel, and no cache, its
-pixels have one width too and are unpacked by array operations; other images take a loop over symbols. The encoder writes such codes:
-a channel's k used values get ceil(log2 k) bits each.
+cross-colour, subtract-green and palette transforms. Where only green varies, as with a palette or shades of grey, a token is one
+table look-up and runs are copied whole; other images take a general loop over symbols.
+
+The encoder subtracts green where that leaves red and blue with less, then takes a palette for few colours, bundling pixels where it can, or else
+predicts rows from the left or from above where residuals have less entropy. Repeated stretches become back-references, and all symbols get prefix codes fitted to the image.
+It writes neither entropy images, nor colour caches, nor cross-colour transforms.
 
 Damaged streams raise ValueError.
 """
@@ -11,6 +14,8 @@ Damaged streams raise ValueError.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 
@@ -39,82 +44,356 @@ def reversed_bits(width: int) -> np.ndarray:
     return out
 
 
-_REVERSED = [reversed_bits(w) for w in range(9)]
+_REVERSED = [reversed_bits(w).astype(np.int64) for w in range(16)]
 
 
 # ---- encoder
 
+#: Longest codes that are written, so that a code and its extra bits fit 32 bits; and pixels that a back-reference is worth at least.
+LONGEST, WORTH, FARTHEST, MOST = 12, 6, 2**20 - 120, 4096
+
 
 class _Bits:
+    """Header fields one by one, then items as arrays."""
+
     def __init__(self) -> None:
-        self.value, self.count, self.parts = 0, 0, []
+        self.value, self.count = 0, 0
 
     def put(self, value: int, count: int) -> None:
         self.value |= value << self.count
         self.count += count
 
-    def flush(self) -> None:
-        if self.count:
-            self.parts.append(np.unpackbits(np.frombuffer(self.value.to_bytes((self.count + 7) // 8, "little"), np.uint8), bitorder="little")[: self.count])
-            self.value, self.count = 0, 0
-
-    def put_array(self, bits: np.ndarray) -> None:
-        self.flush()
-        self.parts.append(bits.astype(np.uint8, copy=False))
+    def put_items(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """values[i] in sizes[i] bits, 32 at most each."""
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        wide = values.astype(np.uint64) << (at & 31).astype(np.uint64)
+        words = int(ends[-1] >> 5) + 2
+        # items share no bit, so sums are exact
+        low = np.bincount(at >> 5, (wide & np.uint64(0xFFFFFFFF)).astype(float), words + 1)
+        low[1:] += np.bincount(at >> 5, (wide >> np.uint64(32)).astype(float), words + 1)[:-1]
+        self.put(int.from_bytes(low.astype("<u4").tobytes(), "little"), int(ends[-1]))
 
     def bytes(self) -> bytes:
-        self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
-
-
-def _put_flat_code(out: _Bits, used: np.ndarray) -> tuple[int, np.ndarray]:
-    """Writes a code of one width for the used values; its width, and the bits of each value."""
-    symbols = np.flatnonzero(used)
-    width = int(len(symbols) - 1).bit_length()
-    codes = np.zeros(256, np.uint32)
-    if width == 0:
-        out.put(0b101 | int(symbols[0]) << 3, 11)  # simple, one symbol, of 8 bits
-        return 0, codes
-    mask = used.copy()
-    mask[np.flatnonzero(~used)[: (1 << width) - len(symbols)]] = True  # a code must be complete
-    last = int(np.flatnonzero(mask)[-1])
-    order = CODE_LENGTH_ORDER.index(width)
-    count = max(4, order + 1)
+        return self.value.to_bytes((self.count + 7) // 8, "little")
+
+
+def code_lengths(counts: list[int], longest: int) -> list[int]:
+    """Lengths of an optimal prefix code for symbols of positive counts; counts are evened out until none is above longest."""
+    if len(counts) == 1:
+        return [1]
+    while True:
+        order = sorted(range(len(counts)), key=counts.__getitem__)
+        # leaves and then inner nodes, both by weight: the two lightest are at the heads of two queues
+        weights, up = [counts[i] for i in order], [0] * (2 * len(counts) - 1)
+
+        n, leaf, inner = len(counts), 0, len(counts)
+        while len(weights) < 2 * n - 1:
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= len(weights) or weights[leaf] <= weights[inner]):
+                    total += weights[leaf]
+                    up[leaf] = len(weights)
+                    leaf += 1
+                else:
+                    total += weights[inner]
+                    up[inner] = len(weights)
+                    inner += 1
+            weights.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[up[i]] + 1
+        if max(depth[:n]) <= longest:
+            out = [0] * n
+            for place, i in enumerate(order):
+                out[i] = depth[place]
+            return out
+        counts = [(c >> 1) + 1 for c in counts]
+
+
+def canonical(symbols: np.ndarray, lengths: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code, first bit lowest, and its length, by symbol; symbols ascend."""
+    order = np.argsort(lengths, kind="stable")
+    n, s = lengths[order].astype(np.int64), symbols[order]
+    steps = 1 << (15 - n)
+    first = (np.cumsum(steps) - steps) >> (15 - n)
+    codes, sizes = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
+    codes[s], sizes[s] = _REVERSED[15][first] >> (15 - n), n
+    return codes, sizes
+
+
+def _runs(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """(symbol, extra bits, their number) of the code lengths, runs written short."""
+    out, i, before = [], 0, 8
+    while i < len(lengths):
+        x, j = lengths[i], i + 1
+        while j < len(lengths) and lengths[j] == x:
+            j += 1
+        run, i = j - i, j
+        if x == 0:
+            while run >= 3:
+                take = min(run, 138)
+                out.append((18, take - 11, 7) if take > 10 else (17, take - 3, 3))
+                run -= take
+        else:
+            if x != before:
+                out.append((x, 0, 0))
+                run, before = run - 1, x
+            while run >= 3:
+                take = min(run, 6)
+                out.append((16, take - 3, 2))
+                run -= take
+        out += [(x, 0, 0)] * run
+    return out
+
+
+def _put_code(out: _Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code fitted to the counts of an alphabet's symbols. Codes and their lengths; a lone symbol takes no bits."""
+    symbols = np.flatnonzero(counts)
+    if len(symbols) <= 2 and (not len(symbols) or symbols[-1] < 256):
+        used = symbols.tolist() or [0]
+        out.put(1 | (len(used) - 1) << 1, 2)
+        out.put(int(used[0] > 1), 1)
+        out.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) == 2:
+            out.put(used[1], 8)
+        codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        if len(used) == 2:
+            codes[used[1]], sizes[used] = 1, 1
+        return codes, sizes
+    lengths = np.array(code_lengths(counts[symbols].tolist(), LONGEST), np.int64)
+    by_symbol = np.zeros(int(symbols[-1]) + 1, np.int64)
+    by_symbol[symbols] = lengths
+    runs = _runs(by_symbol.tolist())
+    second = [0] * 19
+    for s, _, _ in runs:
+        second[s] += 1
+    used = [s for s in range(19) if second[s]]
+    sizes2 = [0] * 19
+    for s, n in zip(used, code_lengths([second[s] for s in used], 7)):
+        sizes2[s] = n
+    codes2 = canonical(np.array(used), np.array([sizes2[s] for s in used]), 19)[0].tolist()
+    listed = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes2[s]) + 1
     out.put(0, 1)
-    out.put(count - 4, 4)
-    for i in range(count):
-        out.put(int(CODE_LENGTH_ORDER[i] in (0, width)), 3)  # lengths 0 and width, one bit each
-    out.put(1 | 3 << 1, 4)  # a number of 8 bits limits the list
-    out.put(last + 1 - 2, 8)
-    out.put_array(mask[: last + 1])
-    codes[mask] = _REVERSED[width]
-    return width, codes
+    out.put(max(listed, 4) - 4, 4)
+    for s in CODE_LENGTH_ORDER[: max(listed, 4)]:
+        out.put(sizes2[s], 3)
+    n = len(runs) - 2  # how many runs follow, as they stop short of the alphabet
+    if len(runs) < 2:
+        out.put(0, 1)  # a lone symbol of an alphabet's end
+    else:
+        wide = max(1, (n.bit_length() + 1) // 2)
+        out.put(1, 1)
+        out.put(wide - 1, 3)
+        out.put(n, 2 * wide)
+    lone = len(used) == 1
+    for s, extra, bits in runs:
+        if not lone:
+            out.put(codes2[s], sizes2[s])
+        out.put(extra, bits)
+    if len(symbols) == 1:
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    return canonical(symbols, lengths, len(counts))
+
+
+def prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distance codes from 1."""
+    x = x.astype(np.int64) - 1
+    high = np.frexp(x.astype(float))[1].astype(np.int64) - 1
+    extra = np.maximum(high - 1, 0)
+    return np.where(x < 4, x, 2 * high + ((x >> extra) & 1)), np.where(x < 4, 0, x & ((1 << extra) - 1)), np.where(x < 4, 0, extra)
+
+
+def matches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of stretches that repeat earlier ones, from left to right and without overlap.
+
+    Positions are known by a hash of the next WORTH values. Sorted by it, each finds the last one before it; where neighbours find neighbours, the match goes on.
+    """
+    n = len(v) - WORTH + 1
+    none = np.zeros(0, np.int64)
+    if n < 2:
+        return none, none, none
+    small = int(v.max()) < 256  # then the hash is the values themselves
+    by = np.uint64(256 if small else 0x100000001B3)
+    h = v[:n].copy()
+    for i in range(1, WORTH):
+        h *= by
+        h += v[i : n + i]
+    keys = np.sort((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(28) << np.uint64(28)) | np.arange(n, dtype=np.uint64))
+    place = (keys & np.uint64(2**28 - 1)).astype(np.int64)
+    same = np.flatnonzero((keys[1:] >> np.uint64(28)) == (keys[:-1] >> np.uint64(28)))
+    at, from_ = place[same + 1], place[same]
+    fits = (h[at] == h[from_]) & (at - from_ <= FARTHEST)
+    for i in range(0 if small else WORTH):
+        fits &= v[at + i] == v[from_ + i]
+    if not fits.all():
+        at, from_ = at[fits], from_[fits]
+    if not len(at):
+        return none, none, none
+    before = np.full(n + 1, -2, np.int64)
+    before[at] = from_
+    goes_on = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1)
+    at = np.flatnonzero(before[:-1] >= 0)
+    stops = np.flatnonzero(~goes_on)
+    length = stops[np.searchsorted(stops, at)] - at + WORTH
+    # where a match ends inside a repeated stretch, the next one starts
+    follow, chosen, i = np.searchsorted(at, at + length).tolist(), [], 0
+    while i < len(follow):
+        chosen.append(i)
+        i = follow[i]
+    start, size, far = at[chosen], length[chosen], (at - before[at])[chosen]
+    if size.max() > MOST:
+        times = -(-size // MOST)
+        part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        start, size, far = np.repeat(start, times) + part * MOST, np.minimum(np.repeat(size, times) - part * MOST, MOST), np.repeat(far, times)
+    return start, size, far
+
+
+@lru_cache(16)
+def near_codes(width: int) -> np.ndarray:
+    """The short code of each small distance in rows of width, 0 where there is none."""
+    distances = near_distances(width)
+    table = np.zeros(max(distances) + 1, np.int64)
+    for code in range(len(NEAR), 0, -1):
+        table[distances[code]] = code
+    return table
+
+
+def _put_image(out: _Bits, channels: list[np.ndarray], width: int, main: bool) -> None:
+    """channels: green, red, blue and alpha of all pixels, None for one that is 0 throughout. Stretches of the main image are referred to."""
+    out.put(0, 2 if main else 1)  # no colour cache, no entropy image
+    green, n = channels[0], len(channels[0])
+    start = np.zeros(0, np.int64)
+    if main:
+        v = green.astype(np.uint64)
+        for i, c in enumerate(channels[1:]):
+            if c is not None:
+                v = v | c.astype(np.uint64) << np.uint64(8 * i + 8)
+        start, size, far = matches(v)
+    if not len(start):
+        token, literal, spelt = green, slice(None), slice(None)
+    else:
+        covered = np.zeros(n + 1, np.int8)
+        covered[start] += 1
+        covered[start + size] -= 1
+        first = np.cumsum(covered[:-1], dtype=np.int8) == 0  # pixels that begin a token
+        refers = np.zeros(n, bool)
+        first[start] = refers[start] = True
+        pixel = np.flatnonzero(first)
+        refers = refers[pixel]
+        literal, refers = np.flatnonzero(~refers), np.flatnonzero(refers)
+        spelt = pixel[literal]
+        symbol, extra, bits = prefixed(size)
+        token = np.empty(len(pixel), np.int64)
+        token[literal], token[refers] = green[spelt], LITERALS + symbol
+    codes, sizes = _put_code(out, np.bincount(token, minlength=LITERALS + LENGTHS))
+    wide = sum(c is not None for c in channels[1:]) > 0
+    values, widths = np.zeros((len(token), 2 + wide), np.int64), np.zeros((len(token), 2 + wide), np.int64)
+    values[:, 0], widths[:, 0] = codes[token], sizes[token]
+    for j, c in zip((1, 1, 2), channels[1:]):
+        if c is None:
+            out.put(1, 4)  # one symbol, 0
+            continue
+        x = c[spelt]
+        codes, sizes = _put_code(out, np.bincount(x, minlength=256))
+        values[literal, j] |= codes[x] << widths[literal, j]
+        widths[literal, j] += sizes[x]
+    if not len(start):
+        out.put(1, 4)
+    else:
+        values[refers, 0] |= extra << widths[refers, 0]
+        widths[refers, 0] += bits
+        near = near_codes(width)
+        short = near[np.minimum(far, len(near) - 1)] * (far < len(near))
+        symbol, extra, bits = prefixed(np.where(short > 0, short, far + len(NEAR)))
+        codes, sizes = _put_code(out, np.bincount(symbol, minlength=DISTANCES))
+        values[refers, 1 + wide] = codes[symbol] | extra << sizes[symbol]
+        widths[refers, 1 + wide] = sizes[symbol] + bits
+    out.put_items(values.ravel(), widths.ravel())
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts need at least."""
+    c = counts[counts > 0].astype(float)
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+
+
+def _channel_bits(p: np.ndarray) -> float:
+    return sum(entropy(np.bincount(p[..., c].ravel(), minlength=256)) for c in range(p.shape[-1]))
+
+
+def _residuals(p: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of uint8[height, width, channels] when pixels are predicted from the left (1) or from above (2); alpha isn't among the channels or starts at 255."""
+    before = np.empty_like(p)
+    before[0, 0] = (0, 0, 0, 255)[: p.shape[2]]
+    before[0, 1:], before[1:, 0] = p[0, :-1], p[:-1, 0]
+    before[1:, 1:] = p[1:, :-1] if mode == 1 else p[:-1, 1:]
+    return p - before
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A file for pixels, uint8[height, width, 4] as red, green, blue, alpha."""
-    height, width, _ = pixels.shape
+    """A file for pixels, uint8[height, width, 4] as red, green, blue, alpha, or uint8[height, width] as shades of grey."""
+    height, width = pixels.shape[:2]
     if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
         raise ValueError(f"an image can't have {width} x {height} pixels")
     out = _Bits()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
-    out.put(1, 1)  # alpha is used
+    grey = pixels.ndim == 2
+    clear = not grey and bool((pixels[:, :, ALPHA] != 255).any())
+    out.put(int(clear), 1)
     out.put(0, 3)
-    out.put(0, 3)  # no transform, no colour cache, no entropy image
-    flat = np.ascontiguousarray(pixels).reshape(-1, 4)
-    value, total = np.zeros(len(flat), np.uint32), 0
-    for c in STREAM:
-        channel = flat[:, c]
-        w, codes = _put_flat_code(out, np.bincount(channel, minlength=256) > 0)
-        if w:
-            value |= codes[channel] << np.uint32(total)
-            total += w
-    out.put(0b0001, 4)  # the distance code: simple, one symbol, 0
-    if total:
-        raw = value.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
-        out.put_array(np.unpackbits(raw, axis=1, bitorder="little", count=total).ravel())
+    # channels as green, red, blue, alpha; what is 0 throughout is None
+    if grey:
+        planes = pixels.reshape(height, width, 1)
+    else:
+        planes = pixels[:, :, list(STREAM[: 3 + clear])]
+        less = planes.copy()
+        less[:, :, 1:3] -= less[:, :, :1]
+    minus_green = grey or _channel_bits(less) < _channel_bits(planes)
+    if minus_green:
+        planes = planes if grey else less
+        out.put(1, 1)
+        out.put(2, 2)
+    flat = planes.reshape(-1, planes.shape[2])
+    if grey:
+        colours = np.flatnonzero(np.bincount(flat[:, 0], minlength=256))
+        index_of = np.zeros(256, np.uint8)
+        index_of[colours] = np.arange(len(colours))
+        index, colours = index_of[flat[:, 0]], colours.reshape(-1, 1)
+    else:
+        joined = np.zeros(len(flat), np.uint32)
+        for i in range(flat.shape[1]):
+            joined |= flat[:, i].astype(np.uint32) << np.uint32(8 * i)
+        keys, index = np.unique(joined, return_inverse=True)
+        colours = np.stack([keys >> np.uint32(8 * i) & np.uint32(255) for i in range(flat.shape[1])], axis=1).astype(np.int64)
+    if len(colours) <= (16 if grey else min(256, max(2, len(flat) // 4))):
+        out.put(1, 1)
+        out.put(3, 2)
+        out.put(len(colours) - 1, 8)
+        steps = (np.diff(colours, axis=0, prepend=np.zeros((1, colours.shape[1]), np.int64)) & 255).astype(np.uint8)
+        _put_image(out, [steps[:, i] if i < steps.shape[1] else None for i in range(4)], len(colours), False)
+        bits = 1 if len(colours) <= 2 else 2 if len(colours) <= 4 else 4 if len(colours) <= 16 else 8
+        if bits < 8:
+            rows, per = index.reshape(height, width).astype(np.uint8), 8 // bits
+            rows = np.pad(rows, ((0, 0), (0, -width % per))).reshape(height, -1, per)
+            width = rows.shape[1]
+            index = np.bitwise_or.reduce(rows << np.arange(0, 8, bits, dtype=np.uint8), axis=2).ravel()
+        flat = index.reshape(-1, 1)
+    else:
+        plain = {0: planes, 1: _residuals(planes, 1), 2: _residuals(planes, 2)}
+        mode = min(plain, key=lambda m: (_channel_bits(plain[m]), m))
+        if mode:
+            out.put(1, 1)
+            out.put(0, 2)
+            out.put(7, 3)  # blocks of 512
+            tiles = (-(-width // 512)) * (-(-height // 512))
+            _put_image(out, [np.full(tiles, mode, np.uint8), None, None, None], -(-width // 512), False)
+        flat = plain[mode].reshape(-1, planes.shape[2])
+    out.put(0, 1)
+    _put_image(out, [flat[:, i] if i < flat.shape[1] else None for i in range(4)], width, True)
     data = out.bytes()
     pad = len(data) & 1
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
@@ -135,42 +414,38 @@ class _Reader:
             raise ValueError("the stream ends early")
         return out
 
-    def bits(self, count: int) -> np.ndarray:
-        i = self.at >> 3
-        out = np.unpackbits(np.frombuffer(self.data, np.uint8, (self.at + count + 7 >> 3) - i, i), bitorder="little")[self.at & 7 :][:count]
-        self.at += count
-        return out
-
 
 class _Code:
-    """A prefix code by the lengths of its symbols. width: the length that all have, or None."""
+    """A prefix code by the lengths of its symbols."""
 
     def __init__(self, lengths: np.ndarray):
         self.symbols = np.flatnonzero(lengths)
         n = lengths[self.symbols]
         if len(n) == 1:  # a lone symbol takes no bits
-            self.width, self.lone = 0, int(self.symbols[0])
+            self.lone = int(self.symbols[0])
         else:
             if not len(n) or int((1 << (15 - n.astype(int))).sum()) != 1 << 15:
                 raise ValueError("a prefix code isn't complete")
-            self.width = int(n[0]) if (n == n[0]).all() else None
             self.lone = None
-        self.lengths, self._table = lengths, None
+        self.lengths, self._table, self._arrays = lengths, None, None
 
-    def table(self) -> tuple[int, list[int], list[int]]:
+    def arrays(self) -> tuple[int, np.ndarray, np.ndarray]:
         """Longest length; symbol and length by the next bits."""
+        if self._arrays is None:
+            if self.lone is not None:
+                self._arrays = 0, np.array([self.lone]), np.zeros(1, np.int64)
+            else:
+                n = self.lengths[self.symbols].astype(np.int64)
+                order = np.argsort(n, kind="stable")
+                longest = int(n[order[-1]])
+                times = 1 << (longest - n[order])
+                turned = _REVERSED[longest]
+                self._arrays = longest, self.symbols[order].repeat(times)[turned], n[order].repeat(times)[turned]
+        return self._arrays
+
+    def table(self) -> tuple[int, list[int], list[int]]:
         if self._table is None:
-            n = self.lengths[self.symbols].astype(int)
-            longest = int(n.max())
-            order = np.lexsort((self.symbols, n))
-            symbol, length = np.zeros(1 << longest, int), np.zeros(1 << longest, int)
-            code, last = 0, 0
-            for i in order:
-                code <<= n[i] - last
-                last = n[i]
-                first = int(format(code, f"0{last}b")[::-1], 2)
-                symbol[first :: 1 << last], length[first :: 1 << last] = self.symbols[i], last
-                code += 1
+            longest, symbol, length = self.arrays()
             self._table = longest, symbol.tolist(), length.tolist()
         return self._table
 
@@ -204,23 +479,34 @@ def _read_code(r: _Reader, alphabet: int) -> _Code:
         limit = 2 + r.get(2 + 2 * r.get(3))
         if limit > alphabet:
             raise ValueError("too many code lengths")
-    if code.width == 1 and code.symbols[-1] < 16:  # two lengths, a bit each
-        lengths[:limit] = code.symbols[r.bits(limit)]
-        return _Code(lengths)
-    at, before = 0, 8
+    longest, symbol, size = code.table()
+    mask, at, before, found = (1 << longest) - 1, 0, 8, []
+    ahead, p = 0, 0  # the next bits, and how many of them are read
+    base, end = r.at, 0
     while at < alphabet and limit > 0:
         limit -= 1
-        x = code.read(r)
+        if p >= end:
+            base, p, end = base + p, 0, 4096
+            ahead = int.from_bytes(r.data[base >> 3 : (base >> 3) + 520], "little") >> (base & 7)
+        x = ahead >> p & mask
+        p += size[x]
+        x = symbol[x]
         if x < 16:
-            lengths[at] = x
+            found.append(x)
             at += 1
             before = x or before
-        else:
-            value, times = (before, 3 + r.get(2)) if x == 16 else (0, 3 + r.get(3)) if x == 17 else (0, 11 + r.get(7))
-            if at + times > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[at : at + times] = value
-            at += times
+            continue
+        bits = (2, 3, 7)[x - 16]
+        times = (ahead >> p & ((1 << bits) - 1)) + (11 if x == 18 else 3)
+        p += bits
+        found += [before if x == 16 else 0] * times
+        at += times
+    r.at = base + p
+    if at > alphabet:
+        raise ValueError("too many code lengths")
+    if r.at > r.end:
+        raise ValueError("the stream ends early")
+    lengths[:at] = found
     return _Code(lengths)
 
 
@@ -245,39 +531,85 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
         meta = image[:, :, RED].astype(int) << 8 | image[:, :, GREEN]
         groups = int(meta.max()) + 1
     codes = [[_read_code(r, n) for n in (LITERALS + LENGTHS + cache_size, 256, 256, 256, DISTANCES)] for _ in range(groups)]
-    flat = codes[0]
-    if groups == 1 and not cache_size and all(c.width is not None for c in flat[:4]) and flat[0].symbols[-1] < LITERALS:
-        return _read_flat(r, width, height, flat)
+    if groups == 1 and not cache_size and all(c.lone is not None for c in codes[0][1:4]):
+        green = _read_greens(r, width, height, codes[0])
+        out = np.empty((height, width, 4), np.uint8)
+        out[:, :, GREEN] = green
+        for c, code in zip(STREAM[1:], codes[0][1:4]):
+            out[:, :, c] = code.lone
+        return out
     return _read_symbols(r, width, height, codes, meta, block, cache_bits)
 
 
-def _read_flat(r: _Reader, width: int, height: int, codes: list[_Code]) -> np.ndarray:
-    n, out = width * height, np.empty((width * height, 4), np.uint8)
-    total = sum(c.width for c in codes[:4])
-    if r.at + n * total > r.end:
+def _read_greens(r: _Reader, width: int, height: int, codes: list[_Code]) -> np.ndarray:
+    """uint8[height, width] of an image whose other channels have one value each, as with a palette or shades of grey."""
+    n, code, far = width * height, codes[0], codes[4]
+    if code.lone is not None and code.lone < LITERALS:
+        return np.full((height, width), code.lone, np.uint8)
+    near = near_distances(width)
+    longest, symbol, size = code.arrays()
+    table, mask = (symbol << 4 | size).tolist(), (1 << longest) - 1
+    longest, symbol, size = far.arrays()
+    far_table, far_mask = (symbol << 4 | size).tolist(), (1 << longest) - 1
+    raw = np.frombuffer(r.data + b"\0" * 8, np.uint8).astype(np.uint32)
+    ahead = raw[:-3].copy()
+    for i in (1, 2, 3):
+        ahead |= raw[i : len(raw) - 3 + i] << np.uint32(8 * i)
+    first = r.at >> 3
+    ahead = ahead[first:].tolist()  # 25 bits from each position on
+    p = r.at - 8 * first
+    out, done = bytearray(n), 0
+    try:
+        while done < n:
+            x = table[ahead[p >> 3] >> (p & 7) & mask]
+            p += x & 15
+            if x < 4096:  # a literal
+                out[done] = x >> 4
+                done += 1
+                continue
+            x = (x >> 4) - LITERALS
+            size = x + 1
+            if x > 3:
+                extra = (x - 2) >> 1
+                size = ((2 + (x & 1)) << extra) + (ahead[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
+                p += extra
+            x = far_table[ahead[p >> 3] >> (p & 7) & far_mask]
+            p += x & 15
+            x >>= 4
+            d = x + 1
+            if x > 3:
+                extra = (x - 2) >> 1
+                d = ((2 + (x & 1)) << extra) + (ahead[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
+                p += extra
+            d = d - 120 if d > 120 else near[d]
+            to = done + size
+            if d > done or to > n:
+                raise ValueError("a back-reference leaves the image")
+            while d < size:  # what was just copied is copied on
+                out[done : done + d] = out[done - d : done]
+                done, size = done + d, size - d
+                d += d
+            out[done:to] = out[done - d : to - d]
+            done = to
+    except IndexError:
+        raise ValueError("the stream ends early") from None
+    r.at = p + 8 * first
+    if r.at > r.end:
         raise ValueError("the stream ends early")
-    value = np.zeros(n, np.uint32)
-    if total:
-        packed = np.packbits(r.bits(n * total).reshape(n, total), axis=1, bitorder="little")
-        for i in range(packed.shape[1]):
-            value |= packed[:, i].astype(np.uint32) << np.uint32(8 * i)
-    for c, code in zip(STREAM, codes):
-        w = code.width
-        if w == 0:
-            out[:, c] = code.symbols[0]
-            continue
-        by_bits = np.empty(1 << w, np.uint8)
-        by_bits[reversed_bits(w) if w > 8 else _REVERSED[w]] = code.symbols
-        out[:, c] = by_bits[value & np.uint32((1 << w) - 1)]
-        value >>= np.uint32(w)
-    return out.reshape(height, width, 4)
+    return np.frombuffer(out, np.uint8).reshape(height, width)
+
+
+@lru_cache(64)
+def near_distances(width: int) -> list[int]:
+    """The distances that codes of them from 1 on stand for in rows of width, if they are short."""
+    return [0, *(max(1, x + y * width) for x, y in NEAR)]
 
 
 def _read_symbols(r: _Reader, width: int, height: int, codes: list[list[_Code]], meta: np.ndarray | None, block: int, cache_bits: int) -> np.ndarray:
     n, done = width * height, 0
     pixels = [0] * n  # alpha, red, green, blue from the highest byte
     cache, cached = [0] * (1 << cache_bits), 0
-    groups = codes[0]
+    groups, near = codes[0], near_distances(width)
     while done < n:
         if meta is not None:
             groups = codes[meta[done // width >> block, done % width >> block]]
@@ -289,11 +621,7 @@ def _read_symbols(r: _Reader, width: int, height: int, codes: list[list[_Code]],
         elif s < LITERALS + LENGTHS:
             length = _extended(r, s - LITERALS)
             d = _extended(r, groups[4].read(r))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = d - len(NEAR) if d > len(NEAR) else near[d]
             if d > done or done + length > n:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -365,6 +693,13 @@ def _unpredict(residuals: np.ndarray, modes: np.ndarray, block: int) -> np.ndarr
     return out.astype(np.uint8)
 
 
+def _add_green(pixels: np.ndarray) -> np.ndarray:
+    out = pixels.copy()
+    out[:, :, RED] += pixels[:, :, GREEN]
+    out[:, :, BLUE] += pixels[:, :, GREEN]
+    return out
+
+
 def _uncross(pixels: np.ndarray, multipliers: np.ndarray, block: int) -> np.ndarray:
     height, width, _ = pixels.shape
     m = multipliers.repeat(1 << block, axis=0).repeat(1 << block, axis=1)[:height, :width].view(np.int8).astype(int)
@@ -413,7 +748,7 @@ def decode(data: bytes) -> np.ndarray:
             image = _read_image(r, (inner + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False)
             undo.append((lambda p, i=image, b=block: _unpredict(p, i[:, :, GREEN], b)) if kind == 0 else (lambda p, i=image, b=block: _uncross(p, i, b)))
         elif kind == 2:
-            undo.append(lambda p: np.concatenate([p[:, :, :1] + p[:, :, 1:2], p[:, :, 1:2], p[:, :, 2:3] + p[:, :, 1:2], p[:, :, 3:]], axis=2))
+            undo.append(_add_green)
         else:
             size = r.get(8) + 1
             palette = np.cumsum(_read_image(r, size, 1, False)[0].astype(int), axis=0).astype(np.uint8)

@@ -336,10 +336,55 @@ def test_palette(colours):
 
 def test_own_encoder():
     r = np.random.default_rng(0)
-    for high in (1, 2, 3, 5, 64, 65, 256):
-        for shape in ((1, 1), (3, 16), (40, 7)):
+    for high in (1, 2, 3, 5, 17, 64, 65, 256):
+        for shape in ((1, 1), (3, 16), (40, 7), (90, 64)):
             p = r.integers(0, high, (*shape, 4)).astype(np.uint8)
             assert (webp.decode(webp.encode(p)) == p).all()
+            p[:, :, 3] = 255
+            assert (webp.decode(webp.encode(p)) == p).all()
+            grey = webp.decode(webp.encode(p[:, :, 0]))
+            assert (grey[:, :, :3] == p[:, :, :1]).all() and (grey[:, :, 3] == 255).all()
+            p[:, :, [0, 2]] = p[:, :, [1]] + np.arange(2, dtype=np.uint8)  # green is worth subtracting
+            assert (webp.decode(webp.encode(p)) == p).all()
+    ramp = np.add.outer(np.arange(50), np.arange(64) ** 2).astype(np.uint8)  # rows are worth predicting
+    assert (webp.decode(webp.encode(ramp))[:, :, 1] == ramp).all()
+    skewed = np.repeat(np.arange(40), np.minimum(2 ** np.arange(40) // 8 + 1, 4000)).astype(np.uint8)  # codes that would be too long
+    skewed = r.permutation(skewed[: len(skewed) // 64 * 64]).reshape(-1, 64)
+    assert (webp.decode(webp.encode(skewed))[:, :, 1] == skewed).all()
+    for period in (1, 2, 3, 64, 65, 700, 5000):  # long stretches, also overlapping themselves
+        p = np.resize(r.integers(0, 200, period), 64 * 300).astype(np.uint8).reshape(-1, 64)
+        assert (webp.decode(webp.encode(p))[:, :, 1] == p).all() and len(webp.encode(p)) < 2 * period + 200
+
+
+def test_documents_pass_by_the_decoder(sf, monkeypatch):
+    """Most texts are stored with prefix codes of several lengths, back-references and a transform, in well below 55% of their bytes."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    seen = {"codes": 0, "copies": 0, "green": 0, "stored": 0, "bytes": 0}
+    read, add = webp._read_greens, webp._add_green
+
+    def reading(r, width, height, codes):
+        seen["codes"] += codes[0].lone is None and len(set(codes[0].lengths[codes[0].symbols].tolist())) > 1
+        seen["copies"] += bool(codes[0].symbols[-1] >= webp.LITERALS)
+        return read(r, width, height, codes)
+
+    def adding(pixels):
+        seen["green"] += 1
+        return add(pixels)
+
+    monkeypatch.setattr(webp, "_read_greens", reading)
+    monkeypatch.setattr(webp, "_add_green", adding)
+    for t in texts:
+        payload = media.padded(t.encode())
+        stored = media.to_media(payload)
+        assert media.to_pixels(stored).tobytes() == payload
+        seen["stored"], seen["bytes"] = seen["stored"] + len(stored), seen["bytes"] + len(payload)
+    assert min(seen["codes"], seen["green"]) >= 0.95 * len(texts) and seen["copies"] >= 0.9 * len(texts)
+    assert seen["stored"] < 0.55 * seen["bytes"]
+
+
+def test_refusals():
     with pytest.raises(ValueError):
         webp.encode(np.zeros((1, webp.MAX_SIDE + 1, 4), np.uint8))
 
