@@ -49,8 +49,8 @@ _REVERSED = [reversed_bits(w).astype(np.int64) for w in range(16)]
 
 # ---- encoder
 
-#: Longest codes that are written, so that a code and its extra bits fit 32 bits; and pixels that a back-reference is worth at least.
-LONGEST, WORTH, FARTHEST, MOST = 12, 6, 2**20 - 120, 4096
+#: Longest codes that are written (short ones need small tables, and no code with its extra bits passes 32 bits); and pixels that a back-reference is worth at least.
+LONGEST, WORTH, FARTHEST, MOST = 9, 6, 2**20 - 120, 4096
 
 
 class _Bits:
