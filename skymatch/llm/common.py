@@ -33,17 +33,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where that setting is empty, as in tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see; a local folder only where that setting is empty, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/checkpoints"
-    SCRATCH.append(f"{base.rstrip('/')}/skymatch-{uuid.uuid4().hex}")
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for a table that release() deletes."""
+    SCRATCH.append(f"{shared_dir(spark)}/skymatch-{uuid.uuid4().hex}")
     return SCRATCH[-1]
 
 
+def model_dir(spark: SparkSession) -> str:
+    """Where fitted models stay, under names made of what they were fitted to."""
+    return f"{shared_dir(spark)}/skymatch-models"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lost executors don't repeat what came before."""
     path = scratch_dir(df.sparkSession)
