@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,22 +66,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, least_share: float = 0.4, key: str = "doc_id", text: str = "text", max_chars: int = 20_000) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents that aren't held out, for a model to learn from.
+@dataclass(frozen=True)
+class Sample:
+    """What a classifier learns from. rows: labelled documents at most; once there are more, the rarer class gets up to least_share of the rows, and weights give each class its share of all labels back. words: of a text at most, in evenly spread runs of `run` words."""
 
-    Ids are taken in the order of a hash, up to least_share of them from each class, so the sample is bounded and doesn't depend on the
-    layout. Texts above max_chars aren't used for learning, which bounds what the driver holds. Only the chosen ids are sent to the scan.
+    rows: int
+    least_share: float = 0.4
+    words: int = 8000
+    run: int = 200
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, how: Sample, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_id, _y (0 or 1), _weight, _text of labelled documents that aren't held out, in the order of a hash of the id: at most how.rows ids, all rows of each.
+
+    The sample doesn't depend on the layout. Only the chosen ids are sent to the scan; texts stay with the executors.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_label"))
-    order = F.md5(F.col(key).cast("string").cast("binary"))
-    share = int(rows * least_share)
-    chosen = [(r[0], r[1]) for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(order).limit(share if y == 0 and label == "quality" or y == 1 and label != "quality" else rows - share).collect()]
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
-    found = docs.where(F.length(text) <= max_chars).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    seen = {r["_id"]: (r["_text"], r["_y"]) for r in found.limit(2 * rows).collect()}
-    return [seen[i] for i in sorted(seen)]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    rarer = min((0, 1), key=lambda y: (n.get(y, 0), y))
+    take = {rarer: min(n.get(rarer, 0), how.rows if sum(n.values()) <= how.rows else int(how.rows * how.least_share))}
+    take[1 - rarer] = min(n.get(1 - rarer, 0), how.rows - take[rarer])
+    order = F.md5(F.col("_id").cast("string").cast("binary"))
+    ids = [(r["_id"], y, n[y] / take[y]) for y in (0, 1) if take[y] for r in known.where(F.col("_y") == y).orderBy(order, "_id").limit(take[y]).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "_id long, _y int, _weight double")
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # at most how.rows ids
+
+
+def excerpt(text: str | None, how: Sample) -> tuple[list[str], float]:
+    """The words of a text, or evenly spread runs of them, in order; and how many words stand for one of them."""
+    ws = (text or "").split()
+    if len(ws) <= how.words:
+        return ws, 1.0
+    runs = sorted(sorted(range(0, len(ws), how.run), key=lambda i: i // how.run * 0x9E3779B1 % 2**32)[: how.words // how.run])
+    out = [w for i in runs for w in ws[i : i + how.run]]
+    return out, len(ws) / len(out)
 
 
 def release(spark: SparkSession) -> int:
@@ -101,3 +120,20 @@ def boxed(df: DataFrame) -> Column:
 def unboxed(columns: list[str], **made: Column) -> list[Column]:
     """The columns out of the struct, those in `made` replaced or added."""
     return [*(F.col("_row").getField(c).alias(c) for c in columns if c not in made), *(v.alias(k) for k, v in made.items())]
+
+
+def row_hash(df: DataFrame, text: str = "text") -> Column:
+    """64 bits of a whole row, to tell rows apart that share an id and a text. Maps, which have no hash, count by their JSON."""
+
+    def hashed(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else F.xxhash64(c) if f.name == text else c
+
+    return F.xxhash64(*(hashed(f) for f in df.schema))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores if a column of df has it."""
+    while name in df.columns:
+        name += "_"
+    return name

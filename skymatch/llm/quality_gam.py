@@ -4,8 +4,12 @@ Each feature is cut into quantile bins. Rounds of boosting visit one feature aft
 the gradient, so that each feature ends as a lookup table over its bins. The pairs whose residual gain on a coarse grid is largest are then boosted the
 same way, with one cut on each axis, into tables over two features' bins. A score is the logistic function of the sum of looked-up values.
 
-Features are counts of the text as a whole, made by built-in functions. Nulls and empties: a null text counts as empty, whose ratios are 0, and
-gets the score of those bins. Repeated rows score alike; other columns pass through. Without labels of both classes the score is the share of label 1 (0.5 without labels).
+Features are counts of the text as a whole, made by built-in functions; a bounded sample of labelled documents is learnt from by its features alone, so
+texts of any length take part and none reaches the driver. Rows of a class that the sample holds fewer of weigh more, so its size doesn't move the scores.
+
+Nulls and empties: a null text counts as empty, whose ratios are 0, and gets the score of those bins. Repeated rows score alike; of rows that share an
+id with a label, the one with the least features is learnt from. An empty table gives an empty result. Other columns pass through, but one named
+`score` is replaced. Without labels of both classes the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, labelled_sample, unboxed, words
+from .common import Sample, boxed, labelled_rows, unboxed, words
 from .quality_rules import measures
 
 FEATURES = ("log_words", "word_length", "symbols", "exclaims", "stop_words", "alphabetic", "upper", "stutter", "repeats", "distinct_words", "dup_lines", "words_a_line")
@@ -106,11 +110,13 @@ def cross_cut(g: np.ndarray, h: np.ndarray, ridge: float, least: float) -> tuple
     return best
 
 
-def train(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: int = 120, pair_rounds: int = 40, pairs: int = 6, rate: float = 0.1, ridge: float = 2.0, least: float = 1.0) -> Gam:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, bins: int = 32, coarse: int = 8, rounds: int = 120, pair_rounds: int = 40, pairs: int = 6, rate: float = 0.1, ridge: float = 2.0, least: float = 1.0) -> Gam:
+    """weight: how much each row counts, 1 by default."""
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Gam(float(np.log(share / (1 - share))))
-    share = y.mean()
+    w = np.ones(len(y)) if weight is None else weight / weight.mean()
+    share = (w * y).mean()
     gam = Gam(float(np.log(share / (1 - share))))
     for i in range(x.shape[1]):
         e = np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1]))
@@ -122,7 +128,7 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds:
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-total))
-        return y - p, p * (1 - p)
+        return w * (y - p), w * p * (1 - p)
 
     for _ in range(rounds):
         for i, t in enumerate(gam.single):
@@ -148,18 +154,19 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds:
     return gam
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with score (in place of a column of that name), learnt from labels.quality of at most train_rows documents that aren't held out."""
-    spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, "quality", train_rows, key=key, text=text)
+def fitted(docs: DataFrame, labels: DataFrame, how: Sample = Sample(6000), key: str = "doc_id", text: str = "text") -> Gam:
+    """The model of docs' labelled sample: executors make the features, the driver gets one row of them for each of at most how.rows documents."""
+    names = [f"_f_{f}" for f in FEATURES]
+    rows = labelled_rows(docs, labels, "quality", how, key, text).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    one = text_features(rows, "_text").groupBy("_row._id").agg(F.min(F.struct(*names, "_row._y", "_row._weight")).alias("_f"))
+    learnt = one.orderBy("_id").select("_f.*").toPandas()
+    return train(learnt[names].to_numpy(float).reshape(-1, len(names)), learnt["_y"].to_numpy(float), learnt["_weight"].to_numpy(float))
+
+
+def scored(docs: DataFrame, labels: DataFrame, how: Sample = Sample(6000), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with score (in place of a column of that name), learnt from labels.quality of at most how.rows documents that aren't held out."""
+    gam = fitted(docs, labels, how, key, text)
     names = [f"_f_{f}" for f in FEATURES]
-    if sample:
-        rows = spark.createDataFrame(sample, "text string, y int").repartition(spark.sparkContext.defaultParallelism)
-        learnt = text_features(rows).select("_row.y", *names).toPandas()  # at most train_rows
-        learnt = learnt.sort_values(list(learnt.columns))
-        gam = train(learnt[names].to_numpy(float), learnt["y"].to_numpy(float))
-    else:
-        gam = train(np.zeros((0, len(names))), np.zeros(0))
 
     @F.pandas_udf("double")
     def score(*features: pd.Series) -> pd.Series:

@@ -3,25 +3,32 @@
 Only documents carry labels, so training tokens are labelled through them: in a toxic document, words with a feature that is much more frequent in
 toxic than in other documents, and needed to tell them, are toxic, all others and all words of other documents are not. Emissions come from features of a word (the
 word, its ends, its shape); transitions are learned with them by maximising the conditional likelihood. A document's score is a
-logistic function of the expected number of toxic words and of the surest one, fitted on the same documents.
+logistic function of the sum of its words' squared marginals, so that hardly toxic words don't add up over a long text, and of the surest one, fitted on the same documents.
+
+A bounded sample of labelled documents is learnt from, in one task; of texts above Sample.words, runs of words from everywhere in them. Near copies
+share the weight of one document. Rows of a class that the sample holds fewer of weigh more, so the sample's size doesn't move the scores.
 
 A text is scored whole. With two states the forward and backward messages are ratios, so a step of the recursion is a few array operations over all
-texts of a batch. Nulls and empties: no words, so the score is that of a text without a toxic word. Repeated rows score alike; other columns
-pass through. Without labels of both classes every score is 0.
+texts of a batch. Nulls and empties: no words, so the score is that of a text without a toxic word. Repeated rows score alike; of rows that share an
+id with a label, the one with the least hash of the text is learnt from. An empty table gives an empty result. Other columns pass through, but one of
+the result's name (`toxicity`, or as given) is replaced. Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import Sample, excerpt, labelled_rows, stored
 
 WORD = re.compile(r"\S+")
 
@@ -81,32 +88,42 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) ->
     return odds / (1 + odds), ahead, back
 
 
-def without_copies(sample: list[tuple[str, int]], hashes: int = 6) -> list[tuple[str, int]]:
-    """The first of each group of texts of one label that share a minimum of their word triples: copies are no evidence of their own."""
-    seen: set[tuple] = set()
-    out = []
-    for text, y in sample:
-        ws = text.split()
+def copy_weights(texts: list[list[str]], labels: list[int], hashes: int = 16, agree: int = 11) -> np.ndarray:
+    """1 / the number of near copies of one label, for each text: copies are no evidence of their own.
+
+    A text is a copy of the first one of its label with which it shares `agree` of its `hashes` minima of word triples, about 70% of the triples.
+    """
+    buckets: dict[tuple, list[int]] = {}
+    first = np.arange(len(texts))
+    for t, (ws, y) in enumerate(zip(texts, labels)):
         triples = np.array([zlib.crc32(" ".join(ws[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(ws) - 2))], dtype=np.uint64)
-        minima = {(y, i, int(((triples * np.uint64(2 * i + 3) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).min())) for i in range(hashes)}
-        if not minima & seen:
-            out.append((text, y))
-        seen |= minima
-    return out
+        keys = [(y, i, int(((triples * np.uint64(2 * i + 3) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).min())) for i in range(hashes)]
+        met = [m for k in keys for m in buckets.get(k, ())]
+        if met:
+            others, times = np.unique(met, return_counts=True)
+            if times.max() >= agree:
+                first[t] = others[int(np.argmax(times >= agree))]
+                continue
+        for k in keys:
+            buckets.setdefault(k, []).append(t)
+    return 1 / np.bincount(first, minlength=len(texts))[first]
 
 
-def toxic_features(texts: list[np.ndarray], labels: np.ndarray, n_features: int, least_share: float = 0.01, ratio: float = 20.0, evidence: float = 20.0, cover: int = 6) -> np.ndarray:
-    """Which features tell toxic texts, found by sequential covering. texts: the distinct features of each.
+def toxic_features(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, n_features: int, least_share: float = 0.01, ratio: float = 20.0, evidence: float = 20.0, cover: int = 6) -> np.ndarray:
+    """Which features tell toxic texts, found by sequential covering. texts: the distinct features of each. weights: how much evidence each text is.
 
     The one of most evidence (log-likelihood ratio) is taken, time after time; a toxic text that holds `cover` taken ones is explained and counts no
     more, so that words which merely accompany them aren't taken. A feature's share of toxic texts must be `ratio` times that of others and
     at least least_share, as labels are noisy and rare features prove nothing.
     """
+    def counts(y: int) -> np.ndarray:
+        mine = [(f, w) for f, w, label in zip(texts, weights, labels) if label == y]
+        return np.bincount(np.concatenate([f for f, _ in mine]), np.repeat([w for _, w in mine], [len(f) for f, _ in mine]), n_features) if mine else np.zeros(n_features)
+
     toxic = [f for f, y in zip(texts, labels) if y]
-    none = [np.empty(0, np.int64)]
-    c = np.bincount(np.concatenate([f for f, y in zip(texts, labels) if not y] or none), minlength=n_features).astype(float)
-    k = np.bincount(np.concatenate(toxic or none), minlength=n_features).astype(float)
-    n0, n1 = max(1, len(texts) - len(toxic)), max(1, len(toxic))
+    worth = weights[labels > 0]
+    c, k = counts(0), counts(1)
+    n0, n1 = max(1.0, weights[labels == 0].sum()), max(1.0, worth.sum())
     least = max(3.0, least_share * n1)
     names = np.flatnonzero((k >= least) & ((k + 0.5) / n1 >= ratio * (c + 0.5) / n0))
     place = np.full(n_features, -1)
@@ -130,20 +147,24 @@ def toxic_features(texts: list[np.ndarray], labels: np.ndarray, n_features: int,
         for t in holders[best]:
             covered[t] += 1
             if covered[t] == cover:
-                k[held[t]] -= 1
+                k[held[t]] = np.maximum(k[held[t]] - worth[t], 0)
     out = np.zeros(n_features, bool)
     out[names[taken]] = True
     return out
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
-    """Adagrad on the conditional log-likelihood of the token labels. None without both classes."""
-    sample = without_copies([(t, y) for t, y in sample if t and t.split()])
-    if len({y for _, y in sample}) < 2:
+def train(sample: list[tuple[list[str], int, float, float]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
+    """Adagrad on the conditional log-likelihood of the token labels. sample: words, label, weight, and how many words each word stands for. None without both classes."""
+    sample = [s for s in sample if s[0]]
+    if len({s[1] for s in sample}) < 2:
         return None
+    evidence = copy_weights([s[0] for s in sample], [s[1] for s in sample])
+    weight = evidence * np.array([s[2] for s in sample])
+    weight /= weight.mean()
+    stands_for = np.array([s[3] for s in sample])
     vocabulary: dict[str, int] = {}
-    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], dtype=np.int32) for t, _ in sample]
-    toxic_text = np.array([y for _, y in sample], dtype=float)
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in s[0]], dtype=np.int32) for s in sample]
+    toxic_text = np.array([s[1] for s in sample], dtype=float)
     lengths = np.array([len(w) for w in words])
     names: dict[str, int] = {}
     table = np.empty((len(vocabulary), len(features(""))), dtype=np.int32)
@@ -152,7 +173,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
     vocabulary.clear()
     distinct = [np.unique(w) for w in words]
     by_text = [np.unique(table[w, :-1]) for w in distinct]
-    marked = toxic_features(by_text, toxic_text, len(names))[table[:, :-1]].any(axis=1)
+    marked = toxic_features(by_text, toxic_text, evidence, len(names))[table[:, :-1]].any(axis=1)
     ids = np.concatenate(words)
     y = (marked[ids] & np.repeat(toxic_text > 0, lengths)).astype(float)
     # a feature counts if it stands in two texts; others share a place whose weight stays 0
@@ -164,21 +185,22 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
     inner = np.ones(len(y), bool)
     inner[np.cumsum(lengths) - lengths] = False  # words with one before them
     at = np.flatnonzero(inner)
+    worth = np.repeat(weight, lengths)
     weights, bias, moves = np.zeros(size), -2.0, np.zeros((2, 2))
     seen_w, seen_b, seen_m = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     observed = np.zeros((2, 2))
-    np.add.at(observed, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    observed += np.bincount(2 * y[at - 1].astype(int) + y[at].astype(int), worth[at], 4).reshape(2, 2)
     for _ in range(epochs):
         e = (weights[table].sum(axis=1) + bias)[ids]
         p, ahead, back = marginals(e, lengths, moves)
-        error = y - p
+        error = worth * (y - p)
         by_word = np.bincount(ids, weights=error, minlength=len(table))
         grad = np.bincount(table.ravel(), weights=np.repeat(by_word, table.shape[1]), minlength=size) - decay * weights
         # expected moves: forward state, move, emission, backward state, normalised for each pair of neighbours
         x = np.exp(np.clip(e[at], -40, 40)) * back[at]
         m = np.exp(moves)
         r = ahead[at - 1]
-        z = 1 / (m[0, 0] + m[0, 1] * x + r * (m[1, 0] + m[1, 1] * x))
+        z = worth[at] / (m[0, 0] + m[0, 1] * x + r * (m[1, 0] + m[1, 1] * x))
         expected = m * np.array([[z.sum(), (x * z).sum()], [(r * z).sum(), (r * x * z).sum()]])
         grad_m, grad_b = observed - expected, error.sum()
         seen_w += grad**2
@@ -190,28 +212,27 @@ def train(sample: list[tuple[str, int]], epochs: int = 30, rate: float = 0.5, de
         moves += rate * grad_m / np.sqrt(seen_m)
         moves -= moves[0, 0]  # ratios alone count
     p = marginals((weights[table].sum(axis=1) + bias)[ids], lengths, moves)[0]
-    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i] and weights[known[i]]}, float(bias), moves, calibrate(summary(p, lengths), toxic_text))
+    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i] and weights[known[i]]}, float(bias), moves, calibrate(summary(p, lengths, stands_for), toxic_text, weight))
 
 
-def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each text 1, the logarithm of 1 + the expected number of toxic words, and the surest one's marginal."""
+def summary(p: np.ndarray, lengths: np.ndarray, stands_for: np.ndarray | float = 1.0) -> np.ndarray:
+    """For each text 1, the logarithm of 1 + the sum of squared marginals (each counting for stands_for words), and the surest word's marginal."""
     out = np.zeros((len(lengths), 3))
     out[:, 0] = 1
     full = np.flatnonzero(lengths)
     if len(full):
         starts = (np.cumsum(lengths) - lengths)[full]
-        # words that are hardly toxic don't add up over a long text
-        out[full, 1] = np.log1p(np.add.reduceat(np.where(p < 0.1, 0.0, p), starts))
+        out[full, 1] = np.log1p(np.add.reduceat(p * p, starts) * np.broadcast_to(stands_for, len(lengths))[full])
         out[full, 2] = np.maximum.reduceat(p, starts)
     return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x.T * (q * (1 - q))) @ x + ridge * np.eye(len(w)), x.T @ (y - q) - ridge * w)
+        w += np.linalg.solve((x.T * (weight * q * (1 - q))) @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - q)) - ridge * w)
     return w
 
 
@@ -255,9 +276,24 @@ def score_texts(texts: list[str | None], chain: Chain, known: Emissions, least:
     return scores, spans
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with toxicity, a struct of score (0 to 1) and spans (start, end, p)."""
-    chain = train(labelled_sample(docs, labels, "toxic", train_rows, key=key, text=text))
+def fitted(docs: DataFrame, labels: DataFrame, how: Sample = Sample(4000), key: str = "doc_id", text: str = "text") -> Chain | None:
+    """The model of docs' labelled sample, fitted by one task, which holds how.rows * how.words words at most."""
+    rows = labelled_rows(docs, labels, "toxic", how, key, text)
+    one = rows.groupBy("_id", "_y", "_weight").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["_id"], *excerpt(r["_text"], how), r["_y"], r["_weight"]) for batch in batches for r in batch.to_pylist())
+        chain = train([(ws, y, weight, each) for _, ws, each, y, weight in sample])
+        if chain:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(chain))], pa.binary())], ["model"])
+
+    found = stored(one.repartition(1).mapInArrow(run, "model binary")).head()
+    return Chain(**pickle.loads(bytes(found[0]))) if found else None
+
+
+def scored(docs: DataFrame, labels: DataFrame, how: Sample = Sample(4000), key: str = "doc_id", text: str = "text", result: str = "toxicity") -> DataFrame:
+    """docs with a column of the name `result`, a struct of score (0 to 1) and spans (start, end, p)."""
+    chain = fitted(docs, labels, how, key, text)
     known = Emissions(chain) if chain else None
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
@@ -267,4 +303,4 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, key: str
         scores, spans = score_texts(texts.tolist(), chain, known)
         return pd.DataFrame({"score": scores, "spans": [[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans]})
 
-    return docs.withColumn("toxicity", apply(F.col(text)))
+    return docs.withColumn(result, apply(F.col(text)))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skymatch.llm import pii, pii_mentions, pii_model, quality_gam, toxicity
-from skymatch.llm.common import held_out
+from skymatch.llm.common import Sample, excerpt, held_out, labelled_rows
 
 EDGES = [(1, None), (2, ""), (3, " \n "), (4, "idiot"), (5, "x" * 30_000), (5, "x" * 30_000), (None, "mail a.b@c.org now"), (6, "words " * 20_000), (7, "퟿é \U0001f600 +1 234 567 8901")]
 
@@ -304,9 +304,130 @@ def test_learns_from_other_rows_only(spark):
         assert sorted(map(tuple, score(labels).collect())) == sorted(map(tuple, score(wrong).collect()))
 
 
+def plain_score(chain, text):
+    """The score of a text by its definition: squared marginals over all paths."""
+    ws = (text or "").split()
+    e = [chain.emission(w) for w in ws]
+    total, one = 0.0, [0.0] * len(ws)
+    for path in itertools.product((0, 1), repeat=len(ws)):
+        v = np.exp(sum(x * y for x, y in zip(e, path)) + sum(chain.moves[a, b] for a, b in zip(path, path[1:])))
+        total += v
+        one = [o + v * y for o, y in zip(one, path)]
+    p = [o / total for o in one]
+    return 1 / (1 + np.exp(-(chain.calibration @ [1, np.log1p(sum(x * x for x in p)), max(p, default=0.0)])))
+
+
+def test_scores_against_all_paths():
+    sample = [((f"w{i % 9} v{i % 5} idiot scum x{i % 3}" if i % 4 == 0 else f"w{i % 7} v{i % 6} here and there").split(), int(i % 4 == 0), 1.0, 1.0) for i in range(200)]
+    chain = toxicity.train(sample)
+    texts = ["idiot", "w1 v2 here", "", None, "the idiot scum of w3 and so on", "idiot scum idiot scum", "there"]
+    got = toxicity.score_texts(texts, chain, toxicity.Emissions(chain))[0]
+    assert np.allclose(got, [plain_score(chain, t) for t in texts])
+    assert got[0] > 0.5 > got[1]
+
+
+def test_copies_share_their_weight():
+    r = random.Random(0)
+    text = [f"w{r.randrange(1000)}" for _ in range(200)]
+    near = [*text[:100], "changed", *text[101:]]
+    other = [f"w{r.randrange(1000)}" for _ in range(200)]
+    passage = [*other[:150], *[f"w{r.randrange(1000)}" for _ in range(150)]]  # half of it is shared, which is no copy
+    assert toxicity.copy_weights([text, near, other, text, passage, text], [1, 1, 1, 0, 1, 1]).tolist() == pytest.approx([1 / 3, 1 / 3, 1, 1, 1, 1 / 3])
+
+
+def test_excerpts():
+    how = Sample(rows=9, words=1000, run=50)
+    ws = [str(i) for i in range(5000)]
+    got, each = excerpt(" ".join(ws), how)
+    assert len(got) == 1000 and each == 5 and [int(x) for x in got] == sorted(map(int, got)) and max(map(int, got)) > 4000
+    assert excerpt(" ".join(ws[:1000]), how) == (ws[:1000], 1.0) and excerpt(None, how) == ([], 1.0)
+
+
+def test_samples_are_weighted_and_hold_for_every_layout(spark):
+    """Repeated ids, long texts and more labels than rows: the same sample and scores for each layout, and weights that restore the shares of the classes."""
+    rows = [(i, ("idiot scum " if i % 5 == 0 else "some words ") + f"and w{i} " * (3000 if i == 5 else 3)) for i in range(300)] + [(i, f"another text {i % 3} of the id") for i in range(40) for _ in range(2)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), int(i % 5 != 0)) for i in range(300)], "doc_id long, toxic int, quality int")
+    n = {y: labels.where((F.col("toxic") == y) & ~held_out(F.col("doc_id"))).count() for y in (0, 1)}
+    how = Sample(rows=60, words=500)
+    results = []
+    for parts in (1, 6):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+        sample = labelled_rows(docs, labels, "toxic", how).select("_id", "_y", "_weight").distinct().collect()
+        assert len(sample) == 60 and sum(r["_y"] for r in sample) == 24
+        assert {round(sum(r["_weight"] for r in sample if r["_y"] == y), 6) for y in (0, 1)} == set(n.values())
+        results.append(sorted((r["doc_id"], r["text"], r["toxicity"]["score"]) for r in toxicity.scored(docs, labels, how).collect()))
+        results.append(sorted((r["doc_id"], r["text"], r["score"]) for r in quality_gam.scored(docs, labels, how).collect()))
+    assert results[0] == results[2] and results[1] == results[3]
+
+
 # ---- quality
 
 
+def plain_best_cuts(g, h, ridge, least):
+    """The leaf values of all grids split by a cut on each axis, best gain first."""
+    rows, cols = g.shape
+    value = lambda a, b: a * a / (b + ridge)
+    best = (-1.0, np.zeros_like(g))
+    for i, j in itertools.product(range(1, rows), range(1, cols)):
+        cells = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, cols)), (slice(i, rows), slice(0, j)), (slice(i, rows), slice(j, cols))]
+        gain = sum(value(g[c].sum(), h[c].sum()) for c in cells) - value(g.sum(), h.sum())
+        if min(h[c].sum() for c in cells) >= least and gain > best[0] + 1e-12:
+            out = np.zeros_like(g)
+            for c in cells:
+                out[c] = g[c].sum() / (h[c].sum() + ridge)
+            best = (gain, out)
+    return best
+
+
+def test_cross_cut_against_all():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        g, h = r.standard_normal((5, 4)), r.random((5, 4)) + 0.1
+        gain, out = quality_gam.cross_cut(g, h, 1.0, 0.3)
+        plain_gain, plain_out = plain_best_cuts(g, h, 1.0, 0.3)
+        assert np.isclose(gain, plain_gain) and np.allclose(out, plain_out)
+
+
+def test_training_and_scores_against_plain_version():
+    """A few rounds of cyclic boosting, row by row, with weights."""
+    r = np.random.default_rng(6)
+    x = np.round(r.random((300, 3)), 2)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6)).astype(float)
+    w = r.choice([1.0, 3.0], 300)
+    gam = quality_gam.train(x, y, w, bins=6, coarse=3, rounds=4, pair_rounds=3, pairs=2)
+    weight = w / w.mean()
+    share = (weight * y).mean()
+    score = [float(np.log(share / (1 - share)))] * 300
+    bins = [[sum(v >= e for e in edges) for v in x[:, i]] for i, edges in enumerate(gam.edges)]
+    tables = [np.zeros(len(e) + 1) for e in gam.edges]
+
+    def sums(cells, shape):
+        g, h = np.zeros(shape), np.zeros(shape)
+        for c, s, target, k in zip(cells, score, y, weight):
+            p = 1 / (1 + np.exp(-s))
+            g[c] += k * (target - p)
+            h[c] += k * p * (1 - p)
+        return g, h
+
+    for _ in range(4):
+        for i, t in enumerate(tables):
+            step = 0.1 * quality_gam.two_cuts(*sums(bins[i], len(t)), 2.0, 1.0)
+            tables[i] = t + step
+            score = [s + step[b] for s, b in zip(score, bins[i])]
+    coarse = [[b * 3 // len(t) for b in bins[i]] for i, t in enumerate(tables)]
+    cells = {(i, j): list(zip(coarse[i], coarse[j])) for i in range(3) for j in range(i)}
+    gains = sorted(((plain_best_cuts(*sums(c, (3, 3)), 2.0, 1.0)[0], k) for k, c in cells.items()), reverse=True)[:2]
+    pairs = {k: np.zeros((3, 3)) for _, k in gains}
+    for _ in range(3):
+        for k in pairs:
+            step = 0.1 * plain_best_cuts(*sums(cells[k], (3, 3)), 2.0, 1.0)[1]
+            pairs[k] = pairs[k] + step
+            score = [s + step[c] for s, c in zip(score, cells[k])]
+    assert [(i, j) for i, j, _ in gam.pairs] == list(pairs)
+    assert all(np.allclose(a, b) for a, b in zip(gam.single, tables)) and all(np.allclose(t, pairs[i, j]) for i, j, t in gam.pairs)
+    assert np.allclose(gam.score(x), 1 / (1 + np.exp(-np.array(score))))
+
+
 def test_quality(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
