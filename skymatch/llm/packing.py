@@ -7,10 +7,12 @@ there are few patterns. Pieces then take the places of their length by rank; ran
 all pieces of a length.
 
 Nulls: a null text is empty and becomes the end token alone. Repeated rows are packed as often as they occur. Empty tables give empty results.
+Other columns of the documents are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ class Encoder:
 
         self.plain = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.fast, self.failed = None, 0
         if ranks_path:
             import base64
 
@@ -50,6 +52,8 @@ class Encoder:
             except BaseException as e:  # a panic of the native library isn't an Exception
                 if isinstance(e, KeyboardInterrupt | SystemExit):
                     raise
+                self.failed += 1
+                logging.getLogger(__name__).warning("text %d of this task that the ranks can't encode goes the plain way: %r", self.failed, e)
         return self.plain.encode(text, add_special_tokens=False).ids
 
 
@@ -60,21 +64,22 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = 2048, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: a row for each piece of each row of docs."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    """doc_id, piece, start, length, ids_crc32, _salt (a number that deals rows of one id apart) and, with_ids, ids: a row for each piece of each row of docs."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt int" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, ranks_path, pattern)
+        encode, salt = Encoder(tokenizer_path, ranks_path, pattern), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    salt = (salt + 1) % 2**30
                     ids = np.array([*encode(text or ""), END], dtype="<u4")
-                    rows += [(doc_id, i, s, n, zlib.crc32(x := ids[s : s + n].tobytes()), *([np.frombuffer(x, "<u4").astype("i4")] if with_ids else [])) for i, (s, n) in enumerate(cut(len(ids), capacity))]
+                    rows += [(doc_id, i, s, n, zlib.crc32(x := ids[s : s + n].tobytes()), salt, *([np.frombuffer(x, "<u4").astype("i4")] if with_ids else [])) for i, (s, n) in enumerate(cut(len(ids), capacity))]
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "_salt", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names[: len(cols)])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -135,9 +140,11 @@ def places(plan: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, dtype=np.int64) for n, x in out.items()}
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 2048, buckets: int = 1024) -> DataFrame:
-    """cut_pieces (as from pieces) with sequence_id and offset. They are read twice, so they should be stored."""
-    rows = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_bucket: int = 20_000) -> DataFrame:
+    """cut_pieces (as from pieces) with sequence_id and offset. They are read several times, so they should be stored. Ranks within a length go by buckets, of which there are more the more pieces there are."""
+    buckets = max(64, -(-cut_pieces.count() // rows_a_bucket))
+    own = ["doc_id", "piece", *(c for c in ("_salt",) if c in cut_pieces.columns)]
+    rows = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)))
     counts = rows.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     below = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(below), F.lit(0))).select(F.col("_bucket").alias("_b"), F.col("length").alias("_l"), "_base")
@@ -160,7 +167,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, buckets: int = 1024) -> Da
             out[at, 1] = slots[i, 2]
         return pd.DataFrame({"sequence_id": out[:, 0], "offset": out[:, 1]})
 
-    return ranked.withColumn("_place", placed("length", "_rank")).select(*cut_pieces.columns, "_place.sequence_id", "_place.offset")
+    return ranked.withColumn("_place", placed("length", "_rank")).select(*cut_pieces.columns, "_place.sequence_id", "_place.offset").drop("_salt")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -99,12 +99,22 @@ def test_many_equal_lengths(spark):
     r = random.Random(0)
     rows = [(i, 0, 0, 64 if i % 3 else r.randint(1, 64), 0) for i in range(5000)]
     df = stored(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    out = packing.pack(df, 64, buckets=16).collect()
+    out = packing.pack(df, 64, rows_a_bucket=40).collect()
     assert len(out) == len(rows) and {(x["doc_id"], x["length"]) for x in out} == {(x[0], x[3]) for x in rows}
     n = place_check(out, 64)
     assert n <= 1.02 * ffd([x[3] for x in rows], 64)
 
 
+def test_null_ids_are_dealt_apart(spark):
+    """Rows of one id, equal or not, don't share a bucket by it."""
+    cut = stored(packing.pieces(spark.createDataFrame([(None, "the same text")] * 3000, "doc_id long, text string"), **TOKENIZER))
+    n = len({r["b"] for r in cut.select((F.xxhash64("doc_id", "piece", "_salt") % 64).alias("b")).collect()})
+    assert n > 60
+    out = packing.pack(cut, 2048).collect()
+    assert "_salt" not in out[0].asDict() and len(out) == 3000
+    place_check(out, 2048)
+
+
 def test_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = packing.pack_documents(docs, **TOKENIZER).collect()
