@@ -6,7 +6,8 @@ counts. The lines to remove are joined back by their hash; texts are shuffled on
 
 Nulls: a null text has no lines and stays null; a null site counts as one site of its own. Empty lines are never removed. Rows that repeat
 with the same id and text are one document and are cleaned alike; of equal occurrences the one with the least (id, text hash, position) is
-first. Other columns pass through unchanged.
+first. Other columns pass through unchanged, whatever their names, but n_lines and n_removed, which are replaced unless counts are not wanted.
+Empty tables give empty results. Time is in proportion to a text's lines.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def spread(lines: DataFrame, min_sites: int, log_k: int = 10, margin: float = 0.
     return seen.where(F.col("_sites") > high).unionByName(counted).select("a", "b", "first")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 3, key: str = "doc_id", site: str = "source", text: str = "text", log_k: int = 10) -> DataFrame:
-    """docs with text cleaned, and n_lines, n_removed (lines with a word before, and removed), which replace columns of these names."""
+def dedup_lines(docs: DataFrame, min_sites: int = 3, key: str = "doc_id", site: str = "source", text: str = "text", log_k: int = 10, counts: bool = True) -> DataFrame:
+    """docs with text cleaned, and, with counts, n_lines, n_removed (lines with a word before, and removed), which replace columns of these names."""
     body = F.col("_row").getField(text)
     rows = docs.select(boxed(docs)).select("_row", F.col("_row").getField(key).alias("_id"), F.coalesce(F.xxhash64(body), F.lit(0).cast("long")).alias("_version"))
     lines = rows.select(F.col("_id").alias("key"), F.col("_version").alias("version"), F.col("_row").getField(site).alias("site"), F.explode(line_hashes(body)).alias("x"))
@@ -49,10 +50,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, key: str = "doc_id", site:
     hits = lines.select("key", "version", "pos", "a", "b").join(common, ["a", "b"])
     hits = hits.where(~F.struct("key", "version", "pos").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("key").alias("_key"), F.col("version").alias("_v")).agg(F.collect_set("pos").alias("_gone"))
-    # the texts stream past a hash table of a partition's positions, without a sort of whole texts
-    joined = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
-    kept = bind(F.split(body, "\n"), lambda x: F.filter(x, lambda _, i: ~F.array_contains("_gone", i)))
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
+    # what lies between the removed lines is cut out in one go each
+    bounds = F.concat(F.array(F.lit(-1)), F.array_sort("_gone"), F.array(F.size(F.split(body, "\n"))))
+    kept = bind(F.struct(F.split(body, "\n").alias("lines"), bounds.alias("at")), lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["at"]) - 2), lambda i: F.slice(x["lines"], F.get(x["at"], i) + 2, F.get(x["at"], i + 1) - F.get(x["at"], i) - 1))))
     clean = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    if not counts:
+        return joined.select(*unboxed(docs.columns, **{text: clean})).select(*docs.columns)
     n_lines = F.when(body.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))))
     n_removed = F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0))
     out = joined.select(*unboxed(docs.columns, **{text: clean, "n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")}))
