@@ -5,7 +5,8 @@ documents before the budget are the sample. A source whose target is above its s
 about the rest. Prefix sums are two-level: sums of (source, key range) first, then inside each range, so that no task holds a source.
 
 Nulls: a null source is a source, ordered last; a null text has size 0 and is never taken; a null or non-positive weight counts as the least
-positive one. Rows that repeat have the same key and are taken one by one, in any order, since they are equal. Empty tables give empty results.
+positive one. Rows that share an id are rows of their own, told apart by a hash of the whole row; rows equal in all columns have the same key and are taken one by one, in any order.
+Empty tables give empty results. Other columns pass through `mixed` whatever their names; `mix` returns columns of its own only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, n_words, stored, unboxed
+from .common import SPACE, boxed, n_words, row_hash, stored, unboxed
 
 LEAST_WEIGHT = 1e-6
 
@@ -52,9 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def mix(docs: DataFrame, weight: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text", rows_a_range: int = 100_000, seed: str = "mix") -> DataFrame:
-    """doc_id, version (a hash of the text), source, size, source_size, target, copies (times the mix takes it), taken (words: copies * size), a row for each row of docs."""
+    """doc_id, row (a hash of the whole row), source, size, source_size, target, copies (times the mix takes it), taken (words: copies * size), a row for each row of docs."""
     w = F.greatest(F.coalesce(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (-F.log(uniform(F.col(key), seed)) / w).alias("_key"))
+    slim = docs.select(F.col(key).alias("doc_id"), row_hash(docs, text).alias("row"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (-F.log(uniform(F.col(key), seed)) / w).alias("_key"))
     slim = stored(slim)
     n = slim.count()  # from the footers
     ranges = max(256, n // rows_a_range)
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weight: Column, weights: tuple[float, ...] = (5, 2, 1),
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
     parts = parts.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n")
     parts = parts.withColumnsRenamed({"source": "_s", "_range": "_r"})
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = slim.withColumn("_upto", F.sum("size").over(inside))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))).otherwise(F.lit(0)).cast("long")
@@ -73,16 +74,15 @@ def mix(docs: DataFrame, weight: Column, weights: tuple[float, ...] = (5, 2, 1),
     end = (F.col("_before") + F.col("_upto")).cast("double")
     more = F.when((F.col("size") > 0) & (end - F.col("size") / 2.0 <= rest), 1).otherwise(0)  # the nearer side of the budget
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, epochs + more).otherwise(F.lit(0)).cast("long"))
-    return rows.select("doc_id", "version", "source", "size", F.col("source_size").cast("long"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "row", "source", "size", F.col("source_size").cast("long"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weight: Column, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
     plan = mix(docs, weight, key=key, source=source, text=text, **how)
-    # rows that repeat are one here, with all their copies
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), F.col("source").alias("_s")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    of = F.col("_row").getField
-    same = of(key).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")) & of(source).eqNullSafe(F.col("_s"))
-    rows = docs.select(boxed(docs)).withColumn("_version", F.xxhash64(of(text))).join(plan, same)
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_v", "_s").orderBy(F.lit(1)))).where("_rank = 1")
+    # rows equal in all columns are one here, with all their copies
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_r")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.select(boxed(docs), row_hash(docs, text).alias("_hash"))
+    rows = rows.join(plan, F.col("_row").getField(key).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_r")))
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_r").orderBy("_copies"))).where("_rank = 1")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unboxed(docs.columns))

@@ -209,3 +209,26 @@ def test_weights_matter(spark):
     out = mixing.mix(df, F.when(F.col("doc_id") % 2 == 0, 5.0).otherwise(1.0), weights=(1, 100)).where("source = 'A'").collect()
     share = [sum(x["taken"] for x in out if x["doc_id"] % 2 == k) for k in (0, 1)]
     assert share[0] > 1.1 * share[1]
+
+
+def test_mixed_keeps_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "fr"), (1, "a b c", "s", "fr"), (2, "d e f", "s", None), (None, "g h", None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = Counter(tuple(r) for r in mixing.mixed(df, F.lit(1.0), weights=(1,), share=2.0, most=2.0).collect())
+    assert out == Counter({r: 2 * n for r, n in Counter(rows).items()})
+    maps = df.withColumn("m", F.create_map(F.lit("k"), "lang"))
+    assert Counter((r[0], r[3], r["m"]["k"]) for r in mixing.mixed(maps, F.lit(1.0), weights=(1,), share=2.0).collect()) == Counter((r[0], r[3], r[3]) for r in out.elements())
+
+
+def test_lines_of_a_very_long_text(spark):
+    """200,000 lines, all but a few removed or kept in stretches, in linear time."""
+    import time
+
+    long = "\n".join(f"line {i % 100_000} here" for i in range(200_000))
+    docs = spark.createDataFrame([(i, long, s) for i, s in enumerate("abc")] + [(9, "line 5 here\nown", "d")], "doc_id long, text string, source string")
+    began = time.time()
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert out[0]["n_removed"] == 100_000 and out[0]["text"].split("\n") == long.split("\n")[:100_000]
+    assert out[1]["text"] == out[2]["text"] == "" and out[1]["n_removed"] == 200_000 and out[9]["text"] == "own"
+    assert line_dedup.dedup_lines(docs, counts=False).columns == docs.columns
