@@ -72,6 +72,18 @@ def test_edges(spark, sf):
         docs.count()
 
 
+def test_columns_of_operators_names_pass_through(spark, sf):
+    from pyspark.sql import functions as F
+
+    names = ("toxicity", "score", "n_lines", "n_removed", "kept", "component", "copies", "_row", "_version", "_hash", "_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    docs = stored(docs.withColumns({n: F.concat(F.lit(f"{n} of "), "doc_id") for n in names}))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf))
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names)
+
+
 def test_scratch_tables_are_released(spark):
     from skymatch.llm import common
 
