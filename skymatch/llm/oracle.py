@@ -66,32 +66,47 @@ g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT
 SELECT d.doc_id, g.text, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
-def op10(rules, how: Templates = Templates()) -> str:
+def op10(rules, how: Templates = Templates(), levels: int = 3) -> str:
+    """levels: at least the number of segments of the longest path of the table that the query is checked on; SQL without recursion must write them out."""
     fits = []
     for r in sorted(rules, key=lambda r: -len(r.rule)):
         name, _, rest = r.rule.partition("/")
         fits.append((f"(host = '{name}' OR host LIKE '%.{name}') AND starts_with(path, '/{rest}')", r))
     known = "CASE " + " ".join(f"WHEN {f} THEN '{r.rule}'" for f, r in fits) + " END"
     said = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits) + " END"
-    levels, before = [], "t0"
-    for i in range(how.depth):
-        seg = f"coalesce(parts[{i + 1}], '')"
-        levels.append(
-            f"c{i} AS (SELECT host, template, {seg} AS seg, sum(pages) AS n FROM {before} GROUP BY ALL), "
-            f"s{i} AS (SELECT host, template, seg, CASE WHEN n >= {how.literal_pages} AND n >= {how.literal_share} * sum(n) OVER (PARTITION BY host, template) THEN seg ELSE '*' END AS step FROM c{i}), "
-            f"t{i + 1} AS (SELECT t.* EXCLUDE (template), CASE WHEN len(parts) <= {i} THEN t.template ELSE t.template || '/' || step END AS template FROM {before} t JOIN s{i} ON s{i}.host = t.host AND s{i}.template = t.template AND s{i}.seg = coalesce(t.parts[{i + 1}], ''))"
+
+    def apart(n: str, k: str, n2: str, k2: str) -> str:
+        """Whether k of n and k2 of n2 other pages differ significantly."""
+        p = f"(1e0 * ({k} + {k2}) / ({n} + {n2}))"
+        return f"coalesce(CASE WHEN {n} > 0 AND {n2} > 0 THEN abs(1e0 * {k} / {n} - 1e0 * ({k2}) / ({n2})) > {how.merge_z} * sqrt({p} * (1 - {p}) * (1e0 / {n} + 1e0 / ({n2}))) END, false)"
+
+    steps, before = [], "t0"
+    for i in range(levels):
+        rest = f"array_to_string(list_transform(parts[{i + 1}:], lambda x: CASE WHEN t.pages >= {how.literal_pages} THEN x ELSE '*' END), '/')"
+        steps.append(
+            f"c{i} AS (SELECT host, template, coalesce(parts[{i + 1}], '') AS seg, sum(pages) AS pages, sum(labelled) AS n, sum(bad) AS k, count(*) AS shapes FROM {before} WHERE NOT done GROUP BY ALL), "
+            f"a{i} AS (SELECT *, sum(pages) OVER w AS all_pages, sum(n) OVER w AS all_n, sum(k) OVER w AS all_k, sum(shapes) OVER w = 1 AS alone FROM c{i} WINDOW w AS (PARTITION BY host, template)), "
+            f"s{i} AS (SELECT *, CASE WHEN pages >= {how.literal_pages} AND pages >= {how.literal_share} * all_pages OR n >= {how.own_labelled} AND {apart('n', 'k', 'all_n - n', 'all_k - k')} THEN seg ELSE '*' END AS step FROM a{i}), "
+            f"b{i} AS (SELECT host, template, step, sum(n) AS n, sum(k) AS k FROM s{i} WHERE NOT alone GROUP BY ALL), "
+            f"d{i} AS (SELECT *, sum(n) OVER w AS tn, sum(k) OVER w AS tk FROM b{i} WINDOW w AS (PARTITION BY host, template)), "
+            f"e{i} AS (SELECT *, n > 0 AND NOT {apart('n', 'k', 'tn - n', 'tk - k')} AS near FROM d{i}), "
+            f"f{i} AS (SELECT *, sum(CASE WHEN near THEN n ELSE 0 END) OVER w AS pn, sum(CASE WHEN near THEN k ELSE 0 END) OVER w AS pk FROM e{i} WINDOW w AS (PARTITION BY host, template)), "
+            f"g{i} AS (SELECT *, n > 0 AND pn > 0 AND NOT {apart('n', 'k', 'pn - CASE WHEN near THEN n ELSE 0 END', 'pk - CASE WHEN near THEN k ELSE 0 END')} AS core FROM f{i}), "
+            f"h{i} AS (SELECT *, CASE WHEN n = 0 THEN '?u' WHEN core THEN '?m' WHEN k * CASE WHEN pn > 0 THEN pn ELSE tn END > n * CASE WHEN pn > 0 THEN pk ELSE tk END THEN '?h' ELSE '?l' END AS side FROM g{i}), "
+            f"i{i} AS (SELECT *, sum(n) OVER w AS sn, sum(k) OVER w AS sk FROM h{i} WINDOW w AS (PARTITION BY host, template, side)), "
+            f"j{i} AS (SELECT *, CASE WHEN n > 0 AND (core OR NOT {apart('n', 'k', 'sn - n', 'sk - k')}) THEN side END AS grp FROM i{i}), "
+            f"k{i} AS (SELECT host, template, step, CASE WHEN count(*) OVER (PARTITION BY host, template, grp) > 1 THEN grp END AS grp FROM j{i}), "
+            f"l{i} AS (SELECT s.host, s.template, s.seg, s.alone, coalesce(k.grp, s.step) AS step FROM s{i} s LEFT JOIN k{i} k ON k.host = s.host AND k.template = s.template AND k.step = s.step), "
+            f"t{i + 1} AS (SELECT t.* EXCLUDE (template, done), CASE WHEN t.done OR len(parts) <= {i} THEN t.template WHEN l.alone THEN t.template || '/' || {rest} ELSE t.template || '/' || l.step END AS template, t.done OR l.alone OR len(parts) <= {i} AS done "
+            f"FROM {before} t LEFT JOIN l{i} l ON NOT t.done AND l.host = t.host AND l.template = t.template AND l.seg = coalesce(t.parts[{i + 1}], ''))"
         )
         before = f"t{i + 1}"
     return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {known} AS rule, {said} AS said, regexp_replace(path, '[0-9]+', '#', 'g') AS shape, TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS label_id FROM u),
 lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 sh AS (SELECT host, shape, count(*) AS pages, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM r LEFT JOIN lab ON lab.doc_id = r.label_id GROUP BY host, shape),
-raw AS (SELECT *, string_split(regexp_replace(shape, '^/', ''), '/') AS p FROM sh),
-t0 AS (SELECT host, shape, pages, labelled, bad, CASE WHEN len(p) > {how.depth} THEN list_append(p[1:{how.depth - 1}], array_to_string(p[{how.depth}:], '/')) ELSE p END AS parts, '' AS template FROM raw),
-{', '.join(levels)},
-tp AS (SELECT host, template, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k, regexp_replace(template, '/[^/]*$', '') AS parent FROM {before} GROUP BY host, template),
-fam AS (SELECT *, sum(n) OVER f AS alln, sum(k) OVER f AS allk FROM tp WINDOW f AS (PARTITION BY host, parent)),
-z AS (SELECT *, CASE WHEN n > 0 AND alln - n > 0 THEN abs(k / n - (allk - k) / (alln - n)) > {how.merge_z} * sqrt(allk / alln * (1 - allk / alln) * (1 / n + 1 / (alln - n))) ELSE false END AS apart FROM fam),
+t0 AS (SELECT host, shape, pages, labelled, bad, string_split(regexp_replace(shape, '^/', ''), '/') AS parts, '' AS template, false AS done FROM sh),
+{', '.join(steps)},
 prior AS (SELECT coalesce(sum(bad) / sum(labelled), 0e0) AS v FROM sh),
-v AS (SELECT host, template, (CASE WHEN apart THEN k ELSE allk END + {how.prior_pages} * prior.v) / (CASE WHEN apart THEN n ELSE alln END + {how.prior_pages}) AS share FROM z CROSS JOIN prior)
+v AS (SELECT host, template, (sum(bad) + {how.prior_pages} * any_value(prior.v)) / (sum(labelled) + {how.prior_pages}) AS share FROM {before} CROSS JOIN prior GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN v.share >= {how.reject} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN {before} t ON t.host = r.host AND t.shape = r.shape JOIN v ON v.host = t.host AND v.template = t.template"""

@@ -1,20 +1,21 @@
 """URL filters: listed rules first, then a tree of path templates for each host.
 
-A url's path is cut into segments and digit runs become `#`. Within a host the tree is walked from the root: a segment that holds too small
+A url's path is cut into segments and digit runs, variable by nature, become `#`. Within a host the tree is walked from the root, as deep as the paths go. A segment that holds too small
 a share of its parent's pages is variable and becomes `*`, unless its labelled pages are enough and differ significantly from its siblings'; others stay.
-The tree goes as deep as the paths. Sibling branches under a parent whose labelled shares of bad pages
-don't differ significantly are merged, and a template is rejected if its smoothed share of bad labelled pages reaches a threshold.
+Then siblings whose labelled shares of bad pages don't differ are merged into one branch, whose children the next level counts together: first those that
+don't differ from the pool of all such, then, on either side of it, those that don't differ from the pool of the side. A branch that
+differs from every pool stays alone, and one without labels merges with none. A template is rejected if its share of bad labelled pages, smoothed by the share of all, reaches a threshold.
 The tree works on counts by (host, shape), which a partial aggregation makes before any shuffle, so a hot host costs no more than its shapes.
 
 Nulls: a null url, or one without `://`, has empty host and path; it belongs to the template of the empty host. Empty tables give empty
-results, repeated pages are judged alike, and other columns of the input are ignored. Labels are optional.
+results, repeated pages are judged alike, and other columns of the input are ignored, so their names can't clash. Labels are optional.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -28,10 +29,9 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Templates:
-    """depth: levels that the SQL of the query writes out; branches deeper than these that have few labels are judged with all below the same depth - 1 segments. own_labelled: labelled pages from which a branch can be told from its siblings. literal_share: least share of the parent's pages that keeps a segment.
+    """literal_share, literal_pages: least share of the parent's pages, and least pages, that keep a segment. own_labelled: labelled pages from which a rarer branch can be told from its siblings.
     merge_z: branches closer than this many standard errors merge. prior_pages: weight of the prior, the share of bad pages in all. reject: least smoothed share to reject."""
 
-    depth: int = 4
     literal_share: float = 0.02
     literal_pages: int = 3
     merge_z: float = 1.96
@@ -74,6 +74,36 @@ def differs(n: Column, k: Column, all_n: Column, all_k: Column, how: Templates)
     return F.coalesce(apart, F.lit(False))
 
 
+def merged_branches(branches: DataFrame, how: Templates) -> DataFrame:
+    """branches: host, template (of the parent), step, labelled, bad, a row each. Adds group: of the branches that are merged with it, or null.
+
+    A group's name begins with ?, which no path has: ?m for those like the pool of all, ?l and ?h for those alike below and above it.
+    """
+    family = Window.partitionBy("host", "template")
+
+    def pool(which: Column, window=family) -> tuple[Column, Column]:
+        return F.sum(F.when(which, F.col("labelled")).otherwise(0)).over(window), F.sum(F.when(which, F.col("bad")).otherwise(0)).over(window)
+
+    def beside(which: str, n: Column, k: Column) -> tuple[Column, Column]:
+        """A pool with the branch itself, whether it is in it or not."""
+        return n + F.when(F.col(which), 0).otherwise(F.col("labelled")), k + F.when(F.col(which), 0).otherwise(F.col("bad"))
+
+    some = F.col("labelled") > 0
+    n, k = pool(some)
+    rows = branches.withColumn("_near", some & ~differs(F.col("labelled"), F.col("bad"), n, k, how))
+    n, k = pool(F.col("_near"))
+    rows = rows.withColumn("_n", n).withColumn("_k", k)
+    rows = rows.withColumn("_core", some & (F.col("_n") > 0) & ~differs(F.col("labelled"), F.col("bad"), *beside("_near", F.col("_n"), F.col("_k")), how))
+    n, k = pool(some)
+    above = F.col("bad") * F.when(F.col("_n") > 0, F.col("_n")).otherwise(n) > F.col("labelled") * F.when(F.col("_n") > 0, F.col("_k")).otherwise(k)
+    rows = rows.withColumn("_side", F.when(~some, "?u").when(F.col("_core"), "?m").when(above, "?h").otherwise("?l"))
+    n, k = pool(some, Window.partitionBy("host", "template", "_side"))
+    alike = some & (F.col("_core") | ~differs(F.col("labelled"), F.col("bad"), n, k, how))
+    rows = rows.withColumn("group", F.when(alike, F.col("_side")))
+    size = F.count("*").over(Window.partitionBy("host", "template", "group"))
+    return rows.withColumn("_size", size).select(*branches.columns, F.when(F.col("_size") > 1, F.col("group")).alias("group"))
+
+
 def template_tree(shapes: DataFrame, how: Templates) -> DataFrame:
     """shapes: host, shape, pages, labelled, bad. Adds template. A level is a few jobs; a branch of one shape is finished at once, so long lone paths add none."""
     size = F.size("_parts")
@@ -81,15 +111,18 @@ def template_tree(shapes: DataFrame, how: Templates) -> DataFrame:
     done, level = [], 0
     while True:
         tree = tree.withColumn("_seg", F.when(size > level, F.get("_parts", F.lit(level))).otherwise(F.lit("")))
-        child = tree.groupBy("host", "template", "_seg").agg(F.sum("pages").alias("_n"), F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"), F.count("*").alias("_shapes"))
-        parent = child.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("_n").alias("_all"), F.sum("_l").alias("_all_l"), F.sum("_b").alias("_all_b"), F.sum("_shapes").alias("_all_shapes"))
+        child = tree.groupBy("host", "template", "_seg").agg(F.sum("pages").alias("_n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("_shapes"))
+        parent = child.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("_n").alias("_all"), F.sum("labelled").alias("_all_l"), F.sum("bad").alias("_all_b"), F.sum("_shapes").alias("_all_shapes"))
         child = child.join(parent, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
         frequent = (F.col("_n") >= how.literal_pages) & (F.col("_n") >= how.literal_share * F.col("_all"))
-        own = (F.col("_l") >= how.own_labelled) & differs(F.col("_l"), F.col("_b"), F.col("_all_l"), F.col("_all_b"), how)
-        child = child.select("host", "template", "_seg", F.when(frequent | own, F.col("_seg")).otherwise(F.lit("*")).alias("_step"), (F.col("_all_shapes") == 1).alias("_alone"))
+        own = (F.col("labelled") >= how.own_labelled) & differs(F.col("labelled"), F.col("bad"), F.col("_all_l"), F.col("_all_b"), how)
+        child = stored(child.select("host", "template", "_seg", F.when(frequent | own, F.col("_seg")).otherwise(F.lit("*")).alias("step"), "labelled", "bad", (F.col("_all_shapes") == 1).alias("_alone")))
+        branches = child.where("NOT _alone").groupBy("host", "template", "step").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        groups = merged_branches(branches, how).where("group IS NOT NULL").select("host", "template", "step", "group")
+        steps = child.join(groups, ["host", "template", "step"], "left").select("host", "template", "_seg", F.coalesce("group", "step").alias("_step"), "_alone")
         rest = F.transform(F.slice("_parts", level + 1, F.greatest(size - level, F.lit(0))), lambda x: F.when(F.col("pages") >= how.literal_pages, x).otherwise(F.lit("*")))
         longer = F.when(F.col("_alone"), F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.concat("template", F.lit("/"), "_step"))
-        tree = tree.join(child, ["host", "template", "_seg"])
+        tree = tree.join(steps, ["host", "template", "_seg"])
         tree = stored(tree.withColumn("template", F.when(size <= level, F.col("template")).otherwise(longer)).drop("_step", "_seg"))
         ended = F.col("_alone") | (size <= level)
         more = tree.where(~ended).drop("_alone")  # paths that end at the next level count there among their siblings
@@ -105,21 +138,6 @@ def template_tree(shapes: DataFrame, how: Templates) -> DataFrame:
     return out.drop("_parts")
 
 
-def merged_branches(templates: DataFrame, how: Templates) -> DataFrame:
-    """templates: host, template, labelled, bad, a row each. Adds branch_labelled and branch_bad: those of its siblings together, unless it differs from the rest of them."""
-    parent = F.regexp_replace("template", "/[^/]*$", "")
-    rows = templates.withColumn("_parent", parent)
-    family = rows.groupBy("host", "_parent").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_k"))
-    rows = rows.join(family, ["host", "_parent"])
-    apart = differs(F.col("labelled"), F.col("bad"), F.col("_n"), F.col("_k"), how)
-    # deep families with few labels: all below the same first segments
-    stem = rows.groupBy("host", F.substring_index("template", "/", how.depth).alias("_stem")).agg(F.sum("labelled").alias("_stem_n"), F.sum("bad").alias("_stem_k"))
-    rows = rows.withColumn("_stem", F.substring_index("template", "/", how.depth)).join(stem, ["host", "_stem"])
-    few = (F.size(F.split("template", "/")) > how.depth + 1) & (F.col("_n") < how.own_labelled)
-    shared = [F.when(few, F.col(f"_stem{c}")).otherwise(F.col(c)) for c in ("_n", "_k")]
-    return rows.select(*templates.columns, *(F.when(apart, F.col(own)).otherwise(c).alias(f"branch_{own}") for own, c in zip(("labelled", "bad"), shared)))
-
-
 def judge(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None = None, how: Templates = Templates(), page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, template, verdict, a row for each page. labels: label_id, bad (0 or 1), by the last number of a path; at most a row an id counts."""
     rows = pages.select(F.col(page_id), F.col("url"))
@@ -131,15 +149,16 @@ def judge(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None = Non
     if labels is None:
         counted = counted.withColumn("bad", F.lit(None).cast("int"))
     else:
-        one = labels.groupBy("label_id").agg(F.max("bad").alias("bad"))
-        counted = counted.join(one, "label_id", "left")
+        one = labels.where("label_id IS NOT NULL").groupBy("label_id").agg(F.max("bad").alias("bad"))
+        # pages without a number meet no label and need not be dealt by one
+        counted = counted.where("label_id IS NOT NULL").join(one, "label_id", "left").unionByName(counted.where("label_id IS NULL").withColumn("bad", F.lit(None).cast("int")))
     shapes = counted.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     shapes = stored(shapes)
     tree = template_tree(shapes, how)
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     prior = shapes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("_prior"))
-    scored = merged_branches(templates, how).join(F.broadcast(prior))  # one row
-    share = (F.col("branch_bad") + how.prior_pages * F.col("_prior")) / (F.col("branch_labelled") + F.lit(how.prior_pages))
+    scored = templates.join(F.broadcast(prior))  # one row
+    share = (F.col("bad") + how.prior_pages * F.col("_prior")) / (F.col("labelled") + F.lit(how.prior_pages))
     scored = scored.select("host", "template", share.alias("bad_share"))
     by_shape = tree.select("host", "shape", "template").join(scored, ["host", "template"])
     out = rows.join(by_shape, ["host", "shape"], "left")

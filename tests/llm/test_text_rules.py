@@ -1,5 +1,6 @@
 """Quality rules, line dedup, URL filters and mixing against plain Python."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -154,6 +155,120 @@ def test_small_branches_keep_their_own_labels(spark):
     assert {i for i, v in out.items() if v == "block"} == bad
 
 
+def apart(n, k, n2, k2, z=1.96):
+    if not n or not n2:
+        return False
+    p = (k + k2) / (n + n2)
+    return abs(k / n - k2 / n2) > z * math.sqrt(p * (1 - p) * (1 / n + 1 / n2))
+
+
+def brute_groups_of(branches):
+    """{step: (labelled, bad)} of one parent: {step: name of its group}, where there are two or more in it."""
+    add = lambda xs: tuple(map(sum, zip(*xs))) if xs else (0, 0)
+    less = lambda a, b: (a[0] - b[0], a[1] - b[1])
+    known = {s: x for s, x in branches.items() if x[0]}
+    everything = add(list(known.values()))
+    near = {s for s, x in known.items() if not apart(*x, *less(everything, x))}
+    pool = add([known[s] for s in near])
+    core = {s for s, x in known.items() if pool[0] and not apart(*x, *(less(pool, x) if s in near else pool))}
+    n, k = pool if pool[0] else everything
+    sides = {s: "?m" if s in core else "?h" if x[1] * n > x[0] * k else "?l" for s, x in known.items()}
+    out = {}
+    for s, x in known.items():
+        side = add([known[o] for o in known if sides[o] == sides[s]])
+        if s in core or not apart(*x, *less(side, x)):
+            out[s] = sides[s]
+    return {s: g for s, g in out.items() if list(out.values()).count(g) > 1}
+
+
+def brute_templates(shapes, how=url_filter.Templates()):
+    """{(host, path shape): (pages, labelled, bad)}: their templates, parent by parent."""
+    out = {}
+
+    def walk(rows, prefix, level):
+        """rows: {(host, shape): parts} below one parent."""
+        if len(rows) == 1:
+            (key, parts), = rows.items()
+            if len(parts) > level:
+                out[key] = prefix + "/" + "/".join(p if shapes[key][0] >= how.literal_pages else "*" for p in parts[level:])
+                return
+        if all(len(p) <= level for p in rows.values()):
+            out.update({key: prefix for key in rows})
+            return
+        seg = {key: parts[level] if len(parts) > level else "" for key, parts in rows.items()}
+        sums = lambda keys: tuple(sum(shapes[x][i] for x in keys) for i in range(3))
+        total, steps = sums(rows), {}
+        for s in set(seg.values()):
+            n, labelled, bad = sums([x for x in rows if seg[x] == s])
+            frequent = n >= how.literal_pages and n >= how.literal_share * total[0]
+            own = labelled >= how.own_labelled and apart(labelled, bad, total[1] - labelled, total[2] - bad)
+            steps[s] = s if frequent or own else "*"
+        branches = {}
+        for x in rows:
+            old = branches.get(steps[seg[x]], (0, 0))
+            branches[steps[seg[x]]] = (old[0] + shapes[x][1], old[1] + shapes[x][2])
+        group = brute_groups_of(branches)
+        below = {}
+        for x, parts in rows.items():
+            if len(parts) <= level:
+                out[x] = prefix
+            else:
+                step = steps[seg[x]]
+                below.setdefault(group.get(step, step), {})[x] = parts
+        for step, part in below.items():
+            walk(part, f"{prefix}/{step}", level + 1)
+
+    for host in {h for h, _ in shapes}:
+        walk({x: (x[1][1:] if x[1].startswith("/") else x[1]).split("/") for x in shapes if x[0] == host}, "", 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_against_brute_force(spark, seed):
+    """Templates, shares and verdicts, with branches that a merge of all siblings would have blocked or saved."""
+    r = random.Random(seed)
+    rows, bad = [], {}
+    rate = {}
+    for i in range(4000):
+        host = r.choice(["hot", "hot", "b.net", "c"])
+        parts = [r.choice(["en", "de", "fr", "es", "spam", "junk", f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"]), *(r.choice(["x", "y", "z", "bad"]) for _ in range(r.randint(0, 3)))]
+        stem = (host, parts[0], "bad" in parts)
+        rate.setdefault(stem, r.choice([0.02, 0.05, 0.5, 0.95] if parts[0] not in ("spam", "junk") else [0.9, 1.0]))
+        rows.append((i, f"http://{host}/{'/'.join(parts)}/{i}"))
+        if r.random() < 0.3:
+            bad[i] = int(r.random() < rate[stem])
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(list(bad.items()), "label_id long, bad int")
+    out = {x["page_id"]: x for x in url_filter.judge(pages, [], labels).collect()}
+    shapes = {}
+    where = {}
+    for i, u in rows:
+        host, path = u[7:].split("/", 1)
+        where[i] = key = (host, re.sub("[0-9]+", "#", "/" + path))
+        n, labelled, k = shapes.get(key, (0, 0, 0))
+        shapes[key] = (n + 1, labelled + (i in bad), k + bad.get(i, 0))
+    templates = brute_templates(shapes)
+    prior = sum(bad.values()) / len(bad)
+    sums = {}
+    for key, t in templates.items():
+        n, k = sums.get((key[0], t), (0, 0))
+        sums[key[0], t] = (n + shapes[key][1], k + shapes[key][2])
+    for i, key in where.items():
+        n, k = sums[key[0], templates[key]]
+        share = (k + 20 * prior) / (n + 20)
+        assert out[i]["template"] == templates[key] and abs(out[i]["bad_share"] - share) < 1e-9 and out[i]["verdict"] == ("block" if share >= 0.5 else "allow"), (i, key)
+    assert {x["verdict"] for x in out.values()} == {"allow", "block"} and any("?" in x["template"] for x in out.values())
+
+
+def test_siblings_that_differ_lend_no_labels(spark):
+    """A branch of bad labels alone says nothing about one without labels; a learned block reaches unlabelled pages of its own template."""
+    rows = [(i, f"http://s/bad/{i}") for i in range(100)] + [(100 + i, f"http://s/new/{100 + i}") for i in range(100)] + [(200 + i, f"http://s/ok/{200 + i}") for i in range(100)] + [(300 + i, f"http://s/bad/{300 + i}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(i, 0) for i in range(200, 300)], "label_id long, bad int")
+    out = {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, [], labels, url_filter.Templates(reject=0.6)).collect()}
+    assert all(out[i] == ("block" if i < 100 or i >= 300 else "allow") for i in out)
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     """Shares, the excess above twice a source's size dealt anew until there is none."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
