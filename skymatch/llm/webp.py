@@ -1,8 +1,8 @@
 """Lossless WebP images in numpy: a decoder for the whole format, and an encoder that compresses.
 
 The decoder reads prefix codes (simple and normal, grouped by an entropy image), back-references, the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Where only green varies, as with a palette or shades of grey, a token is one
-table look-up and runs are copied whole; other images take a general loop over symbols.
+cross-colour, subtract-green and palette transforms. Where only green varies, as with a palette or shades of grey, what a token would be is looked up at
+all bits of a stretch at once, the tokens are picked by a walk from one to the next, and runs are copied whole; other images take a general loop over symbols.
 
 The encoder subtracts green where that leaves red and blue with less, then takes a palette for few colours, bundling pixels where it can, or else
 predicts rows from the left or from above where residuals have less entropy. Repeated stretches become back-references, and all symbols get prefix codes fitted to the image.
@@ -14,8 +14,8 @@ Damaged streams raise ValueError.
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -81,37 +81,41 @@ class _Bits:
 
 def code_lengths(counts: list[int], longest: int) -> list[int]:
     """Lengths of an optimal prefix code for symbols of positive counts; counts are evened out until none is above longest."""
-    if len(counts) == 1:
+    n = len(counts)
+    if n == 1:
         return [1]
     while True:
-        order = sorted(range(len(counts)), key=counts.__getitem__)
-        # leaves and then inner nodes, both by weight: the two lightest are at the heads of two queues
-        weights, up = [counts[i] for i in order], [0] * (2 * len(counts) - 1)
-
-        n, leaf, inner = len(counts), 0, len(counts)
-        while len(weights) < 2 * n - 1:
+        order = sorted(range(n), key=counts.__getitem__)
+        # leaves and inner nodes, both by weight: the two lightest are at the heads of two queues
+        leaves, inner = [*(counts[i] for i in order), _NO_MORE], [_NO_MORE] * n
+        leaf_up, inner_up = [0] * n, [0] * n
+        i = j = 0
+        for made in range(n - 1):
             total = 0
-            for _ in range(2):
-                if leaf < n and (inner >= len(weights) or weights[leaf] <= weights[inner]):
-                    total += weights[leaf]
-                    up[leaf] = len(weights)
-                    leaf += 1
+            for _ in (0, 1):
+                if leaves[i] <= inner[j]:
+                    total += leaves[i]
+                    leaf_up[i] = made
+                    i += 1
                 else:
-                    total += weights[inner]
-                    up[inner] = len(weights)
-                    inner += 1
-            weights.append(total)
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[up[i]] + 1
-        if max(depth[:n]) <= longest:
+                    total += inner[j]
+                    inner_up[j] = made
+                    j += 1
+            inner[made] = total
+        depth = [1] * (n - 1)  # of an inner node's children
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[inner_up[k]] + 1
+        if depth[leaf_up[0]] <= longest:  # the lightest leaf is as deep as any
             out = [0] * n
-            for place, i in enumerate(order):
-                out[i] = depth[place]
+            for place, symbol in enumerate(order):
+                out[symbol] = depth[leaf_up[place]]
             return out
         counts = [(c >> 1) + 1 for c in counts]
 
 
+_NO_MORE = 1 << 60
+
+
 def canonical(symbols: np.ndarray, lengths: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """Code, first bit lowest, and its length, by symbol; symbols ascend."""
     order = np.argsort(lengths, kind="stable")
@@ -125,12 +129,9 @@ def canonical(symbols: np.ndarray, lengths: np.ndarray, alphabet: int) -> tuple[
 
 def _runs(lengths: list[int]) -> list[tuple[int, int, int]]:
     """(symbol, extra bits, their number) of the code lengths, runs written short."""
-    out, i, before = [], 0, 8
-    while i < len(lengths):
-        x, j = lengths[i], i + 1
-        while j < len(lengths) and lengths[j] == x:
-            j += 1
-        run, i = j - i, j
+    out, before = [], 8
+    for x, same in groupby(lengths):
+        run = len(list(same))
         if x == 0:
             while run >= 3:
                 take = min(run, 138)
@@ -313,14 +314,10 @@ def _put_image(out: _Bits, channels: list[np.ndarray], width: int, main: bool) -
     out.put_items(values.ravel(), widths.ravel())
 
 
-def entropy(counts: np.ndarray) -> float:
-    """Bits that symbols of these counts need at least."""
-    c = counts[counts > 0].astype(float)
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
-
-
-def _channel_bits(p: np.ndarray) -> float:
-    return sum(entropy(np.bincount(p[..., c].ravel(), minlength=256)) for c in range(p.shape[-1]))
+def _cost(p: np.ndarray) -> float:
+    """About how many bits a pixel takes: its channels' collision entropies."""
+    n = p[..., 0].size
+    return -sum(np.log2(float(c @ c) / n**2) for c in (np.bincount(p[..., i].ravel(), minlength=256).astype(float) for i in range(p.shape[-1])))
 
 
 def _residuals(p: np.ndarray, mode: int) -> np.ndarray:
@@ -352,7 +349,7 @@ def encode(pixels: np.ndarray) -> bytes:
         planes = pixels[:, :, list(STREAM[: 3 + clear])]
         less = planes.copy()
         less[:, :, 1:3] -= less[:, :, :1]
-    minus_green = grey or _channel_bits(less) < _channel_bits(planes)
+    minus_green = grey or _cost(less) < _cost(planes)
     if minus_green:
         planes = planes if grey else less
         out.put(1, 1)
@@ -384,7 +381,7 @@ def encode(pixels: np.ndarray) -> bytes:
         flat = index.reshape(-1, 1)
     else:
         plain = {0: planes, 1: _residuals(planes, 1), 2: _residuals(planes, 2)}
-        mode = min(plain, key=lambda m: (_channel_bits(plain[m]), m))
+        mode = min(plain, key=lambda m: _cost(plain[m]) * (1.15 if m else 1.0))  # a prediction must be clearly better, as it hides repeats
         if mode:
             out.put(1, 1)
             out.put(0, 2)
@@ -510,7 +507,7 @@ def _read_code(r: _Reader, alphabet: int) -> _Code:
     return _Code(lengths)
 
 
-def _extended(r: _Reader, prefix: int) -> int:
+def _extended_one(r: _Reader, prefix: int) -> int:
     """Value of a length or distance prefix."""
     if prefix < 4:
         return prefix + 1
@@ -541,62 +538,91 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
     return _read_symbols(r, width, height, codes, meta, block, cache_bits)
 
 
+#: Bit positions that are looked up at a time.
+STRETCH = 1 << 17
+
+
 def _read_greens(r: _Reader, width: int, height: int, codes: list[_Code]) -> np.ndarray:
-    """uint8[height, width] of an image whose other channels have one value each, as with a palette or shades of grey."""
-    n, code, far = width * height, codes[0], codes[4]
-    if code.lone is not None and code.lone < LITERALS:
-        return np.full((height, width), code.lone, np.uint8)
-    near = near_distances(width)
-    longest, symbol, size = code.arrays()
-    table, mask = (symbol << 4 | size).tolist(), (1 << longest) - 1
-    longest, symbol, size = far.arrays()
-    far_table, far_mask = (symbol << 4 | size).tolist(), (1 << longest) - 1
-    raw = np.frombuffer(r.data + b"\0" * 8, np.uint8).astype(np.uint32)
-    ahead = raw[:-3].copy()
-    for i in (1, 2, 3):
-        ahead |= raw[i : len(raw) - 3 + i] << np.uint32(8 * i)
-    first = r.at >> 3
-    ahead = ahead[first:].tolist()  # 25 bits from each position on
-    p = r.at - 8 * first
-    out, done = bytearray(n), 0
-    try:
-        while done < n:
-            x = table[ahead[p >> 3] >> (p & 7) & mask]
-            p += x & 15
-            if x < 4096:  # a literal
-                out[done] = x >> 4
-                done += 1
-                continue
-            x = (x >> 4) - LITERALS
-            size = x + 1
-            if x > 3:
-                extra = (x - 2) >> 1
-                size = ((2 + (x & 1)) << extra) + (ahead[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
-                p += extra
-            x = far_table[ahead[p >> 3] >> (p & 7) & far_mask]
-            p += x & 15
-            x >>= 4
-            d = x + 1
-            if x > 3:
-                extra = (x - 2) >> 1
-                d = ((2 + (x & 1)) << extra) + (ahead[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
-                p += extra
-            d = d - 120 if d > 120 else near[d]
-            to = done + size
-            if d > done or to > n:
+    """uint8[height, width] of an image whose other channels have one value each, as with a palette or shades of grey.
+
+    For each bit of a stretch of the stream, the symbol that a token beginning there would have is looked up, and where the next token would begin.
+    """
+    n, done = width * height, 0
+    if codes[0].lone is not None:
+        if codes[0].lone < LITERALS:
+            return np.full((height, width), codes[0].lone, np.uint8)
+        raise ValueError("a back-reference leaves the image")  # nothing comes before the first one
+    longest, symbol_of, size_of = codes[0].arrays()
+    joint = (symbol_of << 4 | size_of).astype(np.int32)
+    far_longest, far_symbol, far_size = codes[4].arrays()
+    far_of = (far_symbol << 4 | far_size).astype(np.int32)
+    data = np.frombuffer(r.data + b"\0" * 20, np.uint8)
+    out, near = bytearray(n), np.array(near_distances(width), np.int32)
+    pixels = np.frombuffer(out, np.uint8)
+    while done < n:
+        first = r.at >> 3
+        count = min(STRETCH, r.end - 8 * first)
+        raw = data[first : first + (count + 7 >> 3) + 12].astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        ahead = (words[:, None] >> _SHIFTS).ravel().view(np.int32)  # 25 bits from each position on
+        token = joint.take(ahead[:count] & ((1 << longest) - 1))
+        after = (token & 15) + np.arange(count, dtype=np.int32)
+        token >>= 4
+        copies = np.flatnonzero(token > 255)
+        if len(copies):
+            size, at = _extended(token[copies] - LITERALS, after[copies], ahead)
+            code = far_of.take(ahead.take(at) & ((1 << far_longest) - 1))
+            far, at = _extended(code >> 4, at + (code & 15), ahead)
+            after[copies] = at
+        begins, p, next_ = [], r.at - 8 * first, memoryview(after)
+        begin, stop = begins.append, min(count, STRETCH - 64) if count == STRETCH else count
+        while p < stop:
+            begin(p)
+            p = next_[p]
+        at = np.array(begins, np.int32)
+        if not len(at):
+            raise ValueError("the stream ends early")
+        token = token[at]
+        which = np.flatnonzero(token > 255)
+        place = np.searchsorted(copies, at[which])
+        times = np.ones(len(at), np.int64)
+        if len(which):
+            times[which] = size[place]
+        ends = np.cumsum(times) + done
+        if ends[-1] >= n:  # the image is complete before the last of them
+            last = int(np.searchsorted(ends, n))
+            if ends[last] > n:
                 raise ValueError("a back-reference leaves the image")
-            while d < size:  # what was just copied is copied on
-                out[done : done + d] = out[done - d : done]
-                done, size = done + d, size - d
-                d += d
-            out[done:to] = out[done - d : to - d]
-            done = to
-    except IndexError:
-        raise ValueError("the stream ends early") from None
-    r.at = p + 8 * first
-    if r.at > r.end:
-        raise ValueError("the stream ends early")
-    return np.frombuffer(out, np.uint8).reshape(height, width)
+            p = next_[begins[last]]
+            token, ends, times, which = token[: last + 1], ends[: last + 1], times[: last + 1], which[: np.searchsorted(which, last + 1)]
+        r.at = p + 8 * first
+        if r.at > r.end:
+            raise ValueError("the stream ends early")
+        starts = ends - times
+        pixels[starts] = token.astype(np.uint8)  # at references, what is copied comes over it
+        if len(which):
+            starts, d = starts[which], far[place[: len(which)]]
+            d = np.where(d > len(NEAR), d - len(NEAR), near.take(np.minimum(d, len(NEAR))))
+            if (d > starts).any():
+                raise ValueError("a back-reference leaves the image")
+            for at, k, d in zip(starts.tolist(), times[which].tolist(), d.tolist()):
+                while d < k:  # what was just copied is copied on
+                    out[at : at + d] = out[at - d : at]
+                    at, k = at + d, k - d
+                    d += d
+                out[at : at + k] = out[at - d : at - d + k]
+        done = int(ends[-1])
+    return pixels.reshape(height, width)
+
+
+_SHIFTS = np.arange(8, dtype=np.uint32)
+
+
+def _extended(prefix: np.ndarray, at: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of length or distance prefixes whose extra bits begin at these positions, and where these end."""
+    extra = np.maximum((prefix - 2) >> 1, 0)
+    value = ((2 + (prefix & 1)) << extra) + (ahead.take(at) & ((1 << extra) - 1)) + 1
+    return np.where(prefix < 4, prefix + 1, value), at + extra
 
 
 @lru_cache(64)
@@ -619,8 +645,8 @@ def _read_symbols(r: _Reader, width: int, height: int, codes: list[list[_Code]],
             pixels[done] = alpha << 24 | red << 16 | s << 8 | blue
             done += 1
         elif s < LITERALS + LENGTHS:
-            length = _extended(r, s - LITERALS)
-            d = _extended(r, groups[4].read(r))
+            length = _extended_one(r, s - LITERALS)
+            d = _extended_one(r, groups[4].read(r))
             d = d - len(NEAR) if d > len(NEAR) else near[d]
             if d > done or done + length > n:
                 raise ValueError("a back-reference leaves the image")
