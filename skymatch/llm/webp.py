@@ -149,6 +149,25 @@ def _runs(lengths: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Lengths of the codes that code lengths up to LONGEST and their runs are written in; those that occur most have shorter ones.
+_RUN_SIZES = [3 if s in (0, 6, 8) else 4 if s <= LONGEST or s > 15 else 0 for s in range(19)]
+_RUN_CODES = canonical(np.flatnonzero(_RUN_SIZES), np.array([n for n in _RUN_SIZES if n]), 19)[0].tolist()
+
+
+def _run_header() -> tuple[int, int]:
+    """What announces these codes, and its bits."""
+    out = _Bits()
+    listed = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if _RUN_SIZES[s]) + 1
+    out.put(0, 1)
+    out.put(listed - 4, 4)
+    for s in CODE_LENGTH_ORDER[:listed]:
+        out.put(_RUN_SIZES[s], 3)
+    return out.value, out.count
+
+
+_RUN_HEADER = _run_header()
+
+
 def _put_code(out: _Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a prefix code fitted to the counts of an alphabet's symbols. Codes and their lengths; a lone symbol takes no bits."""
     symbols = np.flatnonzero(counts)
@@ -167,19 +186,7 @@ def _put_code(out: _Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by_symbol = np.zeros(int(symbols[-1]) + 1, np.int64)
     by_symbol[symbols] = lengths
     runs = _runs(by_symbol.tolist())
-    second = [0] * 19
-    for s, _, _ in runs:
-        second[s] += 1
-    used = [s for s in range(19) if second[s]]
-    sizes2 = [0] * 19
-    for s, n in zip(used, code_lengths([second[s] for s in used], 7)):
-        sizes2[s] = n
-    codes2 = canonical(np.array(used), np.array([sizes2[s] for s in used]), 19)[0].tolist()
-    listed = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes2[s]) + 1
-    out.put(0, 1)
-    out.put(max(listed, 4) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(listed, 4)]:
-        out.put(sizes2[s], 3)
+    out.put(*_RUN_HEADER)
     n = len(runs) - 2  # how many runs follow, as they stop short of the alphabet
     if len(runs) < 2:
         out.put(0, 1)  # a lone symbol of an alphabet's end
@@ -188,11 +195,8 @@ def _put_code(out: _Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out.put(1, 1)
         out.put(wide - 1, 3)
         out.put(n, 2 * wide)
-    lone = len(used) == 1
     for s, extra, bits in runs:
-        if not lone:
-            out.put(codes2[s], sizes2[s])
-        out.put(extra, bits)
+        out.put(_RUN_CODES[s] | extra << _RUN_SIZES[s], _RUN_SIZES[s] + bits)
     if len(symbols) == 1:
         return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     return canonical(symbols, lengths, len(counts))
@@ -405,7 +409,7 @@ class _Reader:
 
     def get(self, count: int) -> int:
         i = self.at >> 3
-        out = int.from_bytes(self.data[i : i + 5], "little") >> (self.at & 7) & ((1 << count) - 1)
+        out = int.from_bytes(self.data[i : i + 9], "little") >> (self.at & 7) & ((1 << count) - 1)
         self.at += count
         if self.at > self.end:
             raise ValueError("the stream ends early")
@@ -458,19 +462,24 @@ class _Code:
         return symbol[x]
 
 
-def _read_code(r: _Reader, alphabet: int) -> _Code:
+@lru_cache(1024)
+def _code_of(symbols: tuple[int, ...], sizes: tuple[int, ...], alphabet: int) -> _Code:
     lengths = np.zeros(alphabet, np.uint8)
+    lengths[list(symbols)] = sizes
+    return _Code(lengths)
+
+
+def _read_code(r: _Reader, alphabet: int) -> _Code:
     if r.get(1):
         two, wide = r.get(1), r.get(1)
         symbols = [r.get(8 if wide else 1)] + ([r.get(8)] if two else [])
         if max(symbols) >= alphabet:
             raise ValueError("a symbol is outside its alphabet")
-        lengths[symbols] = 1
-        return _Code(lengths)
-    first = np.zeros(19, np.uint8)
-    for i in range(4 + r.get(4)):
-        first[CODE_LENGTH_ORDER[i]] = r.get(3)
-    code = _Code(first)
+        return _code_of(tuple(set(symbols)), (1,) * len(set(symbols)), alphabet)
+    listed = 4 + r.get(4)
+    x = r.get(3 * listed)
+    code = _code_of(CODE_LENGTH_ORDER[:listed], tuple(x >> 3 * i & 7 for i in range(listed)), 19)
+    lengths = np.zeros(alphabet, np.uint8)
     limit = alphabet
     if r.get(1):
         limit = 2 + r.get(2 + 2 * r.get(3))
