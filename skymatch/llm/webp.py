@@ -238,12 +238,12 @@ def matches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none, none
     before = np.full(n + 1, -2, np.int64)
     before[at] = from_
-    goes_on = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1)
-    at = np.flatnonzero(before[:-1] >= 0)
-    stops = np.flatnonzero(~goes_on)
-    length = stops[np.searchsorted(stops, at)] - at + WORTH
+    has = before[:-1] >= 0
+    ends_here = ~has | (before[1:] != before[:-1] + 1)
+    at = np.flatnonzero(has)
+    length = np.flatnonzero(ends_here)[np.cumsum(ends_here, dtype=np.int32)[at] - ends_here[at]] - at + WORTH
     # where a match ends inside a repeated stretch, the next one starts
-    follow, chosen, i = np.searchsorted(at, at + length).tolist(), [], 0
+    follow, chosen, i = np.cumsum(has, dtype=np.int32).take(at + length - 1, mode="clip").tolist(), [], 0
     while i < len(follow):
         chosen.append(i)
         i = follow[i]
