@@ -1,11 +1,12 @@
 """Nearest neighbours: for each target the k most similar reference objects.
 
-`neighbors` gives target_id, rank, ref_id, distance and scale in long form; ties go to the smaller ref_id. Two plans give the same rows:
+`neighbors` gives target_id, rank, ref_id, distance and scale in long form; ties go to the smaller ref_id. Three plans give the same rows:
 
 * `join`: targets beside the reference in a nested loop, ranked by a window. Spark ranks within partitions before it shuffles, so k rows a target and
   partition move at most. No Python.
 * `blocks`: the reference is packed into blocks of bounded size, targets pass by them in Arrow batches, and each block returns its k best a target. With one block this is a
   broadcast of a checked size, without any shuffle; with more, the blocks' bests are ranked by the same window. It also serves streams.
+* `index` (KD-tree and Combined only): a kd-tree, see kdindex. Targets meet only leaves that can hold a neighbour.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MANY_PAIRS = 20_000_000
 
 @dataclass(frozen=True)
 class Search:
-    """method: brute, kdtree (Euclidean, errors ignored, exact), or combined (the k best by distance among the `batch` nearest by fluxes). prior: lets a reference object's flux scale freely (brute only)."""
+    """method: brute, kdtree (Euclidean, errors ignored, exact), or combined (the k best by distance among the `batch` nearest by fluxes). leaf_rows: objects in a leaf of the index, about. prior: lets a reference object's flux scale freely (brute only)."""
 
     k: int
     distance: str = "chi2"
@@ -38,6 +39,7 @@ class Search:
     prior: Prior | None = None
     max_iter: int = 20
     rtol: float = 1e-8
+    leaf_rows: int = 2048
 
     def __post_init__(self) -> None:
         if self.method not in ("brute", "kdtree", "combined") or self.distance not in DISTANCES:
@@ -165,12 +167,8 @@ def by_blocks(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
     size = 16 * len(bands)
     if n * size <= block_bytes:  # proven small: sent to all executors
         return beside_arrays(targets, *as_arrays(refs, bands), bands, search)
-    if search.method == "combined":
-        # the batch nearest of all blocks are only known together
-        near = by_blocks(targets, refs, bands, Search(search.batch, "euclidean"), block_bytes).select("target_id", "ref_id")
-        pairs = near.join(_side(targets, "target_id", bands), "target_id").join(_side(refs, "ref_id", bands, "n_"), "ref_id")
-        pairs = pairs.withColumn("distance", DISTANCES[search.distance](bands)).withColumn("scale", F.lit(1.0))
-        return ranked(pairs, search.k).select("target_id", "rank", "ref_id", "distance", "scale")
+    if search.method == "combined":  # the batch nearest of all blocks are only known together
+        return _second_look(by_blocks(targets, refs, bands, Search(search.batch, "euclidean"), block_bytes), targets, refs, bands, search)
     blocks = -(-n * size // block_bytes)
     values = F.array(*(F.col(f"{x}_{b}") for b in bands for x in ("f", "e")))
     packed = _side(refs, "ref_id", bands).groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list("ref_id").alias("ids"), F.flatten(F.collect_list(values)).alias("values"))
@@ -187,6 +185,23 @@ def by_blocks(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
     return ranked(bests.drop("rank"), search.k).select("target_id", "rank", "ref_id", "distance", "scale")
 
 
+def _second_look(near: DataFrame, targets: DataFrame, refs: DataFrame, bands: list[str], search: Search) -> DataFrame:
+    """The k best by distance among the batch nearest by fluxes."""
+    pairs = near.select("target_id", "ref_id").join(_side(targets, "target_id", bands), "target_id").join(_side(refs, "ref_id", bands, "n_"), "ref_id")
+    pairs = pairs.withColumn("distance", DISTANCES[search.distance](bands)).withColumn("scale", F.lit(1.0))
+    return ranked(pairs, search.k).select("target_id", "rank", "ref_id", "distance", "scale")
+
+
+def by_index(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search) -> DataFrame:
+    from .kdindex import by_index as nearest
+
+    if search.method == "brute":
+        raise ValueError("the index knows distances by fluxes alone")
+    if search.method == "combined":
+        return _second_look(nearest(targets, refs, bands, Search(search.batch, "euclidean"), search.leaf_rows), targets, refs, bands, search)
+    return nearest(targets, refs, bands, search, search.leaf_rows)
+
+
 def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search, plan: str = "auto", partitions: int | None = None) -> DataFrame:
     """target_id, rank (from 1), ref_id, distance, scale. Fewer than k objects give fewer neighbours. partitions: deals targets anew first, as a few small files give few tasks."""
     if partitions:
@@ -194,7 +209,9 @@ def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
     if plan == "auto":
         fitted = search.prior is not None and not search.prior.fixed
         plan = "blocks" if fitted or targets.count() * refs.count() >= MANY_PAIRS else "join"
-    return {"join": by_join, "blocks": by_blocks}[plan](targets, refs, bands, search)
+        if plan == "blocks" and search.method != "brute":
+            plan = "index"
+    return {"join": by_join, "blocks": by_blocks, "index": by_index}[plan](targets, refs, bands, search)
 
 
 def with_photometry(found: DataFrame, targets: DataFrame, refs: DataFrame, bands: list[str], scaled: bool = True) -> DataFrame:

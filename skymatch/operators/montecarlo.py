@@ -109,12 +109,12 @@ def interval(rows: DataFrame, parameter: str, percent: float) -> DataFrame:
 
 
 def half_sample_mode(x: np.ndarray) -> float:
-    """Of distinct values: the densest half, again and again, until three or fewer are left, whose mean it is."""
+    """Of distinct values: the shortest stretch that spans (n + 1) // 2 steps, again and again, until three or fewer values are left, whose mean it is. The first of equal ones wins; the last start isn't tried."""
     x = np.sort(x)
     while len(x) > 3:
-        half = -(-len(x) // 2)
-        i = int(np.argmin(x[half - 1 :] - x[: len(x) - half + 1]))
-        x = x[i : i + half]
+        steps = (len(x) + 1) // 2
+        i = int(np.argmin(x[steps : 2 * steps - 1] - x[: steps - 1]))
+        x = x[i : i + steps + 1]
     return float(x.mean())
 
 
@@ -131,6 +131,10 @@ def modes(rows: DataFrame, parameter: str) -> DataFrame:
     return top.join(dense, "target_id", "left").select("target_id", F.coalesce("dense", "mode").alias("mode"))
 
 
+#: Aggregates that a slice can be given by name; users add their own: a function of a column.
+AGGREGATES = {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+
+
 def slice_aggregate(rows: DataFrame, target: str, sliced: str, edges: list[float], aggregate=F.avg) -> DataFrame:
     """target_id, slice, value: an aggregate (built in, or a grouped pandas function) of one parameter over half-open slices of another; -99 for empty slices."""
     out = F.lit(None).cast("int")

@@ -93,7 +93,7 @@ def redden_roundtrip(spark, sf):
 # ---- neighbours
 
 
-def _found(spark: SparkSession, sf: str, search: Search, refs=V.refs, plan: str = "join") -> DataFrame:
+def _found(spark: SparkSession, sf: str, search: Search, refs=V.refs, plan: str = "auto") -> DataFrame:
     return knn.neighbors(V.targets(spark, sf), refs(spark, sf), BANDS, search, plan)
 
 
@@ -104,12 +104,12 @@ def _long(df: DataFrame) -> DataFrame:
 _KNN = {
     "knn_chi2": (Search(K), f"{O.BASE}, {O.knn()} {O.LONG}"),
     "knn_euclidean": (Search(K, "euclidean"), f"{O.BASE}, {O.knn(O.euclidean())} {O.LONG}"),
-    "knn_kdtree": (Search(K, method="kdtree"), f"{O.BASE}, {O.knn(O.euclidean())} {O.LONG}"),
-    "knn_combined": (Search(K, method="combined", batch=40), f"{O.BASE}, near AS (SELECT * FROM (SELECT t.target_id, r.ref_id, row_number() OVER (PARTITION BY t.target_id ORDER BY {O.euclidean()}, r.ref_id) AS n FROM targets t CROSS JOIN refs r) WHERE n <= 40), {O.knn(source='near JOIN targets t ON t.target_id = near.target_id JOIN refs r ON r.ref_id = near.ref_id')} {O.LONG}"),
+    "knn_kdtree": (Search(K, method="kdtree", leaf_rows=64), f"{O.BASE}, {O.knn(O.euclidean())} {O.LONG}"),
+    "knn_combined": (Search(K, method="combined", batch=40, leaf_rows=64), f"{O.BASE}, near AS (SELECT * FROM (SELECT t.target_id, r.ref_id, row_number() OVER (PARTITION BY t.target_id ORDER BY {O.euclidean()}, r.ref_id) AS n FROM targets t CROSS JOIN refs r) WHERE n <= 40), {O.knn(source='near JOIN targets t ON t.target_id = near.target_id JOIN refs r ON r.ref_id = near.ref_id')} {O.LONG}"),
     "knn_scaled_delta": (Search(K, prior=Prior.parse("delta 1.5")), f"{O.BASE}, {O.knn(O.chi2('15e-1'), scale='15e-1')} {O.LONG}"),
 }
 for _name, (_search, _sql) in _KNN.items():
-    query(_sql, _name)(lambda spark, sf, s=_search: _long(_found(spark, sf, s)))
+    query(_sql, _name)(lambda spark, sf, s=_search: _long(_found(spark, sf, s, plan="auto" if s.method == "brute" else "index")))
     query(_sql, f"{_name}_blocks")(lambda spark, sf, s=_search: _long(_found(spark, sf, s, plan="blocks")))
 
 _BEST = "(" + " + ".join(f"r.f_{b} * t.f_{b} / (t.e_{b} * t.e_{b})" for b in BANDS) + ") / (" + " + ".join(f"r.f_{b} * r.f_{b} / (t.e_{b} * t.e_{b})" for b in BANDS) + ")"
@@ -175,7 +175,7 @@ def stream_knn(spark, sf):
 
 
 def _pairs(spark: SparkSession, sf: str, targets=V.targets, refs=V.refs) -> DataFrame:
-    found = knn.neighbors(V.targets(spark, sf), V.refs(spark, sf), BANDS, Search(K), "join")
+    found = knn.neighbors(V.targets(spark, sf), V.refs(spark, sf), BANDS, Search(K))
     return knn.with_photometry(found, targets(spark, sf), refs(spark, sf), BANDS)
 
 

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field, fields
 
 from ..operators.knn import Search
+from ..operators.montecarlo import AGGREGATES
 from ..operators.scaling import Prior
 
 METHODS = {"KDTree": ("kdtree", "euclidean"), "Combined": ("combined", "chi2"), "BruteForce": ("brute", "chi2")}
@@ -13,7 +14,12 @@ METHODS = {"KDTree": ("kdtree", "euclidean"), "Combined": ("combined", "chi2"),
 
 @dataclass
 class Config:
-    """Names follow the parameters that users know; those about files, processors and Python code to execute have no counterpart."""
+    """Names follow the parameters that users know; Python code to execute and graphics cards have no counterpart.
+
+    Those about files are used by `files`: target_catalog and reference_sample_phot_file (with a format each: parquet, csv, json, orc or fits), reference_sample_dir (a sample of `sources.sample`;
+    reference_sample_providers names its providers of densities and Monte-Carlo samples, all by default), and, for targets with E(B-V), galactic_curve, galactic_sed (two columns of text) and
+    filters_dir, from which each band's coefficient is computed. input_chunk_size: targets in a partition. leafsize: objects in a leaf of the index.
+    """
 
     reference_sample_phot_filters: list[str]
     neighbor_method: str
@@ -25,6 +31,22 @@ class Config:
     target_catalog_filters_shifts: dict[str, str] = field(default_factory=dict)
     dust_map_sed_bpc: float = 1.018
     missing_photometry_flags: list[float] = field(default_factory=list)
+    target_catalog: str | None = None
+    target_catalog_format: str = "parquet"
+    target_catalog_unit: str = "uJy"
+    reference_sample_dir: str | None = None
+    reference_sample_providers: list[str] | None = None
+    reference_sample_phot_file: str | None = None
+    reference_sample_phot_format: str = "parquet"
+    galactic_curve: str | None = None
+    galactic_sed: str | None = None
+    filters_dir: str | None = None
+    input_chunk_size: int | None = None
+    leafsize: int | None = None
+    force_cpu: bool = True
+    neighbor_catalog: str = "neighbors"
+    output_file: str | None = None
+    redden_mean_phot: bool = False
     enable_filters: str | None = None
     input_size: int | None = None
     batch_size: int | None = None
@@ -61,6 +83,18 @@ class Config:
         for w in (self.weight_method, self.weight_method_alternative):
             if w.lower() not in ("euclidean", "chi2", "likelihood"):
                 raise ValueError(f"weights by {w!r} aren't known")
+        if not self.force_cpu:
+            raise ValueError("there is no search on graphics cards")
+        if self.redden_mean_phot and not self.target_catalog_gal_ebv:
+            raise ValueError("redden_mean_phot needs target_catalog_gal_ebv")
+        if not self.target_catalog:
+            alone = {"target_catalog_id_column": "ID", "target_catalog_gal_ebv": None, "target_catalog_filters_shifts": {}, "dust_map_sed_bpc": 1.018, "missing_photometry_flags": [], "input_size": None, "input_chunk_size": None, "target_catalog_format": "parquet", "target_catalog_unit": "uJy"}
+            if useless := [n for n, usual in alone.items() if getattr(self, n) != usual]:
+                raise ValueError(f"parameters {useless} speak of a target_catalog, which isn't named")
+        for name, specs in self.mc_slice_aggregate.items():
+            for _, _, _, *by in specs:
+                if by and (unknown := set(by[0].values()) - AGGREGATES.keys()):
+                    raise ValueError(f"aggregates {sorted(unknown)} of {name} aren't known")
         if self.target_catalog_filters and len(self.target_catalog_filters) != len(self.reference_sample_phot_filters):
             raise ValueError("target_catalog_filters and reference_sample_phot_filters differ in length")
 
@@ -78,4 +112,4 @@ class Config:
     def search(self) -> Search:
         method, distance = METHODS[self.neighbor_method]
         prior = Prior.parse(self.scale_prior) if self.scale_prior else None
-        return Search(self.neighbors_no, distance, method, self.batch_size or self.neighbors_no, prior, self.scale_max_iter, self.scale_rtol)
+        return Search(self.neighbors_no, distance, method, self.batch_size or self.neighbors_no, prior, self.scale_max_iter, self.scale_rtol, self.leafsize or 2048)

@@ -8,12 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MissingData
 from ..operators import correction, densities, knn, montecarlo, weights
-from ..sources.catalog import enabled_bands
+from ..sources import filters
+from ..sources.catalog import TargetCatalog, enabled_bands, read, reference_photometry, scan_targets
+from ..sources.sample import ReferenceSample
+from ..sources.scratch import stored
 from .config import Config
 
 
@@ -29,6 +32,45 @@ class Inputs:
     mc: dict[str, DataFrame] = field(default_factory=dict)
 
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, c: Config) -> Inputs:
+        """What a configuration names: its catalogue, photometry, sample, and coefficients of dust."""
+        return files(spark, c)
+
+
+def files(spark: SparkSession, c: Config) -> Inputs:
+    """The inputs that a configuration names."""
+    if not c.target_catalog or not c.reference_sample_phot_file:
+        raise MissingData("target_catalog and reference_sample_phot_file are needed")
+    bands = bands_of(c)
+    columns = dict(zip(c.reference_sample_phot_filters, c.target_catalog_filters or [(b, f"{b}_ERR") for b in c.reference_sample_phot_filters]))
+    source = TargetCatalog(
+        c.target_catalog, {b: tuple(x) for b, x in columns.items()}, c.target_catalog_id_column, c.target_catalog_format, c.target_catalog_unit, tuple(c.missing_photometry_flags), c.enable_filters, c.input_size,
+        c.target_catalog_gal_ebv, c.dust_map_sed_bpc, c.target_catalog_filters_shifts,
+    )
+    targets = scan_targets(spark, source)
+    if c.input_chunk_size:
+        targets = targets.repartition(max(1, -(-targets.count() // c.input_chunk_size)), "target_id")
+    refs = reference_photometry(read(spark, c.reference_sample_phot_file, c.reference_sample_phot_format), sorted({*bands, *(b for made, _ in c.corrected_photometry.values() for b in [made]), *c.reference_sample_out_mean_phot_filters}))
+    out = Inputs(targets, refs)
+    if c.target_catalog_gal_ebv:
+        if not (c.galactic_curve and c.galactic_sed and c.filters_dir):
+            raise MissingData("galactic_curve, galactic_sed and filters_dir are needed for targets with E(B-V)")
+        curves = filters.from_directory(spark, c.filters_dir)
+        extinction, sed = filters.read_curve(spark, c.galactic_curve), filters.read_curve(spark, c.galactic_sed)
+        out.coefficients = {b: correction.band_coefficient(extinction, filters.transmission(curves, b), sed) for b in bands}
+    if c.reference_sample_dir:
+        s = ReferenceSample.open(spark, c.reference_sample_dir)
+        out.refs = out.refs.join(s.weights(), "ref_id")
+        wanted = s.providers if c.reference_sample_providers is None else {n: s.providers[n] for n in c.reference_sample_providers}
+        for name, kind in wanted.items():
+            if kind == "pdz" and out.pdz is None:
+                out.pdz, out.bins = s.data(name).select("ref_id", "p"), s.bins(name)
+            elif kind == "mc":
+                out.mc[name] = s.data(name)
+    return out
+
+
 def bands_of(c: Config) -> list[str]:
     return enabled_bands(c.reference_sample_phot_filters, c.enable_filters)
 
@@ -95,6 +137,11 @@ def mean_photometry(pairs: DataFrame, i: Inputs, c: Config) -> DataFrame | None:
     return weights.mean_photometry(pairs, c.reference_sample_out_mean_phot_filters) if c.reference_sample_out_mean_phot_filters else None
 
 
+def slices(c: Config, name: str) -> list[tuple[str, str, list[float], dict[str, str]]]:
+    """(target, sliced, edges, {suffix: aggregate}) of a provider; the mean, without a suffix, if none is named."""
+    return [(t, s, edges, by[0] if by else {"": "mean"}) for t, s, edges, *by in c.mc_slice_aggregate.get(name, [])]
+
+
 @provides
 def monte_carlo(pairs: DataFrame, i: Inputs, c: Config) -> DataFrame | None:
     """Array columns of each provider's draws: samples, histograms, counts, statistics and slice aggregates."""
@@ -105,7 +152,7 @@ def monte_carlo(pairs: DataFrame, i: Inputs, c: Config) -> DataFrame | None:
             continue
         kinds = table.schema["s"].dataType.elementType.names
         size = table.select(F.max(F.size("s"))).first()[0]
-        rows = montecarlo.drawn(montecarlo.draws(pairs, c.mc_pdf_take_n, size, seed=0), table, kinds)
+        rows = stored(montecarlo.drawn(montecarlo.draws(pairs, c.mc_pdf_take_n, size, seed=0), table, kinds))  # many parts read them
         parts: list[DataFrame] = []
         if name in c.mc_samples:
             parts.append(montecarlo.sample_columns(rows, c.mc_samples[name]))
@@ -119,8 +166,9 @@ def monte_carlo(pairs: DataFrame, i: Inputs, c: Config) -> DataFrame | None:
             parts.append(in_order(montecarlo.pdf_2d(rows, x, y, xe, ye), ["bin_x", "bin_y"], "density", f"mc_pdf_2d_{x}_{y}"))
         for p, values in c.mc_count.get(name, []):
             parts.append(in_order(montecarlo.count_values(rows, p, values), ["value"], "n", f"mc_count_{p}"))
-        for target, sliced, edges in c.mc_slice_aggregate.get(name, []):
-            parts.append(in_order(montecarlo.slice_aggregate(rows, target, sliced, edges), ["slice"], "value", f"mc_slice_aggregate_{target}_{sliced}"))
+        for target, sliced, edges, by in slices(c, name):
+            for suffix, aggregate in by.items():
+                parts.append(in_order(montecarlo.slice_aggregate(rows, target, sliced, edges, montecarlo.AGGREGATES[aggregate]), ["slice"], "value", f"mc_slice_aggregate_{target}_{sliced}{suffix and '_' + suffix}"))
         for part in parts:
             out = part if out is None else out.join(part, "target_id", "left")
     return out
@@ -160,15 +208,16 @@ def extension_tables(i: Inputs, c: Config) -> dict[str, DataFrame]:
         out |= {f"bins_mc_pdf_2d_{x}_{y}": montecarlo.bin_centres_2d(spark, xe, ye) for (x, y), xe, ye in specs}
     for specs in c.mc_count.values():
         out |= {f"bins_mc_count_{p}": spark.createDataFrame([(int(v),) for v in sorted(values)], "value long") for p, values in specs}
-    for specs in c.mc_slice_aggregate.values():
-        out |= {f"bins_mc_slice_aggregate_{t}_{s}": spark.createDataFrame([(float(e),) for e in edges], "edge double") for t, s, edges in specs}
+    for name in c.mc_slice_aggregate:
+        out |= {f"bins_mc_slice_aggregate_{t}_{s}{x and '_' + x}": spark.createDataFrame([(float(e),) for e in edges], "edge double") for t, s, edges, by in slices(c, name) for x in by}
     for f in EXTENSIONS.values():
         out |= f(i, c)
     return out
 
 
 def run(i: Inputs, c: Config, plan: str = "auto") -> DataFrame:
-    return output(weigh(correct(find(i, c, plan), i, c), i, c), i, c)
+    """All stages. Weighted neighbours are stored once, since each provider reads them."""
+    return output(stored(weigh(correct(find(i, c, plan), i, c), i, c)), i, c)
 
 
 def observed(out: DataFrame) -> tuple[DataFrame, Observation]:

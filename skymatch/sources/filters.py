@@ -32,12 +32,26 @@ def curve(text: str) -> np.ndarray:
     return out
 
 
-def _texts(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
-    """Whole files by path; filter files are few and small."""
-    rows = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value").collect()
+#: Bytes of all curves that are read at once at most.
+MOST_BYTES = 256 << 20
+
+
+def _texts(spark: SparkSession, paths: Iterable[str], glob: str | None = None) -> dict[str, str]:
+    """Whole files by path, of names that match. Their sizes are summed before any is read."""
+    how = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
+    size = spark.read.format("binaryFile").options(**how).load(list(paths)).agg(F.sum("length")).first()[0] or 0
+    if size > MOST_BYTES:
+        raise InvalidDimensions(f"curves of {size} bytes in all are no filters")
+    rows = spark.read.text(list(paths), wholetext=True, **how).select(F.input_file_name().alias("path"), "value").collect()
     return {re.sub("^file:/+", "/", r["path"]): r["value"] for r in rows}
 
 
+def read_curve(spark: SparkSession, path: str) -> np.ndarray:
+    """[knots, 2] of a file of two columns."""
+    (text,) = _texts(spark, [path]).values()
+    return curve(text)
+
+
 def from_list(spark: SparkSession, list_file: str) -> dict[str, np.ndarray]:
     """Curves by name in the order of a list file; relative paths start at its folder."""
     (text,) = _texts(spark, [list_file]).values()
@@ -49,7 +63,7 @@ def from_list(spark: SparkSession, list_file: str) -> dict[str, np.ndarray]:
 
 def from_directory(spark: SparkSession, folder: str) -> dict[str, np.ndarray]:
     """Curves of all *.dat files below a folder; its filter_list.txt, if there is one, gives order and names."""
-    texts = _texts(spark, [folder])
+    texts = _texts(spark, [folder], "{*.dat,filter_list.txt}")
     root = re.sub("^file:/+", "/", folder).rstrip("/")
     listed = texts.get(f"{root}/filter_list.txt")
     if listed is not None:
