@@ -12,7 +12,7 @@ from ..functions import arrays as A
 
 
 def grid(bins: list[float]) -> Column:
-    return F.array(*(F.lit(float(b)) for b in bins))
+    return F.expr(f"array({', '.join(f'{float(b)!r}D' for b in bins)})")  # one call, however many bins
 
 
 def coadded(pairs: DataFrame, densities: DataFrame, bins: list[float], weight: str = "weight") -> DataFrame:

@@ -78,6 +78,14 @@ def input_limit(spark, sf):
     return rounded(_embedding_catalog(spark, sf, enabled="b2", limit=25), "f_b2")
 
 
+@query("SELECT vec_id AS target_id, round(CAST(embedding[1] AS DOUBLE) * 1018e-3, 6) + 0e0 AS ebv, round(CAST(embedding[2] AS DOUBLE), 6) + 0e0 AS shift_b2, vec_id AS in_vec_id FROM embeddings")
+def colorspace_columns(spark, sf):
+    """Dust and filter shifts of targets by the columns that are named, and an input column that is copied."""
+    rows = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[2].alias("flux"), F.lit(1.0).alias("err"), F.col("embedding")[0].cast("double").alias("dust"), F.col("embedding")[1].cast("double").alias("shift"))
+    out = catalog.prepared(rows, catalog.TargetCatalog("", {"b2": ("flux", "err")}, "vec_id", ebv="dust", shifts={"b2": "shift"}))
+    return rounded(out.select("target_id", "ebv", F.col("shifts.b2").alias("shift_b2"), "in_vec_id"), "ebv", "shift_b2")
+
+
 @query(f"{O.BASE} SELECT target_id, {O.dereddened()} FROM targets")
 def colorspace_deredden(spark, sf):
     out = correction.dereddened(V.coloured_targets(spark, sf), V.COEFFICIENTS)
@@ -395,6 +403,26 @@ def mc_slice_agg(spark, sf):
     return rounded(montecarlo.slice_aggregate(_drawn(spark, sf), "p1", "p2", _E2), "value")
 
 
+_DENSE = "p1 + draw * 1e-3"
+
+
+@query(
+    f"{O.DRAWS}, v AS (SELECT target_id, list_sort(list({_DENSE})) AS l FROM drawn GROUP BY target_id), "
+    "h AS (SELECT target_id, l FROM v UNION ALL SELECT target_id, l[spot:spot + (len(l) + 1) // 2] FROM (SELECT target_id, l, list_position(gaps, list_min(gaps)) AS spot FROM (SELECT target_id, l, list_transform(range(1, (len(l) + 1) // 2), lambda i: l[i + (len(l) + 1) // 2] - l[i]) AS gaps FROM h WHERE len(l) > 3))) "
+    f"SELECT target_id, {O.r('list_avg(l)', 'mode')} FROM h WHERE len(l) <= 3"
+)
+def mc_mode_dense(spark, sf):
+    """Draws that all differ, so that the mode is that of the densest half, again and again."""
+    return rounded(montecarlo.modes(_drawn(spark, sf).withColumn("v", F.col("p1") + F.col("draw") * F.lit(1e-3)), "v"), "mode")
+
+
+@query(f"{O.DRAWS} SELECT a.target_id, CAST(g.b AS INT) AS slice, {O.r('coalesce(max(d.p1), -99e0)', 'highest')}, {O.r('coalesce(stddev_pop(d.p1), -99e0)', 'spread')} FROM (SELECT DISTINCT target_id FROM drawn) a CROSS JOIN range(0, 3) g(b) LEFT JOIN drawn d ON d.target_id = a.target_id AND d.p2 >= g.b AND d.p2 < g.b + 1 GROUP BY ALL")
+def mc_slices_by_name(spark, sf):
+    rows = _drawn(spark, sf)
+    of = lambda name, as_: montecarlo.slice_aggregate(rows, "p1", "p2", _E2, montecarlo.AGGREGATES[name]).withColumnRenamed("value", as_)
+    return rounded(of("max", "highest").join(of("std", "spread"), ["target_id", "slice"]), "highest", "spread")
+
+
 @query()
 def mc_random(spark, sf):
     return _drawn(spark, sf, seed=11)
@@ -434,13 +462,19 @@ def index_merge(spark, sf):
 
 @query("SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def index_duplicates(spark, sf):
-    return V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    return catalog.duplicates(V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
 
 
-@query(f"{O.BASE} SELECT ref_id, z FROM refs WHERE ref_id % 2 = 0 UNION ALL SELECT ref_id, z FROM refs WHERE ref_id % 2 <> 0")
+@query(f"{O.BASE} SELECT ref_id, CAST(weight AS FLOAT) AS weight, CASE WHEN ref_id % 2 = 0 THEN round(exp(-5e-1 * pow((0e0 - z) / 7e-1, 2e0)), 6) + 0e0 END AS p_at_0 FROM refs")
 def reference_union(spark, sf):
-    r = V.refs(spark, sf).select("ref_id", "z")
-    return r.where("ref_id % 2 = 0").unionByName(r.where("ref_id % 2 <> 0").select("z", "ref_id"))
+    """A sample that imports another: objects with their weights, and data."""
+    r, p = V.refs(spark, sf), V.densities(spark, sf)
+    one, other = (sample.ReferenceSample.create(spark, folder(spark), {"pdz": "pdz"}) for _ in range(2))
+    one.add_objects(r.where("ref_id % 2 <> 0"))
+    other.add_objects(r.where("ref_id % 2 = 0"))
+    other.add_data("pdz", p.where("ref_id % 2 = 0"), BINS)
+    one.import_sample(other)
+    return rounded(one.joined().select("ref_id", "weight", F.get("pdz.p", F.lit(8)).alias("p_at_0")), "p_at_0")
 
 
 @query(f"{O.BASE} SELECT ref_id, {O.r('f_b0', 'f_b0')} FROM refs WHERE ref_id % 4 = 1 ORDER BY ref_id")
@@ -460,8 +494,11 @@ def reference_photometry(spark, sf):
 
 @query(f"{O.BASE} SELECT ref_id FROM refs WHERE ref_id NOT IN (SELECT ref_id FROM refs WHERE ref_id % 3 = 0)")
 def index_difference(spark, sf):
-    r = V.refs(spark, sf).select("ref_id")
-    return r.join(r.where("ref_id % 3 = 0"), "ref_id", "left_anti")
+    """Objects of a sample without densities."""
+    s = sample.ReferenceSample.create(spark, folder(spark), {"pdz": "pdz"})
+    s.add_objects(V.refs(spark, sf).select("ref_id"))
+    s.add_data("pdz", V.densities(spark, sf).where("ref_id % 3 = 0"), BINS)
+    return s.lacking("pdz")
 
 
 @query(
@@ -544,3 +581,33 @@ def full_run(spark, sf):
     """All stages and outputs of a configured run, with reddened and shifted targets."""
     i = R.Inputs(V.coloured_targets(spark, sf), V.corrected_refs(spark, sf), V.COEFFICIENTS, V.densities(spark, sf), BINS, {"pp": V.samples(spark, sf)})
     return R.run(i, Config.parse(CONFIG))
+
+
+_TABLES = {"bins_pdf": BINS, "bins_mc_count_i1": [0.0, 1.0, 2.0, 3.0], "bins_mc_slice_aggregate_p1_p2": _E2}
+
+
+def _listed(name: str, values: list[float]) -> str:
+    return f"SELECT '{name}' AS name, CAST(i - 1 AS INT) AS place, [{', '.join(f'{x}e0' for x in values)}][i] AS value FROM range(1, {len(values) + 1}) g(i)"
+
+
+@query(" UNION ALL ".join(_listed(n, v) for n, v in _TABLES.items()))
+def side_tables(spark, sf):
+    """Grids of a run's array columns."""
+    from pyspark.sql import Window
+
+    tables = R.extension_tables(R.Inputs(V.targets(spark, sf), V.refs(spark, sf), bins=BINS), Config.parse(CONFIG))
+    parts = [tables[n].select(F.lit(n).alias("name"), F.col(tables[n].columns[-1]).cast("double").alias("value")) for n in _TABLES]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("name", (F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1).alias("place"), "value")
+
+
+@query(
+    f"{O.PDZ}, m AS (SELECT target_id, sum(weight * n_f_b0) / sum(weight) AS f, sum(weight * n_e_b0) / sum(weight) AS e, count(*) AS n, max(flags) = 1 AS flag FROM w GROUP BY target_id), z AS (SELECT target_id, sum(zb * p) / sum(p) AS v FROM pdf GROUP BY target_id) "
+    f"SELECT m.target_id, {O.r('f', 'b0_mean')}, {O.r('e', 'b0_mean_err')}, {O.r('v', 'pdf_mean')}, CAST(n AS INT) AS n, flag AS flag_alternative_weight FROM m JOIN z ON z.target_id = m.target_id"
+)
+def full_run_means(spark, sf):
+    """All stages of a configured run whose outputs are all determined."""
+    i = R.Inputs(V.targets(spark, sf), V.refs(spark, sf).drop("weight"), pdz=V.densities(spark, sf), bins=BINS)
+    asked = {k: CONFIG[k] for k in ("reference_sample_phot_filters", "neighbor_method", "neighbors_no", "weight_method", "neighbor_info_output", "flags_in_separate_columns")}
+    out = R.run(i, Config.parse(asked | {"pdz_output": False, "pdz_point_estimates": ["mean"], "reference_sample_out_mean_phot_filters": ["b0"]}))
+    return rounded(out.select("target_id", "b0_mean", "b0_mean_err", "pdf_mean", F.size("neighbor_ids").alias("n"), "flag_alternative_weight"), "b0_mean", "b0_mean_err", "pdf_mean")

@@ -62,7 +62,7 @@ def files(spark: SparkSession, c: Config) -> Inputs:
     if c.reference_sample_dir:
         s = ReferenceSample.open(spark, c.reference_sample_dir)
         out.refs = out.refs.join(s.weights(), "ref_id")
-        wanted = s.providers if c.reference_sample_providers is None else {n: s.providers[n] for n in c.reference_sample_providers}
+        wanted = {n: k for n, k in s.providers.items() if s._exists(n)} if c.reference_sample_providers is None else {n: s.providers[n] for n in c.reference_sample_providers}
         for name, kind in wanted.items():
             if kind == "pdz" and out.pdz is None:
                 out.pdz, out.bins = s.data(name).select("ref_id", "p"), s.bins(name)

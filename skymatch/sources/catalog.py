@@ -118,10 +118,15 @@ def in_order(photometry: DataFrame, ids: DataFrame) -> DataFrame:
     return photometry.join(ids.select("ref_id", "position"), "ref_id").orderBy("position")
 
 
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """key, n: ids that occur more than once."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def checked_ids(df: DataFrame, key: str) -> DataFrame:
     """df, if no id occurs twice and none is null."""
     if not df.where(F.col(key).isNull()).isEmpty():
         raise InvalidAxis(f"{key} has nulls")
-    if not df.groupBy(key).count().where("count > 1").isEmpty():
+    if not duplicates(df, key).isEmpty():
         raise DuplicateId(f"{key} repeats")
     return df

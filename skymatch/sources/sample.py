@@ -87,6 +87,10 @@ class ReferenceSample:
                 out = out.join(self.data(name).select("ref_id", F.struct(*[c for c in self.data(name).columns if c != "ref_id"]).alias(name)), "ref_id", "left")
         return out
 
+    def lacking(self, name: str) -> DataFrame:
+        """ref_id of objects that a provider has nothing of."""
+        return self.index().join(self.data(name), "ref_id", "left_anti").select("ref_id")
+
     def iterate(self) -> Iterator:
         """Rows of joined() by id, one partition at a time."""
         return self.joined().orderBy("ref_id").toLocalIterator()
@@ -143,12 +147,12 @@ class ReferenceSample:
 
     def import_sample(self, other: ReferenceSample) -> None:
         """All objects and data of another sample."""
+        self.add_objects(other.index().join(self.index(), "ref_id", "left_anti"))  # with their weights, before data adds objects without
         for name, kind in other.providers.items():
             if name not in self.providers:
                 self.add_provider(name, kind)
             if other._exists(name):
                 self.add_data(name, other.data(name), other.bins(name) if kind == "pdz" else None)
-        self.add_objects(other.index().join(self.index(), "ref_id", "left_anti"))
 
 
 def validate(df: DataFrame, kind: str, bins: list[float] | None = None) -> None:
