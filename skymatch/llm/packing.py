@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import logging
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,22 +64,27 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = 2048, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, _salt (a number that deals rows of one id apart) and, with_ids, ids: a row for each piece of each row of docs."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt int" + ", ids array<int>" * with_ids
+    """doc_id, piece, start, length, ids_crc32, doc_tokens, _salt (a number that deals rows of one id apart) and, with_ids, ids: a row for each piece of each row of docs."""
+    return cut_documents(docs, lambda: Encoder(tokenizer_path, ranks_path, pattern), END, lambda n: cut(n, capacity), with_ids, key, text)
+
+
+def cut_documents(docs: DataFrame, encoder: Callable[[], Callable[[str], Sequence[int]]], end: int, cuts: Callable[[int], list[tuple[int, int]]], with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As pieces, for an encoder that each task makes, an end token, and a rule that gives (start, length) of the pieces of n tokens."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, _salt int" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, salt = Encoder(tokenizer_path, ranks_path, pattern), 0
+        encode, salt = encoder(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     salt = (salt + 1) % 2**30
-                    ids = np.array([*encode(text or ""), END], dtype="<u4")
-                    rows += [(doc_id, i, s, n, zlib.crc32(x := ids[s : s + n].tobytes()), salt, *([np.frombuffer(x, "<u4").astype("i4")] if with_ids else [])) for i, (s, n) in enumerate(cut(len(ids), capacity))]
+                    ids = np.append(np.asarray(encode(text or ""), "<u4"), np.uint32(end)).astype("<u4", copy=False)
+                    rows += [(doc_id, i, s, n, zlib.crc32(x := ids[s : s + n].tobytes()), len(ids), salt, *([np.frombuffer(x, "<u4").astype("i4")] if with_ids else [])) for i, (s, n) in enumerate(cuts(len(ids)))]
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "_salt", "ids"]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", "_salt", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names[: len(cols)])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -140,8 +145,8 @@ def places(plan: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, dtype=np.int64) for n, x in out.items()}
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_bucket: int = 20_000) -> DataFrame:
-    """cut_pieces (as from pieces) with sequence_id and offset. They are read several times, so they should be stored. Ranks within a length go by buckets, of which there are more the more pieces there are."""
+def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_bucket: int = 20_000, plan: Callable[[np.ndarray, int], list[tuple[int, list[int]]]] = plan_bins) -> DataFrame:
+    """cut_pieces (as from pieces) with sequence_id and offset, by the patterns that plan makes of the counts of lengths. They are read several times, so they should be stored. Ranks within a length go by buckets, of which there are more the more pieces there are."""
     buckets = max(64, -(-cut_pieces.count() // rows_a_bucket))
     own = ["doc_id", "piece", *(c for c in ("_salt",) if c in cut_pieces.columns)]
     rows = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)))
@@ -151,7 +156,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_bucket: int = 20_00
     total = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in rows.groupBy("length").count().collect():  # at most `capacity` rows
         total[n] = k
-    table = places(plan_bins(total, capacity))
+    table = places(plan(total, capacity))
     inside = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
     ranked = ranked.join(base, (F.col("_bucket") == F.col("_b")) & (F.col("length") == F.col("_l"))).withColumn("_rank", F.col("_rank") + F.col("_base"))

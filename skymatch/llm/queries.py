@@ -6,9 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, neardup, oracle, packing, pii, quality_gam, quality_rules, toxicity, url_filter
+from . import line_dedup, media, mixing, neardup, oracle, packing, pii, quality_gam, quality_rules, toxicity, url_filter, window_packing
 from .common import held_out, table
-from .settings import TOKENIZER
+from .settings import TOKENIZER, WORD_TOKENIZER
 
 URL_RULES = [url_filter.UrlRule("net/", "block"), url_filter.UrlRule("example.net/en/", "allow"), url_filter.UrlRule("example.com/de/", "block"), url_filter.UrlRule("org/fr/", "allow")]
 
@@ -60,7 +60,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = window_packing.pack_windows(table(spark, sf_dir, "documents"), **WORD_TOKENIZER)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter, op13_window_packing)
+} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.op1(),
     "op6_minhash_neardup": oracle.op6(),
