@@ -110,3 +110,28 @@ t0 AS (SELECT host, shape, pages, labelled, bad, string_split(regexp_replace(sha
 prior AS (SELECT coalesce(sum(bad) / sum(labelled), 0e0) AS v FROM sh),
 v AS (SELECT host, template, (sum(bad) + {how.prior_pages} * any_value(prior.v)) / (sum(labelled) + {how.prior_pages}) AS share FROM {before} CROSS JOIN prior GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN v.share >= {how.reject} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN {before} t ON t.host = r.host AND t.shape = r.shape JOIN v ON v.host = t.host AND v.template = t.template"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(z AS BIGINT) for z in range(8)]), lambda v, z: {step})), CAST(4294967295 AS BIGINT))"
+
+
+def op11() -> str:
+    return f"""WITH t AS (SELECT conv_id, md5(length(r) || ':' || r || x) AS digest, length(x) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(r, 64), left(x, 64), md5(length(r) || ':' || r || x)) AS pos
+FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM t GROUP BY conv_id),
+p AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+rebuilt AS (SELECT p.conv_id, t.pos, digest, chars FROM p JOIN t ON t.conv_id = p.base AND t.pos <= p.head UNION ALL SELECT p.conv_id, t.pos - p.h + p.head, digest, chars FROM p JOIN t ON t.conv_id = p.conv_id AND t.pos > p.h),
+s AS (SELECT conv_id, list(digest ORDER BY pos) AS ds, list(chars ORDER BY pos) AS cs FROM rebuilt GROUP BY conv_id),
+a AS (SELECT p.conv_id, coalesce(ds, []) AS ds, coalesce(cs, []) AS cs FROM p LEFT JOIN s ON s.conv_id = p.conv_id),
+m AS (SELECT conv_id, d AS depth, md5(array_to_string(ds[1:d], ',')) AS k, len(ds) = d AS ends, coalesce(cs[d], 0) AS chars FROM a, unnest(range(0, len(ds) + 1)) u(d)),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY k, depth),
+up AS (SELECT n.*, m.k AS pk FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT pk AS k, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids ON kids.k = up.k AND kids.depth = up.depth),
+totals AS (SELECT m.k, m.depth, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM full_nodes f JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN totals ON totals.k = f.k AND totals.depth = f.depth LEFT JOIN n parent ON parent.k = f.pk AND parent.depth = f.depth - 1"""

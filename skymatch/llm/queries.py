@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, neardup, oracle, packing, pii, quality_gam, quality_rules, toxicity, url_filter, window_packing
+from . import line_dedup, media, mixing, neardup, oracle, packing, pii, prefix_trie, quality_gam, quality_rules, toxicity, url_filter, window_packing
 from .common import held_out, table
 from .settings import TOKENIZER, WORD_TOKENIZER
 
@@ -60,6 +60,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie.trie(*prefix_trie.spliced(positions, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, most=5))
+
+
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_packing.pack_windows(table(spark, sf_dir, "documents"), **WORD_TOKENIZER)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -67,7 +73,7 @@ def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter, op13_window_packing)
+    for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter, op11_prefix_trie, op13_window_packing)
 } | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.op1(),
@@ -75,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": oracle.op7(),
     "op9_line_dedup": oracle.op9(),
     "op10_url_filter": oracle.op10(URL_RULES),
+    "op11_prefix_trie": oracle.op11(),
 }
