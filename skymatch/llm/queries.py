@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, neardup, oracle, packing, pii, prefix_trie, quality_gam, quality_rules, toxicity, url_filter, window_packing
+from . import hard_negatives, line_dedup, media, mixing, neardup, oracle, packing, pii, prefix_trie, quality_gam, quality_rules, toxicity, url_filter, window_packing
 from .common import held_out, table
 from .settings import TOKENIZER, WORD_TOKENIZER
 
@@ -66,6 +66,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.spliced(positions, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, most=5))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, label = F.col("vec_id"), F.col("label")
+    moved = F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = table(spark, sf_dir, "embeddings").select(id_, moved.alias("label"), hard_negatives.scaled(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(vectors, id_ % 50 == 0)
+
+
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_packing.pack_windows(table(spark, sf_dir, "documents"), **WORD_TOKENIZER)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -73,7 +80,7 @@ def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter, op11_prefix_trie, op13_window_packing)
+    for f in (op1_quality_rules, op2_best_fit_packing, op3_pii, op4_media_columns, op5_toxicity, op6_minhash_neardup, op7_mixing, op8_quality_gam, op9_line_dedup, op10_url_filter, op11_prefix_trie, op12_hard_negatives, op13_window_packing)
 } | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.op1(),
@@ -82,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": oracle.op9(),
     "op10_url_filter": oracle.op10(URL_RULES),
     "op11_prefix_trie": oracle.op11(),
+    "op12_hard_negatives": oracle.op12(),
 }
