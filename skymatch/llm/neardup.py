@@ -2,14 +2,15 @@
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of the set and a MinHash signature. Texts with equal
    sets are one class, so copies cost nothing beyond this.
-2. Signatures are cut into bands; classes that share a band are candidates. There are as many bands as a chosen miss probability asks for.
+2. Signatures are cut into bands; classes that share a band are candidates. There are as many bands as a chosen miss probability asks for, where sharing a
+   single one counts as a miss, since step 4 asks for two.
 3. In each bucket all members are held against its leader, the member of the smallest id. A pair's signatures are compared batch by batch. With a
    uniform prior, m matches in n give the posterior Beta(m + 1, n - m + 1) of the similarity; a pair whose posterior chance to reach a bound
    falls below the miss probability is pruned. Survivors are verified on full sets, which also tells how each differs from the leader.
 4. Members that aren't linked with a leader near them are held against the others of its surroundings, in blocks, by these differences.
-   Members far from the leader are paired within their buckets, but for those near its core, which can't be linked with them; in a bucket of many, only
-   with those that share another band, too, as linked ones do but for the miss probability. The same pruning
-   at the threshold and the same exact check follow. So every pair of a bucket is compared or known to be connected or out of reach.
+   Members far from the leader are paired within their buckets, but for those near its core, which can't be linked with them, where they share
+   a second band, too, whatever the bucket's size. The same pruning
+   at the threshold and the same exact check follow. So every pair of two buckets is compared or known to be connected or out of reach.
 5. Components come from rounds of minimum labels and pointer jumping over stored tables; nothing about documents reaches the driver.
 
 Nulls and empties: a text without words has an empty set and is linked with nothing. Fewer words than a shingle: the whole sequence is one
@@ -38,7 +39,7 @@ LAST = 2**63 - 1
 
 @dataclass(frozen=True)
 class NearDup:
-    """Texts link if 100 * intersection >= percent * union. core: percent of similarity with a leader. rows: hashes a band. miss: chance at the threshold that no band agrees. prune: chance of a wrong pruning at each look. batch: hashes between looks. crowd: members of a band from which on pairs must share another."""
+    """Texts link if 100 * intersection >= percent * union. core: percent of similarity with a leader. rows: hashes a band. miss: chance at the threshold that fewer than two bands agree. prune: chance of a wrong pruning at each look. batch: hashes between looks."""
 
     shingle: int = 5
     percent: int = 80
@@ -48,11 +49,13 @@ class NearDup:
     batch: int = 20
     seed: int = 7
     core: int = 75
-    crowd: int = 64
 
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
+        p, n = (self.percent / 100) ** self.rows, 2
+        while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > self.miss:
+            n += 1
+        return n
 
     @property
     def hashes(self) -> int:
@@ -322,16 +325,9 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
             return labels
 
 
-def loose_pairs(loose: DataFrame, banded: DataFrame, how: NearDup) -> DataFrame:
-    """loose: band, fp, _far. Pairs (a, b) of a band's members of which one is far from its leader.
-
-    In a band of more than how.crowd members a pair must share another band, too: linked texts share none with the miss probability only, others mostly none.
-    """
-    size = loose.groupBy("band").agg(F.count("*").alias("_n"))
-    crowded = stored(size.where(F.col("_n") > how.crowd).select("band"))
-    few = loose.join(crowded, "band", "left_anti").withColumn("_other", F.lit(0).cast("long"))
-    many = loose.join(crowded, "band", "left_semi").join(banded.withColumnRenamed("band", "_other"), "fp").where("_other != band")
-    dealt = few.unionByName(many)
+def loose_pairs(loose: DataFrame, banded: DataFrame) -> DataFrame:
+    """loose: band, fp, _far. Pairs (a, b) of a band's members of which one is far from its leader, and which share another band: linked ones do, but for the miss probability."""
+    dealt = loose.join(banded.withColumnRenamed("band", "_other"), "fp").where("_other != band")
     left = dealt.where("_far").select("band", "_other", F.col("fp").alias("a"))
     right = dealt.select("band", "_other", F.col("fp").alias("b"), "_far")
     pairs = left.join(right, ["band", "_other"]).where((F.col("a") < F.col("b")) | ~F.col("_far") & (F.col("a") != F.col("b")))
@@ -359,7 +355,7 @@ def groups(docs: DataFrame, how: NearDup = NearDup(), key: str = "doc_id", text:
     far = star.where("NOT passed").select(F.col("a").alias("leader"), F.col("b").alias("fp"), F.lit(True).alias("_far"))
     shell = near.where(~reaches(how.core)).select(F.col("a").alias("leader"), F.col("b").alias("fp"), F.lit(False).alias("_far"))
     loose = stored(members.join(far.unionByName(shell), ["leader", "fp"]).select("band", "fp", "_far"))
-    across = loose_pairs(loose, banded.select("fp", "band"), how)
+    across = loose_pairs(loose, banded.select("fp", "band"))
     across = stored(likely(across, classes, how, how.percent / 100).where("passed").select("a", "b"))
     edges = edges.unionByName(compared(across, sets_for(across)).where(reaches(how.percent)).select("a", "b"))
     roots = components(edges, ids)

@@ -1,5 +1,6 @@
 """Near-dedup against all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -124,9 +125,23 @@ def test_rows_that_differ_in_other_columns_only(spark):
     assert one == other and len(one) == 3
 
 
-def test_crowded_bands(spark):
-    """Pairs in crowded bands are found by a second one."""
+def test_two_bands_of_large_buckets(spark):
+    """Large families far from a chance leader are joined all the same."""
     rows = families(6, n=3, members=50)
-    for how in (NearDup(shingle=3, percent=85, crowd=0), NearDup(crowd=1)):
+    for how in (NearDup(shingle=3, percent=85), NearDup()):
         out = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(frame(spark, rows), how).collect()}
         assert out == brute_groups(rows, how.shingle, how.percent)
+
+
+@pytest.mark.parametrize("how", [NearDup(shingle=3, percent=85), NearDup()])
+def test_miss_probability(how):
+    """By arithmetic and by simulated pairs at the threshold: fewer than two bands agree about as rarely as stated; one band less would not do."""
+    p = (how.percent / 100) ** how.rows
+    miss = lambda n: (1 - p) ** n + n * p * (1 - p) ** (n - 1)
+    assert miss(how.bands) <= how.miss < miss(how.bands - 1)
+    r, few = np.random.default_rng(2), np.zeros(6)
+    for _ in range(40):
+        agree = (r.random((5_000, how.bands, how.rows)) < how.percent / 100).all(axis=2).sum(axis=1)
+        few += np.bincount(np.minimum(agree, 5), minlength=6)
+    want = [200_000 * math.comb(how.bands, k) * p**k * (1 - p) ** (how.bands - k) for k in range(5)]
+    assert few[:2].sum() <= 2 and abs(few[:5].sum() - sum(want)) < 5 * sum(want) ** 0.5
