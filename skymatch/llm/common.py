@@ -68,12 +68,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sample:
-    """What a classifier learns from. rows: labelled documents at most; once there are more, the rarer class gets up to least_share of the rows, and weights give each class its share of all labels back. words: of a text at most, in evenly spread runs of `run` words."""
+    """What a classifier learns from. rows: labelled documents at most, whole texts all of them; once there are more, the rarer class gets up to least_share of the rows, and weights give each class its share of all labels back."""
 
     rows: int
     least_share: float = 0.4
-    words: int = 8000
-    run: int = 200
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, how: Sample, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,16 +90,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, how: Sample, k
     return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # at most how.rows ids
 
 
-def excerpt(text: str | None, how: Sample) -> tuple[list[str], float]:
-    """The words of a text, or evenly spread runs of them, in order; and how many words stand for one of them."""
-    ws = (text or "").split()
-    if len(ws) <= how.words:
-        return ws, 1.0
-    runs = sorted(sorted(range(0, len(ws), how.run), key=lambda i: i // how.run * 0x9E3779B1 % 2**32)[: how.words // how.run])
-    out = [w for i in runs for w in ws[i : i + how.run]]
-    return out, len(ws) / len(out)
-
-
 def release(spark: SparkSession) -> int:
     """Deletes the scratch tables that this process has made; results that still read them must be written before. Returns how many there were."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

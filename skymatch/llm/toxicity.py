@@ -5,7 +5,7 @@ toxic than in other documents, and needed to tell them, are toxic, all others an
 word, its ends, its shape); transitions are learned with them by maximising the conditional likelihood. A document's score is a
 logistic function of the sum of its words' squared marginals, so that hardly toxic words don't add up over a long text, and of the surest one, fitted on the same documents.
 
-A bounded sample of labelled documents is learnt from, in one task; of texts above Sample.words, runs of words from everywhere in them. Near copies
+A bounded sample of labelled documents is learnt from, in one task; their texts are taken whole. Near copies
 share the weight of one document. Rows of a class that the sample holds fewer of weigh more, so the sample's size doesn't move the scores.
 
 A text is scored whole. With two states the forward and backward messages are ratios, so a step of the recursion is a few array operations over all
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sample, excerpt, labelled_rows, stored
+from .common import Sample, labelled_rows, stored
 
 WORD = re.compile(r"\S+")
 
@@ -153,15 +153,14 @@ def toxic_features(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndar
     return out
 
 
-def train(sample: list[tuple[list[str], int, float, float]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
-    """Adagrad on the conditional log-likelihood of the token labels. sample: words, label, weight, and how many words each word stands for. None without both classes."""
+def train(sample: list[tuple[list[str], int, float]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Chain | None:
+    """Adagrad on the conditional log-likelihood of the token labels. sample: words, label, weight. None without both classes."""
     sample = [s for s in sample if s[0]]
     if len({s[1] for s in sample}) < 2:
         return None
     evidence = copy_weights([s[0] for s in sample], [s[1] for s in sample])
     weight = evidence * np.array([s[2] for s in sample])
     weight /= weight.mean()
-    stands_for = np.array([s[3] for s in sample])
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in s[0]], dtype=np.int32) for s in sample]
     toxic_text = np.array([s[1] for s in sample], dtype=float)
@@ -212,17 +211,17 @@ def train(sample: list[tuple[list[str], int, float, float]], epochs: int = 30, r
         moves += rate * grad_m / np.sqrt(seen_m)
         moves -= moves[0, 0]  # ratios alone count
     p = marginals((weights[table].sum(axis=1) + bias)[ids], lengths, moves)[0]
-    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i] and weights[known[i]]}, float(bias), moves, calibrate(summary(p, lengths, stands_for), toxic_text, weight))
+    return Chain({f: float(weights[known[i]]) for f, i in names.items() if known[i] and weights[known[i]]}, float(bias), moves, calibrate(summary(p, lengths), toxic_text, weight))
 
 
-def summary(p: np.ndarray, lengths: np.ndarray, stands_for: np.ndarray | float = 1.0) -> np.ndarray:
-    """For each text 1, the logarithm of 1 + the sum of squared marginals (each counting for stands_for words), and the surest word's marginal."""
+def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each text 1, the logarithm of 1 + the sum of squared marginals, and the surest word's marginal."""
     out = np.zeros((len(lengths), 3))
     out[:, 0] = 1
     full = np.flatnonzero(lengths)
     if len(full):
         starts = (np.cumsum(lengths) - lengths)[full]
-        out[full, 1] = np.log1p(np.add.reduceat(p * p, starts) * np.broadcast_to(stands_for, len(lengths))[full])
+        out[full, 1] = np.log1p(np.add.reduceat(p * p, starts))
         out[full, 2] = np.maximum.reduceat(p, starts)
     return out
 
@@ -277,13 +276,13 @@ def score_texts(texts: list[str | None], chain: Chain, known: Emissions, least:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, how: Sample = Sample(4000), key: str = "doc_id", text: str = "text") -> Chain | None:
-    """The model of docs' labelled sample, fitted by one task, which holds how.rows * how.words words at most."""
+    """The model of docs' labelled sample, fitted by one task, which holds how.rows texts at most."""
     rows = labelled_rows(docs, labels, "toxic", how, key, text)
     one = rows.groupBy("_id", "_y", "_weight").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sorted((r["_id"], *excerpt(r["_text"], how), r["_y"], r["_weight"]) for batch in batches for r in batch.to_pylist())
-        chain = train([(ws, y, weight, each) for _, ws, each, y, weight in sample])
+        sample = sorted((r["_id"], r["_y"], r["_weight"], r["_text"] or "") for batch in batches for r in batch.to_pylist())
+        chain = train([(text.split(), y, weight) for _, y, weight, text in sample])
         if chain:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(chain))], pa.binary())], ["model"])
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skymatch.llm import pii, pii_mentions, pii_model, quality_gam, toxicity
-from skymatch.llm.common import Sample, excerpt, held_out, labelled_rows
+from skymatch.llm.common import Sample, held_out, labelled_rows
 
 EDGES = [(1, None), (2, ""), (3, " \n "), (4, "idiot"), (5, "x" * 30_000), (5, "x" * 30_000), (None, "mail a.b@c.org now"), (6, "words " * 20_000), (7, "퟿é \U0001f600 +1 234 567 8901")]
 
@@ -318,7 +318,7 @@ def plain_score(chain, text):
 
 
 def test_scores_against_all_paths():
-    sample = [((f"w{i % 9} v{i % 5} idiot scum x{i % 3}" if i % 4 == 0 else f"w{i % 7} v{i % 6} here and there").split(), int(i % 4 == 0), 1.0, 1.0) for i in range(200)]
+    sample = [((f"w{i % 9} v{i % 5} idiot scum x{i % 3}" if i % 4 == 0 else f"w{i % 7} v{i % 6} here and there").split(), int(i % 4 == 0), 1.0) for i in range(200)]
     chain = toxicity.train(sample)
     texts = ["idiot", "w1 v2 here", "", None, "the idiot scum of w3 and so on", "idiot scum idiot scum", "there"]
     got = toxicity.score_texts(texts, chain, toxicity.Emissions(chain))[0]
@@ -335,12 +335,19 @@ def test_copies_share_their_weight():
     assert toxicity.copy_weights([text, near, other, text, passage, text], [1, 1, 1, 0, 1, 1]).tolist() == pytest.approx([1 / 3, 1 / 3, 1, 1, 1, 1 / 3])
 
 
-def test_excerpts():
-    how = Sample(rows=9, words=1000, run=50)
-    ws = [str(i) for i in range(5000)]
-    got, each = excerpt(" ".join(ws), how)
-    assert len(got) == 1000 and each == 5 and [int(x) for x in got] == sorted(map(int, got)) and max(map(int, got)) > 4000
-    assert excerpt(" ".join(ws[:1000]), how) == (ws[:1000], 1.0) and excerpt(None, how) == ([], 1.0)
+def test_whole_texts_are_learnt_from(spark):
+    """A word that stands at one place only of long texts tells toxic ones, wherever that is."""
+    long = lambda i: [f"w{(i * 37 + k) % 400}" for k in range(9000)]
+    rows = []
+    for i in range(90):
+        ws = long(i)
+        if i % 3 == 0:
+            ws[(i * 811) % 9000] = "vermin"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    chain = toxicity.fitted(docs, labels)
+    assert chain.emission("vermin") > 0 > chain.emission("w7")
 
 
 def test_samples_are_weighted_and_hold_for_every_layout(spark):
@@ -348,7 +355,7 @@ def test_samples_are_weighted_and_hold_for_every_layout(spark):
     rows = [(i, ("idiot scum " if i % 5 == 0 else "some words ") + f"and w{i} " * (3000 if i == 5 else 3)) for i in range(300)] + [(i, f"another text {i % 3} of the id") for i in range(40) for _ in range(2)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0), int(i % 5 != 0)) for i in range(300)], "doc_id long, toxic int, quality int")
     n = {y: labels.where((F.col("toxic") == y) & ~held_out(F.col("doc_id"))).count() for y in (0, 1)}
-    how = Sample(rows=60, words=500)
+    how = Sample(rows=60)
     results = []
     for parts in (1, 6):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
