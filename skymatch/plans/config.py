@@ -33,7 +33,7 @@ class Config:
     missing_photometry_flags: list[float] = field(default_factory=list)
     target_catalog: str | None = None
     target_catalog_format: str = "parquet"
-    target_catalog_unit: str = "uJy"
+    target_catalog_unit: str | None = None
     reference_sample_dir: str | None = None
     reference_sample_providers: list[str] | None = None
     reference_sample_phot_file: str | None = None
@@ -88,7 +88,7 @@ class Config:
         if self.redden_mean_phot and not self.target_catalog_gal_ebv:
             raise ValueError("redden_mean_phot needs target_catalog_gal_ebv")
         if not self.target_catalog:
-            alone = {"target_catalog_id_column": "ID", "target_catalog_gal_ebv": None, "target_catalog_filters_shifts": {}, "dust_map_sed_bpc": 1.018, "missing_photometry_flags": [], "input_size": None, "input_chunk_size": None, "target_catalog_format": "parquet", "target_catalog_unit": "uJy"}
+            alone = {"target_catalog_id_column": "ID", "target_catalog_gal_ebv": None, "target_catalog_filters_shifts": {}, "dust_map_sed_bpc": 1.018, "missing_photometry_flags": [], "input_size": None, "input_chunk_size": None, "target_catalog_format": "parquet", "target_catalog_unit": None}
             if useless := [n for n, usual in alone.items() if getattr(self, n) != usual]:
                 raise ValueError(f"parameters {useless} speak of a target_catalog, which isn't named")
         for name, specs in self.mc_slice_aggregate.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from fnmatch import fnmatch
 
@@ -12,18 +13,51 @@ from ..errors import DuplicateId, InvalidAxis, MissingData, WrongFormat
 from .fits import read_fits
 
 #: Microjansky in a unit of flux density.
-UNITS = {"uJy": 1.0, "mJy": 1e3, "Jy": 1e6, "nJy": 1e-3, "erg/s/cm2/Hz": 1e29, "ABmag-zero": 3.6307805477010137e9}
+UNITS = {"uJy": 1.0, "mJy": 1e3, "Jy": 1e6, "nJy": 1e-3, "erg/s/cm2/Hz": 1e29, "ABmag-zero": 3.6307805477010137e9, "maggy": 3.6307805477010137e9, "nanomaggy": 3.6307805477010137, "W/m2/Hz": 1e32}
+PREFIXES = {"": 1.0, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "k": 1e3, "M": 1e6, "nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "kilo": 1e3, "mega": 1e6}
+
+
+def microjansky(unit: str) -> float:
+    """How many a unit of flux density is: prefixed janskys, or a product of powers such as `erg s-1 cm-2 Hz-1` and `W / (m2 Hz)`, in any order."""
+    if unit in UNITS:
+        return UNITS[unit]
+    if (m := re.fullmatch(r"(.*?)(Jy|[jJ]ansky)", unit.strip())) and m[1] in PREFIXES:
+        return PREFIXES[m[1]] * 1e6
+    above, _, below = unit.replace("**", "").replace("^", "").replace("*", " ").replace(".", " ").partition("/")
+    powers: dict[str, int] = {}
+    for text, sign in ((above, 1), (re.sub(r"[/()]", " ", below), -1)):
+        for part in text.split():
+            m = re.fullmatch(r"([A-Za-z]+)([+-]?\d+)?", part)
+            if not m:
+                raise WrongFormat(f"the unit {unit} isn't known")
+            powers[m[1]] = powers.get(m[1], 0) + sign * int(m[2] or 1)
+    if powers == {"erg": 1, "s": -1, "cm": -2, "Hz": -1}:
+        return 1e29
+    if powers in ({"W": 1, "m": -2, "Hz": -1}, {"J": 1, "s": -1, "m": -2, "Hz": -1}):
+        return 1e32
+    raise WrongFormat(f"the unit {unit} isn't known")
+
+
+def common_unit(df: DataFrame, columns: list[str], stated: str | None) -> str:
+    """The unit that columns' metadata name, which must be one for all of them; where they name none the stated one, or microjansky."""
+    units = {df.schema[x].metadata.get("unit") for x in columns}
+    if len(units) > 1:
+        raise WrongFormat(f"columns {columns} have several units: {sorted(map(str, units))}")
+    found = next(iter(units), None)
+    if found and stated and microjansky(found) != microjansky(stated):
+        raise WrongFormat(f"columns are in {found}, {stated} is stated")
+    return found or stated or "uJy"
 
 
 @dataclass(frozen=True)
 class TargetCatalog:
-    """bands: (flux column, error column) of each reference band, in their order. missing: flux values that mean none. enabled: globs; others of the bands are dropped, and the order follows the globs."""
+    """bands: (flux column, error column) of each reference band, in their order. unit: of columns that name none in their metadata; uJy if None. missing: flux values that mean none. enabled: globs; others of the bands are dropped, and the order follows the globs."""
 
     path: str
     bands: dict[str, tuple[str, str]]
     id_column: str = "ID"
     format: str = "parquet"
-    unit: str = "uJy"
+    unit: str | None = None
     missing: tuple[float, ...] = ()
     enabled: str | None = None
     limit: int | None = None
@@ -63,16 +97,15 @@ def read(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
 def prepared(df: DataFrame, c: TargetCatalog) -> DataFrame:
     """target_id, fluxes and errors of the enabled bands, ebv and shifts if named, and all other input columns as in_<name>."""
     bands = enabled_bands(list(c.bands), c.enabled)
-    if c.unit not in UNITS:
-        raise WrongFormat(f"the unit {c.unit} isn't known")
     absent = [x for b in bands for x in c.bands[b] if x not in df.columns]
     if absent or c.id_column not in df.columns:
         raise MissingData(f"no columns {absent or c.id_column}")
+    factor = microjansky(common_unit(df, [x for b in bands for x in c.bands[b]], c.unit))
     if c.limit is not None:
         df = df.orderBy(c.id_column).limit(c.limit)
     cols = [F.col(c.id_column).cast("long").alias("target_id")]
     for b in bands:
-        f, e = cleaned(*(F.col(x).cast("double") for x in c.bands[b]), c.missing, UNITS[c.unit])
+        f, e = cleaned(*(F.col(x).cast("double") for x in c.bands[b]), c.missing, factor)
         cols += [f.alias(f"f_{b}").alias(f"f_{b}", metadata={"unit": "uJy"}), e.alias(f"e_{b}", metadata={"unit": "uJy"})]
     if c.ebv:
         cols.append((F.col(c.ebv).cast("double") * F.lit(c.dust_map_factor)).alias("ebv"))
