@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateId, InvalidAxis, MissingData, WrongFormat
 from .fits import read_fits
+from .npy import read_npy
 
 #: Microjansky in a unit of flux density.
 UNITS = {"uJy": 1.0, "mJy": 1e3, "Jy": 1e6, "nJy": 1e-3, "erg/s/cm2/Hz": 1e29, "ABmag-zero": 3.6307805477010137e9, "maggy": 3.6307805477010137e9, "nanomaggy": 3.6307805477010137, "W/m2/Hz": 1e32}
@@ -89,6 +90,8 @@ def read(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
         return spark.read.options(header=True, inferSchema=True).csv(path)
     if format == "fits":
         return read_fits(spark, path)
+    if format == "npy":
+        return read_npy(spark, path).drop("file", "row")
     if format in ("parquet", "orc", "json"):
         return spark.read.format(format).load(path)
     raise WrongFormat(f"{format} can't be read")

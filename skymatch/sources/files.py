@@ -57,8 +57,16 @@ class FileRange(InputPartition):
     stop: int
 
 
-def ranges(path: str, suffix: str, size: int) -> list[FileRange]:
-    return [FileRange(p, s, min(s + size, n)) for p, n in listed(path, suffix) for s in range(0, max(n, 1), size)]
+def ranges(path: str, suffix: str, size: int, names: list[str] | None = None) -> list[FileRange]:
+    """Ranges of the files that listed() finds, or of the named ones of a folder."""
+    if names is None:
+        found = listed(path, suffix)
+    else:
+        files, at = store(path)
+        found = [(f.path, f.size) for f in files.get_file_info([f"{at.rstrip('/')}/{n}" for n in names])]
+        if absent := [p for p, n in found if n is None]:
+            raise MissingData(f"files are missing: {', '.join(absent[:5])}")
+    return [FileRange(p, s, min(s + size, n)) for p, n in found for s in range(0, max(n, 1), size)]
 
 
 def own_rows(part: FileRange, body: int, width: int, rows: int) -> tuple[int, int]:

@@ -206,13 +206,14 @@ def hdu_of(value: int | str) -> int | str:
 
 
 class FitsReader(DataSourceReader):
-    """Options: path (a file, a folder or a glob), hdu (number or name), columns (comma-separated; others aren't decoded), range (bytes a task), batch (rows)."""
+    """Options: path (a file, a folder or a glob), hdu (number or name), columns (comma-separated; others aren't decoded), range (bytes a task), batch (rows), files (names in the folder, by line ends), places (adds _file and _row, a row's file and place there)."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.hdu = options["path"], hdu_of(options.get("hdu", "1"))
         self.names = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
         self.range, self.batch = int(options.get("range", RANGE)), int(options.get("batch", 20_000))
-        self.parts = ranges(self.path, "", self.range)
+        self.parts = ranges(self.path, "", self.range, options["files"].split("\n") if options.get("files") else None)
+        self.places = options.get("places", "").lower() == "true"
         self.whole = schema(self._layout(self.parts[0].path).columns)
         if self.names and (unknown := set(self.names) - set(self.whole.names)):
             raise MissingData(f"no columns {sorted(unknown)}")
@@ -223,7 +224,8 @@ class FitsReader(DataSourceReader):
             return layout(of_file(f), f.size(), self.hdu)
 
     def schema(self) -> StructType:
-        return StructType([f for f in self.whole if self.names is None or f.name in self.names])
+        place = [StructField("_file", StringType()), StructField("_row", LongType())] if self.places else []
+        return StructType([*(f for f in self.whole if self.names is None or f.name in self.names), *place])
 
     def partitions(self) -> list[FileRange]:
         return self.parts
@@ -238,7 +240,10 @@ class FitsReader(DataSourceReader):
             for at in range(first, last, self.batch):
                 n = min(self.batch, last - at)
                 f.seek(l.body + at * width)
-                yield batches(l, np.frombuffer(f.read(n * width), l.kind, n), self.names)
+                b = batches(l, np.frombuffer(f.read(n * width), l.kind, n), self.names)
+                if self.places:
+                    b = b.append_column("_file", pa.array([part.path.rpartition("/")[2]] * n)).append_column("_row", pa.array(range(at, at + n), pa.int64()))
+                yield b
 
 
 def card(key: str, value: bool | int | float | str) -> bytes:
@@ -478,12 +483,14 @@ def with_metadata(df: DataFrame, wanted: StructType) -> DataFrame:
     return df
 
 
-def read_fits(spark: SparkSession, path: str, hdu: int | str = 1, batch: int = 20_000, columns: list[str] | None = None, range_bytes: int = RANGE) -> DataFrame:
-    """The table of one file, or the tables of all files of a folder or glob, which must have the first one's columns and units. Units go into column metadata."""
+def read_fits(spark: SparkSession, path: str, hdu: int | str = 1, batch: int = 20_000, columns: list[str] | None = None, range_bytes: int = RANGE, files: list[str] | None = None, places: bool = False) -> DataFrame:
+    """The table of one file, or the tables of all files of a folder or glob, or of the named ones of a folder, which must have the first one's columns and units. Units go into column metadata. places: adds _file and _row."""
     if opens(path):
         register(spark)
-        options = {"hdu": str(hdu), "batch": str(batch), "range": str(range_bytes), "columns": ",".join(columns or [])}
+        options = {"hdu": str(hdu), "batch": str(batch), "range": str(range_bytes), "columns": ",".join(columns or []), "files": "\n".join(files or []), "places": str(places)}
         return with_metadata(spark.read.format("fits").options(**options).load(path), FitsReader(options | {"path": path}).schema())
+    if files or places:
+        raise WrongFormat(f"files of {path} can't be read by ranges")
     return read_whole(spark, path, hdu, batch, columns)
 
 
