@@ -5,7 +5,8 @@
     correct     their fluxes in the targets' colour space; writes neighbor_catalog anew
     weights     their weights and flags; writes neighbor_catalog anew
     output      one row a target; writes output_file
-    complete    posteriors in long form (posteriors, parameters) as a provider (provider) of reference_sample_dir
+    complete    posteriors as a provider (provider) of reference_sample_dir: a table in long form (posteriors, parameters), or the FITS files of a
+                folder (posterior_folder) that a table there lists (index_file, with a column FILE_NAME); an object's id is then its place in that list
 
 The file holds a JSON object of parameters (plans.config.Config); those given as --name value replace them, values being JSON or else text.
 """
@@ -16,11 +17,13 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans import run as R
 from .plans.config import Config
-from .sources import sample
+from .sources import layout, sample
 from .sources.catalog import read
+from .sources.fits import read_fits
 from .sources.scratch import release
 
 
@@ -59,7 +62,7 @@ def _write(spark: SparkSession, i: R.Inputs, c: Config, pairs: DataFrame) -> Non
     if not c.output_file:
         raise SystemExit("output_file is needed")
     rows, seen = R.observed(R.output(pairs, i, c))
-    R.write(rows, R.extension_tables(i, c), c.output_file)
+    R.write(rows, R.extension_tables(i, c), c.output_file, c.output_format, R.headers(c))
     print(f"{seen.get['targets']} targets")
     release(spark)
 
@@ -71,6 +74,15 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.builder.appName(f"skymatch {args[0]}").getOrCreate()
     if args[0] == "complete":
         s = sample.ReferenceSample.open(spark, values["reference_sample_dir"])
+        if "posterior_folder" in values:
+            folder = values["posterior_folder"]
+            listing = read_fits(spark, f"{folder}/{values.get('index_file', 'Index_File_posterior.fits')}", places=True).select(F.col("_row").alias("ref_id"), "FILE_NAME", F.col("_row").alias("position"))
+            name = values.get("provider", "pp")
+            if name not in s.providers:
+                s.add_provider(name, "mc")
+            s.add_data(name, layout.posteriors(spark, folder, listing))
+            release(spark)
+            return
         rows = read(spark, values["posteriors"], values.get("format", "parquet"))
         s.add_data(values.get("provider", "pp"), sample.complete(rows, values["parameters"]))
         return

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from collections.abc import Callable
+from dataclasses import MISSING, dataclass, field, fields
 
 from ..operators.knn import Search
 from ..operators.montecarlo import AGGREGATES
@@ -11,12 +12,34 @@ from ..operators.scaling import Prior
 
 METHODS = {"KDTree": ("kdtree", "euclidean"), "Combined": ("combined", "chi2"), "BruteForce": ("brute", "chi2")}
 
+_CATALOG: Callable[[Config], object] = lambda c: c.target_catalog
+_DUST: Callable[[Config], object] = lambda c: c.target_catalog and c.target_catalog_gal_ebv
+_KERNEL: Callable[[Config], object] = lambda c: c.pdz_kernel
+#: parameter -> what it is used with. Set without that, it is refused; parameters that aren't here are always used.
+USED_WITH: dict[str, Callable[[Config], object]] = {
+    **dict.fromkeys(
+        ("target_catalog_id_column", "target_catalog_filters", "target_catalog_gal_ebv", "target_catalog_filters_shifts", "missing_photometry_flags", "target_catalog_format", "target_catalog_unit")
+        + ("input_size", "input_chunk_size", "reference_sample_dir", "reference_sample_phot_file"),
+        _CATALOG,
+    ),
+    **dict.fromkeys(("dust_map_sed_bpc", "galactic_curve", "galactic_sed", "filters_dir", "redden_mean_phot"), _DUST),
+    **dict.fromkeys(("pdz_kernel_bandwidth", "pdz_kernel_store"), _KERNEL),
+    **dict.fromkeys(("scale_max_iter", "scale_rtol"), lambda c: c.scale_prior),
+    "reference_sample_phot_format": lambda c: c.target_catalog and c.reference_sample_phot_file,
+    "reference_sample_providers": lambda c: c.target_catalog and c.reference_sample_dir,
+    "scale_prior": lambda c: c.neighbor_method == "BruteForce",
+    "leafsize": lambda c: c.neighbor_method in ("KDTree", "Combined"),
+    "batch_size": lambda c: c.neighbor_method == "Combined",
+    "output_format": lambda c: c.output_file,
+    "mc_pdf_take_n": lambda c: c.mc_samples or c.mc_1d_pdf or c.mc_2d_pdf or c.mc_count or c.mc_slice_aggregate,
+}
+
 
 @dataclass
 class Config:
     """Names follow the parameters that users know; Python code to execute and graphics cards have no counterpart.
 
-    Those about files are used by `files`: target_catalog and reference_sample_phot_file (with a format each: parquet, csv, json, orc or fits), reference_sample_dir (a sample of `sources.sample`;
+    Those about files are used by `files`: target_catalog and reference_sample_phot_file (with a format each: parquet, csv, json, orc, fits or npy), reference_sample_dir (a sample of `sources.sample`;
     reference_sample_providers names its providers of densities and Monte-Carlo samples, all by default), and, for targets with E(B-V), galactic_curve, galactic_sed (two columns of text) and
     filters_dir, from which each band's coefficient is computed. input_chunk_size: targets in a partition. leafsize: objects in a leaf of the index.
     """
@@ -46,6 +69,7 @@ class Config:
     force_cpu: bool = True
     neighbor_catalog: str = "neighbors"
     output_file: str | None = None
+    output_format: str = "parquet"
     redden_mean_phot: bool = False
     enable_filters: str | None = None
     input_size: int | None = None
@@ -80,6 +104,8 @@ class Config:
             raise ValueError("Combined needs batch_size")
         if self.scale_prior and self.neighbor_method != "BruteForce":
             raise ValueError("scale_prior needs BruteForce")
+        if self.output_format not in ("parquet", "fits"):
+            raise ValueError(f"output can't be written as {self.output_format!r}")
         for w in (self.weight_method, self.weight_method_alternative):
             if w.lower() not in ("euclidean", "chi2", "likelihood"):
                 raise ValueError(f"weights by {w!r} aren't known")
@@ -87,10 +113,9 @@ class Config:
             raise ValueError("there is no search on graphics cards")
         if self.redden_mean_phot and not self.target_catalog_gal_ebv:
             raise ValueError("redden_mean_phot needs target_catalog_gal_ebv")
-        if not self.target_catalog:
-            alone = {"target_catalog_id_column": "ID", "target_catalog_gal_ebv": None, "target_catalog_filters_shifts": {}, "dust_map_sed_bpc": 1.018, "missing_photometry_flags": [], "input_size": None, "input_chunk_size": None, "target_catalog_format": "parquet", "target_catalog_unit": None}
-            if useless := [n for n, usual in alone.items() if getattr(self, n) != usual]:
-                raise ValueError(f"parameters {useless} speak of a target_catalog, which isn't named")
+        useless = [f.name for f in fields(self) if f.name in USED_WITH and not USED_WITH[f.name](self) and getattr(self, f.name) != (f.default if f.default is not MISSING else f.default_factory())]
+        if useless:
+            raise ValueError(f"parameters {useless} would not be used")
         for name, specs in self.mc_slice_aggregate.items():
             for _, _, _, *by in specs:
                 if by and (unknown := set(by[0].values()) - AGGREGATES.keys()):

@@ -15,6 +15,7 @@ from ..errors import MissingData
 from ..operators import correction, densities, knn, montecarlo, weights
 from ..sources import filters
 from ..sources.catalog import TargetCatalog, enabled_bands, read, reference_photometry, scan_targets
+from ..sources.fits import write_fits
 from ..sources.sample import ReferenceSample
 from ..sources.scratch import stored
 from .config import Config
@@ -61,7 +62,10 @@ def files(spark: SparkSession, c: Config) -> Inputs:
         out.coefficients = {b: correction.band_coefficient(extinction, filters.transmission(curves, b), sed) for b in bands}
     if c.reference_sample_dir:
         s = ReferenceSample.open(spark, c.reference_sample_dir)
-        out.refs = out.refs.join(s.weights(), "ref_id")
+        weights_ = s.weights()
+        if not out.refs.join(weights_, "ref_id", "left_anti").isEmpty() or not weights_.join(out.refs, "ref_id", "left_anti").isEmpty():
+            raise MissingData("the photometry and the index of reference_sample_dir hold different objects")
+        out.refs = out.refs.join(weights_, "ref_id")
         wanted = {n: k for n, k in s.providers.items() if s._exists(n)} if c.reference_sample_providers is None else {n: s.providers[n] for n in c.reference_sample_providers}
         for name, kind in wanted.items():
             if kind == "pdz" and out.pdz is None:
@@ -226,8 +230,24 @@ def observed(out: DataFrame) -> tuple[DataFrame, Observation]:
     return out.observe(o, F.count(F.lit(1)).alias("targets")), o
 
 
-def write(out: DataFrame, extensions: dict[str, DataFrame], path: str) -> None:
-    """The catalogue and, beside it, its side tables."""
+#: name -> provider of keywords for the catalogue's header; users add their own.
+HEADERS: dict[str, Callable[[Config], dict[str, object]]] = {
+    "comment": lambda c: {"comment": "neighbour inference over photometric catalogues"},
+    "quantiles": lambda c: {"PDFQUAN": " ".join(map(str, c.pdz_quantiles))} if c.pdz_quantiles else {},
+}
+
+
+def headers(c: Config) -> dict[str, object]:
+    return {k: v for f in HEADERS.values() for k, v in f(c).items()}
+
+
+def write(out: DataFrame, extensions: dict[str, DataFrame], path: str, format: str = "parquet", header: dict[str, object] | None = None) -> None:
+    """The catalogue and, beside it, its side tables. As fits: one file, with the header's keywords, a table each."""
+    if format == "fits":
+        write_fits(out, f"{path}/catalog.fits", header, single=True, name="CATALOG")
+        for name, df in extensions.items():
+            write_fits(df.coalesce(1), f"{path}/catalog.fits", single=True, mode="append", name=name.upper())
+        return
     out.write.mode("overwrite").parquet(f"{path}/catalog")
     for name, df in extensions.items():
         df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -87,6 +87,24 @@ def test_parameters_are_refused(wrong):
         Config.parse(NEEDED | wrong)
 
 
+def test_every_parameter_is_used_or_refused():
+    """A value of its own for each parameter that needs another one, without that."""
+    from dataclasses import fields
+
+    from skymatch.plans import config
+
+    other = {"target_catalog_filters": [["a", "b"]] * len(NEEDED["reference_sample_phot_filters"]), "scale_prior": "delta", "target_catalog_filters_shifts": {"a": "s"}, "missing_photometry_flags": [1.0], "reference_sample_providers": ["p"]}
+    always = {"target_catalog", "force_cpu", "neighbor_catalog", "output_file", "enable_filters", "weight_method_alternative", "copy_input_columns", "neighbor_info_output", "flags_in_separate_columns", "corrected_photometry"}
+    always |= {"reference_sample_out_mean_phot_filters", *(f.name for f in fields(Config) if f.name.startswith(("pdz_", "mc_")) and f.name not in config.USED_WITH)}
+    assert {f.name for f in fields(Config)} == always | config.USED_WITH.keys() | {"reference_sample_phot_filters", "neighbor_method", "neighbors_no", "weight_method"}
+    for name in config.USED_WITH:
+        usual = next(f.default for f in fields(Config) if f.name == name)
+        value = other.get(name, {str: "x", int: 7, float: 0.5, bool: not usual}.get(type(usual), "x" if name not in ("leafsize", "batch_size", "input_size", "input_chunk_size") else 7))
+        method = "KDTree" if name in ("scale_prior", "batch_size") else "BruteForce"
+        with pytest.raises(ValueError):
+            Config.parse({k: v for k, v in NEEDED.items() if k != "batch_size"} | {"neighbor_method": method, name: value})
+
+
 @pytest.fixture(scope="module")
 def files(spark, tmp_path_factory):
     """A catalogue with columns of its own, photometry, a sample and curves."""
@@ -165,6 +183,50 @@ def test_programs(spark, files):
         programs.main(["run", *config], spark)
 
 
+def test_fits_output(spark, files):
+    """One file: the catalogue with its keywords, and a table for each grid; it reads back as the Parquet output does."""
+    from skymatch.sources.fits import read_fits, read_header
+
+    root, values = files
+    config = Config.parse(values | {"pdz_quantiles": [0.1, 0.5], "output_file": f"{root}/fits", "output_format": "fits"})
+    i = R.files(spark, config)
+    out, side = scratch.stored(R.run(i, config)), R.extension_tables(i, config)
+    R.write(out, side, f"{root}/as_fits", "fits", R.headers(config))
+    R.write(out, side, f"{root}/as_parquet")
+    head = read_header(f"{root}/as_fits/catalog.fits", "CATALOG")
+    assert head["PDFQUAN"] == "0.1 0.5" and head["COMMENT"] and int(head["NAXIS2"]) == 20
+    got, want = read_fits(spark, f"{root}/as_fits/catalog.fits", "CATALOG"), spark.read.parquet(f"{root}/as_parquet/catalog")
+    assert got.columns == want.columns
+    flat = lambda df: sorted([float(v) for x in r for v in (x if isinstance(x, list) else [x])] for r in df.collect())
+    assert all(np.allclose(a, b, equal_nan=True) for a, b in zip(flat(got), flat(want), strict=True))
+    bins = read_fits(spark, f"{root}/as_fits/catalog.fits", "BINS_PDF")
+    assert sorted(map(tuple, bins.collect())) == sorted(map(tuple, spark.read.parquet(f"{root}/as_parquet/bins_pdf").collect()))
+
+
+def test_posteriors_of_files(spark, files, tmp_path):
+    from skymatch.sources.fits import write_fits
+
+    folder = tmp_path / "posteriors"
+    folder.mkdir()
+    for n in (1, 2):
+        write_fits(spark.createDataFrame([(f"o{i}", n + i / 10.0) for i in range(3) for _ in range(4)], "OBJECT_ID string, Z double").coalesce(1), f"{folder}/s{n}.fits", single=True)
+    listing = spark.createDataFrame([(f"s{1 + i % 2}.fits",) for i in range(6)], "FILE_NAME string").coalesce(1)
+    write_fits(listing, f"{folder}/Index_File_posterior.fits", single=True)
+    sample.ReferenceSample.create(spark, str(tmp_path / "sample"), {"pdz": "pdz"})
+    programs.main(["complete", "--reference_sample_dir", str(tmp_path / "sample"), "--posterior_folder", str(folder)], spark)
+    rows = sample.ReferenceSample.open(spark, str(tmp_path / "sample")).data("pp").collect()
+    assert {r["ref_id"]: [x["Z"] for x in r["s"]] for r in rows} == {i: [pytest.approx(1 + i % 2 + i // 2 / 10)] * 4 for i in range(6)}
+
+
+def test_photometry_and_index_must_hold_the_same(spark, files, tmp_path):
+    root, values = files
+    some = spark.read.parquet(f"{root}/phot")
+    for n, df in enumerate((some.where("ID > 3"), some.unionByName(some.limit(1).withColumn("ID", F.lit(999).cast("long"))))):
+        df.write.parquet(str(tmp_path / f"p{n}"))
+        with pytest.raises(MissingData, match="different objects"):
+            R.files(spark, Config.parse(values | {"reference_sample_phot_file": str(tmp_path / f"p{n}")}))
+
+
 def test_folders_are_released(spark):
     path = scratch.folder(spark)
     spark.range(3).write.parquet(path)
