@@ -197,9 +197,13 @@ def by_index(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sear
 
     if search.method == "brute":
         raise ValueError("the index knows distances by fluxes alone")
-    if search.method == "combined":
-        return _second_look(nearest(targets, refs, bands, Search(search.batch, "euclidean"), search.leaf_rows), targets, refs, bands, search)
-    return nearest(targets, refs, bands, search, search.leaf_rows)
+    return nearest(targets, refs, bands, search)
+
+
+def pairs(targets: DataFrame, refs: DataFrame) -> int:
+    """How many there are, by one job."""
+    n = {r["_side"]: r["count"] for r in targets.select(F.lit(0).alias("_side")).unionByName(refs.select(F.lit(1).alias("_side"))).groupBy("_side").count().collect()}
+    return n.get(0, 0) * n.get(1, 0)
 
 
 def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search, plan: str = "auto", partitions: int | None = None) -> DataFrame:
@@ -208,7 +212,7 @@ def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
         targets = targets.repartition(partitions, "target_id")
     if plan == "auto":
         fitted = search.prior is not None and not search.prior.fixed
-        plan = "blocks" if fitted or targets.count() * refs.count() >= MANY_PAIRS else "join"
+        plan = "blocks" if fitted or pairs(targets, refs) >= MANY_PAIRS else "join"
         if plan == "blocks" and search.method != "brute":
             plan = "index"
     return {"join": by_join, "blocks": by_blocks, "index": by_index}[plan](targets, refs, bands, search)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correction, densities, knn, montecarlo, weights
+from ..operators.kdindex import KdIndex
 from ..operators.knn import Search
 from ..operators.scaling import Prior
 from ..sources import catalog, sample
@@ -105,6 +106,13 @@ def _found(spark: SparkSession, sf: str, search: Search, refs=V.refs, plan: str
     return knn.neighbors(V.targets(spark, sf), refs(spark, sf), BANDS, search, plan)
 
 
+def _kept_index(spark: SparkSession, sf: str, search: Search) -> DataFrame:
+    """Neighbours by an index that is stored first and then opened again."""
+    path = folder(spark)
+    KdIndex.fit(V.refs(spark, sf), BANDS, path, search.leaf_rows)
+    return KdIndex.open(spark, path).query(V.targets(spark, sf), search)
+
+
 def _long(df: DataFrame) -> DataFrame:
     return rounded(df, "distance", "scale")
 
@@ -117,7 +125,9 @@ _KNN = {
     "knn_scaled_delta": (Search(K, prior=Prior.parse("delta 1.5")), f"{O.BASE}, {O.knn(O.chi2('15e-1'), scale='15e-1')} {O.LONG}"),
 }
 for _name, (_search, _sql) in _KNN.items():
-    query(_sql, _name)(lambda spark, sf, s=_search: _long(_found(spark, sf, s, plan="auto" if s.method == "brute" else "index")))
+    query(_sql, _name)(lambda spark, sf, s=_search: _long(_found(spark, sf, s)))
+    if _search.method != "brute":
+        query(_sql, f"{_name}_index")(lambda spark, sf, s=_search: _long(_kept_index(spark, sf, s)))
     query(_sql, f"{_name}_blocks")(lambda spark, sf, s=_search: _long(_found(spark, sf, s, plan="blocks")))
 
 _BEST = "(" + " + ".join(f"r.f_{b} * t.f_{b} / (t.e_{b} * t.e_{b})" for b in BANDS) + ") / (" + " + ".join(f"r.f_{b} * r.f_{b} / (t.e_{b} * t.e_{b})" for b in BANDS) + ")"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skymatch import __main__ as programs
-from skymatch.errors import MissingData
+from skymatch.errors import MissingData, WrongFormat
 from skymatch.operators import kdindex, knn, montecarlo
 from skymatch.operators.knn import Search
 from skymatch.plans import catalogue
@@ -41,12 +41,69 @@ def test_index_against_all_pairs(spark, leaf_rows):
         knn.neighbors(t, n, ["a", "b"], Search(5), "index")
 
 
+def test_a_kept_index_reads_no_reference(spark, tmp_path):
+    """What a second query reads is the index alone, also for the chi-squared distance of the nearest."""
+    r = np.random.default_rng(1)
+    rows = [(i, *(float(round(x, 1)) for x in r.normal(0, 2, 2)), *map(float, r.uniform(0.1, 1, 2))) for i in range(1500)]
+    spark.createDataFrame(rows, "ref_id long, f_a double, f_b double, e_a double, e_b double").write.parquet(str(tmp_path / "refs"))
+    n = spark.read.parquet(str(tmp_path / "refs"))
+    t = spark.createDataFrame([(i, *map(float, r.normal(0, 2, 2)), 0.5, 0.3) for i in range(200)], "target_id long, f_a double, f_b double, e_a double, e_b double")
+    searches = (Search(7, method="kdtree"), Search(4, method="combined", batch=25))
+    want = [rows_of(knn.neighbors(t, n, ["a", "b"], s, "join")) for s in searches]
+    kdindex.KdIndex.fit(n, ["a", "b"], str(tmp_path / "index"), 50)
+    (tmp_path / "refs").rename(tmp_path / "gone")
+    index = kdindex.KdIndex.open(spark, str(tmp_path / "index"))
+    for s, w in zip(searches, want):
+        out = index.query(t, s)
+        assert rows_of(out) == w
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan + "SortMergeJoin" * ("BroadcastHashJoin" in plan or "ShuffledHashJoin" in plan)
+    with pytest.raises(WrongFormat):
+        index.query(t, Search(3))
+
+
+def test_crowds(spark, tmp_path):
+    """Equal objects that no cut parts, and a leaf that all targets fall into: blocks and tiles stay small."""
+    refs = spark.range(10_000).selectExpr("id AS ref_id", "1D AS f_a", "2D AS f_b", "1D AS e_a", "1D AS e_b").unionByName(spark.range(10_000, 10_050).selectExpr("id AS ref_id", "id / 1D AS f_a", "0D AS f_b", "1D AS e_a", "1D AS e_b"))
+    targets = spark.range(100_000).selectExpr("id AS target_id", "1D + id % 3 AS f_a", "2D AS f_b", "1D AS e_a", "1D AS e_b")
+    index = kdindex.KdIndex.fit(refs, ["a", "b"], str(tmp_path / "index"), 500)
+    leaves = index.leaves()
+    assert leaves.agg(F.max(F.size("ids"))).first()[0] < 800 and leaves.agg(F.sum(F.size("ids"))).first()[0] == 10_050
+    tiles = index.tiles(knn._side(targets, "target_id", ["a", "b"]), 5)
+    assert tiles.agg(F.max(F.size("tids"))).first()[0] <= kdindex.TILE and tiles.agg(F.max(F.size("tids"))).first()[0] > 1000
+    out = index.query(targets, Search(5, method="kdtree"))
+    assert out.groupBy("rank").agg(F.count("*").alias("n"), F.min("ref_id").alias("a"), F.max("ref_id").alias("b"), F.max("distance").alias("d")).orderBy("rank").collect() == [(i + 1, 100_000, i, i, 2.0) for i in range(5)]
+
+
+def test_trees(spark):
+    """Down the tree, the leaves within a limit are those of whose bounds that is true."""
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (3000, 3))
+    tree = kdindex.Tree.split(x[:500], 6)
+    leaf = tree.leaf(x)
+    tree.filled([(int(j), int((leaf == j).sum()), x[leaf == j].min(0).tolist(), x[leaf == j].max(0).tolist()) for j in np.unique(leaf)], 10)
+    tree = kdindex.Tree.loaded(tree.dumped())
+    assert tree.size[0] == 3000 and (tree.low[0] == x.min(0)).all() and (tree.blocks >= 1).all()
+    t, limit = r.normal(0, 1.5, (50, 3)), r.uniform(0, 1, 50)
+    near = tree.around(t, 60)
+    assert (tree.size[near] >= 60).all() and (tree.size[2 * near[near < tree.inner] + 1] < 3000).all()
+    row, found = tree.below(np.arange(50), np.zeros(50, np.int64), t, limit, np.full(50, -1))
+    gap = np.maximum(np.maximum(tree.low[None, tree.inner :] - t[:, None], t[:, None] - tree.high[None, tree.inner :]), 0)
+    want = ((gap**2).sum(2) <= limit[:, None]) & (tree.size[None, tree.inner :] > 0)
+    assert sorted(zip(row.tolist(), found.tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(want))))
+    one, under = tree.below(np.arange(50), near)
+    row, rest = tree.below(np.arange(50), np.zeros(50, np.int64), t, np.full(50, np.inf), near)
+    both = sorted([*zip(one.tolist(), under.tolist()), *zip(row.tolist(), rest.tolist())])
+    assert both == sorted((i, j) for i in range(50) for j in np.flatnonzero(tree.size[tree.inner :]).tolist())
+
+
 def test_index_compares_few_pairs(spark, sf):
     t, n = catalogue._bulk(spark, sf.replace("sf0.001", "sf0.01"))
     n = t.withColumnRenamed("target_id", "ref_id")
     t = scratch.stored(t.where("target_id % 7 = 0"))
     n = scratch.stored(n)
-    assert 10 * kdindex.pairs_compared(t, n, catalogue._BULK, 5, 128) < t.count() * n.count()
+    index = kdindex.KdIndex.fit(n, catalogue._BULK, scratch.folder(spark), 128)
+    assert 10 * kdindex.pairs_compared(index, t, 5) < t.count() * n.count()
     auto = knn.neighbors(t.limit(200), n, catalogue._BULK, Search(5, method="kdtree", leaf_rows=128), "index")
     assert rows_of(auto) == rows_of(knn.neighbors(t.limit(200), n, catalogue._BULK, Search(5, method="kdtree"), "blocks"))
 
