@@ -180,7 +180,7 @@ def tagger():
     r = random.Random(9)
     texts = [f"{prose(r, 60)} a{i}@mail.org {prose(r, 30)} +1 (234) 567-89{i % 100:02d} {prose(r, 20)}" for i in range(120)]
     sample = [w for t in texts for w in pii.labelled_windows(t)]
-    gate, model = pii_model.unpacked(pii_model.packed(*pii.fit(sample, pii.Learning(generated=6500, epochs=7))))
+    gate, model = pii_model.unpacked(pii_model.packed(*pii.fit(sample, pii.Learning(generated=6500, epochs=4))))
     return texts, gate, model
 
 
@@ -231,6 +231,12 @@ def test_samples_hold_for_every_layout(spark):
     assert one == other and 0 < sum(bool(s) for _, s in one) <= 40 and sum(not s for _, s in one) <= 20
 
 
+def test_an_empty_table_needs_no_model(spark, monkeypatch):
+    monkeypatch.setattr(pii, "model_for", None)
+    out = pii.search(spark.createDataFrame([], "doc_id long, text string"))
+    assert out.count() == 0 and out.columns[:2] == ["doc_id", "n_email"]
+
+
 def test_model_is_stored(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one a@b.cc two"), (2, "nothing in here to be found by anybody")], "doc_id long, text string")
     how = pii.Learning(generated=40, epochs=1)
