@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.random import uniform
 
 
 def grid(bins: list[float]) -> Column:
@@ -63,5 +64,5 @@ def quantiles(df: DataFrame, bins: list[float], qs: list[float], pdf: str = "pdf
 def samples(df: DataFrame, bins: list[float], n: int, seed: int = 0, pdf: str = "pdf") -> DataFrame:
     """<pdf>_mc, n draws by the inverse distribution; draws hang on target_id and seed only."""
     z = grid(bins)
-    draw = lambda i: (F.xxhash64("target_id", i, F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)).cast("double") + 0.5) / F.lit(float(2**52))
+    draw = lambda i: uniform(seed, F.col("target_id"), i)
     return df.withColumn(f"{pdf}_mc", A.bind(F.col(pdf), lambda p: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: A.quantile(p, z, draw(i)))))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.photometry import DISTANCES
-from .scaling import Prior, best_scales
+from .scaling import Prior, best_scale, best_scales
 
 #: Bytes of fluxes and errors in a block of reference objects.
 BLOCK_BYTES = 32 << 20
@@ -66,9 +66,9 @@ def _side(df: DataFrame, key: str, bands: list[str], prefix: str = "") -> DataFr
 
 
 def by_join(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search) -> DataFrame:
-    if search.prior and not search.prior.fixed:
-        raise ValueError("scales are fitted in blocks")
-    scale = F.lit(float(search.prior.low)) if search.prior else F.lit(1.0)
+    scale = F.lit(1.0)
+    if search.prior:
+        scale = best_scale(*([F.col(f"{x}_{b}") for b in bands] for x in ("n_f", "n_e", "f", "e")), search.prior, search.max_iter, search.rtol)
     pairs = _side(targets, "target_id", bands).crossJoin(_side(refs, "ref_id", bands, "n_")).withColumn("scale", scale)
     factor = F.col("scale") if search.prior else None
     if search.method == "combined":

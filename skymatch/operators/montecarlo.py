@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import uniform
+
 
 def draws(pairs: DataFrame, n: int, samples_each: int, seed: int | None = None, weight: str = "weight") -> DataFrame:
     """target_id, draw (0 .. n - 1), ref_id, sample_no; the last two are null for targets without weight.
@@ -23,7 +25,7 @@ def draws(pairs: DataFrame, n: int, samples_each: int, seed: int | None = None,
     rows = rows.withColumn("_total", F.aggregate("_p", F.lit(0.0), lambda s, x: s + x["w"]))
     rows = rows.withColumn("_total", F.when((F.col("_total") > 0) & (F.col("_total") < float("inf")) & ~F.isnan("_total"), F.col("_total")))
     rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = (F.col("draw") + 0.5) / F.lit(float(n)) if seed is None else (F.xxhash64("target_id", "draw", F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)).cast("double") + 0.5) / F.lit(float(2**52))
+    u = (F.col("draw") + 0.5) / F.lit(float(n)) if seed is None else uniform(seed, F.col("target_id"), F.col("draw"))
     rows = rows.withColumn("_u", u * F.col("_total"))
 
     def step(s: Column, x: Column) -> Column:

@@ -6,6 +6,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.arrays import bind
 
 
 @dataclass(frozen=True)
@@ -73,3 +77,51 @@ def best_scales(t: np.ndarray, r: np.ndarray, prior: Prior, max_iter: int = 20,
             break
         y1 = np.where(going, slope(x1), y1)
     return np.clip(x1, prior.low, prior.high)
+
+
+def best_scale(f: list[Column], e: list[Column], g: list[Column], s: list[Column], prior: Prior, max_iter: int = 20, rtol: float = 1e-8) -> Column:
+    """best_scales as an expression: fluxes and errors of an object (f, e) and a target (g, s), band by band. It stays in the JVM, as a fold over an array of bands inside a fold over the iterations."""
+    low, high = F.lit(float(prior.low)), F.lit(float(prior.high))
+    if prior.fixed:
+        return low
+    bands = F.array(*(F.struct(*(c.cast("double").alias(n) for n, c in zip("fegs", b))) for b in zip(f, e, g, s)))
+    zero = F.lit(0.0)
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)  # noqa: E731 (also null for NaN, which is above all numbers)
+
+    def slope(bands: Column, a: Column) -> Column:
+        def term(total: Column, b: Column) -> Column:
+            n, v = a * b["f"] - b["g"], (a * b["e"]) * (a * b["e"]) + b["s"] * b["s"]
+            v = F.when(v > 0, finite(v))
+            return total + F.coalesce(b["f"] * n / v - a * b["e"] * b["e"] * n * n / (v * v), zero)
+
+        return F.aggregate(bands, zero, term)
+
+    def solved(bands: Column) -> Column:
+        def sums(t: Column, b: Column) -> Column:
+            v = b["s"] * b["s"]
+            v = F.when(v > 0, v)
+            return F.struct((t["cross"] + F.coalesce(b["f"] * b["g"] / v, zero)).alias("cross"), (t["square"] + F.coalesce(b["f"] * b["f"] / v, zero)).alias("square"))
+
+        guess = F.aggregate(bands, F.struct(zero.alias("cross"), zero.alias("square")), sums, lambda t: F.coalesce(t["cross"] / F.when(t["square"] > 0, t["square"]), F.lit(1.0)))
+
+        def follow(x: Column) -> Column:
+            below = x - 1e-4
+
+            def step(t: Column, _: Column) -> Column:
+                rise = t["y1"] - t["y0"]
+                move = F.when(t["going"], F.coalesce(finite(t["y1"] * (t["x1"] - t["x0"]) / F.when(rise != 0, rise)), zero)).otherwise(zero)
+
+                def moved(m: Column) -> Column:
+                    x1 = t["x1"] - m
+                    going = t["going"] & (F.abs(m) > rtol * F.abs(x1))
+                    pick = lambda a, b: F.when(t["going"], t[a]).otherwise(t[b])
+                    return F.struct(pick("x1", "x0").alias("x0"), x1.alias("x1"), pick("y1", "y0").alias("y0"), F.when(going, slope(bands, x1)).otherwise(t["y1"]).alias("y1"), going.alias("going"))
+
+                return bind(move, moved)
+
+            start = F.struct(below.alias("x0"), x.alias("x1"), slope(bands, below).alias("y0"), slope(bands, x).alias("y1"), ((x > low) & (x < high)).alias("going"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), start, step, lambda t: F.greatest(F.least(t["x1"], high), low))
+
+        return bind(guess, follow)
+
+    return bind(bands, solved)

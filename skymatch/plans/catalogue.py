@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import uniform_sql
 from ..operators import correction, densities, knn, montecarlo, weights
 from ..operators.kdindex import KdIndex
 from ..operators.knn import Search
+from ..operators.ordering import numbered, out_of_order
 from ..operators.scaling import Prior
 from ..sources import catalog, sample
 from ..sources.scratch import folder
-from ..streaming.neighbors import stream_neighbors
+from ..streaming.neighbors import stream_neighbors, write_indexed_neighbors
 from . import oracle as O
 from . import run as R
 from . import views as V
@@ -144,9 +146,39 @@ def knn_scaled_tophat(spark, sf):
     return _long(_found(spark, sf, Search(K, prior=Prior.parse("tophat 0.5 2")), V.exact_refs, "blocks"))
 
 
-@query()
+def _slope(a: str) -> str:
+    """The derivative of half the chi-squared of fluxes times a."""
+    parts = []
+    for b in BANDS:
+        n, v = f"({a} * r.f_{b} - t.f_{b})", f"(({a} * r.e_{b}) * ({a} * r.e_{b}) + t.e_{b} * t.e_{b})"
+        parts.append(f"r.f_{b} * {n} / {v} - {a} * r.e_{b} * r.e_{b} * {n} * {n} / ({v} * {v})")
+    return " + ".join(parts)
+
+
+_SECANT = (
+    f"{O.BASE}, guess AS (SELECT t.target_id AS tid, r.ref_id AS rid, {_BEST} AS x FROM targets t CROSS JOIN refs r), "
+    f"it AS (SELECT tid, rid, 0 AS n, x - 1e-4 AS x0, x AS x1, {_slope('(x - 1e-4)')} AS y0, {_slope('x')} AS y1, true AS going FROM guess JOIN targets t ON t.target_id = tid JOIN refs r ON r.ref_id = rid "
+    f"UNION ALL SELECT tid, rid, n + 1, x1, x2, y1, {_slope('x2')}, abs(x1 - x2) > 1e-8 * abs(x2) FROM (SELECT *, x1 - CASE WHEN y1 = y0 THEN 0e0 ELSE y1 * (x1 - x0) / (y1 - y0) END AS x2 FROM it WHERE going AND n < 20) "
+    "JOIN targets t ON t.target_id = tid JOIN refs r ON r.ref_id = rid), scaled AS (SELECT tid, rid, arg_max(x1, n) AS s FROM it GROUP BY tid, rid), "
+    f"{O.knn(O.chi2('sc.s'), scale='sc.s', source='scaled sc JOIN targets t ON t.target_id = sc.tid JOIN refs r ON r.ref_id = sc.rid')} "
+    f"SELECT target_id, CAST(rank AS INT) AS rank, ref_id, {O.r('distance', 'distance')}, round(scale / (1e0 + abs(scale)), 4) AS squashed_scale FROM knn"
+)
+
+
+def _squashed(df: DataFrame) -> DataFrame:
+    """Large scales are known to a relative error only, so engines agree on scale / (1 + |scale|)."""
+    return rounded(df, "distance").select("target_id", "rank", "ref_id", "distance", F.round(F.col("scale") / (F.lit(1.0) + F.abs("scale")), 4).alias("squashed_scale"))
+
+
+@query(_SECANT)
 def knn_scaled_uniform(spark, sf):
-    return _long(_found(spark, sf, Search(K, prior=Prior.parse("uniform")), plan="blocks"))
+    return _squashed(_found(spark, sf, Search(K, prior=Prior.parse("uniform")), plan="blocks"))
+
+
+@query(_SECANT)
+def knn_scaled_uniform_join(spark, sf):
+    """The same without Python: the secant method as an expression."""
+    return _squashed(_found(spark, sf, Search(K, prior=Prior.parse("uniform")), plan="join"))
 
 
 def _bulk(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -192,6 +224,16 @@ def stream_knn(spark, sf):
     return _long(spark.read.schema(knn.RESULT).parquet(f"{path}/out"))
 
 
+@query(_KNN["knn_combined"][1])
+def stream_knn_index(spark, sf):
+    """Targets of a stream against a stored index, two looks a micro-batch."""
+    path, schema = folder(spark), V.table(spark, sf, "embeddings").schema
+    index = KdIndex.fit(V.refs(spark, sf), BANDS, f"{path}/index", 64)
+    stream = V.photometry(spark.readStream.schema(schema).parquet(f"{sf}/embeddings*.parquet").where("vec_id % 5 = 0"), "target_id")
+    write_indexed_neighbors(stream, index, _KNN["knn_combined"][0], f"{path}/out", f"{path}/state", availableNow=True).awaitTermination()
+    return _long(spark.read.schema(knn.RESULT).parquet(f"{path}/out").drop("batch"))
+
+
 def _pairs(spark: SparkSession, sf: str, targets=V.targets, refs=V.refs) -> DataFrame:
     found = knn.neighbors(V.targets(spark, sf), V.refs(spark, sf), BANDS, Search(K))
     return knn.with_photometry(found, targets(spark, sf), refs(spark, sf), BANDS)
@@ -263,11 +305,26 @@ def neighbor_list(spark, sf):
     return rounded(out, "weight").select("target_id", "rank", "ref_id", "weight", "scale")
 
 
+@query("WITH a AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS position FROM (SELECT DISTINCT l_orderkey FROM lineitem)) SELECT l_orderkey, position FROM a")
+def order_positions(spark, sf):
+    """Places of all orders in the order of their ids, found in two levels."""
+    return numbered(V.table(spark, sf, "lineitem").select("l_orderkey").distinct(), ["l_orderkey"])
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS p FROM orders) "
+    "SELECT a.p AS position, a.o_orderkey AS \"left\", b.o_orderkey AS \"right\" FROM a JOIN b ON a.p = b.p WHERE a.o_orderkey <> b.o_orderkey"
+)
+def order_differences(spark, sf):
+    """Where the orders by id and the orders by price aren't the same."""
+    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return out_of_order(numbered(orders, ["o_orderkey"]), numbered(orders, ["o_totalprice", "o_orderkey"]), "o_orderkey")
+
+
 @query(f"{O.WEIGHTS}, ix AS (SELECT ref_id, row_number() OVER (ORDER BY ref_id) - 1 AS ref_index FROM refs) SELECT target_id, CAST(rank AS INT) AS rank, ref_index FROM w JOIN ix USING (ref_id)")
 def id_patch(spark, sf):
-    from pyspark.sql import Window
-
-    index = V.refs(spark, sf).select("ref_id", (F.row_number().over(Window.orderBy("ref_id")) - 1).cast("long").alias("ref_index"))
+    """Places of neighbours in the reference's order instead of their ids."""
+    index = numbered(V.refs(spark, sf).select("ref_id"), ["ref_id"], "ref_index")
     return R.ids_to_neighbors(weights.neighbor_list(_weighted(spark, sf)), V.refs(spark, sf)).join(index, "ref_id").select("target_id", "rank", "ref_index")
 
 
@@ -349,9 +406,13 @@ def pdz_smooth_auto(spark, sf):
     return _by_bin(densities.smoothed(_pdf(spark, sf), BINS))
 
 
-@query()
+@query(
+    f"{O.PDZ}, {O.steps('pdf')}, u AS (SELECT target_id, n AS draw, {uniform_sql(0, 'target_id', 'n')} AS q FROM (SELECT DISTINCT target_id FROM cdf) CROSS JOIN range(1, 51) g(n)) "
+    f"SELECT u.target_id, CAST(u.draw AS INT) AS draw, {O.r('pz + (q * tot - cp) / (c - cp) * (zb - pz)', 'z')} FROM u JOIN cdf ON cdf.target_id = u.target_id AND cp <= q * tot AND q * tot < c"
+)
 def pdz_mc(spark, sf):
-    return densities.samples(_pdf(spark, sf), BINS, 50).drop("pdf")
+    out = densities.samples(_pdf(spark, sf), BINS, 50).select("target_id", F.posexplode("pdf_mc").alias("draw", "z"))
+    return rounded(out.withColumn("draw", F.col("draw") + 1), "z")
 
 
 # ---- Monte-Carlo
@@ -433,19 +494,29 @@ def mc_slices_by_name(spark, sf):
     return rounded(of("max", "highest").join(of("std", "spread"), ["target_id", "slice"]), "highest", "spread")
 
 
-@query()
+@query(f"{O.DRAWS.replace('(g.n + 5e-1) / 4e1 * tot', uniform_sql(11, 'target_id', 'g.n') + ' * tot')} SELECT target_id, draw, {O.r('p1', 'p1')}, {O.r('p2', 'p2')}, i1 FROM drawn")
 def mc_random(spark, sf):
-    return _drawn(spark, sf, seed=11)
+    return rounded(_drawn(spark, sf, seed=11), "p1", "p2")
+
+
+def _edges(spark, sf, column: str, n: int) -> list[float]:
+    """n bins of equal width over what a column of the reference holds: two numbers come to the driver."""
+    a, b = V.refs(spark, sf).agg(F.min(column), F.max(column)).first()
+    return [a + (b - a) * i / n for i in range(n + 1)]
+
 
+def _middle(column: str, i: str, n: int) -> str:
+    return f"(SELECT (min({column}) + (max({column}) - min({column})) * {i} / {n}e0 + min({column}) + (max({column}) - min({column})) * ({i} + 1) / {n}e0) / 2e0 FROM refs)"
 
-@query("SELECT CAST(b AS INT) AS bin, [-1.0e0, 5e-1, 1.75e0, 3.25e0, 5.0e0, 7.5e0, 10.5e0][b + 1] AS centre FROM range(0, 7) g(b)")
+
+@query(f"{O.BASE} SELECT CAST(b AS INT) AS bin, {O.r(_middle('f_b0', 'b', 7), 'centre')} FROM range(0, 7) g(b)")
 def bins_1d(spark, sf):
-    return montecarlo.bin_centres(spark, _E1)
+    return rounded(montecarlo.bin_centres(spark, _edges(spark, sf, "f_b0", 7)), "centre")
 
 
-@query("SELECT CAST(x.b AS INT) AS bin_x, 4e0 * x.b AS x, CAST(y.b AS INT) AS bin_y, y.b + 5e-1 AS y FROM range(0, 3) x(b) CROSS JOIN range(0, 3) y(b)")
+@query(f"{O.BASE} SELECT CAST(g.b AS INT) AS bin_x, {O.r(_middle('f_b0', 'g.b', 3), 'x')}, CAST(h.b AS INT) AS bin_y, {O.r(_middle('f_b1', 'h.b', 3), 'y')} FROM range(0, 3) g(b) CROSS JOIN range(0, 3) h(b)")
 def bins_2d(spark, sf):
-    return montecarlo.bin_centres_2d(spark, [-2.0, 2.0, 6.0, 10.0], _E2)
+    return rounded(montecarlo.bin_centres_2d(spark, _edges(spark, sf, "f_b0", 3), _edges(spark, sf, "f_b1", 3)), "x", "y")
 
 
 # ---- reference samples
@@ -593,22 +664,20 @@ def full_run(spark, sf):
     return R.run(i, Config.parse(CONFIG))
 
 
-_TABLES = {"bins_pdf": BINS, "bins_mc_count_i1": [0.0, 1.0, 2.0, 3.0], "bins_mc_slice_aggregate_p1_p2": _E2}
-
-
-def _listed(name: str, values: list[float]) -> str:
-    return f"SELECT '{name}' AS name, CAST(i - 1 AS INT) AS place, [{', '.join(f'{x}e0' for x in values)}][i] AS value FROM range(1, {len(values) + 1}) g(i)"
-
-
-@query(" UNION ALL ".join(_listed(n, v) for n, v in _TABLES.items()))
+@query(
+    f"{O.BASE}, g AS (SELECT min(f_b0) AS a, max(f_b0) AS b FROM refs), k AS (SELECT DISTINCT CAST(z AS BIGINT) AS v FROM refs) "
+    f"SELECT 'bins_mc_count_z' AS name, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS place, CAST(v AS DOUBLE) AS value FROM k "
+    f"UNION ALL SELECT 'bins_mc_slice_aggregate_p1_f', CAST(i AS INT), {O.r('a + (b - a) * i / 4e0', 'value')} FROM g CROSS JOIN range(0, 5) r(i)"
+)
 def side_tables(spark, sf):
-    """Grids of a run's array columns."""
-    from pyspark.sql import Window
-
-    tables = R.extension_tables(R.Inputs(V.targets(spark, sf), V.refs(spark, sf), bins=BINS), Config.parse(CONFIG))
-    parts = [tables[n].select(F.lit(n).alias("name"), F.col(tables[n].columns[-1]).cast("double").alias("value")) for n in _TABLES]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select("name", (F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1).alias("place"), "value")
+    """Grids of a run's array columns, whose values are what the reference holds."""
+    refs = V.refs(spark, sf)
+    values = [int(r[0]) for r in refs.select("z").distinct().orderBy("z").collect()]  # the labels
+    asked = CONFIG | {"mc_count": {"pp": [["z", values]]}, "mc_slice_aggregate": {"pp": [["p1", "f", _edges(spark, sf, "f_b0", 4)]]}}
+    tables = R.extension_tables(R.Inputs(V.targets(spark, sf), refs, bins=BINS), Config.parse(asked))
+    parts = [tables[n].select(F.lit(n).alias("name"), F.col(tables[n].columns[-1]).cast("double").alias("value")) for n in ("bins_mc_count_z", "bins_mc_slice_aggregate_p1_f")]
+    rows = parts[0].unionByName(parts[1])
+    return rounded(rows.select("name", (F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1).alias("place"), "value"), "value")
 
 
 @query(

@@ -28,10 +28,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the folders made so far; results that still read them must be written before. Returns how many there were."""
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the folders made so far but the first `keep`; results that still read them must be written before. Returns how many there were."""
     conf, n = spark._jsc.hadoopConfiguration(), 0
-    while FOLDERS:
+    while len(FOLDERS) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(FOLDERS.pop())
         n += path.getFileSystem(conf).delete(path, True)
     return n

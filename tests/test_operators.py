@@ -361,3 +361,22 @@ def test_bulk_search_sees_all_orders(spark, tmp_path):
     want = {(t, i): o for t in (50, 100) for i, o in enumerate(sorted(flux, key=lambda o: (distance(t, o), o))[:5], 1)}
     got = {(x["target_id"], x["rank"]): x["ref_id"] for x in catalogue.QUERIES["knn_bulk_all"](spark, str(tmp_path)).collect()}
     assert got == want and any(o % 20 for o in got.values())
+
+
+def test_scales_as_expressions(spark):
+    """The secant method as a fold in the JVM against the one over arrays: priors, bands without weight, objects without flux, targets without error."""
+    from skymatch.operators.scaling import Prior, best_scale, best_scales
+
+    r = np.random.default_rng(4)
+    t, n = np.stack([r.normal(3, 2, (20, 3)), r.uniform(0.1, 1, (20, 3))], 2), np.stack([r.normal(2, 1, (15, 3)), r.uniform(0, 0.6, (15, 3))], 2)
+    t[3, 1, 1], t[4, :, 1], t[5, 0, 1] = np.inf, np.inf, 0
+    n[2, :, 0], n[6, :, 1], n[7, 1] = 0, 0, 0
+    rows = [(i, j, *t[i].ravel().tolist(), *n[j].ravel().tolist()) for i in range(20) for j in range(15)]
+    names = ["i", "j", *(f"{x}{b}" for b in range(3) for x in "gs"), *(f"{x}{b}" for b in range(3) for x in "fe")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c in 'ij' else 'double'}" for c in names))
+    for prior in ("uniform", "tophat 0.5 1.5", "delta 2"):
+        p = Prior.parse(prior)
+        want = best_scales(t, n, p)
+        cols = [[F.col(f"{x}{b}") for b in range(3)] for x in "fegs"]
+        out = df.where("NOT (i = 5)").select("i", "j", best_scale(*cols, p).alias("s")).collect()
+        assert all(x["s"] == pytest.approx(want[x["i"], x["j"]], rel=1e-6, abs=1e-9) for x in out)

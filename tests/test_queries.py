@@ -50,6 +50,15 @@ def test_plans(spark, sf, name):
     assert not re.search("CartesianProduct|Python|MapInArrow", plan)
 
 
+@pytest.mark.parametrize("name", ["knn_kdtree_index", "knn_combined_index"])
+def test_plans_of_the_index(spark, sf, name):
+    """Leaves meet targets by their numbers, and the reference table is read when the index is built only."""
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "_leaf" in plan and "MapInArrow" in plan and not re.search("CartesianProduct|NestedLoop", plan)
+    assert not [f for f in df.inputFiles() if f.endswith("embeddings.parquet")] or name == "knn_combined_index"
+
+
 @pytest.mark.parametrize("name", ["catalog_scan_missing_all", "band_subset_all"])
 def test_scans_read_whole_tables(spark, sf, name):
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()

@@ -154,6 +154,27 @@ def test_stream_to_files(spark, sf, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_stream_against_an_index(spark, tmp_path):
+    """Several micro-batches, whose scratch tables go, while the index stays."""
+    from skymatch.operators.kdindex import KdIndex
+    from skymatch.sources import scratch
+    from skymatch.streaming.neighbors import write_indexed_neighbors
+
+    r = np.random.default_rng(6)
+    make = lambda n, key: spark.createDataFrame([(i, *map(float, r.normal(0, 1, 2)), 0.1, 0.2) for i in range(n)], f"{key} long, f_a double, f_b double, e_a double, e_b double")
+    refs, targets = make(800, "ref_id"), make(90, "target_id").repartition(3)
+    targets.write.parquet(f"{tmp_path}/in")
+    index = KdIndex.fit(refs, ["a", "b"], scratch.folder(spark), 40)
+    stream = spark.readStream.schema(targets.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    kept = list(scratch.FOLDERS)
+    for search in (Search(4, method="kdtree"), Search(3, method="combined", batch=20)):
+        out = f"{tmp_path}/{search.method}"
+        write_indexed_neighbors(stream, index, search, out, f"{out}-state", availableNow=True).awaitTermination()
+        assert scratch.FOLDERS == kept and len(list((tmp_path / search.method).glob("batch=*"))) == 3
+        got = spark.read.parquet(out).select("target_id", "rank", "ref_id").collect()
+        assert sorted(got) == sorted(neighbors(targets, refs, ["a", "b"], search, "join").select("target_id", "rank", "ref_id").collect())
+
+
 def test_config():
     good = dict(reference_sample_phot_filters=["a", "b"], neighbor_method="Combined", neighbors_no=3, weight_method="Chi2", batch_size=9)
     c = Config.parse(good)
