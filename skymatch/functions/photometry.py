@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +52,69 @@ def chi2(bands: list[str], ref: str = "n_", target: str = "", scale: Column | No
     return total([term(b) for b in bands])
 
 
-DISTANCES = {"euclidean": euclidean, "chi2": chi2}
+class InSpark:
+    """What a metric's formula may call beside + - * and comparisons, for columns."""
+
+    sqrt, abs = staticmethod(F.sqrt), staticmethod(F.abs)
+
+    @staticmethod
+    def where(condition: Column, a: Column | float, b: Column | float) -> Column:
+        a, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (a, b))
+        return F.when(condition, a).otherwise(b)
+
+    @staticmethod
+    def divide(a: Column, b: Column, otherwise: float) -> Column:
+        """a / b, or a value where b is 0."""
+        return ratio(a, b, otherwise)
+
+
+class InArrays:
+    """The same for numpy arrays."""
+
+    sqrt, abs, where = staticmethod(np.sqrt), staticmethod(np.abs), staticmethod(np.where)
+
+    @staticmethod
+    def divide(a: np.ndarray, b: np.ndarray, otherwise: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(b == 0, otherwise, a / b)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A distance: term(x, f, e, g, s) of a band (the object's flux and error, the target's) is summed over bands, and finish(x, sum) is the distance. x is InSpark or InArrays, so that one formula serves every plan."""
+
+    term: Callable
+    finish: Callable | None = None
+
+    def column(self, bands: list[str], ref: str = "n_", target: str = "", scale: Column | None = None) -> Column:
+        a = (lambda c: c) if scale is None else (lambda c: scale * c)
+        out = total([self.term(InSpark, a(flux(b, ref)), a(error(b, ref)), flux(b, target), error(b, target)) for b in bands])
+        return self.finish(InSpark, out) if self.finish else out
+
+    def arrays(self, t: np.ndarray, r: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+        """[targets, objects] of t[targets, bands, 2] and r[objects, bands, 2]."""
+        out = np.zeros((len(t), len(r)))
+        for b in range(t.shape[1]):
+            f, e = r[None, :, b, 0], r[None, :, b, 1]
+            if scale is not None:
+                f, e = scale * f, scale * e
+            out = out + self.term(InArrays, f, e, t[:, None, b, 0], t[:, None, b, 1])
+        return self.finish(InArrays, out) if self.finish else out
+
+
+#: name -> builder of a distance column; register_metric adds to them.
+DISTANCES: dict[str, Callable[..., Column]] = {"euclidean": euclidean, "chi2": chi2}
+#: name -> metric, for those that users add. The two above have array versions of their own (operators.knn).
+METRICS: dict[str, Metric] = {}
+
+
+def register_metric(name: str, term: Callable, finish: Callable | None = None) -> Metric:
+    """Makes a distance known to all plans of brute-force and combined search under a name."""
+    if name in DISTANCES and name not in METRICS:
+        raise ValueError(f"{name} is built in")
+    METRICS[name] = Metric(term, finish)
+    DISTANCES[name] = METRICS[name].column
+    return METRICS[name]
 
 
 def reddening_factor(k: float | Column, ebv: Column) -> Column:

@@ -11,15 +11,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.photometry import DISTANCES
+from ..functions.photometry import DISTANCES, METRICS, Metric
 from .scaling import Prior, best_scale, best_scales
 
 #: Bytes of fluxes and errors in a block of reference objects.
@@ -40,9 +40,12 @@ class Search:
     max_iter: int = 20
     rtol: float = 1e-8
     leaf_rows: int = 2048
+    custom: Metric | None = field(default=None, repr=False)  # what `distance` names, if a user has registered it; it goes with the search to the tasks
 
     def __post_init__(self) -> None:
-        if self.method not in ("brute", "kdtree", "combined") or self.distance not in DISTANCES:
+        if self.custom is None:
+            object.__setattr__(self, "custom", METRICS.get(self.distance))
+        if self.method not in ("brute", "kdtree", "combined") or self.distance not in DISTANCES and self.custom is None:
             raise ValueError(f"{self.method} with {self.distance} isn't known")
         if self.prior and self.method != "brute":
             raise ValueError("a free scale needs brute force")
@@ -115,10 +118,10 @@ def best_of_block(t: np.ndarray, r: np.ndarray, ids: np.ndarray, search: Search)
     """Ids, distances and scales [targets, k]."""
     if search.method == "combined":
         near = best(distances(t, r, "euclidean"), ids, search.batch)
-        out = [best_of_block(t[i : i + 1], r[n], ids[n], Search(search.k, search.distance)) for i, n in enumerate(near)]
+        out = [best_of_block(t[i : i + 1], r[n], ids[n], Search(search.k, search.distance, custom=search.custom)) for i, n in enumerate(near)]
         return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
     scale = best_scales(t, r, search.prior, search.max_iter, search.rtol) if search.prior else None
-    d = distances(t, r, search.metric, scale)
+    d = search.custom.arrays(t, r, scale) if search.custom and search.method == "brute" else distances(t, r, search.metric, scale)
     at = best(d, ids, search.k)
     rows = np.arange(len(t))[:, None]
     return ids[at], d[rows, at], scale[rows, at] if scale is not None else np.ones(at.shape)
@@ -206,6 +209,10 @@ def pairs(targets: DataFrame, refs: DataFrame) -> int:
     return n.get(0, 0) * n.get(1, 0)
 
 
+#: name -> selector (targets, refs, bands, search) of target_id, rank, ref_id, distance, scale; users add their own.
+PLANS: dict[str, Callable[[DataFrame, DataFrame, list[str], Search], DataFrame]] = {"join": by_join, "blocks": by_blocks, "index": by_index}
+
+
 def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Search, plan: str = "auto", partitions: int | None = None) -> DataFrame:
     """target_id, rank (from 1), ref_id, distance, scale. Fewer than k objects give fewer neighbours. partitions: deals targets anew first, as a few small files give few tasks."""
     if partitions:
@@ -215,7 +222,9 @@ def neighbors(targets: DataFrame, refs: DataFrame, bands: list[str], search: Sea
         plan = "blocks" if fitted or pairs(targets, refs) >= MANY_PAIRS else "join"
         if plan == "blocks" and search.method != "brute":
             plan = "index"
-    return {"join": by_join, "blocks": by_blocks, "index": by_index}[plan](targets, refs, bands, search)
+    if plan not in PLANS:
+        raise ValueError(f"the plan {plan!r} isn't known")
+    return PLANS[plan](targets, refs, bands, search)
 
 
 def with_photometry(found: DataFrame, targets: DataFrame, refs: DataFrame, bands: list[str], scaled: bool = True) -> DataFrame:

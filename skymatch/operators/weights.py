@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ def inverse(distance: Column) -> Column:
     return F.when(distance == 0, F.lit(LARGEST)).otherwise(1.0 / F.when(distance != 0, distance))
 
 
-METHODS = {
+#: name (lower case) -> builder of a weight column from the bands of pairs; users add their own.
+METHODS: dict[str, Callable[[list[str]], Column]] = {
     "euclidean": lambda bands: inverse(euclidean(bands)),
     "chi2": lambda bands: inverse(chi2(bands)),
     "likelihood": lambda bands: F.exp(F.lit(-0.5) * chi2(bands)),

@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable
 from dataclasses import MISSING, dataclass, field, fields
 
+from ..operators import weights
 from ..operators.knn import Search
 from ..operators.montecarlo import AGGREGATES
 from ..operators.scaling import Prior
 
+#: name -> (method, distance) of a search; users add their own, with distances that they register.
 METHODS = {"KDTree": ("kdtree", "euclidean"), "Combined": ("combined", "chi2"), "BruteForce": ("brute", "chi2")}
 
 _CATALOG: Callable[[Config], object] = lambda c: c.target_catalog
@@ -107,7 +109,7 @@ class Config:
         if self.output_format not in ("parquet", "fits"):
             raise ValueError(f"output can't be written as {self.output_format!r}")
         for w in (self.weight_method, self.weight_method_alternative):
-            if w.lower() not in ("euclidean", "chi2", "likelihood"):
+            if w.lower() not in weights.METHODS:
                 raise ValueError(f"weights by {w!r} aren't known")
         if not self.force_cpu:
             raise ValueError("there is no search on graphics cards")
