@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform_sql
-from ..operators import correction, densities, knn, montecarlo, weights
+from ..operators import correction, densities, extinction, knn, montecarlo, weights
 from ..operators.kdindex import KdIndex
 from ..operators.knn import Search
 from ..operators.ordering import numbered, out_of_order
@@ -104,6 +104,29 @@ def redden_roundtrip(spark, sf):
 # ---- neighbours
 
 
+def _ccm89(wl: str) -> str:
+    """The law of operators.extinction between 3031 and 9090 angstrom."""
+    powers = lambda c: " + ".join(f"({v!r}e0) * pow(1e4 / {wl} - 182e-2, {i})" for i, v in enumerate(c))
+    return f"(31e-1 * ({powers(extinction.OPTICAL_A)}) + {powers(extinction.OPTICAL_B)})"
+
+
+@query(
+    f"{O.BASE}, g AS (SELECT 3100 + 50 * i AS wl, {_ccm89('(31e2 + 5e1 * i)')} AS a FROM range(0, 85) r(i)), "
+    "s AS (SELECT ref_id, wl, a, least(CAST(floor((wl - 3000) / 15e2) AS BIGINT), 2) AS i FROM refs CROSS JOIN g), "
+    "f AS (SELECT ref_id, wl, a, (1 + (ref_id + i) % 5) + ((ref_id + i + 1) % 5 - (ref_id + i) % 5) * (wl - 3000 - 1500 * i) / 15e2 AS f FROM s), "
+    "p AS (SELECT ref_id, b, wl, f * greatest(0e0, 1e0 - abs(wl - 4000 - 1000 * b) / 5e2) AS y, a FROM f CROSS JOIN range(0, 3) r(b)), "
+    "q AS (SELECT ref_id, b, wl, y, y * pow(1e1, -8e-3 * a) AS d FROM p), "
+    "t AS (SELECT ref_id, b, (y + lag(y) OVER o) / 2e0 * 5e1 AS y, (d + lag(d) OVER o) / 2e0 * 5e1 AS d FROM q WINDOW o AS (PARTITION BY ref_id, b ORDER BY wl)) "
+    f"SELECT ref_id AS sed, 'b' || b AS band, {O.r('-25e-1 / 2e-2 * log10(sum(d) / sum(y))', 'k')} FROM t GROUP BY ref_id, b"
+)
+def band_coefficients(spark, sf):
+    """How each object's spectrum dims in three bands under a published law."""
+    knots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.lit(1.0) + (F.col("ref_id") + i) % 5).cast("double"))).alias("i", "f")
+    seds = V.refs(spark, sf).select(F.col("ref_id").alias("sed"), knots).select("sed", (F.lit(3000.0) + F.col("i") * F.lit(1500.0)).alias("wl"), "f")
+    bands = spark.createDataFrame([(f"b{b}", 4000.0 + 1000 * b + d, t) for b in range(3) for d, t in ((-500.0, 0.0), (0.0, 1.0), (500.0, 0.0))], "band string, wl double, tr double")
+    return rounded(extinction.band_coefficients(seds, bands, extinction.law(spark, 3100, 7300, 50)), "k")
+
+
 def _found(spark: SparkSession, sf: str, search: Search, refs=V.refs, plan: str = "auto") -> DataFrame:
     return knn.neighbors(V.targets(spark, sf), refs(spark, sf), BANDS, search, plan)
 
