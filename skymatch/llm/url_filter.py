@@ -104,38 +104,52 @@ def merged_branches(branches: DataFrame, how: Templates) -> DataFrame:
     return rows.withColumn("_size", size).select(*branches.columns, F.when(F.col("_size") > 1, F.col("group")).alias("group"))
 
 
+def past_chains(tree: DataFrame, how: Templates) -> DataFrame:
+    """tree (host, template, _parts, _at, pages) with the templates of all branches gone on to where they part: the segments that all paths of a branch share are one step.
+
+    What all share is what the least and the greatest of them share. An only child keeps its segment if its pages are enough, and has no sibling to be merged with.
+    """
+    rest = F.slice("_parts", F.col("_at") + 1, F.greatest(F.size("_parts") - F.col("_at"), F.lit(0)))
+    span = tree.groupBy("host", "template").agg(F.min(rest).alias("_low"), F.max(rest).alias("_high"), F.sum("pages").alias("_all"))
+    apart = F.array_position(F.zip_with("_low", "_high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    shared = F.slice("_low", 1, F.when(apart > 0, apart.cast("int") - 1).otherwise(F.size("_low")))
+    keep = F.col("_all") >= how.literal_pages
+    span = stored(span.select("host", "template", shared.alias("_shared"), F.transform(shared, lambda x: F.when(keep, x).otherwise(F.lit("*"))).alias("_steps")).where(F.size("_shared") > 0))
+    longer = F.when(F.col("_steps").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.array_join("_steps", "/")))
+    return tree.join(span, ["host", "template"], "left").withColumns({"template": longer, "_at": F.col("_at") + F.coalesce(F.size("_shared"), F.lit(0))}).drop("_shared", "_steps")
+
+
 def template_tree(shapes: DataFrame, how: Templates) -> DataFrame:
-    """shapes: host, shape, pages, labelled, bad. Adds template. A level is a few jobs; a branch of one shape is finished at once, so long lone paths add none."""
-    size = F.size("_parts")
-    tree = shapes.withColumn("_parts", F.split(F.regexp_replace("shape", "^/", ""), "/", -1)).withColumn("template", F.lit(""))
-    done, level = [], 0
+    """shapes: host, shape, pages, labelled, bad. Adds template. A round is a few jobs for one fork of each path; stretches without forks are one step, and a branch of one shape is finished at once, so long paths add no rounds."""
+    size, at = F.size("_parts"), F.col("_at")
+    tree = shapes.withColumn("_parts", F.split(F.regexp_replace("shape", "^/", ""), "/", -1)).withColumn("template", F.lit("")).withColumn("_at", F.lit(0))
+    done = []
     while True:
-        tree = tree.withColumn("_seg", F.when(size > level, F.get("_parts", F.lit(level))).otherwise(F.lit("")))
+        tree = stored(past_chains(tree, how).withColumn("_seg", F.when(size > at, F.get("_parts", at)).otherwise(F.lit(""))))
         child = tree.groupBy("host", "template", "_seg").agg(F.sum("pages").alias("_n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("_shapes"))
-        parent = child.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("_n").alias("_all"), F.sum("labelled").alias("_all_l"), F.sum("bad").alias("_all_b"), F.sum("_shapes").alias("_all_shapes"))
-        child = child.join(parent, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+        parent = tree.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("pages").alias("_all"), F.sum("labelled").alias("_all_l"), F.sum("bad").alias("_all_b"), F.count("*").alias("_all_shapes"))
+        # stored: else the join stands in one stage with the aggregation, and a hot host's partition can't be split
+        child = child.join(stored(parent), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
         frequent = (F.col("_n") >= how.literal_pages) & (F.col("_n") >= how.literal_share * F.col("_all"))
         own = (F.col("labelled") >= how.own_labelled) & differs(F.col("labelled"), F.col("bad"), F.col("_all_l"), F.col("_all_b"), how)
         child = stored(child.select("host", "template", "_seg", F.when(frequent | own, F.col("_seg")).otherwise(F.lit("*")).alias("step"), "labelled", "bad", (F.col("_all_shapes") == 1).alias("_alone")))
         branches = child.where("NOT _alone").groupBy("host", "template", "step").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         groups = merged_branches(branches, how).where("group IS NOT NULL").select("host", "template", "step", "group")
         steps = child.join(groups, ["host", "template", "step"], "left").select("host", "template", "_seg", F.coalesce("group", "step").alias("_step"), "_alone")
-        rest = F.transform(F.slice("_parts", level + 1, F.greatest(size - level, F.lit(0))), lambda x: F.when(F.col("pages") >= how.literal_pages, x).otherwise(F.lit("*")))
+        rest = F.transform(F.slice("_parts", at + 1, F.greatest(size - at, F.lit(0))), lambda x: F.when(F.col("pages") >= how.literal_pages, x).otherwise(F.lit("*")))
         longer = F.when(F.col("_alone"), F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.concat("template", F.lit("/"), "_step"))
         tree = tree.join(steps, ["host", "template", "_seg"])
-        tree = stored(tree.withColumn("template", F.when(size <= level, F.col("template")).otherwise(longer)).drop("_step", "_seg"))
-        ended = F.col("_alone") | (size <= level)
-        more = tree.where(~ended).drop("_alone")  # paths that end at the next level count there among their siblings
-        level += 1
-        if more.where(size > level).isEmpty():
-            done.append(tree.drop("_alone"))
+        tree = stored(tree.withColumn("template", F.when(size <= at, F.col("template")).otherwise(longer)).withColumn("_ended", F.col("_alone") | (size <= at)).withColumn("_at", at + 1).drop("_step", "_seg", "_alone"))
+        more = tree.where("NOT _ended")  # paths that end at the next level count there among their siblings
+        if more.where(size > at).isEmpty():
+            done.append(tree)
             break
-        done.append(tree.where(ended).drop("_alone"))
-        tree = more
+        done.append(tree.where("_ended"))
+        tree = more.drop("_ended")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("_parts")
+    return out.drop("_parts", "_at", "_ended")
 
 
 def judge(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None = None, how: Templates = Templates(), page_id: str = "page_id") -> DataFrame:

@@ -260,6 +260,54 @@ def test_tree_against_brute_force(spark, seed):
     assert {x["verdict"] for x in out.values()} == {"allow", "block"} and any("?" in x["template"] for x in out.values())
 
 
+def test_long_chains_are_one_step(spark):
+    """Paths of 1,000 segments that fork late, as a brute-force tree has them, in a few rounds."""
+    import time
+
+    trap = "/".join(f"s{chr(97 + i % 26)}" for i in range(990))
+    rows = [(i, f"http://trap/{trap}/{'abcd'[i % 4]}/{'xy'[i // 4 % 2]}/{i}") for i in range(40)] + [(100 + i, f"http://trap/other/{trap}/{100 + i}/deep") for i in range(2)] + [(200, f"http://trap/{trap}")]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(40)], "label_id long, bad int")
+    began = time.time()
+    out = {x["page_id"]: x["template"] for x in url_filter.judge(pages, [], labels).collect()}
+    took = time.time() - began
+    shapes, where = {}, {}
+    for i, u in rows:
+        key = ("trap", re.sub("[0-9]+", "#", u[11:]))
+        where[i], n = key, shapes.get(key, (0, 0, 0))
+        shapes[key] = (n[0] + 1, n[1] + (i < 40), n[2] + (i < 40 and i % 4 == 1))
+    import sys
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(10_000)
+    try:
+        want = brute_templates(shapes)
+    finally:
+        sys.setrecursionlimit(limit)
+    assert {i: out[i] for i in where} == {i: want[k] for i, k in where.items()}
+    assert took < 120  # a round a level would be some 1,000 rounds of seconds
+
+
+def test_the_query_blocks_what_labels_teach(spark, tmp_path):
+    """Tables whose labels are bad below one template: the registered query blocks it, unlabelled pages too, as its SQL does."""
+    import duckdb
+
+    from skymatch.llm.queries import ORACLE_SQL, op10_url_filter
+
+    rows = [(i, f"https://Shop.example/{'cheap' if i % 3 == 0 else 'news'}/{'ab'[i // 2 % 2]}/{i}") for i in range(600)] + [(i, f"https://x.example.net/en/cheap/{i}") for i in range(600, 620)] + [(999, None)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/l")
+    for name, short in (("pages", "p"), ("labels", "l")):
+        next((tmp_path / short).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    got = {r["page_id"]: tuple(r) for r in op10_url_filter(spark, str(tmp_path)).collect()}
+    assert all(got[i][4] == ("block" if i % 3 == 0 and i < 600 else "allow") for i in got)
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    sql = db.execute(ORACLE_SQL["op10_url_filter"])
+    at = [[d[0] for d in sql.description].index(c) for c in ("page_id", "host", "path", "rule", "verdict")]
+    assert {r[at[0]]: tuple(r[i] for i in at) for r in sql.fetchall()} == got
+
+
 def test_siblings_that_differ_lend_no_labels(spark):
     """A branch of bad labels alone says nothing about one without labels; a learned block reaches unlabelled pages of its own template."""
     rows = [(i, f"http://s/bad/{i}") for i in range(100)] + [(100 + i, f"http://s/new/{100 + i}") for i in range(100)] + [(200 + i, f"http://s/ok/{200 + i}") for i in range(100)] + [(300 + i, f"http://s/bad/{300 + i}") for i in range(50)]
