@@ -31,9 +31,11 @@ from .common import stored
 PART = 4096
 
 
-def running(df: DataFrame, group: list[str], part: str, order: list[Column], values: dict[str, Column], total: Callable[[Column], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
-    """df with the running totals of values within groups, by order. Parts, ascending, cut a group where it is cut by order; df is read twice."""
+def running(df: DataFrame, group: list[str], part: str, order: list[Column], values: dict[str, Column], total: Callable[[Column], Column], add: Callable[[Column, Column], Column], one_part: bool = False) -> DataFrame:
+    """df with the running totals of values within groups, by order. Parts, ascending, cut a group where it is cut by order; df is read twice. one_part: no group is known to have several, so nothing is carried between them."""
     inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if one_part:
+        return df.withColumns({n: total(v).over(inside) for n, v in values.items()})
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*group, part).agg(*(total(v).alias(f"_{n}") for n, v in values.items()), F.lit(True).alias("_more"))
     carried = sums.select(*group, part, *(total(F.col(f"_{n}")).over(before).alias(f"_{n}") for n in values), F.lag("_more").over(Window.partitionBy(*group).orderBy(part)).alias("_more")).where("_more")
@@ -49,6 +51,7 @@ def numbered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.md5(F.concat(F.length(who).cast("string"), F.lit(":"), who, what).cast("binary")).alias("digest"), F.length(what).cast("long").alias("chars"),
     )
     order = [F.col("turn").asc_nulls_first(), "role", "text", "digest"]
+    rows = stored(rows)  # the ranges are found by a look of their own, which should read no text
     equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
     ranges = stored(equal.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()))
     last = running(ranges, ["conv_id"], "part", order, {"last": F.col("times")}, F.sum, lambda a, b: a + b)
@@ -133,7 +136,8 @@ def trie(positions: DataFrame, lengths: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     roots = lengths.select("conv_id", zero.alias("depth"), zero.alias("chars"), (F.col("length") == 0).alias("last"), zero.alias("h1"), zero.alias("h2"))
     steps = stored(turns.unionByName(roots).withColumn("part", F.floor(F.col("depth") / PART)))
-    paths = stored(running(steps, ["conv_id"], "part", [F.col("depth")], {"k1": F.col("h1"), "k2": F.col("h2")}, F.bit_xor, lambda a, b: a.bitwiseXOR(b)))
+    short = steps.where("part > 0").isEmpty()  # then no conversation and no path has two parts
+    paths = stored(running(steps, ["conv_id"], "part", [F.col("depth")], {"k1": F.col("h1"), "k2": F.col("h2")}, F.bit_xor, lambda a, b: a.bitwiseXOR(b), short))
 
     node = ["depth", "k1", "k2"]
     made = paths.groupBy(*node).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
@@ -148,7 +152,7 @@ def trie(positions: DataFrame, lengths: DataFrame) -> DataFrame:
     # the head of a node's path: the last light node that its conversation has come through
     light = linked.where("light").select(*node, F.struct("depth", F.col("conv_id").alias("c")).alias("at"))
     headed = stored(paths.select("conv_id", "part", *node).join(light, node, "left").select("conv_id", "part", "depth", "at"))
-    heads = running(headed, ["conv_id"], "part", [F.col("depth")], {"path": F.col("at")}, F.max, lambda a, b: F.greatest(a, b))
+    heads = running(headed, ["conv_id"], "part", [F.col("depth")], {"path": F.col("at")}, F.max, lambda a, b: F.greatest(a, b), short)
     placed = stored(linked.join(heads.select("conv_id", "depth", "path"), ["conv_id", "depth"]).withColumn("id", F.struct("depth", F.col("conv_id").alias("c"))))
 
     own = placed.groupBy("path").agg(F.sum("own").alias("saved"))
@@ -158,7 +162,7 @@ def trie(positions: DataFrame, lengths: DataFrame) -> DataFrame:
 
     sent = done.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.sum("saved").alias("in_saved"), F.sum("leaves").alias("in_leaves"))
     totals = stored(placed.join(sent, "id", "left").withColumns({"saved": F.col("own") + F.coalesce("in_saved", zero), "leaves": F.coalesce("in_leaves", zero), "part": -F.floor(F.col("depth") / PART)}).drop("in_saved", "in_leaves", "id", "own"))
-    out = running(totals, ["path"], "part", [F.desc("depth")], {"saved_tokens": F.col("saved"), "n_leaves": F.col("leaves")}, F.sum, lambda a, b: a + b)
+    out = running(totals, ["path"], "part", [F.desc("depth")], {"saved_tokens": F.col("saved"), "n_leaves": F.col("leaves")}, F.sum, lambda a, b: a + b, short)
     return out.join(ends(paths), node, "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", zero).alias("n_children"), (F.col("n_leaves") + 1).alias("n_leaves"), "saved_tokens",
         F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
