@@ -210,6 +210,27 @@ def prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(x < 4, x, 2 * high + ((x >> extra) & 1)), np.where(x < 4, 0, x & ((1 << extra) - 1)), np.where(x < 4, 0, extra)
 
 
+def walked(next_: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """start, and from each place the one that next_ has there, always a later one, as long as they are below stop (at most the length of next_).
+
+    Leaps of eight are made first; Python walks by them, and what lies between is looked up for all at once.
+    """
+    n = len(next_)
+    one = np.append(np.minimum(next_, n), next_.dtype.type(n))
+    one[stop:] = np.arange(stop, n + 1)
+    two = one.take(one)
+    four = two.take(two)
+    places, p, leap = [], start, memoryview(four.take(four))
+    add = places.append
+    while p < stop:
+        add(p)
+        p = leap[p]
+    out = np.array(places, next_.dtype)
+    for between in (four, two, one):
+        out = np.stack([out, between.take(out)], axis=1).ravel()
+    return out[out < stop]
+
+
 def matches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of stretches that repeat earlier ones, from left to right and without overlap.
 
@@ -243,10 +264,7 @@ def matches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(has)
     length = np.flatnonzero(ends_here)[np.cumsum(ends_here, dtype=np.int32)[at] - ends_here[at]] - at + WORTH
     # where a match ends inside a repeated stretch, the next one starts
-    follow, chosen, i = np.cumsum(has, dtype=np.int32).take(at + length - 1, mode="clip").tolist(), [], 0
-    while i < len(follow):
-        chosen.append(i)
-        i = follow[i]
+    chosen = walked(np.cumsum(has, dtype=np.int32).take(at + length - 1, mode="clip"), 0, len(at))
     start, size, far = at[chosen], length[chosen], (at - before[at])[chosen]
     if size.max() > MOST:
         times = -(-size // MOST)
@@ -583,15 +601,10 @@ def _read_greens(r: _Reader, width: int, height: int, codes: list[_Code]) -> np.
             code = far_of.take(ahead.take(at) & ((1 << far_longest) - 1))
             far, at = _extended(code >> 4, at + (code & 15), ahead)
             after[copies] = at
-        begins, p, next_ = [], r.at - 8 * first, memoryview(after)
-        begin, stop = begins.append, min(count, STRETCH - 64) if count == STRETCH else count
-        while p < stop:
-            begin(p)
-            p = next_[p]
-        at = np.array(begins, np.int32)
+        at = walked(after, r.at - 8 * first, min(count, STRETCH - 64) if count == STRETCH else count)
         if not len(at):
             raise ValueError("the stream ends early")
-        token = token[at]
+        p, token = int(after[at[-1]]), token[at]
         which = np.flatnonzero(token > 255)
         place = np.searchsorted(copies, at[which])
         times = np.ones(len(at), np.int64)
@@ -602,7 +615,7 @@ def _read_greens(r: _Reader, width: int, height: int, codes: list[_Code]) -> np.
             last = int(np.searchsorted(ends, n))
             if ends[last] > n:
                 raise ValueError("a back-reference leaves the image")
-            p = next_[begins[last]]
+            p = int(after[at[last]])
             token, ends, times, which = token[: last + 1], ends[: last + 1], times[: last + 1], which[: np.searchsorted(which, last + 1)]
         r.at = p + 8 * first
         if r.at > r.end:

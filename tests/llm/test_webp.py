@@ -428,3 +428,18 @@ def test_round_trip(spark):
     assert media.round_trip(df.limit(0)).count() == 0
     both = media.decode_column(media.encode_column(df, media="m"), media="m").collect()
     assert all(bytes(r["pixels"]["samples"]).rstrip(b"\0") == (r["text"] or "").encode() for r in both)
+
+
+def test_walks():
+    """Leaps of eight and what lies between give the places that single steps give."""
+    r = np.random.default_rng(0)
+    for n in (1, 2, 7, 8, 9, 100, 3000):
+        for most in (1, 2, 9, 200):
+            for kind in (np.int32, np.int64):
+                next_ = (np.arange(n) + r.integers(1, most + 1, n)).astype(kind)
+                start, stop = int(r.integers(0, n)), int(r.integers(0, n + 1))
+                want, p = [], start
+                while p < stop:
+                    want.append(p)
+                    p = int(next_[p])
+                assert webp.walked(next_, start, stop).tolist() == want
