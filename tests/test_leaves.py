@@ -40,3 +40,23 @@ def test_few_pairs_are_compared(monkeypatch):
     s = Search(5)
     b = knn._search_batch([np.arange(len(t)), t], (np.arange(len(o)), o), s, knn.leaves_of(np.arange(len(o)), o, s))
     assert b.num_rows == 5 * len(t) and sum(pairs) < len(t) * len(o) / 20
+
+
+def frame(spark, key, ids, x):
+    bands = range(x.shape[1])
+    return spark.createDataFrame([(int(i), *map(float, v.ravel())) for i, v in zip(ids, x)], f"{key} long, " + ", ".join(f"f_b{b} double, e_b{b} double" for b in bands))
+
+
+@pytest.mark.parametrize("search", [Search(7), Search(7, "euclidean"), Search(3, method="combined", batch=30)])
+def test_cells_of_a_large_reference(spark, search):
+    """A crowd fills many blocks, and a target meets few of the others."""
+    r = np.random.default_rng(5)
+    o, t, bands = objects(r, 3000, 3, 2), objects(r, 200, 3, 2), ["b0", "b1", "b2"]
+    o[:900], t[:20] = o[0], o[0]
+    t[20, 0] = (0.0, np.inf)
+    refs, targets = frame(spark, "ref_id", r.permutation(3000), o), frame(spark, "target_id", range(200), t)
+    row = lambda x: [tuple(v) for v in x.orderBy("target_id", "rank").collect()]
+    out = knn.by_blocks(targets, refs, bands, search, block_bytes=100 * 48)
+    assert "_cell" in out._jdf.queryExecution().toString() or search.method == "combined"
+    got, want = row(out), row(knn.by_join(targets, refs, bands, search))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
