@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from skymatch.operators import knn, leaves
+from skymatch.operators.kdindex import KdIndex
 from skymatch.operators.knn import Search
+from skymatch.sources import scratch
 
 
 def objects(r, n, bands, digits=1):
@@ -60,3 +62,19 @@ def test_cells_of_a_large_reference(spark, search):
     assert "_cell" in out._jdf.queryExecution().toString() or search.method == "combined"
     got, want = row(out), row(knn.by_join(targets, refs, bands, search))
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+
+
+def test_looks_return_little(spark, tmp_path):
+    """What is beyond the k-th neighbour of the tree's sample isn't returned, so that a query stores and moves little more than k rows a target."""
+    r = np.random.default_rng(6)
+    o, t, bands, k = objects(r, 8000, 4, 3), objects(r, 100, 4, 3), ["b0", "b1", "b2", "b3"], 30
+    KdIndex.fit(frame(spark, "ref_id", range(8000), o), bands, str(tmp_path), 64)
+    index, targets = KdIndex.open(spark, str(tmp_path)), frame(spark, "target_id", range(100), t)
+    index.nearest(targets, k)
+    kept = [spark.read.parquet(p) for p in scratch.FOLDERS[-3:]]
+    first = next(x for x in kept if "distance" in x.columns)
+    more = index.looked_through(next(x for x in kept[::-1] if "tids" in x.columns), k)
+    assert k * 100 <= first.count() + more.count() <= 2 * k * 100
+    got = index.query(targets, Search(k, method="kdtree")).orderBy("target_id", "rank").collect()
+    want = knn.best(knn.distances(t, o, "euclidean"), np.arange(8000), k)
+    assert [x.ref_id for x in got] == want.ravel().tolist()
