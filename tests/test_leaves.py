@@ -6,6 +6,7 @@ import pytest
 from skymatch.operators import knn, leaves
 from skymatch.operators.kdindex import KdIndex
 from skymatch.operators.knn import Search
+from skymatch.operators.scaling import Prior, best_scales
 from skymatch.sources import scratch
 
 
@@ -78,3 +79,21 @@ def test_looks_return_little(spark, tmp_path):
     got = index.query(targets, Search(k, method="kdtree")).orderBy("target_id", "rank").collect()
     want = knn.best(knn.distances(t, o, "euclidean"), np.arange(8000), k)
     assert [x.ref_id for x in got] == want.ravel().tolist()
+
+
+@pytest.mark.parametrize("prior", ["uniform", "tophat 0.5 2"])
+def test_few_scales_are_solved(monkeypatch, prior):
+    """Only objects that may come as near as the k best so far have their scales solved, and the rows are those of all scales."""
+    r = np.random.default_rng(7)
+    t, ids = objects(r, 40, 6, 3), r.permutation(20_000)
+    o = np.concatenate([objects(r, 16_000, 6, 3), np.repeat(t, 100, axis=0)])[r.permutation(20_000)]  # crowds around the targets
+    o[:, :, 0] += r.normal(0, 0.02, (20_000, 6))
+    o[100], o[200] = o[300], (0.0, np.inf)
+    s, pairs, plain = Search(10, prior=Prior.parse(prior)), [], knn.solved
+    monkeypatch.setattr(knn, "solved", lambda f, *how: pairs.append(len(f[0])) or plain(f, *how))
+    got = knn.best_of_block(t, o, ids, s)
+    scale = best_scales(t, o, s.prior)
+    d = knn.distances(t, o, "chi2", scale)
+    at = knn.best(d, ids, 10)
+    assert (got[0] == ids[at]).all() and (got[1] == np.take_along_axis(d, at, axis=1)).all() and (got[2] == np.take_along_axis(scale, at, axis=1)).all()
+    assert 0 < sum(pairs) < 0.5 * len(t) * len(o)
