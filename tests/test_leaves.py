@@ -1,12 +1,14 @@
 """Blocks searched by their leaves: the rows of brute force for a small part of its pairs."""
 
+import time
+
 import numpy as np
 import pytest
 
 from skymatch.operators import knn, leaves
 from skymatch.operators.kdindex import KdIndex
 from skymatch.operators.knn import Search
-from skymatch.operators.scaling import Prior, best_scales
+from skymatch.operators.scaling import Prior, best_scales, within_reach
 from skymatch.sources import scratch
 
 
@@ -97,3 +99,30 @@ def test_few_scales_are_solved(monkeypatch, prior):
     at = knn.best(d, ids, 10)
     assert (got[0] == ids[at]).all() and (got[1] == np.take_along_axis(d, at, axis=1)).all() and (got[2] == np.take_along_axis(scale, at, axis=1)).all()
     assert 0 < sum(pairs) < 0.5 * len(t) * len(o)
+
+
+def test_join_solves_few_scales_in_time(spark, monkeypatch):
+    """The join gives the rows of the blocks, also for odd objects, and 600,000 pairs of it take seconds in several tasks: as a fold they took minutes in one."""
+    r = np.random.default_rng(11)
+    t, o = objects(r, 300, 6, 3), objects(r, 2000, 6, 3)
+    t[3, 1, 1], o[5, :, 0], o[6, 2, 1] = np.inf, 0, np.inf
+    bands = [f"b{i}" for i in range(6)]
+    frame = lambda x, key: spark.createDataFrame([(i, *row.ravel().tolist()) for i, row in enumerate(x)], f"{key} long, " + ", ".join(f"{c}_{b} double" for b in bands for c in "fe")).coalesce(1)
+    monkeypatch.setattr(knn, "LOOK", 500)
+    begin = time.time()
+    for prior in ("uniform", "tophat 0.5 2"):
+        one, other = (sorted(map(tuple, knn.neighbors(frame(t, "target_id"), frame(o, "ref_id"), bands, Search(5, prior=Prior.parse(prior)), plan).collect())) for plan in ("join", "blocks"))
+        assert len(one) == 1500 and [x[:3] for x in one] == [x[:3] for x in other]
+        assert np.allclose([x[3:] for x in one], [x[3:] for x in other], rtol=1e-9)
+    assert time.time() - begin < 60
+
+
+def test_reach_of_pairs():
+    """Limits of each pair leave out what they leave out target by target; none leaves nothing out."""
+    r = np.random.default_rng(12)
+    t, o = objects(r, 20, 4, 3), objects(r, 300, 4, 3)
+    f, e, limit = [o[:, b, 0] for b in range(4)], [o[:, b, 1] for b in range(4)], r.uniform(0.5, 20, 20)
+    limit[4] = np.nan
+    want = [i * 300 + at for i in range(20) for at in within_reach(f, e, t[i, :, 0], t[i, :, 1], limit[i], Prior())]
+    pairs = [[np.tile(x, 20) for x in side] for side in (f, e)] + [[np.repeat(t[:, b, j], 300) for b in range(4)] for j in range(2)]
+    assert within_reach(*pairs, np.repeat(limit, 300), Prior()).tolist() == want and 300 < len(want) < 3000
