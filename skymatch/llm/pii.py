@@ -2,8 +2,8 @@
 
 The model (pii_model) is a bidirectional LSTM over characters whose outputs feed a CRF over begin/inside tags of four kinds, all in numpy. It learns from
 labelled spans: windows of a bounded sample of documents, labelled by the rules, and made-up mentions of each kind in many notations, set into
-clean windows of these documents, with look-alikes that are no personal data (pii_mentions). Texts are scanned whole by the model's own gate, a table of character triples
-learnt from the same windows; overlapping windows lie over what passes and are decoded by the CRF. A span that reaches the end of its window is decoded
+clean windows of these documents, with look-alikes that are no personal data (pii_mentions). Whole texts are decoded in windows that overlap, whatever stands in them. The model's own gate, a table of
+character triples learnt from the same windows, asks for further windows around what it marks; it leaves nothing out. A span that reaches the end of its window is decoded
 again in one twice as long, so mentions have no greatest length. A span weighs its least tag marginal times its length; of all windows' spans of a text the
 compatible set of greatest weight is kept, base spans going first. No pattern stands between the model and its spans; only what defines a kind is
 asked of them: an ip has four numbers up to 255, a card 14 to 19 digits that pass Luhn's check, a phone 9 to 15 digits, and none begins or ends inside a word or number.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import model_dir
-from .pii_mentions import luhn, made_up
+from .pii_mentions import lookalikes, luhn, made_up
 from .pii_model import KINDS, WINDOW, Gate, Span, Tagger, char_ids, learn_gate, packed, train, unpacked
 
 # ---- rules
@@ -84,6 +84,13 @@ def written(spans: list[Span]) -> str:
 # ---- windows
 
 STRIDE, AROUND = 64, 40
+#: Characters of a window of the scan over whole texts, and how many of them the next one has, too.
+WIDE, OVERLAP = 768, 96
+
+
+def scan(size: int) -> list[tuple[int, int]]:
+    """Windows (start, end) over all characters of a text."""
+    return [(s, min(size, s + WIDE)) for s in range(0, max(min(size, 1), size - OVERLAP), WIDE - OVERLAP)]
 
 
 def windows(text: str, hits: np.ndarray, reach: int) -> list[tuple[int, int]]:
@@ -124,7 +131,7 @@ def labelled_windows(text: str) -> Iterator[tuple[str, list[Span]]]:
 def fit(sample: list[tuple[str, list[Span]]], how: Learning = Learning()) -> tuple[Gate, Tagger]:
     """The model from labelled windows and made-up mentions in those without spans."""
     clean = [t for t, s in sample if not s and len(t) > 20 and not re.search("[0-9@]", t)] or ["the words around a mention of somebody or other, and those that follow it, say little "]
-    rows = sample + made_up(clean, how.generated, random.Random(how.seed))
+    rows = sample + made_up(clean, how.generated, random.Random(how.seed)) + lookalikes(clean, how.generated // 4, random.Random(how.seed + 1))
     return learn_gate(rows), train(rows, epochs=how.epochs, seed=how.seed)
 
 
@@ -176,15 +183,21 @@ def decoded(jobs: list[tuple[int, int, int]], texts: list[str], model: Tagger, b
         at += len(part)
 
 
-def added_spans(texts: list[str], base: list[list[Span]], gate: Gate, model: Tagger, least: float = 0.7, batch: int = 256) -> list[list[Span]]:
-    """Spans of the model that overlap no base span, for each text."""
-    jobs = []
+def added_spans(texts: list[str], base: list[list[Span]], gate: Gate, model: Tagger, least: float = 0.7, quiet: float = 0.9, batch: int = 3072) -> list[list[Span]]:
+    """Spans of the model that overlap no base span, for each text. Every character is tagged in a window of the scan. Where the gate hits, further windows lie around the hits;
+    spans without one must reach `quiet`, others `least`."""
+    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in scan(len(t))]
     joined = "\n\n".join(texts)  # one pass of the gate
     hits = gate.hits(joined)
     starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
     owner = np.searchsorted(starts, hits, side="right") - 1
-    for i in np.unique(owner).tolist():
-        jobs += [(i, a, b) for a, b in windows(texts[i], hits[owner == i] - starts[i], gate.span) if a < b]
+    own = {i: hits[owner == i] - starts[i] for i in np.unique(owner).tolist()}
+    jobs += [(i, a, b) for i, at in own.items() for a, b in windows(texts[i], at, gate.span) if a < b]
+
+    def needed(i: int, a: int, b: int) -> float:
+        at = own.get(i, hits[:0])
+        return least if np.searchsorted(at, a - gate.span) < np.searchsorted(at, b) else quiet
+
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     while jobs:
         longer = set()
@@ -192,7 +205,7 @@ def added_spans(texts: list[str], base: list[list[Span]], gate: Gate, model: Tag
             for a, b, kind, w in spans:
                 if (a == 0 and s > 0) or (s + b == e and e < len(texts[i])):  # it may go on
                     longer.add((i, max(0, s + a - (e - s)), min(len(texts[i]), s + b + (e - s))))
-                elif w >= least:
+                elif w >= needed(i, s + a, s + b):
                     found[i].append((s + a, s + b, kind, w * (b - a)))
         jobs = sorted(longer)
     out = []

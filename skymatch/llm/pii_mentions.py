@@ -134,6 +134,7 @@ def lookalike(r: random.Random) -> str:
         lambda: f"{w()} at the {w()}, {w()} at {d(2)}:{d(2)}", lambda: f"the dot on {w()}", lambda: f"{w()} at {w()}. {w().title()} {w()}", lambda: f"at this point {w()}", lambda: f"{w()} punto {w()}",
         lambda: f"{w()} und der Punkt {w()}", lambda: f"{w()} [{w()}] {w()} ({w()})", lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)} {d(3)}", lambda: f"pp. {d(3)}-{d(3)}", lambda: f"{w()}.{w()}, {w()}/{w()}",
         lambda: f"{w()}={d(4)}&{w()}={w()}", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"{w()}% {w()}$$$ {w()}###", lambda: f"{d(2)} {w()} {d(4)}", lambda: f"token = \"{x(40)}\"", lambda: f"({w()}) {w()} - {w()}",
+        lambda: f"{w()} at {w()}. At {w()} {w()}", lambda: f"At {w()} {w()} {w()}", lambda: f"{w()} AT {w()} {w()}", lambda: f"{w()}. {w().title()} at {w()}.",
     )
     return r.choice(forms)()
 
@@ -162,3 +163,15 @@ def made_up(clean: list[str], n: int, r: random.Random) -> list[tuple[str, list[
         if text:
             out.append((text, [(a, b, kind)] if kind and a < b else []))
     return out
+
+
+def lookalikes(clean: list[str], n: int, r: random.Random) -> list[tuple[str, list[Span]]]:
+    """Windows of clean text with two look-alikes and no mention."""
+    out: list[tuple[str, list[Span]]] = []
+    for _ in range(n):
+        c = r.choice(clean)
+        a, b = sorted((r.randrange(len(c)), r.randrange(len(c))))
+        text = f"{c[:a]} {lookalike(r)} {c[a:b]} {lookalike(r)} {c[b:]}"
+        start = r.randrange(max(1, len(text) - WINDOW + 1))
+        out.append((text[start : start + WINDOW], []))
+    return out

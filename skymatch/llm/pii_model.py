@@ -1,7 +1,7 @@
-"""The character model of personal data: a gate that chooses windows, and a bidirectional LSTM with a CRF that tags them, both in numpy.
+"""The character model of personal data: a bidirectional LSTM with a CRF that tags windows, and a gate that asks for more of them, both in numpy.
 
-The gate weighs character triples by how much more often they stand in mentions than elsewhere and lets windows pass where neighbouring triples add
-up to what nearly all mentions it has learnt reach. It knows no notation; what passes is for the tagger to decide.
+The gate weighs character triples by how much more often they stand in mentions than elsewhere and marks where neighbouring triples add
+up to what nearly all mentions it has learnt reach. It knows no notation; what stands there is for the tagger to decide.
 """
 
 from __future__ import annotations
@@ -120,8 +120,85 @@ class Tagger:
         p["b"][:, h : 2 * h] = 1  # gates that forget start open
         return cls(p)
 
+    def _emissions(self, ids: np.ndarray) -> np.ndarray:
+        """The same without what the gradient needs, in place: signs and the doubled argument of tanh(x) = 1 - 2 / (1 + exp(2x)) are in the weights, so that one exponential a step serves all gates."""
+        p = self.p
+        n, t = ids.shape
+        h = p["wh"].shape[1]
+        sign = np.repeat(np.array([-1, 2], p["emb"].dtype), [3 * h, h])
+        table, wh = (p["emb"] @ p["wx"] + p["b"][:, None]) * sign, p["wh"] * sign
+        full, masks = (ids > 0).all(0), (ids > 0).astype(wh.dtype)
+        by_step = np.ascontiguousarray(ids.T)
+        state, cell, z, add = np.zeros((2, n, h), wh.dtype), np.zeros((2, n, h), wh.dtype), np.empty((2, n, 4 * h), wh.dtype), np.empty((2, n, 4 * h), wh.dtype)
+        new, out = np.empty_like(cell), np.empty_like(cell)
+        hs = np.empty((2, t, n, h), wh.dtype)
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                ends = i, t - 1 - i
+                np.matmul(state, wh, out=z)
+                for d in (0, 1):
+                    np.take(table[d], by_step[ends[d]], axis=0, out=add[d], mode="clip")
+                z += add
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                np.multiply(z[..., 3 * h :], -2, out=new)
+                new += 1
+                new *= z[..., :h]
+                cell *= z[..., h : 2 * h]
+                cell += new
+                for d in (0, 1):
+                    if not full[ends[d]]:
+                        cell[d] *= masks[:, ends[d], None]
+                np.multiply(cell, 2, out=out)
+                np.exp(out, out=out)
+                out += 1
+                np.reciprocal(out, out=out)
+                out *= -2
+                out += 1
+                np.multiply(out, z[..., 2 * h : 3 * h], out=state)
+                for d in (0, 1):
+                    if not full[ends[d]]:
+                        state[d] *= masks[:, ends[d], None]
+                    hs[d, ends[d]] = state[d]
+        e = hs[0] @ p["wo"][:h]
+        e += hs[1] @ p["wo"][h:]
+        e += p["bo"]
+        return e.transpose(1, 0, 2)
+
+    def outside(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each window the least marginal of the outside tag, by the same recursions as `marginals` in the precision of the emissions; NaN where that doesn't do."""
+        p = self.p
+        n, t, k = e.shape
+        x = np.subtract(e.transpose(1, 0, 2), e.max(2).T[:, :, None], order="C")
+        np.exp(x, out=x)
+        moves, first, last = (np.exp(p[c]).astype(x.dtype) for c in ("moves", "first", "last"))
+        on = np.arange(t)[:, None] < lengths
+        full = on.all(1)
+        ahead, a = np.empty_like(x), first * x[0]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+            a = ahead[0] = a / a.sum(1, keepdims=True)
+            for i in range(1, t):
+                step = a @ moves
+                step *= x[i]
+                step /= step.sum(1, keepdims=True)
+                a = ahead[i] = step if full[i] else np.where(on[i, :, None], step, a)
+            b = np.repeat((last / last.sum())[None], n, axis=0)
+            least = np.full(n, np.inf, x.dtype)
+            for i in range(t - 1, -1, -1):
+                if i < t - 1:
+                    step = (x[i + 1] * b) @ moves.T
+                    step /= step.sum(1, keepdims=True)
+                    b = step if full[i + 1] else np.where(on[i + 1, :, None], step, b)
+                q = ahead[i] * b
+                q = q[:, 0] / q.sum(1)
+                least = np.minimum(least, q if full[i] else np.where(on[i], q, np.inf))  # NaN stays
+        return least
+
     def emissions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """float[batch, time, tags] of ids[batch, time], 0 where there is padding (at the end). keep: gets what the gradient needs."""
+        if keep is None:
+            return self._emissions(ids)
         p = self.p
         n, t = ids.shape
         h = p["wh"].shape[1]
@@ -143,11 +220,9 @@ class Tagger:
             state_before = state
             state = gates[..., 2 * h :] * out * m
             hs[i] = state
-            if keep is not None:
-                steps.append((gates, new, before, out, state_before, m))
+            steps.append((gates, new, before, out, state_before, m))
         features = np.concatenate([hs[:, 0].transpose(1, 0, 2), hs[::-1, 1].transpose(1, 0, 2)], axis=2)  # [n, t, 2h]
-        if keep is not None:
-            keep |= {"ids": ids, "both": p["emb"][sides], "steps": steps, "features": features}
+        keep |= {"ids": ids, "both": p["emb"][sides], "steps": steps, "features": features}
         return features @ p["wo"] + p["bo"]
 
     def gradients(self, d: np.ndarray, keep: dict) -> dict[str, np.ndarray]:
@@ -236,14 +311,14 @@ class Tagger:
     def decode(self, ids: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
         """Spans (start, end, kind, least marginal of their tags) of each window's best tag sequence."""
         p = self.p
-        e = self.emissions(ids).astype(float)
+        e = self.emissions(ids)
         lengths = (ids > 0).sum(1)
-        q = self.marginals(e, lengths)[0]
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(e))]
-        hot = np.flatnonzero((q[:, :, 0] < 0.9).any(1))  # elsewhere the best sequence marks nothing that counts
+        hot = np.flatnonzero(~(self.outside(e, lengths) >= 0.9))  # elsewhere the best sequence marks nothing that counts
         if not len(hot):
             return out
-        e, q, lengths = e[hot], q[hot], lengths[hot]
+        e, lengths = e[hot].astype(float), lengths[hot]
+        q = self.marginals(e, lengths)[0]
         n, t, k = e.shape
         best, from_ = p["first"] + e[:, 0], np.zeros((n, t, k), np.int8)
         for i in range(1, t):

@@ -149,6 +149,46 @@ def test_mentions_across_ends_of_windows():
         assert phone in found(f"{left} {phone}{right}"), before
 
 
+def test_nothing_hangs_on_the_gate():
+    """Whole texts are tagged: mentions are found at any place, though the gate hits nothing."""
+
+    class Blind:
+        span = 8
+
+        def hits(self, text):
+            return np.zeros(0, int)
+
+    class Sure(Like):
+        def decode(self, ids):
+            return [[(a, b, k, 0.95) for a, b, k, _ in spans] for spans in super().decode(ids)]
+
+    mail = "m.hohenzollern [at] university [dot] example [dot] de"
+    for before in (0, 5, 700, *range(880, 1080, 11), 30_000):
+        left = ("X1 " * 10_001)[:before] + " "
+        text = f"{left}{mail} X1 {'X1 ' * 400}12 (345) 678-9012"
+        got = {text[a:b] for a, b, _ in pii.added_spans([text, "", text], [[], [], []], Blind(), Sure())[2]}
+        assert got == {mail, "12 (345) 678-9012"}, before
+    for size in (0, 1, 95, 96, 97, 1023, 1024, 1025, 1952, 1953, 50_000):
+        got = pii.scan(size)
+        assert sorted({c for a, b in got for c in range(a, b)}) == list(range(size)) and sum(b - a for a, b in got) <= 1.2 * size
+        assert all(x[1] - y[0] == pii.OVERLAP for x, y in zip(got, got[1:]))
+
+
+def test_quick_decoding_is_the_same():
+    """Emissions in place and the least marginals by single precision against those that training uses, with padding."""
+    r = np.random.default_rng(3)
+    model = pii_model.Tagger.new(seed=2)
+    model.p["moves"] = r.standard_normal((pii_model.TAGS, pii_model.TAGS)).astype(np.float32)
+    model.p["bo"][0] = 2
+    ids = r.integers(1, pii_model.CHARS, (6, 70))
+    ids[1, 1:], ids[2, 40:], ids[3, 69:] = 0, 0, 0
+    slow, quick, lengths = model.emissions(ids, {}), model.emissions(ids), (ids > 0).sum(1)
+    assert np.abs(slow - quick)[ids > 0].max() < 1e-4
+    before, q = quick.copy(), model.marginals(quick.astype(float), lengths)[0]
+    got = model.outside(quick, lengths)
+    assert (quick == before).all() and np.allclose(got, [x[:n, 0].min() for x, n in zip(q, lengths)], atol=1e-4)
+
+
 def test_windows_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "(a" * 100_000):
         assert sum(b - a for a, b in pii.windows(text, np.arange(len(text)), 8)) <= 3 * len(text) + pii.WINDOW
