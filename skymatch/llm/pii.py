@@ -2,8 +2,9 @@
 
 The model (pii_model) is a bidirectional LSTM over characters whose outputs feed a CRF over begin/inside tags of four kinds, all in numpy. It learns from
 labelled spans: windows of a bounded sample of documents, labelled by the rules, and made-up mentions of each kind in many notations, set into
-clean windows of these documents, with look-alikes that are no personal data (pii_mentions). Whole texts are decoded in windows that overlap, whatever stands in them. The model's own gate, a table of
-character triples learnt from the same windows, asks for further windows around what it marks; it leaves nothing out. A span that reaches the end of its window is decoded
+clean windows of these documents, with look-alikes that are no personal data (pii_mentions). Whole texts are read twice over, from coarse to fine: a tagger of groups of four characters
+reads every character, in windows that overlap, and a tagger of single characters decides wherever the coarse one sees a mention with a probability of 1% (`suspicion`; 0 lets the fine one read
+everything). The model's own gate, a table of character triples learnt from the same windows, asks for further windows around what it marks; it leaves nothing out. A span that reaches the end of its window is decoded
 again in one twice as long, so mentions have no greatest length. A span weighs its least tag marginal times its length; of all windows' spans of a text the
 compatible set of greatest weight is kept, base spans going first. No pattern stands between the model and its spans; only what defines a kind is
 asked of them: an ip has four numbers up to 255, a card 14 to 19 digits that pass Luhn's check, a phone 9 to 15 digits, and none begins or ends inside a word or number.
@@ -85,7 +86,7 @@ def written(spans: list[Span]) -> str:
 
 STRIDE, AROUND = 64, 40
 #: Characters of a window of the scan over whole texts, and how many of them the next one has, too.
-WIDE, OVERLAP = 768, 96
+WIDE, OVERLAP = 1536, 96
 
 
 def scan(size: int) -> list[tuple[int, int]]:
@@ -132,7 +133,9 @@ def fit(sample: list[tuple[str, list[Span]]], how: Learning = Learning()) -> tup
     """The model from labelled windows and made-up mentions in those without spans."""
     clean = [t for t, s in sample if not s and len(t) > 20 and not re.search("[0-9@]", t)] or ["the words around a mention of somebody or other, and those that follow it, say little "]
     rows = sample + made_up(clean, how.generated, random.Random(how.seed)) + lookalikes(clean, how.generated // 4, random.Random(how.seed + 1))
-    return learn_gate(rows), train(rows, epochs=how.epochs, seed=how.seed)
+    model = train(rows, epochs=how.epochs, seed=how.seed)
+    model.coarse = train(rows, epochs=how.epochs, seed=how.seed, h=16, step=4)
+    return learn_gate(rows), model
 
 
 def valid(text: str, a: int, b: int, kind: str) -> bool:
@@ -167,8 +170,8 @@ def reconciled(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     return out[::-1]
 
 
-def decoded(jobs: list[tuple[int, int, int]], texts: list[str], model: Tagger, batch: int) -> Iterator[tuple[tuple[int, int, int], list[tuple[int, int, str, float]]]]:
-    """Windows (text, start, end) and their spans. Those of like length are decoded together, as many as `batch` usual ones have characters."""
+def batches_of(jobs: list[tuple[int, int, int]], texts: list[str], batch: int) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+    """Windows (text, start, end) of like length together, as many as `batch` usual ones have characters, and the ids of their characters."""
     jobs = sorted(jobs, key=lambda j: j[2] - j[1])
     at = 0
     while at < len(jobs):
@@ -179,20 +182,41 @@ def decoded(jobs: list[tuple[int, int, int]], texts: list[str], model: Tagger, b
         ids = np.zeros((len(part), max(map(len, pieces))), np.int64)
         for n, piece in enumerate(pieces):
             ids[n, : len(piece)] = char_ids(piece)
-        yield from zip(part, model.decode(ids))
+        yield part, ids
         at += len(part)
 
 
-def added_spans(texts: list[str], base: list[list[Span]], gate: Gate, model: Tagger, least: float = 0.7, quiet: float = 0.9, batch: int = 3072) -> list[list[Span]]:
-    """Spans of the model that overlap no base span, for each text. Every character is tagged in a window of the scan. Where the gate hits, further windows lie around the hits;
+def decoded(jobs: list[tuple[int, int, int]], texts: list[str], model: Tagger, batch: int) -> Iterator[tuple[tuple[int, int, int], list[tuple[int, int, str, float]]]]:
+    """Windows and their spans."""
+    for part, ids in batches_of(jobs, texts, batch):
+        yield from zip(part, model.decode(ids))
+
+
+def suspicions(texts: list[str], coarse: Tagger, least: float, batch: int) -> dict[int, np.ndarray]:
+    """For texts that have any, the places in order where the coarse tagger sees a mention with at least this probability. It reads every character."""
+    found: dict[int, list[np.ndarray]] = {}
+    for part, ids in batches_of([(i, a, b) for i, t in enumerate(texts) for a, b in scan(len(t))], texts, batch):
+        for (i, a, _), at in zip(part, coarse.suspected(ids, least)):
+            if len(at):
+                found.setdefault(i, []).append(a + at)
+    return {i: np.unique(np.concatenate(at)) for i, at in found.items()}
+
+
+def added_spans(texts: list[str], base: list[list[Span]], gate: Gate, model: Tagger, least: float = 0.7, quiet: float = 0.9, suspicion: float = 0.01, batch: int = 3072) -> list[list[Span]]:
+    """Spans of the model that overlap no base span, for each text. Its coarse tagger reads every character, the other one the surroundings of all places where that sees a mention
+    with the probability `suspicion`; without a coarse one, or for a suspicion of 0, it reads every character itself. Where the gate hits, further windows lie around the hits;
     spans without one must reach `quiet`, others `least`."""
-    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in scan(len(t))]
+    if suspicion > 0 and (coarse := getattr(model, "coarse", None)):
+        reach = len(coarse.p["emb"])
+        jobs = [(i, a, b) for i, at in suspicions(texts, coarse, suspicion, batch).items() for a, b in windows(texts[i], at, reach) if a < b]
+    else:
+        jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in scan(len(t))]
     joined = "\n\n".join(texts)  # one pass of the gate
     hits = gate.hits(joined)
     starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
     owner = np.searchsorted(starts, hits, side="right") - 1
     own = {i: hits[owner == i] - starts[i] for i in np.unique(owner).tolist()}
-    jobs += [(i, a, b) for i, at in own.items() for a, b in windows(texts[i], at, gate.span) if a < b]
+    jobs = sorted({*jobs, *((i, a, b) for i, at in own.items() for a, b in windows(texts[i], at, gate.span) if a < b)})
 
     def needed(i: int, a: int, b: int) -> float:
         at = own.get(i, hits[:0])
@@ -261,8 +285,8 @@ def _is_stored(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
 
-def search(docs: DataFrame, how: Learning = Learning(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), a row for each row of docs."""
+def search(docs: DataFrame, how: Learning = Learning(), key: str = "doc_id", text: str = "text", suspicion: float = 0.01) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), a row for each row of docs. suspicion: see `added_spans`."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
@@ -276,7 +300,7 @@ def search(docs: DataFrame, how: Learning = Learning(), key: str = "doc_id", tex
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base = [base_spans(t) for t in texts]
-                more = added_spans(texts, base, gate, model)
+                more = added_spans(texts, base, gate, model, suspicion=suspicion)
                 counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS]
                 sums = pa.array([hashlib.sha256(written(b).encode()).hexdigest() if b else empty for b in base], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, sums, pa.array([written([*b, *m]) for b, m in zip(base, more)], pa.string())], names)

@@ -1,4 +1,4 @@
-"""The character model of personal data: a bidirectional LSTM with a CRF that tags windows, and a gate that asks for more of them, both in numpy.
+"""The character model of personal data: bidirectional LSTMs with a CRF that tag windows, a coarse and a fine one, and a gate that asks for more of them, all in numpy.
 
 The gate weighs character triples by how much more often they stand in mentions than elsewhere and marks where neighbouring triples add
 up to what nearly all mentions it has learnt reach. It knows no notation; what stands there is for the tagger to decide.
@@ -107,110 +107,148 @@ def learn_gate(examples: list[tuple[str, list[Span]]], lost: float = 0.003) -> G
 
 @dataclass
 class Tagger:
-    """emb[chars, e]; wx[2, e, 4h], wh[2, h, 4h], b[2, 4h] for both directions; wo[2h, tags], bo; moves[from, to], first, last."""
+    """Tags groups of as many neighbouring characters as emb has tables, one by default.
+
+    emb[step, chars, e]; wx[2, e, 4h], wh[2, h, 4h], b[2, 4h] for both directions; wo[2h, tags], bo; moves[from, to], first, last. coarse: a tagger of larger groups and
+    fewer units that says where this one has to look."""
 
     p: dict[str, np.ndarray]
+    coarse: Tagger | None = None
 
     @classmethod
-    def new(cls, e: int = 16, h: int = 24, seed: int = 5) -> Tagger:
+    def new(cls, e: int = 16, h: int = 24, seed: int = 5, step: int = 1) -> Tagger:
         r = np.random.default_rng(seed)
         scale = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
-        p = {"emb": r.standard_normal((CHARS, e)).astype(np.float32) * 0.3, "wx": scale(2, e, 4 * h), "wh": scale(2, h, 4 * h), "b": np.zeros((2, 4 * h), np.float32)}
+        p = {"emb": r.standard_normal((step, CHARS, e)).astype(np.float32) * 0.3, "wx": scale(2, e, 4 * h), "wh": scale(2, h, 4 * h), "b": np.zeros((2, 4 * h), np.float32)}
         p |= {"wo": scale(2 * h, TAGS), "bo": np.zeros(TAGS, np.float32), "moves": np.zeros((TAGS, TAGS), np.float32), "first": np.zeros(TAGS, np.float32), "last": np.zeros(TAGS, np.float32)}
         p["b"][:, h : 2 * h] = 1  # gates that forget start open
         return cls(p)
 
-    def _emissions(self, ids: np.ndarray) -> np.ndarray:
-        """The same without what the gradient needs, in place: signs and the doubled argument of tanh(x) = 1 - 2 / (1 + exp(2x)) are in the weights, so that one exponential a step serves all gates."""
-        p = self.p
-        n, t = ids.shape
-        h = p["wh"].shape[1]
-        sign = np.repeat(np.array([-1, 2], p["emb"].dtype), [3 * h, h])
-        table, wh = (p["emb"] @ p["wx"] + p["b"][:, None]) * sign, p["wh"] * sign
-        full, masks = (ids > 0).all(0), (ids > 0).astype(wh.dtype)
-        by_step = np.ascontiguousarray(ids.T)
-        state, cell, z, add = np.zeros((2, n, h), wh.dtype), np.zeros((2, n, h), wh.dtype), np.empty((2, n, 4 * h), wh.dtype), np.empty((2, n, 4 * h), wh.dtype)
-        new, out = np.empty_like(cell), np.empty_like(cell)
-        hs = np.empty((2, t, n, h), wh.dtype)
-        with np.errstate(over="ignore"):
-            for i in range(t):
-                ends = i, t - 1 - i
-                np.matmul(state, wh, out=z)
-                for d in (0, 1):
-                    np.take(table[d], by_step[ends[d]], axis=0, out=add[d], mode="clip")
-                z += add
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                np.multiply(z[..., 3 * h :], -2, out=new)
-                new += 1
-                new *= z[..., :h]
-                cell *= z[..., h : 2 * h]
-                cell += new
-                for d in (0, 1):
-                    if not full[ends[d]]:
-                        cell[d] *= masks[:, ends[d], None]
-                np.multiply(cell, 2, out=out)
-                np.exp(out, out=out)
-                out += 1
-                np.reciprocal(out, out=out)
-                out *= -2
-                out += 1
-                np.multiply(out, z[..., 2 * h : 3 * h], out=state)
-                for d in (0, 1):
-                    if not full[ends[d]]:
-                        state[d] *= masks[:, ends[d], None]
-                    hs[d, ends[d]] = state[d]
-        e = hs[0] @ p["wo"][:h]
-        e += hs[1] @ p["wo"][h:]
-        e += p["bo"]
-        return e.transpose(1, 0, 2)
+    def grouped(self, ids: np.ndarray) -> np.ndarray:
+        """ids[batch, steps, step], the last ones padded."""
+        k = len(self.p["emb"])
+        return np.pad(ids, ((0, 0), (0, -ids.shape[1] % k))).reshape(len(ids), -1, k)
 
-    def outside(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each window the least marginal of the outside tag, by the same recursions as `marginals` in the precision of the emissions; NaN where that doesn't do."""
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        """How many groups of each window aren't padding."""
+        return -(-(ids > 0).sum(1) // len(self.p["emb"]))
+
+    def _emissions(self, ids: np.ndarray, piece: int = 256) -> np.ndarray:
+        """The same without what the gradient needs, in place, a piece of the batch at a time. Windows lie along the last axis, so that every operation runs over whole rows; signs and the
+        doubled argument of tanh(x) = 1 - 2 / (1 + exp(2x)) are in the weights, so that one exponential a step serves all gates."""
         p = self.p
-        n, t, k = e.shape
-        x = np.subtract(e.transpose(1, 0, 2), e.max(2).T[:, :, None], order="C")
-        np.exp(x, out=x)
-        moves, first, last = (np.exp(p[c]).astype(x.dtype) for c in ("moves", "first", "last"))
-        on = np.arange(t)[:, None] < lengths
+        groups, h, dtype = self.grouped(ids), p["wh"].shape[1], p["emb"].dtype
+        count, t, k = groups.shape
+        sign = np.repeat(np.array([-1, 2], dtype), [3 * h, h])
+        wx, wh = (np.ascontiguousarray((np.concatenate(w, axis=1) * sign).transpose(0, 2, 1)) for w in ((p["wx"], p["b"][:, None]), (p["wh"],)))
+        emb = np.pad(p["emb"], ((0, 0), (0, 0), (0, 1)))
+        emb[0, :, -1] = 1  # meets the biases
+        wo, bo = np.ascontiguousarray(p["wo"].T), p["bo"][:, None]
+        out = np.empty((t, TAGS, count), dtype)
+        for start in range(0, count, piece):
+            by_step = np.ascontiguousarray(groups[start : start + piece].transpose(1, 2, 0))  # [t, step, n]
+            n = by_step.shape[2]
+            x = np.take(emb[0], by_step[:, 0], axis=0, mode="clip")
+            for j in range(1, k):
+                x += np.take(emb[j], by_step[:, j], axis=0, mode="clip")
+            real = by_step[:, 0] > 0
+            full = real.all(1)
+            state, cell, z, add = np.zeros((2, h, n), dtype), np.zeros((2, h, n), dtype), np.empty((2, 4 * h, n), dtype), np.empty((2, 4 * h, n), dtype)
+            new, hs = np.empty_like(cell), np.empty((t, 2 * h, n), dtype)
+            with np.errstate(over="ignore"):
+                for i in range(t):
+                    back = t - 1 - i
+                    np.matmul(wh, state, out=z)
+                    np.matmul(wx[0], x[i].T, out=add[0])
+                    np.matmul(wx[1], x[back].T, out=add[1])
+                    z += add
+                    np.exp(z, out=z)
+                    z += 1
+                    np.reciprocal(z, out=z)
+                    np.multiply(z[:, 3 * h :], -2, out=new)
+                    new += 1
+                    new *= z[:, :h]
+                    cell *= z[:, h : 2 * h]
+                    cell += new
+                    if not full[back]:  # forward, padding comes after all that counts
+                        cell[1] *= real[back]
+                    np.multiply(cell, 2, out=new)
+                    np.exp(new, out=new)
+                    new += 1
+                    np.reciprocal(new, out=new)
+                    new *= -2
+                    new += 1
+                    np.multiply(new, z[:, 2 * h : 3 * h], out=state)
+                    if not full[back]:
+                        state[1] *= real[back]
+                    hs[i, :h] = state[0]
+                    hs[back, h:] = state[1]
+            np.add(np.matmul(wo, hs), bo, out=out[:, :, start : start + n])
+        return out.transpose(2, 0, 1)
+
+    def clear(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """float[time, batch]: each place's marginal of the outside tag, by the recursions of `marginals` in the precision of the emissions, windows along the last axis; 1 on padding, NaN where that doesn't do."""
+        moves, first, last = (np.exp(self.p[c].astype(float)).astype(e.dtype)[..., None] for c in ("moves", "first", "last"))
+        moves = moves[..., 0] / moves[0, 0, 0]
+        onward = np.ascontiguousarray(moves.T)
+        on = np.arange(e.shape[1])[:, None] < lengths
         full = on.all(1)
-        ahead, a = np.empty_like(x), first * x[0]
         with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
-            a = ahead[0] = a / a.sum(1, keepdims=True)
-            for i in range(1, t):
-                step = a @ moves
-                step *= x[i]
-                step /= step.sum(1, keepdims=True)
-                a = ahead[i] = step if full[i] else np.where(on[i, :, None], step, a)
-            b = np.repeat((last / last.sum())[None], n, axis=0)
-            least = np.full(n, np.inf, x.dtype)
-            for i in range(t - 1, -1, -1):
-                if i < t - 1:
-                    step = (x[i + 1] * b) @ moves.T
-                    step /= step.sum(1, keepdims=True)
-                    b = step if full[i + 1] else np.where(on[i + 1, :, None], step, b)
-                q = ahead[i] * b
-                q = q[:, 0] / q.sum(1)
-                least = np.minimum(least, q if full[i] else np.where(on[i], q, np.inf))  # NaN stays
-        return least
+            x = e.transpose(1, 2, 0)
+            x = np.subtract(x, x[:, :1], order="C")
+            np.exp(x, out=x)
+            ahead = np.empty_like(x)
+            np.multiply(first, x[0], out=ahead[0])
+            for t in range(1, len(x)):
+                np.matmul(onward, ahead[t - 1], out=ahead[t])
+                ahead[t] *= x[t]
+                if not t % 8:
+                    ahead[t] /= ahead[t].sum(0)
+            out, b = np.empty(on.shape, e.dtype), np.repeat(last, len(e), axis=1)
+            step = np.empty_like(b)
+            for t in range(len(x) - 1, -1, -1):
+                if t < len(x) - 1:
+                    x[t + 1] *= b
+                    np.matmul(moves, x[t + 1], out=step)
+                    if not t % 8:
+                        step /= step.sum(0)
+                    b, step = (step, b) if full[t + 1] else (np.where(on[t + 1], step, b), step)
+                ahead[t] *= b
+                np.divide(ahead[t, 0], ahead[t].sum(0), out=out[t])
+        out[~on] = 1
+        return out
+
+    def outside(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each window the least marginal of the outside tag; NaN where single precision doesn't do."""
+        return self.clear(e, lengths).min(0)
+
+    def suspected(self, ids: np.ndarray, least: float) -> list[np.ndarray]:
+        """Where the groups of each window begin that have a tag other than outside with at least this probability."""
+        e, lengths = self.emissions(ids), self.lengths(ids)
+        q = self.clear(e, lengths)
+        lost = np.flatnonzero(np.isnan(q).any(0))
+        if len(lost):
+            q[:, lost] = np.where(np.arange(len(q))[:, None] < lengths[lost], self.marginals(e[lost].astype(float), lengths[lost])[0][:, :, 0].T, 1)
+        window, at = np.nonzero((q <= 1 - least).T)
+        return np.split(at * len(self.p["emb"]), np.searchsorted(window, np.arange(1, len(ids))))
 
     def emissions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """float[batch, time, tags] of ids[batch, time], 0 where there is padding (at the end). keep: gets what the gradient needs."""
+        """float[batch, groups, tags] of ids[batch, time], 0 where there is padding (at the end). keep: gets what the gradient needs."""
         if keep is None:
             return self._emissions(ids)
         p = self.p
-        n, t = ids.shape
-        h = p["wh"].shape[1]
-        mask = (ids > 0).astype(p["emb"].dtype)
-        sides = np.stack([ids, ids[:, ::-1]])
+        groups, h = self.grouped(ids), p["wh"].shape[1]
+        n, t, k = groups.shape
+        mask = (groups[:, :, 0] > 0).astype(p["emb"].dtype)
         masks = np.stack([mask, mask[:, ::-1]])
-        by_char = p["emb"] @ p["wx"] + p["b"][:, None]  # what each character adds to the gates of either direction
+        x = p["emb"][np.arange(k), groups].sum(2)
+        both = np.stack([x, x[:, ::-1]])
+        by_step = both @ p["wx"][:, None] + p["b"][:, None, None]  # what the characters add to the gates of either direction
         state, cell = np.zeros((2, n, h), mask.dtype), np.zeros((2, n, h), mask.dtype)
         hs = np.empty((t, 2, n, h), mask.dtype)
         steps = []
         for i in range(t):
-            z = np.stack([by_char[0, sides[0, :, i]], by_char[1, sides[1, :, i]]]) + state @ p["wh"]
+            z = by_step[:, :, i] + state @ p["wh"]
             gates = 1 / (1 + np.exp(-z[..., : 3 * h]))
             new = np.tanh(z[..., 3 * h :])
             m = masks[:, :, i, None]
@@ -222,14 +260,14 @@ class Tagger:
             hs[i] = state
             steps.append((gates, new, before, out, state_before, m))
         features = np.concatenate([hs[:, 0].transpose(1, 0, 2), hs[::-1, 1].transpose(1, 0, 2)], axis=2)  # [n, t, 2h]
-        keep |= {"ids": ids, "both": p["emb"][sides], "steps": steps, "features": features}
+        keep |= {"groups": groups, "both": both, "steps": steps, "features": features}
         return features @ p["wo"] + p["bo"]
 
     def gradients(self, d: np.ndarray, keep: dict) -> dict[str, np.ndarray]:
         """Of the parameters up to the emissions, from those of the emissions."""
         p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
         h, f = p["wh"].shape[1], keep["features"]
-        n, t = keep["ids"].shape
+        n, t, k = keep["groups"].shape
         g["wo"] = f.reshape(n * t, -1).T @ d.reshape(n * t, -1)
         g["bo"] = d.sum((0, 1))
         df = d @ p["wo"].T
@@ -254,7 +292,9 @@ class Tagger:
         both = keep["both"].reshape(2, n * t, -1)
         g["wx"] = both.transpose(0, 2, 1) @ by_row
         dx = (by_row @ p["wx"].transpose(0, 2, 1)).reshape(2, n, t, -1)
-        np.add.at(g["emb"], keep["ids"], dx[0] + dx[1, :, ::-1])
+        dx = (dx[0] + dx[1, :, ::-1]).reshape(n * t, -1)
+        for j in range(k):
+            g["emb"][j] = np.eye(CHARS, dtype=d.dtype)[:, keep["groups"][:, :, j].ravel()] @ dx
         return g
 
     def marginals(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,14 +324,14 @@ class Tagger:
         return q / q.sum(2, keepdims=True), z, ahead, x * back
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the windows' tags, and its gradients."""
+        """Mean negative log-likelihood of the tags of the windows' groups, and its gradients."""
         keep: dict = {}
         p = self.p
         e = self.emissions(ids, keep)
         n, t, k = e.shape
-        lengths = (ids > 0).sum(1)
+        lengths = self.lengths(ids)
         q, z, ahead, back = self.marginals(e, lengths)
-        real = ids > 0
+        real = np.arange(t) < lengths[:, None]
         one = np.eye(k, dtype=e.dtype)[tags]
         score = (e * one).sum((1, 2), where=real[:, :, None]) + p["first"][tags[:, 0]]
         pairs = real[:, 1:]
@@ -309,10 +349,10 @@ class Tagger:
         return float((z - score).mean()), g
 
     def decode(self, ids: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
-        """Spans (start, end, kind, least marginal of their tags) of each window's best tag sequence."""
+        """Spans (start, end, kind, least marginal of their tags) of each window's best tag sequence, in groups."""
         p = self.p
         e = self.emissions(ids)
-        lengths = (ids > 0).sum(1)
+        lengths = self.lengths(ids)
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(e))]
         hot = np.flatnonzero(~(self.outside(e, lengths) >= 0.9))  # elsewhere the best sequence marks nothing that counts
         if not len(hot):
@@ -345,9 +385,19 @@ class Tagger:
         return out
 
 
-def train(examples: list[tuple[str, list[Span]]], epochs: int = 10, batch: int = 64, rate: float = 0.03, seed: int = 5) -> Tagger:
-    """Adam on windows of at most WINDOW characters with their spans."""
-    model = Tagger.new(seed=seed)
+def later(ids: np.ndarray, tags: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows without their first n characters, so that mentions lie otherwise in groups each time. Windows that this would empty stay."""
+    if not n:
+        return ids, tags
+    cut = ids[:, n] > 0
+    ids, tags = (np.where(cut[:, None], np.pad(x[:, n:], ((0, 0), (0, n))), x) for x in (ids, tags))
+    tags[:, 0] -= (tags[:, 0] > 0) & (tags[:, 0] % 2 == 0)
+    return ids, tags
+
+
+def train(examples: list[tuple[str, list[Span]]], epochs: int = 10, batch: int = 64, rate: float = 0.03, seed: int = 5, h: int = 24, step: int = 1) -> Tagger:
+    """Adam on windows of at most WINDOW characters with their spans. A group has the first tag in it that isn't outside."""
+    model = Tagger.new(h=h, seed=seed, step=step)
     if not examples:
         return model
     ids, tags = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
@@ -357,28 +407,32 @@ def train(examples: list[tuple[str, list[Span]]], epochs: int = 10, batch: int =
             tags[n, a:b] = 2 + 2 * KINDS.index(kind)
             tags[n, a] -= 1
     r = np.random.default_rng(seed)
-    m, v, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
+    m, v, done = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     for epoch in range(epochs):
         order_ = r.permutation(len(ids))
         for i in range(0, len(ids), batch):
             at = order_[i : i + batch]
-            _, g = model.loss(ids[at], tags[at])
+            x, y = later(ids[at], tags[at], int(r.integers(step)) if step > 1 else 0)
+            y = model.grouped(y)
+            _, g = model.loss(x, np.take_along_axis(y, (y > 0).argmax(2)[:, :, None], 2)[:, :, 0])
             norm = np.sqrt(sum(float((x.astype(float) ** 2).sum()) for x in g.values()))
-            step += 1
+            done += 1
             speed = rate * min(1.0, 2 * (1 - (epoch + i / len(ids)) / epochs) + 0.05)
             for k, x in g.items():
                 x = x * min(1.0, 5 / max(norm, 1e-9))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.99 * v[k] + 0.01 * x * x
-                model.p[k] -= (speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(model.p[k].dtype)
+                model.p[k] -= (speed * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-8)).astype(model.p[k].dtype)
     return model
 
 
 def packed(gate: Gate, tagger: Tagger) -> bytes:
     out = io.BytesIO()
-    np.savez_compressed(out, gate=gate.weights, least=np.array([gate.least, gate.span]), **{f"p_{k}": v for k, v in tagger.p.items()})
+    coarse = tagger.coarse.p if tagger.coarse else {}
+    np.savez_compressed(out, gate=gate.weights, least=np.array([gate.least, gate.span]), **{f"p_{k}": v for k, v in tagger.p.items()}, **{f"c_{k}": v for k, v in coarse.items()})
     return out.getvalue()
 
 
 def unpacked(data: bytes) -> tuple[Gate, Tagger]:
     with np.load(io.BytesIO(data), allow_pickle=False) as z:
-        return Gate(z["gate"], float(z["least"][0]), int(z["least"][1])), Tagger({k[2:]: z[k] for k in z.files if k.startswith("p_")})
+        fine, coarse = ({k[2:]: z[k] for k in z.files if k.startswith(start)} for start in ("p_", "c_"))
+        return Gate(z["gate"], float(z["least"][0]), int(z["least"][1])), Tagger(fine, Tagger(coarse) if coarse else None)

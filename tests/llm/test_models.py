@@ -189,6 +189,71 @@ def test_quick_decoding_is_the_same():
     assert (quick == before).all() and np.allclose(got, [x[:n, 0].min() for x, n in zip(q, lengths)], atol=1e-4)
 
 
+def test_tagger_of_groups():
+    """Gradients by finite differences, quick emissions and suspicions against all marginals, with windows that end inside a group."""
+    r = np.random.default_rng(4)
+    model = pii_model.Tagger.new(e=3, h=4, step=4)
+    model.p = {k: v.astype(float) + 0.3 * r.standard_normal(v.shape) for k, v in model.p.items()}
+    ids = r.integers(1, 98, (4, 18))
+    ids[1, 9:], ids[2, 1:], ids[3, 16:] = 0, 0, 0
+    assert model.lengths(ids).tolist() == [5, 3, 1, 4]
+    tags = r.integers(0, pii_model.TAGS, (4, 5))
+    _, g = model.loss(ids, tags)
+    for k, v in model.p.items():
+        for i in r.integers(0, v.size, 5):
+            x, losses = v.flat[i], []
+            for v.flat[i] in (x + 1e-5, x - 1e-5):
+                losses.append(model.loss(ids, tags)[0])
+            v.flat[i] = x
+            assert abs((losses[0] - losses[1]) / 2e-5 - g[k].flat[i]) < 1e-6
+    q = model.marginals(model.emissions(ids, {}), model.lengths(ids))[0]
+    for least in (0.5, 0.9, 0.97):
+        assert [x.tolist() for x in model.suspected(ids, least)] == [[4 * t for t in range(n) if q[w, t, 0] <= 1 - least] for w, n in enumerate(model.lengths(ids))]
+    model.p["wo"] *= 1e4  # beyond single precision
+    model.p = {k: v.astype(np.float32) for k, v in model.p.items()}
+    assert all(0 <= x < 18 for at in model.suspected(ids, 0.5) for x in at.tolist())
+
+
+def test_windows_without_their_first_characters():
+    ids, tags = np.array([[7, 8, 9, 7, 8], [5, 6, 0, 0, 0]]), np.array([[0, 1, 2, 2, 0], [3, 4, 0, 0, 0]])
+    got = pii_model.later(ids, tags, 2)
+    assert got[0].tolist() == [[9, 7, 8, 0, 0], [5, 6, 0, 0, 0]] and got[1].tolist() == [[1, 2, 0, 0, 0], [3, 4, 0, 0, 0]]
+    assert all((a == b).all() for a, b in zip(pii_model.later(ids, tags, 0), (ids, tags)))
+
+
+def test_coarse_tagger_leaves_little_to_the_fine_one(tagger):
+    """The coarse tagger reads every character, and the other one, without the gate, a small part of clean texts; what it finds is what it would find everywhere."""
+    _, _, model = tagger
+    read = {"fine": 0, "coarse": 0}
+
+    class Blind:
+        span = 8
+
+        def hits(self, text):
+            return np.zeros(0, int)
+
+    class Counted:
+        def __init__(self, model, name):
+            self.model, self.name, self.p = model, name, model.p
+            self.coarse = model.coarse and Counted(model.coarse, "coarse")
+
+        def decode(self, ids):
+            read[self.name] += int((ids > 0).sum())
+            return self.model.decode(ids)
+
+        def suspected(self, ids, least):
+            read[self.name] += int((ids > 0).sum())
+            return self.model.suspected(ids, least)
+
+    r = random.Random(6)
+    clean = [prose(r, 900) for _ in range(20)]
+    pii.added_spans(clean, [[] for _ in clean], Blind(), Counted(model, "fine"))
+    assert sum(map(len, clean)) <= read["coarse"] <= 1.2 * sum(map(len, clean)) and read["fine"] <= 0.1 * read["coarse"]
+    texts = [f"{prose(r, r.randint(0, 60))} {pii_mentions.mention(k, r, n)} {prose(r, 40)}" for k, ns in pii_mentions.NOTATIONS.items() for n in ns for _ in range(20)]
+    some, all_ = ({(i, *s) for i, x in enumerate(pii.added_spans(texts, [[] for _ in texts], Blind(), model, suspicion=s)) for s in x} for s in (0.01, 0.0))
+    assert len(all_) >= 0.8 * len(texts) and len(all_ - some) <= 0.01 * len(all_)
+
+
 def test_windows_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "(a" * 100_000):
         assert sum(b - a for a, b in pii.windows(text, np.arange(len(text)), 8)) <= 3 * len(text) + pii.WINDOW
