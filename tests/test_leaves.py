@@ -8,7 +8,7 @@ import pytest
 from skymatch.operators import knn, leaves
 from skymatch.operators.kdindex import KdIndex
 from skymatch.operators.knn import Search
-from skymatch.operators.scaling import Prior, best_scales, within_reach
+from skymatch.operators.scaling import Prior, best_scales, beyond_reach, within_reach
 from skymatch.sources import scratch
 
 
@@ -126,3 +126,54 @@ def test_reach_of_pairs():
     want = [i * 300 + at for i in range(20) for at in within_reach(f, e, t[i, :, 0], t[i, :, 1], limit[i], Prior())]
     pairs = [[np.tile(x, 20) for x in side] for side in (f, e)] + [[np.repeat(t[:, b, j], 300) for b in range(4)] for j in range(2)]
     assert within_reach(*pairs, np.repeat(limit, 300), Prior()).tolist() == want and 300 < len(want) < 3000
+
+
+def odd_objects(r, n, bands):
+    """Objects of all sizes, with bands without errors, with infinite errors and without flux."""
+    o = objects(r, n, bands, 3)
+    o[:, :, 0] += r.normal(0, 0.02, (n, bands))
+    o *= 10.0 ** r.integers(-3, 4, n)[:, None, None]
+    o[::7, 1] = (0.0, np.inf)
+    o[1::11, 0, 1], o[2::13, :, 1], o[3::29, :, 0], o[4::31, 2, 0] = np.inf, 0, 0, 0
+    return o
+
+
+def test_join_leaves_out_far_pairs_only(spark):
+    """Neither bound leaves out a pair that its best scale brings within the limit, and both leave out most others."""
+    r = np.random.default_rng(13)
+    t, o, bands = odd_objects(r, 60, 6), odd_objects(r, 900, 6), [f"b{i}" for i in range(6)]
+    o[:60] = 3 * t
+    d = knn.distances(t, o, "chi2", best_scales(t, o, Prior()))
+    limit = np.nanquantile(d, 0.02, axis=1)
+    limit[5] = np.inf
+    pairs = [[np.tile(o[:, b, j], 60) for b in range(6)] for j in range(2)] + [[np.repeat(t[:, b, j], 900) for b in range(6)] for j in range(2)]
+    far = beyond_reach(*pairs, np.repeat(limit, 900)).reshape(60, 900)
+    assert not (far & (d <= limit[:, None])).any() and far.mean() > 0.7
+    near = frame(spark, "target_id", range(60), t).join(spark.createDataFrame([(i, float(x)) for i, x in enumerate(limit)], "target_id long, _limit double"), "target_id")
+    refs = knn._side(frame(spark, "ref_id", range(900), o), "ref_id", bands, "n_")
+    kept = np.zeros((60, 900), bool)
+    for x in knn._near_pairs(knn._packed(near, bands), knn._packed(refs, bands, "n_"), bands, 4).collect():
+        kept[x.target_id, x.ref_id] = True
+    assert not (~kept & (d <= limit[:, None])).any() and kept[5].all() and kept.mean() < 0.5
+
+
+@pytest.mark.parametrize("block_bytes", [knn.BLOCK_BYTES, 1 << 10])
+def test_scaled_join_of_odd_objects(spark, monkeypatch, block_bytes):
+    """The join gives the rows of the blocks for odd objects, a crowd of equal ones, and a reference that is too large to be sent."""
+    r = np.random.default_rng(14)
+    t, o, bands = odd_objects(r, 50, 7), odd_objects(r, 1500, 7), [f"b{i}" for i in range(7)]
+    o[200:700], t[:5] = o[200], o[200]
+    ids = r.permutation(1500)
+    refs, targets = frame(spark, "ref_id", ids, o), frame(spark, "target_id", range(50), t)
+    want = sorted(map(tuple, knn.neighbors(targets, refs, bands, Search(4, prior=Prior()), "blocks").collect()))
+    for name, value in (("FIRST_LOOK", 100), ("LOOK", 400), ("BLOCK_BYTES", block_bytes)):
+        monkeypatch.setattr(knn, name, value)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = knn.neighbors(targets, refs, bands, Search(4, prior=Prior()), "join")
+        assert ("CartesianProduct" in out._jdf.queryExecution().toString()) == (block_bytes == 1 << 10)
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3:] for x in got], [x[3:] for x in want], rtol=1e-12, equal_nan=True)
